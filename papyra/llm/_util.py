@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 #: ASCII white space; a word is a longest run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_ZSTD = pa.Codec("zstd", compression_level=1)
 #: Plans made of these alone yield the same rows in the same partitions each time they run.
 _STEADY = re.compile(r"^[\s+\-:|]*(Project|Filter|Relation|LocalRelation|LogicalRDD|SubqueryAlias|LogicalRelation)\b")
 
@@ -67,29 +66,33 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
+def _zstd() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
+
+
 def pack(a: np.ndarray) -> bytes:
     """An array as bytes: its byte planes one after another, compressed. Sorted keys and small counts shrink well."""
     a = np.ascontiguousarray(a)
     raw = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""
-    return len(raw).to_bytes(8, "little") + (_ZSTD.compress(raw, asbytes=True) if raw else b"")
+    return len(raw).to_bytes(8, "little") + (_zstd().compress(raw, asbytes=True) if raw else b"")
 
 
 def unpack(b: bytes, dtype: type) -> np.ndarray:
     size = int.from_bytes(b[:8], "little")
     if not size:
         return np.empty(0, dtype)
-    raw = np.frombuffer(_ZSTD.decompress(b[8:], size, asbytes=True), np.uint8)
+    raw = np.frombuffer(_zstd().decompress(b[8:], size, asbytes=True), np.uint8)
     wide = np.dtype(dtype).itemsize
     return np.ascontiguousarray(raw.reshape(wide, -1).T).view(dtype).ravel()
 
 
 def squeeze(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + (_ZSTD.compress(raw, asbytes=True) if raw else b"")
+    return len(raw).to_bytes(8, "little") + (_zstd().compress(raw, asbytes=True) if raw else b"")
 
 
 def unsqueeze(b: bytes) -> bytes:
     size = int.from_bytes(b[:8], "little")
-    return _ZSTD.decompress(b[8:], size, asbytes=True) if size else b""
+    return _zstd().decompress(b[8:], size, asbytes=True) if size else b""
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -8,11 +8,16 @@ are made in rounds for all its shingles at once and stop for a shingle when its
 next arrival is later than all registers' first ones.
 
 Registers are cut into bands; texts that agree in a whole band are candidates.
-Candidates are compared by their exact shingle sets, first with one leader of
+Candidates are compared by their exact shingle sets, first with the leader of
 each bucket, so a bucket of thousands of near copies costs a comparison each and
-not one per pair. Buckets whose texts are still in several components go on with
-another leader, and the last few pairs are compared each, so no link between
-different candidates is lost. Components come from minimum labels with pointer
+not one per pair. Where buckets connect texts that are still in different
+components, the rest is done in blocks of 256 texts: a task takes two blocks,
+passes over pairs that can't be similar enough (by size, and by how many shingles
+each holds that no other candidate does), counts what the others share, and
+yields links alone. So no link between different components is lost, no list of
+pairs is made, and a large group is spread over many tasks.
+
+Components come from minimum labels with pointer
 jumping; each round is written to the shared folder.
 """
 
@@ -30,8 +35,8 @@ WIDTH = 5
 BANDS, ROWS = 32, 5
 #: Nodes up to which the ids of texts in buckets are sent to every task (8 bytes each).
 BROADCAST_NODES = 2_000_000
-#: Pairs for each text in a bucket that may be compared all at once at the end.
-LAST_PAIRS = 2
+#: Texts in a block of those that are compared at the end.
+BLOCK = 256
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -94,6 +99,48 @@ def _packed(width: int):
     return f
 
 
+def _exploded(batches):
+    for b in batches:
+        sets = [np.frombuffer(x, np.int64) for x in b["shingles"]]
+        yield pd.DataFrame({"node": np.repeat(b["node"].to_numpy(), [len(x) for x in sets]), "shingle": np.concatenate(sets)})
+
+
+def _blocks(least: float):
+    """Links between the texts of two blocks of a cluster (or inside one) that are in different components."""
+
+    def f(g: pd.DataFrame) -> pd.DataFrame:
+        if g["i"].iloc[0] == g["j"].iloc[0]:
+            a = b = g
+        else:
+            a, b = g[g["part"] == g["i"]], g[g["part"] == g["j"]]
+        return _across(a, b, least)
+
+    return f
+
+
+def _across(a: pd.DataFrame, b: pd.DataFrame, least: float) -> pd.DataFrame:
+    sets = [np.frombuffer(s, np.uint64) for s in b["shingles"]]
+    nb, ob, cb, vb = np.array(list(map(len, sets))), b["own"].to_numpy(), b["comp"].to_numpy(), b["node"].to_numpy()
+    key = np.concatenate([np.empty(0, np.uint64), *sets])
+    order = np.argsort(key)
+    key, holder = key[order], np.repeat(np.arange(len(sets)), nb)[order]
+    out = []
+    for raw, oa, ca, va in zip(a["shingles"], a["own"], a["comp"], a["node"], strict=True):
+        x = np.frombuffer(raw, np.uint64)
+        na = len(x)
+        # at most so many shingles are shared, and so many are in either
+        shared = np.minimum(na - oa, nb - ob)
+        open_ = (cb != ca) & (vb > va if a is b else True) & (shared >= least * (oa + ob + np.maximum(na - oa, nb - ob)))
+        if not open_.any():
+            continue
+        lo, hi = np.searchsorted(key, x, "left"), np.searchsorted(key, x, "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(holder[at], minlength=len(sets))
+        out += [(va, v) for v in vb[open_ & (both >= least * (na + nb - both))]]
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
 def _linked(least: float):
     def f(batches):
         for b in batches:
@@ -145,31 +192,20 @@ def classes_of(nodes: DataFrame, similarity: float = SIMILARITY, width: int = WI
     pair = (F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
     tried = settle(buckets.filter("node != lead").select("node", "n", "lead").distinct().join(sizes, "lead").filter(near).select(*pair).distinct(), "pairs")
     links = verify(tried)
-    while True:
-        comps = components(links)
-        now = buckets.select("band", "node", "n", "lead").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        per = now.groupBy("band", "comp").agg(F.count("*").alias("k"))
-        open_ = settle(per.groupBy("band").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("c")).filter("c > 1").withColumn("left", F.expr("(k * k - kk) div 2")), "open")
-        left = open_.agg(F.sum("left")).first()[0] or 0
-        if not left:
-            return comps
-        rest = settle(now.join(open_.select("band"), "band", "left_semi"), "rest")
-        last = left <= LAST_PAIRS * max(count, 1000)
-        if last:
-            x, y = rest.select("band", F.col("node").alias("lead"), F.col("n").alias("m"), F.col("comp").alias("other")), rest.drop("lead")
-            more = x.join(y, "band").filter("other < comp")
-        else:
-            nxt = rest.filter("node > lead").groupBy("band").agg(F.min("node").alias("next"))
-            rest = settle(rest.join(nxt, "band").drop("lead").withColumnRenamed("next", "lead"), "rest")
-            own = rest.filter("node = lead").select("band", F.col("n").alias("m"), F.col("comp").alias("other"))
-            more = rest.join(own, "band").filter("other != comp")
-            buckets = buckets.drop("lead").join(rest.select("band", "lead").distinct(), "band")
-            buckets = settle(buckets, "buckets")
-        more = settle(more.filter(near).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = settle(tried.unionByName(more), "tried")
-        links = settle(links.unionByName(verify(more)), "links")
-        if last:
-            return components(links)
+    comps = components(links)
+    # nodes that any chain of buckets connects; a link can only be inside such a cluster
+    clusters = components(buckets.filter("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    now = clusters.withColumnRenamed("comp", "cluster").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_ = now.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo != hi")
+    own = (
+        packed.mapInPandas(_exploded, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1").groupBy("node").agg(F.count("*").alias("own"))
+    )
+    x = now.join(open_.select("cluster", F.ceil(F.col("size") / BLOCK).alias("parts")), "cluster").join(own, "node", "left").join(packed, "node")
+    x = x.select("cluster", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node", "comp", F.coalesce("own", F.lit(0)).alias("own"), "shingles")
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    x = x.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    more = x.groupBy("cluster", "i", "j").applyInPandas(_blocks(similarity), "a long, b long")
+    return components(links.unionByName(settle(more, "links")))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
