@@ -19,8 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose ids a Python worker keeps; it starts anew when there are more.
-CACHE_WORDS = 300_000
+#: Words whose ids a Python worker keeps; when there are more, those longer than so many bytes, which are seldom seen again, go.
+CACHE_WORDS, KEPT_LETTERS = 700_000, 9
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -94,31 +94,81 @@ def pack_documents(docs: Iterator[tuple[object, bytes]], window: int, first: int
                 pieces, need = [], min(window, 1 << max(left.bit_length() - 1, 0)) if left else 0
 
 
+class WordIds(dict):
+    """Token ids of words, as little-endian 32-bit words, for a vocabulary whose tokens never cross white space.
+
+    The vocabulary ignores the case of letters, so texts come in lower-cased A-Z unless they hold one of its special
+    strings. A letter and a full stop or comma after it are never in one token, so "word." is encoded as "word" and ".".
+    """
+
+    MARK = "|"
+
+    def __init__(self, path: str):
+        super().__init__()
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+        self.mark = self.model.encode(self.MARK, add_special_tokens=False).ids[0]
+
+    def _encode(self, ws: list[bytes]) -> None:
+        """Many words as one text with marks between them; words that hold a mark or a special string one by one."""
+        own = [w for w in ws if b"|" in w]
+        ws = [w for w in ws if b"|" not in w]
+        for i in range(0, len(ws), 2_000):
+            part = ws[i : i + 2_000]
+            e = self.model.encode_batch_fast([f" {self.MARK} ".join(w.decode() for w in part)], add_special_tokens=False)[0]
+            ids = np.array(e.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            if len(ends) != len(part):
+                own += part
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(part, ends.tolist(), strict=True):
+                self[w] = raw[4 * at : 4 * end]
+                at = end + 1
+        for w in own:
+            self[w] = np.array(self.model.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, ws: set[bytes]) -> None:
+        tail = {w: w[:-1] for w in ws if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122}
+        stems = {tail.get(w, w) for w in ws}
+        if tail:
+            stems |= {b".", b","}
+        self._encode([w for w in stems if w not in self])
+        for w, stem in tail.items():
+            self[w] = self[stem] + self[w[-1:]]
+
+    def of(self, texts: list[str | None]) -> Iterator[bytes]:
+        split = []
+        for t in texts:
+            raw = t.encode() if t else b""
+            split.append((raw if b"<|" in raw else raw.lower()).split())
+        if len(self) > CACHE_WORDS:
+            if sum(len(w) <= KEPT_LETTERS for w in self) > CACHE_WORDS // 2:
+                self.clear()
+            for w in [w for w in self if len(w) > KEPT_LETTERS]:
+                del self[w]
+        self.learn(set().union(*split).difference(self))
+        for ws in split:
+            yield b"".join(map(self.__getitem__, ws))
+
+
 def _run(tokenizer: str, end_id: int, window: int):
     def f(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tok, known, end = Tokenizer.from_file(tokenizer), {}, end_id.to_bytes(4, "little")
-
-        def docs(b: pd.DataFrame):
-            """White space always parts tokens of this vocabulary, so a text's ids are those of its words."""
-            split = [t.encode().split() if t else [] for t in b["text"]]
-            new = list({w for ws in split for w in ws if w not in known})
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list({w for ws in split for w in ws})
-            for i in range(0, len(new), 5_000):
-                part = new[i : i + 5_000]
-                for w, e in zip(part, tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-            for d, ws in zip(b["doc_id"], split, strict=True):
-                yield (None if pd.isna(d) else int(d)), b"".join(map(known.__getitem__, ws)) + end
-
-        rows = pack_documents((x for b in batches for i in range(0, len(b), 1000) for x in docs(b.iloc[i : i + 1000])), window, TaskContext.get().partitionId() << 33)
+        ids, end = WordIds(tokenizer), end_id.to_bytes(4, "little")
+
+        def docs():
+            for big in batches:
+                for at in range(0, len(big), 1000):
+                    b = big.iloc[at : at + 1000]
+                    for d, raw in zip(b["doc_id"], ids.of(list(b["text"])), strict=True):
+                        yield (None if pd.isna(d) else int(d)), raw + end
+
         held = []
-        for r in rows:
+        for r in pack_documents(docs(), window, TaskContext.get().partitionId() << 33):
             held.append(r)
             if len(held) == 50_000:
                 yield _frame(held)
