@@ -20,7 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose ids a Python worker keeps; when there are more, those longer than so many bytes, which are seldom seen again, go.
-CACHE_WORDS, KEPT_LETTERS = 700_000, 9
+CACHE_WORDS, KEPT_LETTERS = 1_200_000, 9
+
+#: ASCII signs, none of them a letter or digit.
+SIGNS = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~|<>"
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -98,45 +101,49 @@ class WordIds(dict):
     """Token ids of words, as little-endian 32-bit words, for a vocabulary whose tokens never cross white space.
 
     The vocabulary ignores the case of letters, so texts come in lower-cased A-Z unless they hold one of its special
-    strings. A letter and a full stop or comma after it are never in one token, so "word." is encoded as "word" and ".".
+    strings. A letter and a sign after it are never in one token, so "word.!" is encoded as "word" and ".!".
     """
 
-    MARK = "|"
-
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.mark = self.model.encode(self.MARK, add_special_tokens=False).ids[0]
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        for token, i in self.model.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
 
     def _encode(self, ws: list[bytes]) -> None:
-        """Many words as one text with marks between them; words that hold a mark or a special string one by one."""
-        own = [w for w in ws if b"|" in w]
-        ws = [w for w in ws if b"|" not in w]
-        for i in range(0, len(ws), 2_000):
-            part = ws[i : i + 2_000]
-            e = self.model.encode_batch_fast([f" {self.MARK} ".join(w.decode() for w in part)], add_special_tokens=False)[0]
+        """Words of letters alone are one piece before merging, so each ends with the one token that ends a word: they are encoded many at once. Others one by one."""
+        texts = [w.decode() for w in ws]
+        plain = [(w, t) for w, t in zip(ws, texts, strict=True) if t.isalpha()]
+        own = [(w, t) for w, t in zip(ws, texts, strict=True) if not t.isalpha()]
+        for i in range(0, len(plain), 2_000):
+            part = plain[i : i + 2_000]
+            e = self.model.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)[0]
             ids = np.array(e.ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(part):
                 own += part
                 continue
             raw, at = ids.tobytes(), 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                self[w] = raw[4 * at : 4 * end]
-                at = end + 1
-        for w in own:
-            self[w] = np.array(self.model.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            for (w, _), end in zip(part, (4 * ends).tolist(), strict=True):
+                self[w] = raw[at:end]
+                at = end
+        for (w, _), e in zip(own, self.model.encode_batch_fast([t for _, t in own], add_special_tokens=False), strict=True):
+            self[w] = np.array(e.ids, "<u4").tobytes()
 
     def learn(self, ws: set[bytes]) -> None:
-        tail = {w: w[:-1] for w in ws if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122}
-        stems = {tail.get(w, w) for w in ws}
-        if tail:
-            stems |= {b".", b","}
-        self._encode([w for w in stems if w not in self])
-        for w, stem in tail.items():
-            self[w] = self[stem] + self[w[-1:]]
+        parts = {}
+        for w in ws:
+            stem = w.rstrip(SIGNS)
+            if stem and len(stem) < len(w) and (97 <= stem[-1] <= 122 or stem.decode()[-1].isalpha()):
+                parts[w] = stem, w[len(stem) :]
+        need = ws.difference(parts)
+        need.update(*parts.values())
+        self._encode([w for w in need if w not in self])
+        for w, (stem, tail) in parts.items():
+            self[w] = self[stem] + self[tail]
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
         split = []
@@ -148,9 +155,13 @@ class WordIds(dict):
                 self.clear()
             for w in [w for w in self if len(w) > KEPT_LETTERS]:
                 del self[w]
-        self.learn(set().union(*split).difference(self))
-        for ws in split:
-            yield b"".join(map(self.__getitem__, ws))
+        found = [list(map(self.get, ws)) for ws in split]
+        open_ = [[i for i, x in enumerate(got) if x is None] if None in got else [] for got in found]
+        self.learn({ws[i] for ws, at in zip(split, open_, strict=True) for i in at})
+        for ws, got, at in zip(split, found, open_, strict=True):
+            for i in at:
+                got[i] = self[ws[i]]
+            yield b"".join(got)
 
 
 def _run(tokenizer: str, end_id: int, window: int):
