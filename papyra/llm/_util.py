@@ -61,6 +61,12 @@ def parts_for(df: DataFrame, mb: int, least: int = 16, most: int = 1_000_000) ->
     return max(least, min(most, plan_bytes(df) // (mb << 20)))
 
 
+def sample_by_hash(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """About ``rows`` rows of a table, those whose key hashes low, or all if there are no more; no task sends more than it keeps."""
+    n = df.count()
+    return df if n <= rows else df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 31)) < int(rows / n * (1 << 31)))
+
+
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text."""
     return F.unhex(F.md5(text.cast("binary")))

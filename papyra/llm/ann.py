@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._util import settle
+from papyra.llm._util import sample_by_hash, settle
 
 #: Rows on which the tree is fitted, and of them those whose true neighbours calibrate the search.
 FIT_ROWS, CALIBRATE = 20_000, 256
@@ -204,7 +204,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, recall: float = RECALL, fit
     and vectors of another dimension than the most frequent one. Repeated rows count each as a candidate; a repeated
     query is answered once. An empty table gives an empty table. Other columns are ignored.
 
-    The tree is fitted on ``fit_rows`` rows (those with the smallest hash of vec_id); ``calibrate`` of them are
+    The tree is fitted on about ``fit_rows`` rows (those whose vec_id hashes low); ``calibrate`` of them are
     searched by brute force to find how many leaves have to be visited for ``recall``.
     """
     spark = vectors.sparkSession
@@ -216,13 +216,14 @@ def search(vectors: DataFrame, is_query, k: int = 5, recall: float = RECALL, fit
     if not dims:
         return none
     rows = rows.filter(F.size("v") == dims["d"])
-    sample = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).toPandas()
+    sample = sample_by_hash(rows.select("vec_id", "v"), F.col("vec_id"), fit_rows).toPandas().sort_values("vec_id", kind="stable")
     tree = Tree(_matrix(sample["v"]))
     index = settle(rows.select("vec_id", "v").mapInPandas(_index(tree), "leaf int, ids binary, rows binary, n long"), "index")
     sizes = np.zeros(tree.leaves, np.int64)
     for r in index.groupBy("leaf").agg(F.sum("n").alias("n")).collect():  # bounded by the number of leaves
         sizes[r["leaf"]] = r["n"]
-    picked = sample.drop_duplicates("vec_id").iloc[:calibrate]
+    picked = sample.drop_duplicates("vec_id")
+    picked = picked.iloc[:: -(-len(picked) // calibrate)]
     qids, q = picked["vec_id"].to_numpy(np.int64), _matrix(picked["v"])
     truth = _top(index.mapInPandas(_brute(qids, q, k), "query_id long, vec_id long, score double, leaf int"), k).select("query_id", "leaf").collect()
     places = {int(i): {leaf: n for n, leaf in enumerate(tree.best_bins(u), 1)} for i, u in zip(qids, _unit(q), strict=True)}

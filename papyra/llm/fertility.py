@@ -22,6 +22,8 @@ MIN_WORDS, REPEAT_PERCENT, REPEAT_WIDTH = 20, 30, 8
 WIDE = 8.0
 LEAST = {"chars_per_token": 0.25, "byte_share": 0.05, "entropy": 0.35}
 CACHE_WORDS = 250_000
+#: Languages up to which the bands are sent to every task (100 bytes each).
+BROADCAST_BANDS = 10_000
 
 #: First code points of scripts, by block; what stands between two begins belongs to the earlier.
 _SCRIPTS = [(0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x590, "hebrew"), (0x600, "arabic"), (0x780, "other"), (0x900, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other")]
@@ -129,6 +131,9 @@ def rate(docs: DataFrame, vocabulary: str, wide: float = WIDE) -> DataFrame:
     m = m.withColumn("base_failed", failed)
     q = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(c)
     bands = m.filter("not base_failed").groupBy("lang").agg(*(q(c) for c in LEAST))
+    bands = settle(bands, "bands")
+    if bands.count() <= BROADCAST_BANDS:
+        bands = F.broadcast(bands)
     out, fine = [], F.lit(True)
     for c, least in LEAST.items():
         x = F.col(f"b.{c}")

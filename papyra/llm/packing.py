@@ -115,35 +115,33 @@ class WordIds(dict):
 
     def _encode(self, ws: list[bytes]) -> None:
         """Words of letters alone are one piece before merging, so each ends with the one token that ends a word: they are encoded many at once. Others one by one."""
-        texts = [w.decode() for w in ws]
-        plain = [(w, t) for w, t in zip(ws, texts, strict=True) if t.isalpha()]
-        own = [(w, t) for w, t in zip(ws, texts, strict=True) if not t.isalpha()]
+        plain = [w for w in ws if w.decode().isalpha()]
+        own = list(set(ws).difference(plain)) if len(plain) < len(ws) else []
         for i in range(0, len(plain), 2_000):
             part = plain[i : i + 2_000]
-            e = self.model.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)[0]
+            e = self.model.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0]
             ids = np.array(e.ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(part):
                 own += part
                 continue
-            raw, at = ids.tobytes(), 0
-            for (w, _), end in zip(part, (4 * ends).tolist(), strict=True):
-                self[w] = raw[at:end]
-                at = end
-        for (w, _), e in zip(own, self.model.encode_batch_fast([t for _, t in own], add_special_tokens=False), strict=True):
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            self.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        for w, e in zip(own, self.model.encode_batch_fast([w.decode() for w in own], add_special_tokens=False), strict=True):
             self[w] = np.array(e.ids, "<u4").tobytes()
 
     def learn(self, ws: set[bytes]) -> None:
-        parts = {}
+        whole, stems, tails = [], [], []  # plain lists: pairs would keep the garbage collector busy
         for w in ws:
             stem = w.rstrip(SIGNS)
-            if stem and len(stem) < len(w) and (97 <= stem[-1] <= 122 or stem.decode()[-1].isalpha()):
-                parts[w] = stem, w[len(stem) :]
-        need = ws.difference(parts)
-        need.update(*parts.values())
+            if stem and len(stem) < len(w) and (97 <= stem[-1] <= 122 or stem.decode()[-1].isalpha()) and b"<|" not in w:
+                whole.append(w)
+                stems.append(stem)
+                tails.append(w[len(stem) :])
+        need = ws.difference(whole)
+        need.update(stems, tails)
         self._encode([w for w in need if w not in self])
-        for w, (stem, tail) in parts.items():
-            self[w] = self[stem] + self[tail]
+        self.update(zip(whole, map(bytes.__add__, map(self.__getitem__, stems), map(self.__getitem__, tails)), strict=True))
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
         split = []

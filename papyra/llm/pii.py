@@ -19,8 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyra.llm._util import sample_by_hash
+
 KINDS = ("email", "ip", "card", "phone")
-#: Texts, those with the smallest hash, on which the field is fitted.
+#: About so many texts, those with low hashes, on which the field is fitted.
 FIT_ROWS = 2_000
 #: A word's marginal from which it is added.
 SURE = 0.95
@@ -200,9 +202,10 @@ def _labels(g: Graph, base: list[list[tuple[str, int, int]]]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Field:
-    """A field fitted on ``fit_rows`` texts that hold a digit or an at sign."""
+    """A field fitted on about ``fit_rows`` texts that hold a digit or an at sign; copies count once."""
     marked = docs.filter(F.col("text").rlike("[0-9@]")).select("text")
-    texts = [r["text"] for r in marked.orderBy(F.xxhash64("text"), "text").limit(fit_rows).collect()]
+    some = sample_by_hash(marked, F.col("text"), fit_rows).groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    texts = [r["text"] for r in sorted(some.collect(), key=lambda r: r["h"])]
     field, g = Field(), Graph()
     for i, t in enumerate(texts):
         g.add(i, t)

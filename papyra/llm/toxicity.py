@@ -22,7 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows, those with the smallest hash of doc_id, on which the model is fitted.
+from papyra.llm._util import sample_by_hash
+
+#: About so many labelled rows, those whose doc_id hashes low, on which the model is fitted.
 FIT_ROWS = 20_000
 FEATURES = 2_000
 PREFIXES = (4, 5, 6, 7, 8)
@@ -127,7 +129,7 @@ class CumulativeLink:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features: int = FEATURES) -> tuple[dict[str, int], CumulativeLink] | None:
     """The chosen features and the model, or None if the labels don't hold both kinds."""
     some = labels.filter("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    some = F.broadcast(some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))  # bounded by fit_rows
+    some = F.broadcast(sample_by_hash(some, F.col("doc_id"), fit_rows))  # bounded by fit_rows
     train = docs.select("doc_id", "text").join(some, "doc_id").select("toxic", "text")
     kinds = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     clean, toxic = kinds.get(0, 0), kinds.get(1, 0)
