@@ -110,6 +110,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def worker_cache() -> dict:
+    """A dict that lives as long as the Python worker, so one task can use what an earlier one has learned."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("papyra_worker", types.ModuleType("papyra_worker")).__dict__.setdefault("kept", {})
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words seen lately; emptied when it has ``most`` of them."""
 

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyra.llm._util import worker_cache
+
 #: Words whose ids a Python worker keeps; when there are more, those longer than so many bytes, which are seldom seen again, go.
 CACHE_WORDS, KEPT_LETTERS = 1_200_000, 9
 
@@ -167,7 +169,8 @@ def _run(tokenizer: str, end_id: int, window: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
 
-        ids, end = WordIds(tokenizer), end_id.to_bytes(4, "little")
+        kept, end = worker_cache(), end_id.to_bytes(4, "little")
+        ids = kept[tokenizer] = kept.get(tokenizer) or WordIds(tokenizer)
 
         def docs():
             for big in batches:
