@@ -31,7 +31,7 @@ def bm25(chunks: DataFrame, query: str) -> DataFrame:
     x = t.filter(F.size("hits") > 0).join(F.broadcast(stats))
     score = F.lit(0.0)
     for i, w in enumerate(wanted):
-        tf, df = F.size(F.filter("hits", lambda h, w=w: h == w)).cast("double"), F.col(f"df{i}").cast("double")
+        tf, df = F.size("hits") - F.size(F.array_remove("hits", w)), F.col(f"df{i}").cast("double")
         score += F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1) * tf / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))
     return x.select("doc_id", "idx", F.round(score, 6).alias("score"))
 
