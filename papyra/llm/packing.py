@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from papyra.llm._util import worker_cache
 
 #: Words whose ids a Python worker keeps; when there are more, those longer than so many bytes, which are seldom seen again, go.
-CACHE_WORDS, KEPT_LETTERS = 1_200_000, 9
+CACHE_WORDS, KEPT_LETTERS = 500_000, 9
 
 #: ASCII signs, none of them a letter or digit.
 SIGNS = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~|<>"
