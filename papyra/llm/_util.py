@@ -51,6 +51,14 @@ def steady(df: DataFrame, name: str) -> DataFrame:
     return settle(df, name)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``rows`` rows if nobody has set their size: whole texts are long, and Spark's default is 10,000."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the input's size; no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._util import WordHashes, settle, shingle_hashes
+from papyra.llm._util import WordHashes, settle, shingle_hashes, small_batches
 
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WIDTH = 20, 30, 8
@@ -125,7 +125,7 @@ def rate(docs: DataFrame, vocabulary: str, wide: float = WIDE) -> DataFrame:
     whose documents passes the base rules has no band, and nothing to reject by. Rows are rated each. Columns
     other than these three are ignored. An empty table gives an empty table.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     m = settle(own.mapInPandas(_measure(vocabulary), _MEASURED), "fertility")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     m = m.withColumn("base_failed", failed)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._util import WordHashes, mix64, pack, parts_for, settle, squeeze, steady, unpack, unsqueeze
+from papyra.llm._util import WordHashes, mix64, pack, parts_for, settle, small_batches, squeeze, steady, unpack, unsqueeze
 
 KEPT, DELETED, HELD_OUT = 0, 1, 2
 #: Characters of text in a chunk (a longer document makes a longer chunk).
@@ -259,7 +259,7 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
     scored, and counted, each. With nothing to train on, every token has probability 1 (V + 1 = 1 kinds). An
     empty table gives an empty table. Columns other than doc_id and text are ignored, whatever their names.
     """
-    docs = steady(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "lm-docs")
+    docs = steady(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "lm-docs")
     buckets = parts_for(docs, BUCKET_MB)
     asked = docs.mapInPandas(_ask(order, buckets), _REQUEST)
     answers = settle(asked.groupBy("j", "bucket").applyInPandas(_answer, _ANSWER), "lm-counts")

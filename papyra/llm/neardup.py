@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._util import WordHashes, mix64, settle, shingle_hashes, steady, words
+from papyra.llm._util import WordHashes, mix64, settle, shingle_hashes, small_batches, steady, words, worker_cache
 
 SIMILARITY = 0.8
 WIDTH = 5
@@ -74,6 +74,7 @@ def _sets(texts, hashes: WordHashes, width: int) -> list[tuple[np.ndarray, np.nd
 
 def _signatures(width: int, bands: int, rows: int):
     def f(batches):
+        worker_cache().clear()  # what another operator has left in this worker
         hashes = WordHashes()
         salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         for big in batches:
@@ -233,7 +234,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
 
 def _classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     node = F.xxhash64("text")
-    texts = docs.select(node.alias("node"), "text").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    texts = small_batches(docs).select(node.alias("node"), "text").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     comps = settle(classes_of(texts, similarity, width, bands, rows), "comps")
     blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     rows_ = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), node.alias("node"), blank.alias("blank"), "row"), "rows")

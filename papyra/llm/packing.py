@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._util import worker_cache
+from papyra.llm._util import small_batches, worker_cache
 
 #: Words whose ids a Python worker keeps; when there are more, those longer than so many bytes, which are seldom seen again, go.
 CACHE_WORDS, KEPT_LETTERS = 500_000, 9
@@ -174,8 +174,8 @@ def _run(tokenizer: str, end_id: int, window: int):
 
         def docs():
             for big in batches:
-                for at in range(0, len(big), 1000):
-                    b = big.iloc[at : at + 1000]
+                for at in range(0, len(big), 250):
+                    b = big.iloc[at : at + 250]
                     for d, raw in zip(b["doc_id"], ids.of(list(b["text"])), strict=True):
                         yield (None if pd.isna(d) else int(d)), raw + end
 
@@ -205,4 +205,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048) -
     """
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_run(tokenizer, end_id, window), SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_run(tokenizer, end_id, window), SCHEMA)

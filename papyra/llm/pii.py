@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._util import sample_by_hash
+from papyra.llm._util import sample_by_hash, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: About so many texts, those with low hashes, on which the field is fitted.
@@ -267,6 +267,6 @@ def scan(docs: DataFrame, fit_rows: int = FIT_ROWS, sure: float = SURE) -> DataF
     nothing is learned or found. Rows are scanned each, repeated ones and null ids too; a text of any length is
     scanned whole. Columns other than doc_id and text are ignored. An empty table gives an empty table.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", n_added long, base_sha256 string, spans string"
     return own.mapInPandas(_scan(fit(own, fit_rows), sure), schema)

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyra.llm._util import small_batches
+
 KINDS = ("assign", "access", "hex", "guess")
 
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -153,6 +155,6 @@ def scan(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
     no spans. Rows are scanned each, repeated ones and null ids too; a text of any length is scanned whole. Columns
     other than doc_id and text are ignored. An empty table gives an empty table.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
         _scan(guesses), "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
     )

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._util import sample_by_hash
+from papyra.llm._util import sample_by_hash, small_batches
 
 #: About so many labelled rows, those whose doc_id hashes low, on which the model is fitted.
 FIT_ROWS = 20_000
@@ -159,7 +159,7 @@ def grade(docs: DataFrame, labels: DataFrame, toxic_from: float = TOXIC_FROM, fi
     repeated ones and null ids too. Other columns stay as they are; one named like a new column is replaced. An empty
     table gives an empty table.
     """
-    learned = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), fit_rows)
+    learned = fit(small_batches(docs).select("doc_id", "text"), labels.select("doc_id", "toxic"), fit_rows)
     if not learned:
         return docs.withColumns({"severity": F.lit(0.0), "grade": F.lit(0), "toxic": F.lit(False)})
     chosen, model = learned
