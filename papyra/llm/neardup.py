@@ -17,8 +17,8 @@ each holds that no other candidate does), counts what the others share, and
 yields links alone. So no link between different components is lost, no list of
 pairs is made, and a large group is spread over many tasks.
 
-Components come from minimum labels with pointer
-jumping; each round is written to the shared folder.
+Components come from contracting edges towards
+smaller ids; each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -156,16 +156,25 @@ def _linked(least: float):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node id that each end of a link (a, b) is connected with."""
+    """(node, comp): the smallest node id that each end of a link (a, b) is connected with.
+
+    Each round sends a node to its smallest neighbour's smallest neighbour and contracts the edges, so their number
+    falls from round to round.
+    """
     edges = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = settle(edges.groupBy("a").agg(F.min(F.least("a", "b")).alias("comp")).withColumnRenamed("a", "node"), "labels")
+    labels = None
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "comp", F.least("comp", "other").alias("low"))
-        up = labels.select(F.col("node").alias("low"), F.col("comp").alias("up"))
-        new = settle(step.join(up, "low").select("node", F.least("low", "up").alias("comp"), (F.least("low", "up") < F.col("comp")).alias("moved")), "labels")
-        labels = new.select("node", "comp")
-        if new.filter("moved").isEmpty():
+        low = settle(edges.groupBy("a").agg(F.min(F.least("a", "b")).alias("up")), "low")
+        step = low.join(low.select(F.col("a").alias("up"), F.col("up").alias("comp")), "up").select(F.col("a").alias("node"), "comp")
+        step = settle(step, "step")
+        if labels is None:
+            labels = step
+        else:
+            moved = step.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+            labels = settle(labels.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
+        left = edges.join(step.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b")
+        edges = settle(left.filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
             return labels
 
 

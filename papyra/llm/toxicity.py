@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._util import sample_by_hash, small_batches
+from papyra.llm._util import sample_by_hash, small_batches, worker_cache
 
 #: About so many labelled rows, those whose doc_id hashes low, on which the model is fitted.
 FIT_ROWS = 20_000
@@ -30,7 +30,7 @@ FEATURES = 2_000
 PREFIXES = (4, 5, 6, 7, 8)
 #: A text is toxic if its expected severity (0 to the highest grade) is at least this.
 TOXIC_FROM = 0.4
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 _STRIP = re.compile(r"\W+")
 
@@ -65,13 +65,14 @@ class Features(dict):
 
 
 def _document_counts(batches):
-    """How many texts of each class hold each feature; one row per feature and partition."""
+    """How many texts of each class hold each feature; a row for a feature each time the table of them is full."""
+    worker_cache().clear()
     seen: dict[str, list[int]] = {}
     for b in batches:
         for text, y in zip(b["text"], b["toxic"], strict=True):
             for f in {f for w in set((text or "").split()) for f in features_of(w)}:
                 seen.setdefault(f, [0, 0])[int(y)] += 1
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 yield pd.DataFrame([(f, *n) for f, n in seen.items()], columns=["feature", "clean", "toxic"])
                 seen = {}
     yield pd.DataFrame([(f, *n) for f, n in seen.items()], columns=["feature", "clean", "toxic"])
