@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +19,24 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.posexplode(pieces).alias("i", "text")).select("doc_id", "source", F.col("i").cast("long").alias("idx"), "text")
 
 
+def _decoded(raw: bytes) -> str:
+    try:
+        return raw.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return raw.decode("gb18030", "replace")
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files (txt, md, csv, json, log are plain text): path, name and text; a BOM goes, bytes that aren't UTF-8 are read as GB18030."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    fine = F.is_valid_utf8(F.col("content").cast("string"))
-    text = F.when(fine, F.col("content").cast("string")).otherwise(F.decode("content", F.lit("GB18030")))
-    return raw.select("path", name.alias("name"), F.regexp_replace(text, "^﻿", "").alias("text")).filter(~F.col("name").startswith("~$") & F.lower("name").rlike(r"[.](txt|md|markdown|mdx|csv|json|log)$")).orderBy("path")
+
+    @F.pandas_udf("string")
+    def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for raws in parts:
+            yield pd.Series([_decoded(bytes(b)) for b in raws], dtype=object)
+
+    return raw.select("path", name.alias("name"), decode("content").alias("text")).filter(~F.col("name").startswith("~$") & F.lower("name").rlike(r"[.](txt|md|markdown|mdx|csv|json|log)$")).orderBy("path")
 
 
 def gold(spark: SparkSession, path: str) -> DataFrame:
