@@ -74,8 +74,8 @@ def test_queue_keeps_the_last_change(spark, tmp_path):
 def test_text_files_and_gold(spark, tmp_path):
     (tmp_path / "d" / "e").mkdir(parents=True)
     (tmp_path / "d" / "a.TXT").write_bytes(b"\xef\xbb\xbfhi")
-    (tmp_path / "d" / "e" / "b.md").write_bytes("知识".encode("gb18030"))
+    (tmp_path / "d" / "e" / "b.md").write_bytes("中文内容".encode("gb18030"))
     (tmp_path / "d" / "~$c.txt").write_bytes(b"lock")
-    assert [(r.name, r.text) for r in text_files(spark, str(tmp_path / "d")).collect()] == [("a.TXT", "hi"), ("b.md", "知识")]
+    assert [(r.name, r.text) for r in text_files(spark, str(tmp_path / "d")).collect()] == [("a.TXT", "hi"), ("b.md", "中文内容")]
     (tmp_path / "g.jsonl").write_text('{"question_id":"1","question":"q","gold_answer":"a","gold_evidence_locators":[{"document":"d","needle":"n"}]}\n{"question_id":"2","question":"q"}\n')
     assert {r.question_id: r.problem for r in gold(spark, str(tmp_path / "g.jsonl")).collect()} == {"1": None, "2": "no evidence or answer"}
