@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from papyra.llm._util import small_batches, worker_cache
 
 #: Words whose ids a Python worker keeps; when there are more, those longer than so many bytes, which are seldom seen again, go.
-CACHE_WORDS, KEPT_LETTERS = 500_000, 9
+CACHE_WORDS, KEPT_LETTERS = 900_000, 10
 
 #: ASCII signs, none of them a letter or digit.
 SIGNS = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~|<>"
@@ -145,10 +145,10 @@ class WordIds(dict):
         self._encode([w for w in need if w not in self])
         self.update(zip(whole, map(bytes.__add__, map(self.__getitem__, stems), map(self.__getitem__, tails)), strict=True))
 
-    def of(self, texts: list[str | None]) -> Iterator[bytes]:
+    def of(self, texts: list[bytes | None]) -> Iterator[bytes]:
         split = []
-        for t in texts:
-            raw = t.encode() if t else b""
+        for raw in texts:
+            raw = raw or b""
             split.append((raw if b"<|" in raw else raw.lower()).split())
         if len(self) > CACHE_WORDS:
             if sum(len(w) <= KEPT_LETTERS for w in self) > CACHE_WORDS // 2:
@@ -174,15 +174,15 @@ def _run(tokenizer: str, end_id: int, window: int):
 
         def docs():
             for big in batches:
-                for at in range(0, len(big), 250):
-                    b = big.iloc[at : at + 250]
+                for at in range(0, len(big), 1000):
+                    b = big.iloc[at : at + 1000]
                     for d, raw in zip(b["doc_id"], ids.of(list(b["text"])), strict=True):
                         yield (None if pd.isna(d) else int(d)), raw + end
 
         held = []
         for r in pack_documents(docs(), window, TaskContext.get().partitionId() << 33):
             held.append(r)
-            if len(held) == 50_000:
+            if len(held) == 10_000:
                 yield _frame(held)
                 held = []
         yield _frame(held)
@@ -205,4 +205,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048) -
     """
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_run(tokenizer, end_id, window), SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(_run(tokenizer, end_id, window), SCHEMA)
