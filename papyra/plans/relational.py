@@ -6,10 +6,11 @@ from papyra.plans.catalogue import both
 
 both("doc_filter", r"SELECT doc_id FROM {documents} WHERE lang IN ('en', 'de') AND ('doc-' || CAST(doc_id AS STRING)) LIKE '%1%' AND n_chars BETWEEN 200 AND 5000".replace("STRING", "VARCHAR"), r"SELECT doc_id FROM {documents} WHERE lang IN ('en', 'de') AND concat('doc-', doc_id) LIKE '%1%' AND n_chars BETWEEN 200 AND 5000")
 both("scope_fail_closed", "SELECT scope, count(doc_id) AS n FROM (VALUES ('all'), ('none'), ('src1')) AS s(scope) LEFT JOIN {documents} d ON scope = 'all' OR (scope <> 'none' AND d.source = scope) GROUP BY scope")
-both("visible_chunks", "WITH g AS (SELECT doc_id, max(doc_id % 3) AS active FROM {documents} GROUP BY doc_id) SELECT d.source, count(*) AS n FROM {documents} d JOIN g ON d.doc_id = g.doc_id AND d.doc_id % 3 = g.active GROUP BY d.source")
+# a conversation's rows are generations of it; the newest turn is the active one
+both("visible_chunks", "WITH g AS (SELECT conv_id, max(turn) AS active FROM {conversations} GROUP BY conv_id) SELECT c.role, count(*) AS n FROM {conversations} c JOIN g ON c.conv_id = g.conv_id AND c.turn = g.active GROUP BY c.role")
 both("keyset_page", "SELECT o_orderkey, o_orderdate FROM {orders} WHERE o_orderkey < 5000 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 51")
 both("offset_page", "SELECT doc_id, source, count(*) OVER () AS total FROM {documents} ORDER BY doc_id LIMIT 20 OFFSET 40")
-both("pinned_generation_read", "SELECT doc_id, CAST(doc_id % 4 AS BIGINT) AS generation, md5(text) AS hash FROM {documents} WHERE doc_id % 4 = 2")
+both("pinned_generation_read", "WITH pin AS (SELECT conv_id, min(turn) AS pinned FROM {conversations} WHERE role = 'assistant' GROUP BY conv_id) SELECT c.conv_id, c.turn AS generation, md5(c.text) AS hash FROM {conversations} c JOIN pin ON c.conv_id = pin.conv_id AND c.turn = pin.pinned")
 both("base_stats", "SELECT source, count(*) AS documents, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS chars, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS measured FROM {documents} GROUP BY source")
 both("history_top50", "SELECT event_id, ts FROM {events} ORDER BY ts DESC, event_id DESC LIMIT 50")
 both("history_trim", "SELECT count(*) AS dropped FROM {orders} o LEFT ANTI JOIN (SELECT o_orderkey FROM {orders} ORDER BY o_orderdate DESC, o_orderkey LIMIT 50) k ON o.o_orderkey = k.o_orderkey".replace("LEFT ANTI JOIN", "ANTI JOIN"), "SELECT count(*) AS dropped FROM {orders} o LEFT ANTI JOIN (SELECT o_orderkey FROM {orders} ORDER BY o_orderdate DESC, o_orderkey LIMIT 50) k ON o.o_orderkey = k.o_orderkey")
@@ -20,7 +21,8 @@ both("title_conflicts", "SELECT a.p_partkey FROM {part} a WHERE EXISTS (SELECT 1
 both("rename_available", "SELECT p_partkey, CASE WHEN n = 1 THEN p_name || '.txt' ELSE p_name || '_' || CAST(n - 1 AS VARCHAR(9)) || '.txt' END AS name FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM {part}) x")
 both("union_generations", "SELECT o_orderpriority AS g FROM {orders} UNION SELECT c_mktsegment FROM {customer}")
 both("group_names", "SELECT name, min(position) AS position FROM (SELECT r_name AS name, r_regionkey AS position FROM {region} UNION ALL SELECT c_mktsegment, 100 FROM {customer}) x GROUP BY name")
-both("directory_rescan", "SELECT coalesce(a.page_id, b.page_id) AS page_id, CASE WHEN a.page_id IS NULL THEN 'new' WHEN b.page_id IS NULL THEN 'missing' ELSE 'same' END AS state FROM (SELECT page_id FROM {pages} WHERE page_id % 5 <> 0) a FULL JOIN (SELECT page_id FROM {pages} WHERE page_id % 7 <> 0) b ON a.page_id = b.page_id")
+# what was indexed (labelled) against what is there now
+both("directory_rescan", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'missing' ELSE 'same' END AS state FROM (SELECT DISTINCT doc_id FROM {labels}) a FULL JOIN (SELECT DISTINCT doc_id FROM {documents}) b ON a.doc_id = b.doc_id")
 both("stale_urls", "SELECT event_id FROM {events} WHERE ts <= (SELECT max(ts) FROM {events}) - INTERVAL 24 HOUR AND event_type = 'view'")
 both("retired_generations", "SELECT o_orderkey FROM {orders} WHERE o_orderdate < (SELECT max(o_orderdate) FROM {orders}) - INTERVAL 30 DAY AND o_orderstatus = 'F'")
 

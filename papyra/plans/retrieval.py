@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 
+from papyra.functions.text import meaningful
 from papyra.functions.vectors import dot, norm, unit
 from papyra.operators import retrieval as R
 from papyra.plans.catalogue import CHUNKS, F, both, docs, query, table
@@ -148,11 +149,11 @@ def evidence_serialize(spark, sf):
     return g.select("doc_id", F.col("hit_idx").alias("idx"), F.array_join("l.line", "\n").alias("evidence"))
 
 
-@query(f"""WITH {CHUNKS}, k AS (SELECT doc_id, idx FROM chunks WHERE idx % 5 <> 3),
+@query(f"""WITH {CHUNKS}, k AS (SELECT doc_id, idx FROM chunks WHERE length(regexp_replace(text, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')) >= 10),
 i AS (SELECT doc_id, idx, idx - row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS g FROM k)
 SELECT doc_id, min(idx) AS first, max(idx) AS last, count(*) AS n FROM i GROUP BY doc_id, g""")
 def contiguous_run(spark, sf):
-    k = chunks(docs(spark, sf)).filter("idx % 5 <> 3").select("doc_id", "idx")
+    k = chunks(docs(spark, sf)).filter(meaningful(F.col("text")) >= 10).select("doc_id", "idx")
     g = k.withColumn("g", F.col("idx") - F.row_number().over(Window.partitionBy("doc_id").orderBy("idx")))
     return g.groupBy("doc_id", "g").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("n")).drop("g")
 

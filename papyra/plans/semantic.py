@@ -151,9 +151,10 @@ SELECT unit, round(CAST(total AS DOUBLE) * matched / 3.0E0, 6) AS score FROM g W
 )
 both(
     "dirty_documents",
-    """WITH prior AS (SELECT doc_id, md5(text) AS sig FROM {documents} WHERE doc_id % 10 <> 3), now AS (SELECT doc_id, md5(CASE WHEN doc_id % 10 = 5 THEN text || '!' ELSE text END) AS sig FROM {documents} WHERE doc_id % 10 <> 7)
-SELECT coalesce(p.doc_id, n.doc_id) AS doc_id, CASE WHEN p.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'deleted' WHEN p.sig <> n.sig THEN 'changed' ELSE 'unchanged' END AS state
-FROM prior p FULL JOIN now n ON p.doc_id = n.doc_id""",
+    """WITH prior AS (SELECT o_custkey AS doc, CAST(count(*) AS VARCHAR(20)) || ':' || CAST(max(o_orderkey) AS VARCHAR(20)) AS sig FROM {orders} WHERE o_orderdate < TIMESTAMP '1996-01-01 00:00:00' GROUP BY o_custkey),
+now AS (SELECT o_custkey AS doc, CAST(count(*) AS VARCHAR(20)) || ':' || CAST(max(o_orderkey) AS VARCHAR(20)) AS sig FROM {orders} WHERE o_orderstatus <> 'F' GROUP BY o_custkey)
+SELECT coalesce(p.doc, n.doc) AS doc, CASE WHEN p.doc IS NULL THEN 'added' WHEN n.doc IS NULL THEN 'deleted' WHEN p.sig <> n.sig THEN 'changed' ELSE 'unchanged' END AS state
+FROM prior p FULL JOIN now n ON p.doc = n.doc""",
 )
 both(
     "version_diff",
@@ -162,7 +163,7 @@ SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS N
 )
 both(
     "incremental_merge",
-    """WITH kept AS (SELECT p_name AS k, p_size AS v, 0.5E0 AS conf, 2 AS sources FROM {part} WHERE p_partkey % 3 <> 0), new AS (SELECT p_name AS k, p_size + 1 AS v, 0.9E0 AS conf, 1 AS sources FROM {part} WHERE p_partkey % 3 = 0),
+    """WITH kept AS (SELECT p_name AS k, p_size AS v, 0.5E0 AS conf, 2 AS sources FROM {part} WHERE p_brand < 'Brand#3'), new AS (SELECT p_name AS k, p_size + 1 AS v, 0.9E0 AS conf, 1 AS sources FROM {part} WHERE p_brand >= 'Brand#3'),
 a AS (SELECT k, max(v) AS v, max(conf) AS conf, sum(sources) AS n FROM kept GROUP BY k), b AS (SELECT k, max(v) AS v, max(conf) AS conf, sum(sources) AS n FROM new GROUP BY k)
 SELECT coalesce(b.k, a.k) AS k, coalesce(b.v, a.v) AS v, round((coalesce(a.conf * a.n, 0.0E0) + coalesce(b.conf * b.n, 0.0E0)) / (coalesce(a.n, 0) + coalesce(b.n, 0)), 6) AS confidence FROM a FULL JOIN b ON a.k = b.k""",
 )
@@ -179,6 +180,35 @@ b AS (SELECT *, CAST(floor(i * 4.0E0 / n) AS INT) AS bucket FROM o), r AS (SELEC
 SELECT o_custkey, bucket, o_orderkey FROM r WHERE r = 1""",
 )
 
+both(
+    "history_range",
+    """WITH e AS (SELECT o_custkey, min(o_orderdate) AS since FROM {orders} WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey)
+SELECT o.o_custkey, CAST(year(o.o_orderdate) AS BIGINT) AS version, count(*) AS n FROM {orders} o JOIN e ON o.o_custkey = e.o_custkey AND o.o_orderdate >= e.since GROUP BY 1, 2""",
+)
+
+
+@query(f"""WITH {_FACTS}, u AS (SELECT doc_id, k, min(idx) AS idx, min(s) AS s FROM f GROUP BY doc_id, k),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx, k) AS n FROM u),
+p AS (SELECT doc_id, count(*) AS facts, string_agg('- ' || s || ' [' || CAST(idx AS VARCHAR) || ']', chr(10) ORDER BY n) AS body FROM r WHERE n <= 128 GROUP BY doc_id)
+SELECT doc_id, facts, '# doc-' || CAST(doc_id AS VARCHAR) || chr(10) || chr(10) || body AS page FROM p""")
+def wiki_pages(spark, sf):
+    """A page for each document that states facts: at most 128, in order, each with the chunk it is from."""
+    u = fact_rows(spark, sf).groupBy("doc_id", "k").agg(F.min("idx").alias("idx"), F.min("s").alias("s"))
+    r = u.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("idx", "k"))).filter("n <= 128")
+    line = F.concat(F.lit("- "), "s", F.lit(" ["), F.col("idx").cast("string"), F.lit("]"))
+    p = r.groupBy("doc_id").agg(F.count("*").alias("facts"), F.sort_array(F.collect_list(F.struct("n", line.alias("line")))).alias("l"))
+    return p.select("doc_id", "facts", F.concat(F.lit("# doc-"), F.col("doc_id").cast("string"), F.lit("\n\n"), F.array_join("l.line", "\n")).alias("page"))
+
+
+@query(f"""WITH {_FACTS}, d AS (SELECT DISTINCT doc_id, k FROM f), n AS (SELECT k FROM d GROUP BY k HAVING count(*) > 1)
+SELECT d.doc_id, count(*) AS shared FROM d JOIN n ON d.k = n.k GROUP BY d.doc_id""")
+def wiki_shared_facts(spark, sf):
+    """How many facts of a page other pages state too; pages aren't paired, so a fact that all state costs one row each."""
+    d = fact_rows(spark, sf).select("doc_id", "k").distinct()
+    n = d.groupBy("k").count().filter("count > 1").select("k")
+    return d.join(n, "k").groupBy("doc_id").agg(F.count("*").alias("shared"))
+
+
 
 # --- graphs -------------------------------------------------------------
 both("graph_two_hop", "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey")

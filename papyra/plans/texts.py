@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from papyra.functions import text as X
 from papyra.plans.catalogue import CHUNKS, F, both, docs, query, table
 from papyra.sources.html import pages_to_text
+from papyra.sources.chunker import embedded, semantic_chunks, smart_chunks
 from papyra.sources.tables import chunks
 
 _CJK = r"\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}"
@@ -149,7 +150,37 @@ def text_health(spark, sf):
     )
 
 
-both("url_refresh_changed", "SELECT a.page_id, a.url FROM {pages} a WHERE sha2(a.html, 256) <> sha2(replace(a.html, 'the', 'the'), 256) OR a.page_id % 7 = 0".replace("sha2(a.html, 256)", "md5(a.html)").replace("sha2(replace(a.html, 'the', 'the'), 256)", "md5(replace(a.html, 'zzz', 'z'))"))
+@query()
+def chunk_smart(spark, sf):
+    return smart_chunks(docs(spark, sf))
+
+
+@query()
+def chunk_refined(spark, sf):
+    """Smart pieces of at most 256 tokens where separators allow it."""
+    return smart_chunks(docs(spark, sf), limit=256)
+
+
+@query()
+def semantic_merge(spark, sf):
+    return semantic_chunks(docs(spark, sf))
+
+
+@query("""WITH u AS (SELECT sha256(text) AS h FROM documents WHERE text IS NOT NULL) SELECT h AS text_hash, count(*) AS chunks, 1.0::DOUBLE AS norm FROM u GROUP BY h""")
+def embedding_ingest(spark, sf):
+    """Every distinct text is embedded once and its vector has length 1."""
+    whole = docs(spark, sf).filter(F.col("text").isNotNull()).select("doc_id", F.lit(0).cast("long").alias("idx"), "text")
+    none = spark.createDataFrame([], "text_hash string, model string, vector array<double>")
+    norm = F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)), 6)
+    return embedded(whole, none).groupBy("text_hash").agg(F.count("*").alias("chunks"), F.max(norm).alias("norm"))
+
+
+# a page captured again under its URL is a refresh if its content is another
+both(
+    "url_refresh_changed",
+    """SELECT page_id, url FROM (SELECT page_id, url, md5(html) AS h, lag(md5(html)) OVER (PARTITION BY url ORDER BY page_id) AS earlier FROM {pages}) AS p
+WHERE earlier IS NULL OR earlier <> h""",
+)
 both("pages_per_host", "SELECT split_part(split_part(url, '://', 2), '/', 1) AS host, count(*) AS pages, CAST(sum(length(html)) AS BIGINT) AS chars FROM {pages} GROUP BY 1")
 both(
     "anchor_scores",
