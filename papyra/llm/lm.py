@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._util import WordHashes, mix64, pack, parts_for, settle, small_batches, squeeze, steady, unpack, unsqueeze
+from papyra.llm._util import WordHashes, mix64, pack, parts_for, plan_bytes, settle, small_batches, squeeze, steady, unpack, unsqueeze
 
 KEPT, DELETED, HELD_OUT = 0, 1, 2
 #: Characters of text in a chunk (a longer document makes a longer chunk).
@@ -262,15 +262,18 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
     docs = steady(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "lm-docs")
     # shuffles are dealt to as many tasks as there are groups, so that a task's share doesn't grow with the input
     buckets = parts_for(docs, BUCKET_MB)
+    # a table that is no scan of files has no known size: there the session's number of shuffle partitions holds
+    known = plan_bytes(docs) < 1 << 58
+    dealt = lambda df, n, *keys: df.repartition(n, *keys) if known else df
     asked = docs.mapInPandas(_ask(order, buckets), _REQUEST)
-    answers = settle(asked.repartition(buckets * order, "j", "bucket").groupBy("j", "bucket").applyInPandas(_answer, _ANSWER), "lm-counts")
+    answers = settle(dealt(asked, buckets * order, "j", "bucket").groupBy("j", "bucket").applyInPandas(_answer, _ANSWER), "lm-counts")
     n = answers.filter("chunk = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "n", "v_kept", "n_kept"))).first()
     told = answers.filter("chunk >= 0").select(*(c.split()[0] for c in _TEXTS.split(", ")))
-    grouped = lambda role: docs.filter(role).mapInPandas(_carry, _TEXTS).unionByName(told).repartition(buckets, "chunk").groupBy("chunk")
+    grouped = lambda role: dealt(docs.filter(role).mapInPandas(_carry, _TEXTS).unionByName(told), buckets, "chunk").groupBy("chunk")
     # deleted chunks by the role in their ids
     deleted = docs.filter(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0)
     d_told = told.filter(F.shiftright("chunk", 24).bitwiseAND(3) == DELETED)
-    cells = deleted.mapInPandas(_carry, _TEXTS).unionByName(d_told).repartition(buckets, "chunk").groupBy("chunk").applyInPandas(_cells(order, n[3], n[2]), _CELL)
+    cells = dealt(deleted.mapInPandas(_carry, _TEXTS).unionByName(d_told), buckets, "chunk").groupBy("chunk").applyInPandas(_cells(order, n[3], n[2]), _CELL)
     # bounded: one row for each cell of the likelihood grid
     rows = cells.groupBy("cell").agg(F.sum("tokens").alias("tokens"), *(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(order + 1))).collect()
     bucket = np.array([int(r["cell"].split(",")[0]) for r in rows], np.int64)
