@@ -2,9 +2,11 @@
 
 A public vocabulary says how strange a text is: characters per token, the share
 of tokens that are byte fallbacks, and the entropy of the tokens. A text is kept
-if all three lie in the band of its language (or, without one, its script). Bands
-are learned from all documents: the median of those that pass the base rules,
-and a multiple of the distance to the quartiles on either side.
+if all three lie in the band of its language (or, without one, its script) and
+length class, as short texts scatter more and have less entropy. Bands are learned
+from all documents: the median of those that pass the base rules, texts of equal
+measures counted once, and a multiple of the distance to the quartiles on either
+side. A length class with few texts takes a wide band of the whole language.
 """
 
 from __future__ import annotations
@@ -19,8 +21,14 @@ from papyra.llm._util import WordHashes, settle, shingle_hashes, small_batches
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WIDTH = 20, 30, 8
 #: Half a band is this many quartile distances, and at least this much (of the median, for the share as it is).
-WIDE = 8.0
-LEAST = {"chars_per_token": 0.25, "byte_share": 0.05, "entropy": 0.35}
+WIDE = 5.0
+LEAST = {"chars_per_token": 0.03, "byte_share": 0.05, "entropy": 0.03}
+#: The same above the median of entropy, where texts of a rich vocabulary are and junk isn't.
+LEAST_RICH = 0.1
+#: Texts from which a length class (a power of two of tokens) has a band of its own, and the same two for the band of all lengths.
+CLASS_TEXTS = 20
+ALL_WIDE = 8.0
+ALL_LEAST = {"chars_per_token": 0.25, "byte_share": 0.05, "entropy": 0.35}
 CACHE_WORDS = 250_000
 #: Languages up to which the bands are sent to every task (100 bytes each).
 BROADCAST_BANDS = 10_000
@@ -121,7 +129,8 @@ def rate(docs: DataFrame, vocabulary: str, wide: float = WIDE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang): the base counts, base_failed, the three measures and kept.
 
     ``vocabulary`` is a sentencepiece file. A word's tokens are those of the word alone. Null, empty and blank texts have no
-    words and fail. A null lang is replaced by the script of most letters ('script:latin', ...); a language none of
+    words and fail. ``wide`` is the width of the bands of length classes; a class with under CLASS_TEXTS texts takes the
+    language's band of all lengths. A null lang is replaced by the script of most letters ('script:latin', ...); a language none of
     whose documents passes the base rules has no band, and nothing to reject by. Rows are rated each. Columns
     other than these three are ignored. An empty table gives an empty table.
     """
@@ -130,18 +139,25 @@ def rate(docs: DataFrame, vocabulary: str, wide: float = WIDE) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     m = m.withColumn("base_failed", failed)
     q = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(c)
-    bands = m.filter("not base_failed").groupBy("lang").agg(*(q(c) for c in LEAST))
-    bands = settle(bands, "bands")
-    if bands.count() <= BROADCAST_BANDS:
-        bands = F.broadcast(bands)
-    out, fine = [], F.lit(True)
-    for c, least in LEAST.items():
-        x = F.col(f"b.{c}")
-        floor = F.lit(least) if c == "byte_share" else x[1] * least
-        low, high = x[1] - F.greatest(wide * (x[1] - x[0]), floor), x[1] + F.greatest(wide * (x[2] - x[1]), floor)
+    m = m.withColumn("length", F.floor(F.log2(F.col("n_tokens"))))
+    passed = m.filter("not base_failed").select("lang", "length", "n_tokens", *LEAST).distinct()
+    bands = passed.rollup("lang", "length").agg(F.count("*").alias("texts"), *(q(c) for c in LEAST)).filter("lang is not null")
+    ends, fine, out = [], F.lit(True), []
+    for c in LEAST:
+        x, one = F.col(c), F.col("length").isNotNull()
+        least, width = F.when(one, LEAST[c]).otherwise(ALL_LEAST[c]), F.when(one, wide).otherwise(ALL_WIDE)
+        floor = least if c == "byte_share" else x[1] * least
+        top = x[1] * F.greatest(least, F.lit(LEAST_RICH)) if c == "entropy" else floor
+        ends += [(x[1] - F.greatest(width * (x[1] - x[0]), floor)).alias(f"{c}_low"), (x[1] + F.greatest(width * (x[2] - x[1]), top)).alias(f"{c}_high")]
+        low, high = (F.coalesce(F.col(f"b.{c}_{end}"), F.col(f"a.{c}_{end}")) for end in ("low", "high"))
         out += [low.alias(f"{c}_low"), high.alias(f"{c}_high")]
         fine &= F.coalesce(F.col(f"m.{c}").between(low, high), F.lit(True))
-    return m.alias("m").join(bands.alias("b"), F.col("m.lang") == F.col("b.lang"), "left").select(
+    bands = settle(bands.filter((F.col("texts") >= CLASS_TEXTS) | F.col("length").isNull()).select("lang", "length", *ends), "bands")
+    every, own_band = bands.filter("length is null"), bands.filter("length is not null")
+    if bands.count() <= BROADCAST_BANDS:
+        every, own_band = F.broadcast(every), F.broadcast(own_band)
+    found = m.alias("m").join(own_band.alias("b"), (F.col("m.lang") == F.col("b.lang")) & (F.col("m.length") == F.col("b.length")), "left")
+    return found.join(every.alias("a"), F.col("m.lang") == F.col("a.lang"), "left").select(
         *(F.col(f"m.{c}") for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")),
         (~F.col("m.base_failed") & fine).alias("kept"),
         F.col("m.lang").alias("band"),

@@ -182,6 +182,23 @@ def test_fertility_base_counts(spark, sf):
     assert sum(r.kept for r in got) > 0.9 * sum(not r.base_failed for r in got)
 
 
+def test_fertility_rejects_junk_that_passes_the_base_rules(spark):
+    """Labels are not what the bands are learned from: they tell how much junk goes, and how much else."""
+    sf, path = "/root/testdata/sf0.1", str(public.path("piece_bpe_32k.model"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    got = fertility.rate(docs_of(spark, sf), path).filter("not base_failed").join(labels, "doc_id").toPandas()
+    assert (~got.kept[got.quality == 0]).mean() >= 0.85
+    assert (~got.kept[got.quality == 1]).mean() <= 0.015
+
+
+def test_fertility_bands_are_not_narrowed_by_copies(spark):
+    rng, words = np.random.default_rng(4), [f"{a}{b}ing" for a in "bcdfghlmnprst" for b in "aeiou"]
+    texts = [" ".join(rng.choice(words, 150)) for _ in range(60)]
+    rows = [(i, t, "en") for i, t in enumerate(texts + texts[:1] * 300)]
+    got = fertility.rate(spark.createDataFrame(rows, "doc_id long, text string, lang string"), str(public.path("piece_bpe_32k.model"))).collect()
+    assert sum(r.kept for r in got) >= 355
+
+
 def test_nearest_recall_and_ties(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 16))
