@@ -2,7 +2,8 @@
 
 The guess cost of a value is that of its cheapest segmentation into words, dates,
 repeats, keyboard walks or sequences, and brute-force spans, found by dynamic
-programming. Values that stand where a credential would (after "pwd =",
+programming. A brute-force character costs as many guesses as the kinds of
+characters in the value have members. Values that stand where a credential would (after "pwd =",
 "client_secret:", "Bearer" and the like) and cost enough guesses are spans of
 the kind ``guess``, beside the spans of the fixed patterns.
 """
@@ -25,14 +26,19 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _HINT = re.compile(r"p(?:ass|wd|in\b)|secret|token|key|cred|auth|bearer|login", re.I | re.A)
+#: Shortest value of a credential context.
+SHORTEST = 8
 #: Where a credential's value begins: a name, then a sign, or the word bearer or basic.
 _CONTEXT = re.compile(
-    r"""(?:(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth(?:orization)?|login)["']?[\x20\t]{0,3}(?::=|=>|[:=])[\x20\t]{0,3}(?:bearer\x20+|basic\x20+)?|\bbearer\x20+)["']?([^\s"'<>]{8,})""",
+    r"""(?:(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth(?:orization)?|login)["']?[\x20\t]{0,3}(?::=|=>|[:=])[\x20\t]{0,3}(?:bearer\x20+|basic\x20+)?|\bbearer\x20+)["']?([^\s"'<>]{%d,})"""
+    % SHORTEST,
     re.I | re.A,
 )
 
 #: log10 of the guesses from which a value counts as a secret.
 GUESSES = 10.0
+#: Kinds of characters and how many there are of each, of those outside ASCII about.
+ALPHABETS = (("[a-z]", 26), ("[A-Z]", 26), ("[0-9]", 10), ("[\\x00-/:-@\\[-`{-\\x7f]", 33), ("[^\\x00-\\x7f]", 100))
 #: Longest span that is matched as one piece.
 LONGEST = 64
 
@@ -54,11 +60,17 @@ _NEXT = {(a, b) for row in WALKS for x in (row, row[::-1]) for a, b in zip(x, x[
 _DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 
 
+def char_cost(v: str) -> float:
+    """log10 of the guesses for a character of a value, by the alphabet that the value uses."""
+    return math.log10(max(1, sum(n for kind, n in ALPHABETS if re.search(kind, v))))
+
+
 def _pieces(v: str) -> list[list[tuple[int, float]]]:
     """For each end, (start, log10 guesses) of the spans that are cheaper than brute force."""
     out: list[list[tuple[int, float]]] = [[] for _ in range(len(v) + 1)]
     low = v.lower()
     plain = "".join(LEET.get(c, c) for c in low)
+    one = char_cost(v)
     for i in range(len(v)):
         for n in range(3, min(14, len(v) - i) + 1):
             rank = _RANK.get(low[i : i + n]) or 2 * _RANK.get(plain[i : i + n], 0)
@@ -77,7 +89,7 @@ def _pieces(v: str) -> list[list[tuple[int, float]]]:
             while len(unit) == size and v.startswith(unit, j):
                 j += size
                 if j - i >= 3:
-                    out[j].append((i, size + math.log10((j - i) // size)))
+                    out[j].append((i, size * one + math.log10((j - i) // size)))
                 if j - i > LONGEST and not v.startswith(unit, j + size):
                     break
     return out
@@ -86,13 +98,13 @@ def _pieces(v: str) -> list[list[tuple[int, float]]]:
 def guess_cost(value: str) -> float:
     """log10 of the guesses for the cheapest segmentation; pieces in any order cost their number's factorial."""
     n = len(value)
-    at = _pieces(value)
+    at, one = _pieces(value), char_cost(value)
     # best[k][j]: cheapest of the first j characters in k pieces; beyond a few pieces order is paid for at the last rate
     most = min(n, 8)
     best = [[math.inf] * (n + 1) for _ in range(most + 1)]
     best[0][0] = 0.0
     for j in range(1, n + 1):
-        spans = at[j] + [(i, float(j - i)) for i in range(max(0, j - LONGEST), j)]
+        spans = at[j] + [(i, one * (j - i)) for i in range(max(0, j - LONGEST), j)]
         for i, cost in spans:
             for k in range(most):
                 c = best[k][i] + cost + math.log10(k + 1)
@@ -115,15 +127,16 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def added_spans(text: str, base: list[tuple[int, int, str]], guesses: float = GUESSES) -> list[tuple[int, int, str]]:
-    """Credential values that no base span overlaps, of two kinds of characters or more, and cost enough guesses."""
+    """Credential values that no base span overlaps and that cost enough guesses, whatever kinds of characters they have."""
     out = []
     if not _HINT.search(text):
         return out
     for m in _CONTEXT.finditer(text):
         v = m[1].rstrip(".,;:!?)]}")
+        if len(v) < SHORTEST:  # the signs at the end are no end of a sentence if the value needs them
+            v = m[1]
         s, e = m.start(1), m.start(1) + len(v)
-        kinds = sum(bool(re.search(p, v)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-        if len(v) >= 8 and kinds >= 2 and not any(a < e and s < b for a, b, _ in base) and guess_cost(v) >= guesses:
+        if not any(a < e and s < b for a, b, _ in base) and guess_cost(v) >= guesses:
             out.append((s, e, "guess"))
     return out
 
@@ -151,7 +164,9 @@ def _scan(guesses: float):
 def scan(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): counts by kind, a digest of the base spans, and all spans as text.
 
-    Spans are code points, end exclusive, of the whole match (for ``guess``, of the value). Null and empty texts have
+    Spans are code points, end exclusive, of the whole match (for ``guess``, of the value). A value of a credential
+    context has SHORTEST characters or more; a plain word of that length that isn't in WORDS costs as much as a random
+    one, and is a span too. Null and empty texts have
     no spans. Rows are scanned each, repeated ones and null ids too; a text of any length is scanned whole. Columns
     other than doc_id and text are ignored. An empty table gives an empty table.
     """

@@ -270,6 +270,17 @@ def test_guess_costs_order():
     assert cost("aaaaaaaaaaaaaaaa") < 5 < 10 <= cost("X7f!kd92Lq#p")
 
 
+@pytest.mark.parametrize("text", ["pwd: Xk9#mQ2!z", "password=Xk9#mQ2!", "pwd = kqzvhtrmwpxbnd", "auth: QZKVHWTRMXPBNDLFGJCYSKQZVWXHTR", "credentials = 83027491655302", "pwd: kqzvhtrm", "login: 'xK4pQ7mZ'"])
+def test_random_credential_values_of_any_characters_are_spans(text):
+    ((s, e, kind),) = secrets.added_spans(text, secrets.base_spans(text))
+    assert kind == "guess" and text[s:e] == re.split("[:= ']+", text)[1]
+
+
+def test_cheap_credential_values_are_no_spans():
+    for text in ("pwd: password1990", "pwd = aaaaaaaaaaaaaaaaaaaaaaaa", "pin: 12345678", "auth = qwertyuiop", "login: Welcome123", "pwd: abcabcabcabc", "pwd: 19900412"):
+        assert secrets.added_spans(text, []) == []
+
+
 def test_secret_spans(spark):
     t = "🙂 api_key = abcdefghijkl1 AKIAABCDEFGHIJKLMN9 deadbeefdeadbeef pwd: 'X7f!kd92Lq#p' secret=short token: Password1"
     base = secrets.base_spans(t)
