@@ -5,7 +5,9 @@ rate is its weight; every arrival falls into a random register, and a register
 keeps the element that arrives there first. Two texts agree in a register with
 the probability Jaccard similarity of their weighted shingles. A text's arrivals
 are made in rounds for all its shingles at once and stop for a shingle when its
-next arrival is later than all registers' first ones.
+next arrival is later than all registers' first ones. Links are defined by sets of
+shingles, so here each weighs 1, however often it occurs, and texts agree in a
+register with the very similarity that is verified.
 
 Registers are cut into bands; texts that agree in a whole band are candidates.
 Candidates are compared by their exact shingle sets, first with the leader of
@@ -63,13 +65,8 @@ def prob_minhash(element: np.ndarray, doc: np.ndarray, weight: np.ndarray, docs:
     return kept.reshape(docs, registers)
 
 
-def weights_of(counts: np.ndarray) -> np.ndarray:
-    """Shingle weights: 1 + ln(occurrences), so a line repeated a hundred times doesn't outweigh the rest."""
-    return 1.0 + np.log(counts)
-
-
-def _sets(texts, hashes: WordHashes, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [np.unique(shingle_hashes(hashes.of(words(t)), width), return_counts=True) for t in texts]
+def _sets(texts, hashes: WordHashes, width: int) -> list[np.ndarray]:
+    return [np.unique(shingle_hashes(hashes.of(words(t)), width)) for t in texts]
 
 
 def _signatures(width: int, bands: int, rows: int):
@@ -81,8 +78,8 @@ def _signatures(width: int, bands: int, rows: int):
             for at in range(0, len(big), 500):
                 b = big.iloc[at : at + 500]
                 sets = _sets(b["text"], hashes, width)
-                n = np.array([len(s) for s, _ in sets])
-                sig = prob_minhash(np.concatenate([s for s, _ in sets]), np.repeat(np.arange(len(b)), n), weights_of(np.concatenate([c for _, c in sets])), len(b), bands * rows)
+                n = np.array([len(s) for s in sets])
+                sig = prob_minhash(np.concatenate(sets), np.repeat(np.arange(len(b)), n), np.ones(n.sum()), len(b), bands * rows)
                 key = np.zeros((len(b), bands), np.uint64) + salt
                 for i in range(rows):
                     key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig.reshape(len(b), bands, rows)[:, :, i])
@@ -95,7 +92,7 @@ def _packed(width: int):
     def f(batches):
         hashes = WordHashes()
         for b in batches:
-            yield pd.DataFrame({"node": b["node"], "shingles": [s.tobytes() for s, _ in _sets(b["text"], hashes, width)]})
+            yield pd.DataFrame({"node": b["node"], "shingles": [s.tobytes() for s in _sets(b["text"], hashes, width)]})
 
     return f
 

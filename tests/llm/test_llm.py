@@ -126,6 +126,16 @@ def test_groups_just_under_the_threshold_lose_no_link(spark):
     assert got == {i: root(i) for i in range(400)}
 
 
+def test_repeated_passages_hide_no_near_copy(spark):
+    """The second of each pair also holds a passage of 200 words again and again: set Jaccard 0.83 however often."""
+    rows = []
+    for i in range(20):
+        text = " ".join(f"a{i}x{j}" for j in range(1000))
+        rows += [(2 * i, text), (2 * i + 1, text + " " + " ".join([f"b{i}x{j}" for j in range(200)] * 100))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in range(40)}
+
+
 def test_lm_base_score_and_gain(spark, sf):
     d = docs_of(spark, sf)
     rows = d.collect()
