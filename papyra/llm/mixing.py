@@ -6,6 +6,8 @@ says which block of the source's shuffled documents it takes. Blocks hold equal
 numbers of words. A source's blocks are taken in turn, again from the first
 after the last, until its target is met; a source whose slots fall short by a
 block or two, as points are no exact quotas, is topped up after the last slot.
+So targets say how many words a source gives, and the schedule says in what order
+sources alternate: ``mixed`` lays documents out by their slots.
 
 Running sums and ranks are made in two levels (inside hash ranges of a source,
 then over them), so a source with a third of the rows is no single task.
@@ -16,12 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.llm._util import WORD, plan_bytes, settle, steady
+from papyra.llm._util import WORD, parts_for, plan_bytes, settle, steady
 
 #: Blocks into which all words taken are cut; the schedule has as many slots.
 BLOCKS = 1 << 15
-#: Rows of the list of copies up to which it is sent to every task (12 bytes each).
-BROADCAST_ROWS = 2_000_000
+#: Rows of the list of copies up to which it is sent to every task (24 bytes each).
+BROADCAST_ROWS = 1_000_000
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 #: 1 / phi.
@@ -74,7 +76,7 @@ def shuffled(docs: DataFrame) -> DataFrame:
 
 
 def schedule(goal: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """One row per slot that takes words: skey, rank, slot, block, begin, end (word range in the source, end exclusive), block_words.
+    """One row per slot that takes words: skey, rank, slot, turn, block, begin, end (word range in the source, end exclusive), block_words.
 
     ``goal`` is what ``targets`` returns. The number of slots is ``blocks`` or fewer, whatever the input's size.
     """
@@ -96,7 +98,7 @@ def schedule(goal: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     begin = F.col("block") * F.col("b")
     end = F.least(begin + F.col("b"), F.col("source_size"), F.col("t") - F.col("turn") * F.col("source_size"))
     takes = takes.withColumns({"begin": begin, "end": end})
-    return takes.join(ranked, ["skey", "rank"], "left").select("skey", "rank", F.coalesce("n", F.lit(blocks) + F.col("rank")).alias("slot"), "block", "begin", "end", F.col("b").alias("block_words"))
+    return takes.join(ranked, ["skey", "rank"], "left").select("skey", "rank", F.coalesce("n", F.lit(blocks) + F.col("rank")).alias("slot"), "turn", "block", "begin", "end", F.col("b").alias("block_words"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, blocks: int = BLOCKS) -> DataFrame:
@@ -109,18 +111,25 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     doc_id (null as ''), then id and text, so reruns agree; equal rows may swap places, which leaves the same rows.
     An empty table gives an empty table. Other columns are ignored.
     """
-    return _taken(docs.select("doc_id", "source", "text", F.lit(0).alias("row")), weights, share, most, blocks).drop("row")
+    return _taken(docs.select("doc_id", "source", "text", F.lit(0).alias("row")), weights, share, most, blocks).drop("row", "next_slot")
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, blocks: int = BLOCKS) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, as a whole: taken words by size, rounded. Rows without words go."""
+    """``docs`` with each row as often as the mix takes it, as a whole: taken words by size, rounded. Rows without words go.
+
+    Rows come in the order of the schedule, the first copy at the first slot that takes some of it and the second at the
+    first one of the source's second turn: partitions are ranges of slots, sorted.
+    """
     docs = steady(docs, "mixing-docs").withColumn("__row", F.monotonically_increasing_id())
     taken = _taken(docs.select("doc_id", "source", "text", F.col("__row").alias("row")), weights, share, most, blocks)
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    copies = settle(taken.filter("taken > 0").select(F.col("row").alias("__row"), copies.alias("__copies")).filter("__copies > 0"), "copies")
+    again = F.when(copies > 1, F.coalesce("next_slot", "first_slot")).cast("int")
+    copies = taken.filter("taken > 0").select(F.col("row").alias("__row"), copies.alias("__copies"), F.col("first_slot").cast("int").alias("__slot"), again.alias("__again"))
+    copies = settle(copies.filter("__copies > 0").drop("__copies"), "copies")
     if copies.count() <= BROADCAST_ROWS:
         copies = F.broadcast(copies)
-    return docs.join(copies, "__row").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).drop("__row", "__copies", "__copy")
+    out = docs.join(copies, "__row").withColumn("__slot", F.explode(F.array_compact(F.array("__slot", "__again"))))
+    return out.repartitionByRange(parts_for(docs, 32), "__slot", "__row").sortWithinPartitions("__slot", "__row").drop("__row", "__slot", "__again")
 
 
 def _taken(docs: DataFrame, weights, share: float, most: float, blocks: int) -> DataFrame:
@@ -133,8 +142,13 @@ def _taken(docs: DataFrame, weights, share: float, most: float, blocks: int) ->
     full = at.join(goal.select("skey", "source_size", "target", b.alias("b")), "skey")
     words = full.filter("size > 0").withColumn("block", F.explode(F.sequence(F.expr("start div b"), F.expr("(start + size - 1) div b"))))
     share_ = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), F.col("end")) - F.greatest("start", "begin"))
-    took = words.join(slots.select("skey", "block", "slot", "begin", "end"), ["skey", "block"], "left").withColumn("got", F.when(F.col("slot").isNull(), 0).otherwise(share_))
-    rows = took.groupBy("skey", "start", "row", "doc_id", "size", "source_size", "target").agg(F.sum("got").cast("long").alias("taken"), F.min(F.when(F.col("got") > 0, F.col("slot"))).alias("first_slot"))
-    cols = ["row", "doc_id", "size", "source_size", "target", "taken", "first_slot"]
-    none = full.filter("size = 0").select("row", "doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
+    took = words.join(slots.select("skey", "block", "turn", "slot", "begin", "end"), ["skey", "block"], "left").withColumn("got", F.when(F.col("slot").isNull(), 0).otherwise(share_))
+    some = F.col("got") > 0
+    rows = took.groupBy("skey", "start", "row", "doc_id", "size", "source_size", "target").agg(
+        F.sum("got").cast("long").alias("taken"),
+        F.min(F.when(some, F.col("slot"))).alias("first_slot"),
+        F.min(F.when(some & (F.col("turn") > 0), F.col("slot"))).alias("next_slot"),
+    )
+    cols = ["row", "doc_id", "size", "source_size", "target", "taken", "first_slot", "next_slot"]
+    none = full.filter("size = 0").select("row", "doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"), F.lit(None).cast("long").alias("next_slot"))
     return rows.select(*cols).unionByName(none)

@@ -246,6 +246,19 @@ def test_mix_meets_targets_and_agrees_with_itself(spark, sf):
     assert len(set(used)) == len(used)
 
 
+def test_mixed_documents_come_in_the_order_of_the_schedule(spark):
+    """A table stored by source: every stretch of the mix holds each source by its target, and rows are as often there as the mix takes them."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(50)), "abc"[i // 400]) for i in range(1200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    want = {r.doc_id: math.floor(r.taken / r.size + 0.5) for r in mixing.mix(d).collect()}
+    got = mixing.mixed(d).collect()
+    assert collections.Counter(r.doc_id for r in got) == {i: n for i, n in want.items() if n}
+    share = {k: n / len(got) for k, n in collections.Counter(r.source for r in got).items()}
+    for at in range(0, len(got) - 99, 100):
+        part = collections.Counter(r.source for r in got[at : at + 100])
+        assert all(abs(part[k] - 100 * share[k]) <= 12 for k in "abc"), (at, part)
+
+
 def test_lines_equal_brute_force(spark, sf):
     rng = np.random.default_rng(2)
     lines = [" ".join(f"t{rng.integers(0, 50)}" for _ in range(rng.integers(1, 9))) for _ in range(40)]
