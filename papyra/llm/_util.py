@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +26,11 @@ def words(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's, or where none is set (in tests) a new one."""
+    """The folder that all executors share: the cluster's, or on a single machine where none is set (in tests) a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="papyra-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -59,6 +63,47 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+def share(spark: SparkSession, thing):
+    """A function for tasks that returns ``thing``, which is sent to each executor once."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: pickle.loads(sent.value)
+
+
+def sure_broadcast(df: DataFrame) -> DataFrame:
+    """``df``, sent to every task; for tables whose rows a parameter bounds."""
+    return F.broadcast(df)
+
+
+#: Bytes of a table up to which it is sent to every task; larger ones are shuffled.
+SEND_BYTES = 32 << 20
+
+
+def sent_if_small(df: DataFrame, row_bytes: Column | int, most: int = SEND_BYTES) -> DataFrame:
+    """``df`` (a written table) marked to be sent to every task if its rows are ``most`` bytes or fewer, as counted."""
+    size = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
+
+
+#: Keys that may count as frequent; a key is if it has more than this share of all rows.
+HOT_KEYS = 2000
+
+
+def join_counted(many: DataFrame, one: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Inner join of ``many`` with ``one`` (a written table, one row per key; ``n`` counts the rows of ``many`` that have it).
+
+    Fewer than ``HOT_KEYS`` keys can have over 1 / HOT_KEYS of all rows; those are sent to every task. The others are
+    joined by a shuffle, in which no key then has more than that share. The column ``n`` is dropped.
+    """
+    total = one.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(1000, total // HOT_KEYS)
+    got = [c for c in one.columns if c not in keys and c != n]
+    frequent = one.filter(hot).drop(n).withColumn("__hot", F.lit(True))
+    rest = one.filter(~hot).drop(n)
+    told = many.join(F.broadcast(frequent), keys, "left")
+    cold = told.filter(F.col("__hot").isNull()).drop("__hot", *got).join(rest, keys)
+    return told.filter("__hot").drop("__hot").unionByName(cold)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the input's size; no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
