@@ -27,6 +27,9 @@ CACHE_WORDS, KEPT_LETTERS = 900_000, 10
 #: ASCII signs, none of them a letter or digit.
 SIGNS = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~|<>"
 
+#: A dot above makes of "I" one letter whose small form isn't that of "i" and the dot, so such texts keep their case.
+DOT = "\u0307".encode()
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -99,11 +102,17 @@ def pack_documents(docs: Iterator[tuple[object, bytes]], window: int, first: int
                 pieces, need = [], min(window, 1 << max(left.bit_length() - 1, 0)) if left else 0
 
 
+#: Pairs that must have equal ids for a vocabulary to be read word by word: case ignored, white space dropped, letters parted from signs.
+BY_WORDS = (("Ab cD", "ab cd"), ("ab  cd\n", "ab cd"), ("ab cd", ("ab", "cd")), ("ab.!", ("ab", ".!")), ("ab\t.!", ("ab", ".!")))
+
+
 class WordIds(dict):
     """Token ids of words, as little-endian 32-bit words, for a vocabulary whose tokens never cross white space.
 
-    The vocabulary ignores the case of letters, so texts come in lower-cased A-Z unless they hold one of its special
-    strings. A letter and a sign after it are never in one token, so "word.!" is encoded as "word" and ".!".
+    Where the vocabulary ignores the case of letters and splits at white space and between letters and signs (it is
+    tried at load), texts come in lower-cased A-Z unless they hold one of its special strings, and "word.!" is encoded
+    as "word" and ".!"; each last letter beyond a-z is tried once before, as some are taken apart by the vocabulary's
+    normaliser. Any other vocabulary encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -114,6 +123,17 @@ class WordIds(dict):
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
         for token, i in self.model.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
+        self.parted: dict[str, bool] = {}
+        self.by_words = all(self._ids(a) == (self._ids(b) if isinstance(b, str) else self._ids(b[0]) + self._ids(b[1])) for a, b in BY_WORDS)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.model.encode(text, add_special_tokens=False).ids
+
+    def _parts(self, letter: str) -> bool:
+        """Whether no token holds the end of this letter and a sign after it."""
+        if letter not in self.parted:
+            self.parted[letter] = letter.isalpha() and self._ids(letter + "!") == self._ids(letter) + self._ids("!")
+        return self.parted[letter]
 
     def _encode(self, ws: list[bytes]) -> None:
         """Words of letters alone are one piece before merging, so each ends with the one token that ends a word: they are encoded many at once. Others one by one."""
@@ -136,7 +156,7 @@ class WordIds(dict):
         whole, stems, tails = [], [], []  # plain lists: pairs would keep the garbage collector busy
         for w in ws:
             stem = w.rstrip(SIGNS)
-            if stem and len(stem) < len(w) and (97 <= stem[-1] <= 122 or stem.decode()[-1].isalpha()) and b"<|" not in w:
+            if stem and len(stem) < len(w) and (97 <= stem[-1] <= 122 or self._parts(stem.decode()[-1])) and b"<|" not in w:
                 whole.append(w)
                 stems.append(stem)
                 tails.append(w[len(stem) :])
@@ -146,10 +166,14 @@ class WordIds(dict):
         self.update(zip(whole, map(bytes.__add__, map(self.__getitem__, stems), map(self.__getitem__, tails)), strict=True))
 
     def of(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        if not self.by_words:
+            for e in self.model.encode_batch_fast([(raw or b"").decode() for raw in texts], add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
+            return
         split = []
         for raw in texts:
             raw = raw or b""
-            split.append((raw if b"<|" in raw else raw.lower()).split())
+            split.append((raw if b"<|" in raw or DOT in raw else raw.lower()).split())
         if len(self) > CACHE_WORDS:
             if sum(len(w) <= KEPT_LETTERS for w in self) > CACHE_WORDS // 2:
                 self.clear()
@@ -197,7 +221,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into windows of ``window`` tokens (a power of two); one row per piece of a document.
 
-    ``tokenizer`` is a vocabulary file whose tokens never cross white space. A document is its ids and then
+    ``tokenizer`` is a vocabulary file of the library tokenizers. A document is its ids and then
     ``end_id``; each id lies in exactly one piece. Null and empty texts are ``end_id`` alone. Rows are packed each,
     repeated ones and those with a null or repeated doc_id too. Sequence ids are unique and the offsets in a sequence
     have no gaps; they follow the input's partitions. A document of any length is cut into whole windows and a rest.
