@@ -47,6 +47,27 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table does not have, whatever the case."""
+    taken, name = {c.lower() for c in df.columns}, "__" + name
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The table with a column that names each row, and that column's name; the same however often and by whom it is read.
+
+    Rows of Parquet files are named by file and place in it, which don't depend on how tasks share the files out as
+    row numbers made by tasks do. Any other table is written first.
+    """
+    row = fresh(df, "row")
+    plan = df._jdf.queryExecution().optimizedPlan().toString().strip().splitlines()
+    if "_metadata" in df.columns or not all(_STEADY.match(line) for line in plan) or not plan[-1].rstrip().endswith("parquet"):
+        df = settle(df, name)
+    return df.withColumn(row, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))), row
+
+
 def steady(df: DataFrame, name: str) -> DataFrame:
     """``df`` itself if it is a plain scan, else a written copy: some operators read their input twice and need the same partitions."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
