@@ -1,13 +1,13 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame operations only.
 
-Slot n of the schedule is the golden-ratio point frac(n / phi); cumulative
-target weights map it to a source, and its rank among the slots of that source
-says which block of the source's shuffled documents it takes. Blocks hold equal
-numbers of words. A source's blocks are taken in turn, again from the first
-after the last, until its target is met; a source whose slots fall short by a
-block or two, as points are no exact quotas, is topped up after the last slot.
-So targets say how many words a source gives, and the schedule says in what order
-sources alternate: ``mixed`` lays documents out by their slots.
+Slot n of the schedule is the golden-ratio point frac((n + 1/2) / phi);
+cumulative target weights map it to a source, and its rank among the slots of
+that source says which block of the source's shuffled documents it takes. Blocks
+hold equal numbers of words. A source's blocks are taken in turn, and again from
+the first after the last. So the points decide how many blocks a source gives
+(within a block or two of its target, as they are no exact quotas; nothing is
+topped up) and in what order sources alternate: ``mixed`` lays documents out by
+their slots.
 
 Running sums and ranks are made in two levels (inside hash ranges of a source,
 then over them), so a source with a third of the rows is no single task.
@@ -18,16 +18,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.llm._util import WORD, parts_for, plan_bytes, settle, steady
+from papyra.llm._util import WORD, fresh, numbered, parts_for, plan_bytes, sent_if_small, settle
 
-#: Blocks into which all words taken are cut; the schedule has as many slots.
-BLOCKS = 1 << 15
-#: Rows of the list of copies up to which it is sent to every task (24 bytes each).
-BROADCAST_ROWS = 1_000_000
+#: Blocks into which all words taken are cut, one for each slot of the schedule; fewer if there are fewer words.
+BLOCKS = 1 << 17
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 #: 1 / phi.
 STEP = 0.6180339887498949
+#: Times a block can be taken.
+TURNS = 2
 
 
 def n_words(text: Column) -> Column:
@@ -75,71 +75,70 @@ def shuffled(docs: DataFrame) -> DataFrame:
     return sized.withColumn("upto", F.sum("size").over(inside)).join(sums, ["skey", "part"]).select("row", "doc_id", "skey", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
 
 
-def schedule(goal: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def block_words(total, blocks: int):
+    return F.greatest(F.ceil(total / F.lit(blocks)), F.lit(1)).cast("long")
+
+
+def schedule(goal: DataFrame, blocks: int = BLOCKS, step: float = STEP) -> DataFrame:
     """One row per slot that takes words: skey, rank, slot, turn, block, begin, end (word range in the source, end exclusive), block_words.
 
-    ``goal`` is what ``targets`` returns. The number of slots is ``blocks`` or fewer, whatever the input's size.
+    ``goal`` is what ``targets`` returns. The number of slots is ``blocks`` or fewer, whatever the input's size; a source
+    whose target is under a block may have none. Slots that would take a block a third time are left empty: a source
+    whose target is twice its size may have one or two.
     """
     spark = goal.sparkSession
-    goal = goal.withColumn("b", F.greatest(F.ceil(F.col("total") / F.lit(blocks)), F.lit(1)).cast("long"))
+    goal = goal.withColumn("b", block_words(F.col("total"), blocks))
+    most = goal.agg(F.max(F.ceil(F.col("total") / F.col("b")))).first()[0] or 0
     cum = Window.orderBy("skey").rowsBetween(Window.unboundedPreceding, -1)
     lows = goal.filter("target > 0").select(F.coalesce(F.sum("target").over(cum) / F.col("total"), F.lit(0.0)).alias("x"), F.lit(-1).cast("long").alias("n"), "skey")
-    points = spark.range(blocks).select(((F.col("id") + 0.5) * STEP % 1.0).alias("x"), F.col("id").alias("n"), F.lit(None).cast("string").alias("skey"))
+    points = spark.range(most).select(((F.col("id") + 0.5) * step % 1.0).alias("x"), F.col("id").alias("n"), F.lit(None).cast("string").alias("skey"))
     # each point belongs to the last source that begins at or before it
     mapped = lows.unionByName(points).withColumn("skey", F.last("skey", True).over(Window.orderBy("x", "n").rowsBetween(Window.unboundedPreceding, 0))).filter("n >= 0")
-    ranked = mapped.select("skey", "n", (F.row_number().over(Window.partitionBy("skey").orderBy("n")) - 1).cast("long").alias("rank"))
-    t = F.floor("target").cast("long")
-    per = F.greatest(F.ceil(F.col("source_size") / F.col("b")), F.lit(1)).cast("long")  # blocks in one pass of the source
-    g = goal.filter("target >= 1").withColumns({"t": t, "per": per})
-    over = F.col("t") - F.col("source_size")
-    need = F.when(over > 0, F.col("per") + F.ceil(over / F.col("b"))).otherwise(F.ceil(F.col("t") / F.col("b"))).cast("long")
-    takes = g.select("skey", "source_size", "t", "b", "per", F.explode(F.sequence(F.lit(0).cast("long"), need - 1)).alias("rank"))
-    takes = takes.withColumns({"block": F.col("rank") % F.col("per"), "turn": F.expr("rank div per")})
+    ranked = mapped.select("skey", F.col("n").alias("slot"), (F.row_number().over(Window.partitionBy("skey").orderBy("n")) - 1).cast("long").alias("rank"))
+    per = F.ceil(F.col("source_size") / F.col("b")).cast("long")  # blocks in one pass of the source
+    slots = ranked.join(goal.filter("source_size > 0").select("skey", "source_size", "b", per.alias("per")), "skey")
+    slots = slots.withColumns({"block": F.col("rank") % F.col("per"), "turn": F.expr("rank div per")}).filter(F.col("turn") < TURNS)
     begin = F.col("block") * F.col("b")
-    end = F.least(begin + F.col("b"), F.col("source_size"), F.col("t") - F.col("turn") * F.col("source_size"))
-    takes = takes.withColumns({"begin": begin, "end": end})
-    return takes.join(ranked, ["skey", "rank"], "left").select("skey", "rank", F.coalesce("n", F.lit(blocks) + F.col("rank")).alias("slot"), "turn", "block", "begin", "end", F.col("b").alias("block_words"))
+    return slots.select("skey", "rank", "slot", "turn", "block", begin.alias("begin"), F.least(begin + F.col("b"), "source_size").alias("end"), F.col("b").alias("block_words"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, blocks: int = BLOCKS) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, blocks: int = BLOCKS, step: float = STEP) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): size, source_size, target, taken, first_slot.
 
     A size is a number of words; null and empty texts have 0 and are never taken. Sources come in code-point order,
     null last as a source of its own (the empty string is another). All targets together are ``share`` times all
-    words. A document's taken words are those that the slots' blocks hold, repeats counted, at most twice its size
-    when ``most`` is 2; first_slot is the first slot that takes some, else null. Documents are shuffled by the md5 of
+    words. A document's taken words are those that the slots' blocks hold, repeats counted, at most twice its size;
+    first_slot is the first slot that takes some, else null. Documents are shuffled by the md5 of
     doc_id (null as ''), then id and text, so reruns agree; equal rows may swap places, which leaves the same rows.
     An empty table gives an empty table. Other columns are ignored.
     """
-    return _taken(docs.select("doc_id", "source", "text", F.lit(0).alias("row")), weights, share, most, blocks).drop("row", "next_slot")
+    return _taken(docs.select("doc_id", "source", "text", F.lit(0).alias("row")), weights, share, most, blocks, step).drop("row", "next_slot")
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, blocks: int = BLOCKS) -> DataFrame:
     """``docs`` with each row as often as the mix takes it, as a whole: taken words by size, rounded. Rows without words go.
 
     Rows come in the order of the schedule, the first copy at the first slot that takes some of it and the second at the
-    first one of the source's second turn: partitions are ranges of slots, sorted.
+    first one of the source's second turn: partitions are ranges of slots, sorted. Columns stay as they are, whatever
+    their names. A document of over half its source's size may come once or twice more or less than its target asks.
     """
-    docs = steady(docs, "mixing-docs").withColumn("__row", F.monotonically_increasing_id())
-    taken = _taken(docs.select("doc_id", "source", "text", F.col("__row").alias("row")), weights, share, most, blocks)
+    docs, row = numbered(docs, "mixing-docs")
+    slots = fresh(docs, "slots")
+    taken = _taken(docs.select("doc_id", "source", "text", F.col(row).alias("row")), weights, share, most, blocks, STEP).filter("taken > 0")
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    again = F.when(copies > 1, F.coalesce("next_slot", "first_slot")).cast("int")
-    copies = taken.filter("taken > 0").select(F.col("row").alias("__row"), copies.alias("__copies"), F.col("first_slot").cast("int").alias("__slot"), again.alias("__again"))
-    copies = settle(copies.filter("__copies > 0").drop("__copies"), "copies")
-    if copies.count() <= BROADCAST_ROWS:
-        copies = F.broadcast(copies)
-    out = docs.join(copies, "__row").withColumn("__slot", F.explode(F.array_compact(F.array("__slot", "__again"))))
-    return out.repartitionByRange(parts_for(docs, 32), "__slot", "__row").sortWithinPartitions("__slot", "__row").drop("__row", "__slot", "__again")
+    again = F.when(copies > 1, F.coalesce("next_slot", "first_slot"))
+    copies = settle(taken.filter(copies > 0).select(F.col("row").alias(row), F.array_compact(F.array("first_slot", again)).alias(slots)), "copies")
+    out = docs.join(sent_if_small(copies, 48), row).withColumn(slots, F.explode(slots))
+    return out.repartitionByRange(parts_for(docs, 32), slots, row).sortWithinPartitions(slots, row).drop(row, slots)
 
 
-def _taken(docs: DataFrame, weights, share: float, most: float, blocks: int) -> DataFrame:
+def _taken(docs: DataFrame, weights, share: float, most: float, blocks: int, step: float) -> DataFrame:
     if not 0 < share <= most <= 2:
         raise ValueError("0 < share <= most <= 2 is needed")
     at = settle(shuffled(docs), "shuffled")
     goal = settle(targets(at.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
-    slots = schedule(goal, blocks)
-    b = F.greatest(F.ceil(F.col("total") / F.lit(blocks)), F.lit(1)).cast("long")
-    full = at.join(goal.select("skey", "source_size", "target", b.alias("b")), "skey")
+    slots = schedule(goal, blocks, step)
+    full = at.join(goal.select("skey", "source_size", "target", block_words(F.col("total"), blocks).alias("b")), "skey")
     words = full.filter("size > 0").withColumn("block", F.explode(F.sequence(F.expr("start div b"), F.expr("(start + size - 1) div b"))))
     share_ = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), F.col("end")) - F.greatest("start", "begin"))
     took = words.join(slots.select("skey", "block", "turn", "slot", "begin", "end"), ["skey", "block"], "left").withColumn("got", F.when(F.col("slot").isNull(), 0).otherwise(share_))

@@ -42,7 +42,7 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).drop("first_slot")
+    return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-#: Where the schedule of op6 stops is fixed by the targets, so its rows can be told without it.
+#: op6 told from the points: a source gives the blocks that as many ranks have as points fall to it.
 _MIX = r"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, text,
@@ -99,15 +99,35 @@ w AS (
          CASE (row_number() OVER (ORDER BY skey) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w
   FROM s),
 f AS (
-  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - (sum(bound) OVER (ORDER BY bound / w, skey ROWS UNBOUNDED PRECEDING) - bound))
+  SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS total,
+         (1.5::DOUBLE * sum(source_size) OVER () - (sum(bound) OVER (ORDER BY bound / w, skey ROWS UNBOUNDED PRECEDING) - bound))
             / sum(w) OVER (ORDER BY bound / w, skey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM w),
-g AS (SELECT skey, source_size, least(bound, max(level) OVER () * w) AS target FROM f),
-p AS (SELECT *, sum(size) OVER (PARTITION BY skey ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d)
+g AS (
+  SELECT skey, source_size, total, least(bound, max(level) OVER () * w) AS target,
+         CAST(greatest(ceil(total / 131072::DOUBLE), 1) AS BIGINT) AS b
+  FROM f),
+points AS (
+  SELECT n, ((n::DOUBLE + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS x
+  FROM range(131072) AS t(n) WHERE n < (SELECT max(ceil(total / b)) FROM g)),
+lows AS (
+  SELECT skey, coalesce(sum(target) OVER (ORDER BY skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / total, 0::DOUBLE) AS x
+  FROM g WHERE target > 0),
+slots AS (
+  SELECT skey, n AS slot, row_number() OVER (PARTITION BY skey ORDER BY n) - 1 AS rank
+  FROM points ASOF JOIN lows ON points.x >= lows.x),
+given AS (SELECT skey, count(*) AS slots FROM slots GROUP BY skey),
+q AS (
+  SELECT g.*, CAST(ceil(source_size / b::DOUBLE) AS BIGINT) AS per, coalesce(slots, 0) AS slots FROM g LEFT JOIN given USING (skey)),
+p AS (SELECT *, sum(size) OVER (PARTITION BY skey ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d),
+o AS (
+  SELECT *, CAST(start // b AS BIGINT) AS rank, least(least(slots, per) * b, source_size) AS once,
+         least(greatest(least(slots, 2 * per) - per, 0) * b, source_size) AS twice
+  FROM p JOIN q USING (skey))
 SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(start + size, floor(target)) - start)
-          + greatest(0, least(start + size, floor(target) - source_size) - start) AS BIGINT) AS taken
-FROM p JOIN g USING (skey)
+       CAST(greatest(0, least(start + size, once) - start) + greatest(0, least(start + size, twice) - start) AS BIGINT) AS taken,
+       CAST(CASE WHEN size > 0 THEN slot END AS BIGINT) AS first_slot
+FROM o LEFT JOIN slots USING (skey, rank)
 """
 
 
