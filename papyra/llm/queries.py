@@ -50,7 +50,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_table(spark, sf_dir, "documents"))
+    return secrets.scan(_table(spark, sf_dir, "documents"), vocabulary=_vocabulary("word_bpe_49k.json"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

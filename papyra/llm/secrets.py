@@ -2,7 +2,9 @@
 
 The guess cost of a value is that of its cheapest segmentation into words, dates,
 repeats, keyboard walks or sequences, and brute-force spans, found by dynamic
-programming. A brute-force character costs as many guesses as the kinds of
+programming. Words cost their rank: first those that people put into passwords,
+then the whole words of a public tokenizer's vocabulary in its order, which is that
+of how often they are met. A brute-force character costs as many guesses as the kinds of
 characters in the value have members. Values that stand where a credential would (after "pwd =",
 "client_secret:", "Bearer" and the like) and cost enough guesses are spans of
 the kind ``guess``, beside the spans of the fixed patterns.
@@ -11,6 +13,7 @@ the kind ``guess``, beside the spans of the fixed patterns.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 
@@ -55,7 +58,22 @@ WALKS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqr
 #: Letters that digits and signs are written for.
 LEET = {"4": "a", "@": "a", "8": "b", "3": "e", "1": "i", "!": "i", "0": "o", "5": "s", "$": "s", "7": "t"}
 
-_RANK = {w: i for i, w in enumerate(WORDS, 1)}
+#: Letters of the shortest and longest words that are looked up.
+WORD_LETTERS = (3, 20)
+
+
+def word_ranks(vocabulary: str | None = None) -> dict[str, int]:
+    """Ranks of words: WORDS, then those of a vocabulary file of the library tokenizers whose tokens end words with </w>."""
+    known = dict.fromkeys(WORDS)
+    if vocabulary:
+        with open(vocabulary, encoding="utf-8") as f:
+            tokens = json.load(f)["model"]["vocab"]
+        whole = (t[:-4] for t in sorted(tokens, key=tokens.get) if t.endswith("</w>"))
+        known.update(dict.fromkeys(w for w in whole if w.isalpha() and WORD_LETTERS[0] <= len(w) <= WORD_LETTERS[1]))
+    return {w: i for i, w in enumerate(known, 1)}
+
+
+_RANK = word_ranks()
 _NEXT = {(a, b) for row in WALKS for x in (row, row[::-1]) for a, b in zip(x, x[1:], strict=False)}
 _DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 
@@ -65,15 +83,15 @@ def char_cost(v: str) -> float:
     return math.log10(max(1, sum(n for kind, n in ALPHABETS if re.search(kind, v))))
 
 
-def _pieces(v: str) -> list[list[tuple[int, float]]]:
+def _pieces(v: str, ranks: dict[str, int]) -> list[list[tuple[int, float]]]:
     """For each end, (start, log10 guesses) of the spans that are cheaper than brute force."""
     out: list[list[tuple[int, float]]] = [[] for _ in range(len(v) + 1)]
     low = v.lower()
     plain = "".join(LEET.get(c, c) for c in low)
     one = char_cost(v)
     for i in range(len(v)):
-        for n in range(3, min(14, len(v) - i) + 1):
-            rank = _RANK.get(low[i : i + n]) or 2 * _RANK.get(plain[i : i + n], 0)
+        for n in range(WORD_LETTERS[0], min(WORD_LETTERS[1], len(v) - i) + 1):
+            rank = ranks.get(low[i : i + n]) or 2 * ranks.get(plain[i : i + n], 0)
             if rank:
                 out[i + n].append((i, math.log10(rank * (1 if v[i : i + n] == low[i : i + n] else 2) + 1)))
         m = _DATE.match(v, i)
@@ -95,10 +113,10 @@ def _pieces(v: str) -> list[list[tuple[int, float]]]:
     return out
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: dict[str, int] = _RANK) -> float:
     """log10 of the guesses for the cheapest segmentation; pieces in any order cost their number's factorial."""
     n = len(value)
-    at, one = _pieces(value), char_cost(value)
+    at, one = _pieces(value, ranks), char_cost(value)
     # best[k][j]: cheapest of the first j characters in k pieces; beyond a few pieces order is paid for at the last rate
     most = min(n, 8)
     best = [[math.inf] * (n + 1) for _ in range(most + 1)]
@@ -126,7 +144,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
 
 
-def added_spans(text: str, base: list[tuple[int, int, str]], guesses: float = GUESSES) -> list[tuple[int, int, str]]:
+def added_spans(text: str, base: list[tuple[int, int, str]], guesses: float = GUESSES, ranks: dict[str, int] = _RANK) -> list[tuple[int, int, str]]:
     """Credential values that no base span overlaps and that cost enough guesses, whatever kinds of characters they have."""
     out = []
     if not _HINT.search(text):
@@ -136,7 +154,7 @@ def added_spans(text: str, base: list[tuple[int, int, str]], guesses: float = GU
         if len(v) < SHORTEST:  # the signs at the end are no end of a sentence if the value needs them
             v = m[1]
         s, e = m.start(1), m.start(1) + len(v)
-        if not any(a < e and s < b for a, b, _ in base) and guess_cost(v) >= guesses:
+        if not any(a < e and s < b for a, b, _ in base) and guess_cost(v, ranks) >= guesses:
             out.append((s, e, "guess"))
     return out
 
@@ -146,14 +164,15 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1])))
 
 
-def _scan(guesses: float):
+def _scan(guesses: float, vocabulary: str | None):
     def f(batches):
+        ranks = word_ranks(vocabulary)
         for b in batches:
             rows = []
             for d, t in zip(b["doc_id"], b["text"], strict=True):
                 t = t or ""
                 base = base_spans(t)
-                more = added_spans(t, base, guesses)
+                more = added_spans(t, base, guesses, ranks)
                 n = [sum(k == kind for _, _, k in base) for kind in KINDS[:3]]
                 rows.append((d, *n, len(more), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans"]).astype({"doc_id": "Int64"})
@@ -161,15 +180,14 @@ def _scan(guesses: float):
     return f
 
 
-def scan(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
+def scan(docs: DataFrame, guesses: float = GUESSES, vocabulary: str | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): counts by kind, a digest of the base spans, and all spans as text.
 
     Spans are code points, end exclusive, of the whole match (for ``guess``, of the value). A value of a credential
-    context has SHORTEST characters or more; a plain word of that length that isn't in WORDS costs as much as a random
-    one, and is a span too. Null and empty texts have
-    no spans. Rows are scanned each, repeated ones and null ids too; a text of any length is scanned whole. Columns
+    context has SHORTEST characters or more. ``vocabulary`` is a file that the tasks can read, of the library
+    tokenizers, whose whole words count as such (without it, those of WORDS alone). Null and empty texts have no spans. Rows are scanned each, repeated ones and null ids too; a text of any length is scanned whole. Columns
     other than doc_id and text are ignored. An empty table gives an empty table.
     """
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        _scan(guesses), "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
+        _scan(guesses, vocabulary), "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
     )
