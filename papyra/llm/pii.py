@@ -1,11 +1,15 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field that adds to them.
 
 Nodes of the field are the words of a text that hold a digit or an at sign.
-Neighbouring words share a chain potential; a word and the last earlier one of
-equal form (the same digits, or the same letters without case) share a skip
-potential, so an entity that is plain in one place carries over to where it is
-not. Weights are learned by pseudo-likelihood on a bounded number of texts whose
-labels are the fixed patterns; loopy message passing gives each word's marginals.
+Neighbouring words share a chain potential. A word and the first one of equal
+form (the same digits, or the same letters without case) share a skip potential,
+and so do, by weights of their own, a word and the first one of similar form (the
+same last seven digits, the same local part or the same domain of an address):
+all mentions are two edges apart at most, and an entity that is plain in one
+place carries over to where it is not. Words before a node that announce a kind
+("tel", "server") are features too. Messages pass until they settle. Weights are learned by pseudo-likelihood on a bounded number of texts whose
+labels are the fixed patterns, carried over to words of the same last seven
+digits; loopy message passing gives each word's marginals.
 Words that are surely of a kind and that no fixed pattern found are added.
 """
 
@@ -26,7 +30,17 @@ KINDS = ("email", "ip", "card", "phone")
 FIT_ROWS = 2_000
 #: A word's marginal from which it is added.
 SURE = 0.95
-ROUNDS, DAMP = 8, 0.3
+#: Message passing ends when no message changes by more than STILL, or after ROUNDS.
+ROUNDS, STILL, DAMP = 100, 1e-4, 0.3
+#: Words that announce each kind.
+CUES = (
+    frozenset("email e-mail mail mailto contact write".split()),
+    frozenset("ip host server address addr node client gateway".split()),
+    frozenset("card visa mastercard credit debit payment pan".split()),
+    frozenset("phone tel telephone call fax mobile cell number".split()),
+)
+#: Kinds of edges: neighbours, equal forms, similar forms.
+EDGES = 3
 
 _LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-".decode())
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -72,11 +86,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 _DIGITS = [0, 1, 2, 3, 4, 5, 8, 11, 13, 16, 17, 20]
-N_FEATURES = 1 + len(_DIGITS) + 5 + 9
+N_FEATURES = 1 + len(_DIGITS) + 5 + len(CUES) + 9
 
 
-def features(word: str) -> np.ndarray:
-    """What a word looks like: how many digits and dots, and which signs."""
+def features(word: str, before: list[str] = ()) -> np.ndarray:
+    """What a word looks like (how many digits and dots, which signs) and what the words before it announce."""
     x = np.zeros(N_FEATURES)
     digits, dots = sum("0" <= c <= "9" for c in word), word.count(".")
     x[0] = 1
@@ -95,17 +109,31 @@ def features(word: str) -> np.ndarray:
         word.isdigit() and 16 <= digits <= 19 and luhn(word) if word.isascii() else False,
     )
     x[-9:] = signs
+    said = {w.strip(_EDGE).lower() for w in before}
+    x[-9 - len(CUES) : -9] = [not said.isdisjoint(c) for c in CUES]
     return x
 
 
+def forms(word: str) -> list[tuple[int, str]]:
+    """(kind of edge, form): words that share one are linked."""
+    digits, low = "".join(c for c in word if "0" <= c <= "9"), word.lower()
+    out = [(1, digits if len(digits) >= 6 else low)]
+    if len(digits) >= 7:
+        out.append((2, "#" + digits[-7:]))
+    if "@" in low[1:-1]:
+        local, domain = low.split("@", 1)
+        out += [(2, local + "@"), (2, "@" + domain)]
+    return out
+
+
 class Graph:
     """Nodes and edges of the fields of several texts."""
 
     def __init__(self) -> None:
-        self.x, self.span, self.doc, self.u, self.v, self.kind = [], [], [], [], [], []
+        self.x, self.span, self.doc, self.u, self.v, self.kind, self.numeral = [], [], [], [], [], [], []
 
     def add(self, number: int, text: str) -> None:
-        last: dict[str, int] = {}
+        first: dict[tuple[int, str], int] = {}
         end, before = -10, -1
         for m in self.words(text):
             raw = m[0]
@@ -114,17 +142,20 @@ class Graph:
                 continue
             s = m.start() + raw.find(w)
             me = len(self.x)
-            self.x.append(features(w))
+            self.x.append(features(w, text[max(0, m.start() - 40) : m.start()].split()[-3:]))
             self.span.append((s, s + len(w)))
             self.doc.append(number)
+            self.numeral.append("@" not in w and sum("0" <= c <= "9" for c in w) >= 7)
+            linked = set()
             if m.start() - end == 1:
+                linked.add(before)
                 self.u.append(before), self.v.append(me), self.kind.append(0)
-            digits = "".join(c for c in w if "0" <= c <= "9")
-            form = digits if len(digits) >= 6 else w.lower()
-            if form in last and not (last[form] == before and m.start() - end == 1):
-                self.u.append(last[form]), self.v.append(me), self.kind.append(1)
-            last[form] = before = me
-            end = m.end()
+            for kind, form in forms(w):
+                to = first.setdefault((kind, form), me)
+                if to != me and to not in linked:
+                    linked.add(to)
+                    self.u.append(to), self.v.append(me), self.kind.append(kind)
+            before, end = me, m.end()
 
     @staticmethod
     def words(text: str):
@@ -144,7 +175,7 @@ class Field:
 
     def __init__(self) -> None:
         n = len(KINDS) + 1
-        self.w, self.pair = np.zeros((N_FEATURES, n)), np.zeros((2, n, n))
+        self.w, self.pair = np.zeros((N_FEATURES, n)), np.zeros((EDGES, n, n))
 
     def fit(self, x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, kind: np.ndarray, steps: int = 300, rate: float = 0.1, penalty: float = 1e-3) -> None:
         """Pseudo-likelihood: each word given its neighbours' labels."""
@@ -167,7 +198,7 @@ class Field:
                 a -= rate * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.99**t)) + 1e-8)
 
     def marginals(self, x: np.ndarray, u: np.ndarray, v: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Loopy sum-product: all messages at once, damped, a fixed number of rounds."""
+        """Loopy sum-product: all messages at once, damped, until they settle. Exact where edges form no loop."""
         s = x @ self.w
         a, b = np.concatenate([u, v]), np.concatenate([v, u])
         back = np.concatenate([np.arange(len(u)) + len(u), np.arange(len(u))])
@@ -179,9 +210,12 @@ class Field:
             top = out.max(1)
             new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
             new -= new.max(1, keepdims=True)
+            moved = np.abs(new - m).max()
             m = DAMP * m + (1 - DAMP) * new
             total = s.copy()
             np.add.at(total, b, m)
+            if moved < STILL:
+                break
         p = np.exp(total - total.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
@@ -198,6 +232,10 @@ def _labels(g: Graph, base: list[list[tuple[str, int, int]]]) -> np.ndarray:
             if a < e and s < b:
                 y[i] = KINDS.index(kind) + 1
                 break
+    # a mention that no pattern finds, of the same last seven digits as one that is found, is of that one's kind
+    for a, b, kind in zip(g.u, g.v, g.kind, strict=True):
+        if kind and g.numeral[a] and g.numeral[b] and bool(y[a]) != bool(y[b]):
+            y[a] = y[b] = max(y[a], y[b])
     return y
 
 
