@@ -141,11 +141,6 @@ def sample_by_hash(df: DataFrame, key: Column, rows: int) -> DataFrame:
     return df if n <= rows else df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 31)) < int(rows / n * (1 << 31)))
 
 
-def text_key(text: Column) -> Column:
-    """128 bits that stand for a text."""
-    return F.unhex(F.md5(text.cast("binary")))
-
-
 def _zstd() -> pa.Codec:
     return pa.Codec("zstd", compression_level=1)
 

@@ -185,24 +185,26 @@ def _open(group: pd.DataFrame, order: int, column: str):
     return ids, tok, counts
 
 
-def _estimates(tok: _Tokens, counts: list[np.ndarray], n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context bucket of each token, and its likelihoods: uniform, then the maximum-likelihood estimate of each order."""
+def _estimates(tok: _Tokens, counts: list[np.ndarray], n: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context bucket of each token, its likelihoods (uniform, then the maximum-likelihood estimate of each order), and whether there is such an estimate."""
     at = tok.real
     p = np.empty((len(counts) + 1, len(at)))
+    told = np.ones(p.shape, bool)
     p[0] = 1.0 / (v + 1)
     p[1] = counts[0][at] / max(n, 1)
     context = np.full(len(at), float(n))
     for j in range(2, len(counts) + 1):
         context = counts[j - 2][at - 1]
         p[j] = np.divide(counts[j - 1][at], context, out=np.zeros(len(at)), where=context > 0)
+        told[j] = context > 0
     bucket = np.where(context > 0, 1 + np.floor(np.log2(np.maximum(context, 1))), 0).astype(np.int64)
-    return np.minimum(bucket, CONTEXT_BUCKETS - 1), p
+    return np.minimum(bucket, CONTEXT_BUCKETS - 1), p, told
 
 
 def _cells(order: int, n: int, v: int):
     def f(group: pd.DataFrame) -> pd.DataFrame:
         _, tok, counts = _open(group, order, "kept")
-        bucket, p = _estimates(tok, counts, n, v)
+        bucket, p, _ = _estimates(tok, counts, n, v)
         with np.errstate(divide="ignore"):
             q = np.where(p > 0, np.floor(np.log(p) * EM_CELLS), 1).astype(np.int64)
         q[0] = bucket
@@ -235,11 +237,12 @@ def learn_weights(bucket: np.ndarray, tokens: np.ndarray, p: np.ndarray) -> np.n
 def _score(order: int, n: int, v: int, weights: np.ndarray):
     def f(group: pd.DataFrame) -> pd.DataFrame:
         ids, tok, counts = _open(group, order, "train")
-        bucket, p = _estimates(tok, counts, n, v)
+        bucket, p, told = _estimates(tok, counts, n, v)
         c = counts[0][tok.real]
         doc = tok.doc[tok.real]
         total = lambda x: np.bincount(doc, weights=x, minlength=len(ids))
-        mixed = np.log10((weights[bucket].T * p).sum(0))
+        w = weights[bucket].T * told  # after an unseen context its share goes to the shorter ones
+        mixed = np.log10((w * p).sum(0) / w.sum(0))
         out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "held_out": [role_of(d) == HELD_OUT for d in ids]})
         out["n_tokens"], out["n_known"], out["train_tokens"] = tok.lens, total(c > 0).astype(np.int64), n
         out["base_score"], out["score"] = total(np.log10((c + 0.5) / (n + 0.5 * (v + 1)))), total(mixed)

@@ -13,10 +13,12 @@ Registers are cut into bands; texts that agree in a whole band are candidates.
 Candidates are compared by their exact shingle sets, first with the leader of
 each bucket, so a bucket of thousands of near copies costs a comparison each and
 not one per pair. Where buckets connect texts that are still in different
-components, the rest is done in blocks of 256 texts: a task takes two blocks,
-passes over pairs that can't be similar enough (by size, and by how many shingles
-each holds that no other candidate does), counts what the others share, and
-yields links alone. So no link between different components is lost, no list of
+components, the rest is done in blocks, bounded in texts and bytes. A text of
+which too few shingles are in any other text of its cluster has no partner and
+takes no part. A task takes two blocks, passes over pairs that can't be similar
+enough (by size, and by how many shingles each holds that no other of the cluster
+does), counts what the others share, and yields one link for each two components
+that it finds linked. So no link between different components is lost, no list of
 pairs is made, and a large group is spread over many tasks.
 
 Components come from contracting edges towards
@@ -30,15 +32,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._util import WordHashes, mix64, settle, shingle_hashes, small_batches, steady, words, worker_cache
+from papyra.llm._util import WordHashes, join_counted, mix64, numbered, sent_if_small, settle, shingle_hashes, small_batches, words, worker_cache
 
 SIMILARITY = 0.8
 WIDTH = 5
 BANDS, ROWS = 32, 5
-#: Nodes up to which the ids of texts in buckets are sent to every task (8 bytes each).
-BROADCAST_NODES = 2_000_000
-#: Texts in a block of those that are compared at the end.
-BLOCK = 256
+#: Bytes of a node's id in a table that is sent to every task.
+NODE_BYTES = 16
+#: Texts, and bytes of shingles, in a block of those that are compared at the end.
+BLOCK, BLOCK_BYTES = 256, 4 << 20
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -100,7 +102,8 @@ def _packed(width: int):
 def _exploded(batches):
     for b in batches:
         sets = [np.frombuffer(x, np.int64) for x in b["shingles"]]
-        yield pd.DataFrame({"node": np.repeat(b["node"].to_numpy(), [len(x) for x in sets]), "shingle": np.concatenate(sets)})
+        n = [len(x) for x in sets]
+        yield pd.DataFrame({"cluster": np.repeat(b["cluster"].to_numpy(), n), "node": np.repeat(b["node"].to_numpy(), n), "shingle": np.concatenate(sets)})
 
 
 def _blocks(least: float):
@@ -122,7 +125,7 @@ def _across(a: pd.DataFrame, b: pd.DataFrame, least: float) -> pd.DataFrame:
     key = np.concatenate([np.empty(0, np.uint64), *sets])
     order = np.argsort(key)
     key, holder = key[order], np.repeat(np.arange(len(sets)), nb)[order]
-    out = []
+    out = {}
     for raw, oa, ca, va in zip(a["shingles"], a["own"], a["comp"], a["node"], strict=True):
         x = np.frombuffer(raw, np.uint64)
         na = len(x)
@@ -135,8 +138,9 @@ def _across(a: pd.DataFrame, b: pd.DataFrame, least: float) -> pd.DataFrame:
         n = hi - lo
         at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
         both = np.bincount(holder[at], minlength=len(sets))
-        out += [(va, v) for v in vb[open_ & (both >= least * (na + nb - both))]]
-    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        for i in np.flatnonzero(open_ & (both >= least * (na + nb - both))):
+            out.setdefault((min(ca, cb[i]), max(ca, cb[i])), (va, vb[i]))
+    return pd.DataFrame(list(out.values()), columns=["a", "b"], dtype=np.int64)
 
 
 def _linked(least: float):
@@ -180,12 +184,9 @@ def classes_of(nodes: DataFrame, similarity: float = SIMILARITY, width: int = WI
     sigs = nodes.mapInPandas(_signatures(width, bands, rows), "node long, n long, bands array<long>").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     sigs = settle(sigs, "signatures")
     keyed = sigs.select("node", "n", F.explode("bands").alias("band"))
-    leads = keyed.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("other")).filter("lead != other").select("band", "lead")
-    buckets = settle(keyed.join(leads, "band"), "buckets")
-    inside = buckets.select("node").distinct()
-    count = inside.count()
-    if count <= BROADCAST_NODES:
-        inside = F.broadcast(inside)
+    leads = settle(keyed.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("k")).filter("k > 1"), "leads")
+    buckets = settle(join_counted(keyed, leads, ["band"], "k"), "buckets")
+    inside = sent_if_small(settle(buckets.select("node").distinct(), "inside"), NODE_BYTES)
     packed = nodes.join(inside, "node", "left_semi").mapInPandas(_packed(width), "node long, shingles binary")
     packed = settle(packed.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
 
@@ -203,12 +204,18 @@ def classes_of(nodes: DataFrame, similarity: float = SIMILARITY, width: int = WI
     # nodes that any chain of buckets connects; a link can only be inside such a cluster
     clusters = components(buckets.filter("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
     now = clusters.withColumnRenamed("comp", "cluster").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = now.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo != hi")
-    own = (
-        packed.mapInPandas(_exploded, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1").groupBy("node").agg(F.count("*").alias("own"))
-    )
-    x = now.join(open_.select("cluster", F.ceil(F.col("size") / BLOCK).alias("parts")), "cluster").join(own, "node", "left").join(packed, "node")
-    x = x.select("cluster", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node", "comp", F.coalesce("own", F.lit(0)).alias("own"), "shingles")
+    now = settle(now, "now")
+    open_ = settle(now.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo != hi").select("cluster", "k"), "open")
+    x = settle(join_counted(now, open_, ["cluster"], "k").join(packed, "node"), "open-texts")
+    exploded = x.select("cluster", "node", "shingles").mapInPandas(_exploded, "cluster long, node long, shingle long")
+    alone = exploded.groupBy("cluster", "shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1")
+    x = x.join(alone.groupBy("node").agg(F.count("*").alias("own")), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    n = F.length("shingles") / 8
+    x = settle(x.filter(n - F.col("own") >= similarity * n), "partners")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES))
+    blocks = settle(x.groupBy("cluster").agg(F.count("*").alias("k"), blocks.alias("parts")), "blocks")
+    x = join_counted(x, blocks, ["cluster"], "k")
+    x = x.select("cluster", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node", "comp", "own", "shingles")
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     x = x.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
     more = x.groupBy("cluster", "i", "j").applyInPandas(_blocks(similarity), "a long, b long")
@@ -223,7 +230,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     white space, compared as they are. A shorter text is one shingle of all its words. Null, empty and blank texts have
     no words and are each a class of their own. class_id is the smallest doc_id of the class (null if it has no id);
     class_rows counts its rows; stays is true for one row of each class, the one with the smallest id, then text hash;
-    of equal rows any. Texts are told apart by 64 bits. Columns other than doc_id and text are ignored. An empty table
+    of equal rows any. Texts are told apart by 128 bits. Columns other than doc_id and text are ignored. An empty table
     gives an empty table.
     """
     return _classes(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), similarity, width, bands, rows).drop("row")
@@ -231,20 +238,33 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` (doc_id, text, ...) with one row of each class of near duplicates, columns as they are."""
-    docs = steady(docs, "neardup-docs").withColumn("__row", F.monotonically_increasing_id())
-    gone = settle(_classes(docs.select("doc_id", "text", F.col("__row").alias("row")), similarity).filter("not stays").select(F.col("row").alias("__row")), "gone")
-    if gone.count() <= BROADCAST_NODES:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "__row", "left_anti").drop("__row")
+    docs, row = numbered(docs, "neardup-docs")
+    gone = _classes(docs.select("doc_id", "text", F.col(row).alias("row")), similarity).filter("not stays")
+    gone = sent_if_small(settle(gone.select(F.col("row").alias(row)), "gone"), 2 * NODE_BYTES)
+    return docs.join(gone, row, "left_anti").drop(row)
 
 
 def _classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    node = F.xxhash64("text")
-    texts = small_batches(docs).select(node.alias("node"), "text").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    comps = settle(classes_of(texts, similarity, width, bands, rows), "comps")
+    """row, doc_id, class_id, class_rows, stays of (row, doc_id, text).
+
+    A node is a 64-bit hash of a text, but where unequal texts share one (n texts make n * n / 2^65 such pairs, a few
+    hundred in 10^11 texts) a second hash takes its place.
+    """
+    node, check = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
     blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows_ = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), node.alias("node"), blank.alias("blank"), "row"), "rows")
-    at = rows_.join(comps, "node", "left").withColumn("comp", F.when(F.col("blank"), F.col("row")).otherwise(F.coalesce("comp", "node")))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "row"))
-    groups = at.groupBy("blank", "comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"), first.alias("first"))
-    return at.join(groups, ["blank", "comp"]).select("row", "doc_id", "class_id", "class_rows", (F.col("row") == F.col("first.row")).alias("stays"))
+    rows_ = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), node.alias("node"), check.alias("check"), blank.alias("blank"), "row"), "rows")
+    shared = rows_.groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo != hi").select("node").collect()
+
+    def told(a, b):
+        return F.when(a.isin([r["node"] for r in shared]), b).otherwise(a) if shared else a
+
+    rows_ = rows_.withColumn("node", told(F.col("node"), F.col("check"))).drop("check")
+    texts = small_batches(docs).select(told(node, check).alias("node"), "text").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    comps = settle(classes_of(texts, similarity, width, bands, rows), "comps")
+    at = rows_.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "row")
+    lone = at.filter("blank").select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_rows"), F.lit(True).alias("stays"))
+    at = settle(at.filter("not blank"), "at")
+    groups = at.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"), F.count("*").alias("k"), F.min(order).alias("first"))
+    told_ = join_counted(at, settle(groups, "groups"), ["comp"], "k")
+    return told_.select("row", "doc_id", "class_id", "class_rows", (F.col("row") == F.col("first.row")).alias("stays")).unionByName(lone)

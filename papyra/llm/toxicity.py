@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._util import sample_by_hash, small_batches, worker_cache
+from papyra.llm._util import fresh, sample_by_hash, settle, small_batches, worker_cache
 
 #: About so many labelled rows, those whose doc_id hashes low, on which the model is fitted.
 FIT_ROWS = 20_000
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
     """The chosen features and the model, or None if the labels don't hold both kinds."""
     some = labels.filter("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     some = F.broadcast(sample_by_hash(some, F.col("doc_id"), fit_rows))  # bounded by fit_rows
-    train = docs.select("doc_id", "text").join(some, "doc_id").select("toxic", "text")
+    train = settle(docs.select("doc_id", "text").join(some, "doc_id").select("toxic", "text"), "labelled")  # read three times
     kinds = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     clean, toxic = kinds.get(0, 0), kinds.get(1, 0)
     if not clean or not toxic:
@@ -151,8 +151,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
     return chosen, model
 
 
-def grade(docs: DataFrame, labels: DataFrame, toxic_from: float = TOXIC_FROM, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with severity (expected grade, 0 to 2), grade (likeliest) and toxic.
+def grade(docs: DataFrame, labels: DataFrame, toxic_from: float = TOXIC_FROM, fit_rows: int = FIT_ROWS, names: tuple[str, str, str] = ("severity", "grade", "toxic")) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with severity (expected grade, 0 to 2), grade (likeliest) and whether toxic, under ``names``.
+
+    Labels tell toxic from clean alone. Of toxic texts, those with more evidence than the median (the log odds of their
+    features) are grade 2, the others 1; so the upper threshold tells how strong the evidence is, as no label does.
 
     ``labels`` has doc_id and toxic (over 0: toxic). Null and empty texts have no features: they get the severity of
     a text without evidence. Labels with a null, of repeated ids (one of them counts) or of unknown documents do no
@@ -162,7 +165,7 @@ def grade(docs: DataFrame, labels: DataFrame, toxic_from: float = TOXIC_FROM, fi
     """
     learned = fit(small_batches(docs).select("doc_id", "text"), labels.select("doc_id", "toxic"), fit_rows)
     if not learned:
-        return docs.withColumns({"severity": F.lit(0.0), "grade": F.lit(0), "toxic": F.lit(False)})
+        return docs.withColumns({names[0]: F.lit(0.0), names[1]: F.lit(0), names[2]: F.lit(False)})
     chosen, model = learned
 
     @F.pandas_udf("double")
@@ -171,10 +174,11 @@ def grade(docs: DataFrame, labels: DataFrame, toxic_from: float = TOXIC_FROM, fi
         for texts in parts:
             yield pd.Series([float(model.w[w] @ v) for w, v in map(feats.rates, texts)], dtype=float)
 
-    scored = docs.withColumn("severity", score(F.col("text")))
-    c = [F.lit(0.0), *(1 / (1 + F.exp(F.col("severity") - float(t))) for t in model.theta()), F.lit(1.0)]
+    own = fresh(docs, "score")
+    scored = docs.withColumn(own, score(F.col("text")))
+    c = [F.lit(0.0), *(1 / (1 + F.exp(F.col(own) - float(t))) for t in model.theta()), F.lit(1.0)]
     p = [c[k + 1] - c[k] for k in range(model.grades)]
     best = F.greatest(*p)
     likeliest = F.coalesce(*(F.when(x == best, k) for k, x in enumerate(p)))
     expected = sum((k * x for k, x in enumerate(p)), F.lit(0.0))
-    return scored.withColumns({"grade": likeliest.cast("int"), "severity": expected}).withColumn("toxic", F.col("severity") >= toxic_from)
+    return scored.withColumns({names[0]: expected, names[1]: likeliest.cast("int"), names[2]: expected >= toxic_from}).drop(own)
