@@ -392,16 +392,3 @@ def test_sum_of_squares_level():
         box[1].append(size)
         levels.filled(box)
     assert levels.count[5] == 1 and levels.count.sum() == 1  # the 3 filled up one of the 5s
-
-
-def test_pipeline(spark, sf):
-    import corpus_pipeline as p
-
-    docs = docs_of(spark, sf)
-    for name, stage in p.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == docs.columns
-        before, after = docs.count(), out.count()
-        assert after > before if name == "mixing" else 0.8 * before < after <= before
-        docs = out
-    assert p.run(spark, sf).count() > 0
