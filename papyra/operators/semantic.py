@@ -89,7 +89,7 @@ def topic_of(concepts_: DataFrame, topics_: DataFrame) -> DataFrame:
     c, k = F.col("key"), F.col("topics")
     scored = F.transform(k, lambda t_: F.struct((F.size(F.array_intersect(words(c), words(t_))) + F.when(F.contains(c, t_) | F.contains(t_, c), 2).otherwise(0)).alias("score"), t_.alias("topic")))
     best = F.array_max(F.transform(scored, lambda s: s["score"]))
-    out = concepts_.select("key").join(t, F.lit(True)).select(c.alias("concept"), F.element_at(F.filter(scored, lambda s: s["score"] == best), 1).alias("b"))
+    out = concepts_.select("key").join(t, F.lit(True)).select(c.alias("concept"), F.try_element_at(F.filter(scored, lambda s: s["score"] == best), F.lit(1)).alias("b"))
     return out.filter("b.score > 0").select("concept", F.col("b.topic").alias("topic"), F.col("b.score").cast("int").alias("score"))
 
 
@@ -118,7 +118,7 @@ def named_concept(facts_: DataFrame, keys: list[str]) -> DataFrame:
         f = f.withColumn(f"c{i}", finder(sorted(keys)[i : i + SHARD])(F.col("t")))
         found.append(F.col(f"c{i}"))
     known = facts_.sparkSession.createDataFrame([(k,) for k in keys], "head string")
-    best = F.element_at(F.array_sort(F.filter(F.array(*found), lambda c: c.isNotNull()), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(1)), 1) if found else F.lit(None).cast("string")
+    best = F.try_element_at(F.array_sort(F.filter(F.array(*found), lambda c: c.isNotNull()), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(1)), F.lit(1)) if found else F.lit(None).cast("string")
     told = f.select("key", "heading", best.alias("concept"))
     heads = told.filter("concept is null").select("key", F.posexplode(F.transform(F.split("heading", " / "), X.concept_key)).alias("n", "head")).join(known, "head")
     return told.filter("concept is not null").select("key", "concept").unionByName(heads.groupBy("key").agg(F.min_by("head", "n").alias("concept")))
@@ -242,8 +242,9 @@ def unit_score(query: str, spark) -> tuple[Column, Column]:
     terms, whole = row["t"], row["q"]
     title, key, content = identifier(F.col("title")), identifier(F.col("key")), identifier(F.col("content"))
     hits, points = F.lit(0), F.lit(0.0)
+    every = F.array_join(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), identifier), "\n")
     for t in terms:
-        alias = F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a, t=t: F.contains(identifier(a), F.lit(t)))
+        alias = every.contains(t)
         own = F.when(title.contains(t), 4.0).when(key.contains(t) | alias, 3.0).otherwise(0.0)
         hits += (own > 0).cast("int")
         points += own + content.contains(t).cast("double")

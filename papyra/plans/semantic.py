@@ -2,82 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
-
-from papyra.functions import text as X
 from papyra.functions import versions as V
 from papyra.operators.graph import bfs
-from papyra.plans.catalogue import CHUNKS, F, both, docs, query, table
-from papyra.plans.texts import _SENT
-from papyra.sources.tables import chunks
-
-_MARK = "|".join(X.FACT_MARKERS)
-_FACTS = f"""{CHUNKS}, s AS (SELECT doc_id, idx, unnest({_SENT}) AS s FROM chunks),
-f AS (SELECT doc_id, idx, s, sha256(trim(lower(regexp_replace(s, '[^\\p{{L}}\\p{{Nd}} ]', '', 'g')))) AS k FROM s
- WHERE length(s) BETWEEN 16 AND 500 AND NOT regexp_matches(lower(s), 'https?://')
- AND (regexp_matches(' ' || lower(s) || ' ', ' ({_MARK}) ') OR (length(s) - length(replace(s, ':', '')) = 1 AND instr(s, ':') > 3)))"""
-
-
-def fact_rows(spark, sf):
-    s = chunks(docs(spark, sf)).select("doc_id", "idx", F.explode(X.sentences(F.col("text"))).alias("s"))
-    return s.filter(X.is_fact(F.col("s"))).withColumn("k", X.fact_key(F.col("s")))
-
-
-@query(f"WITH {_FACTS} SELECT k AS fact_key, count(*) AS occurrences, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_doc, CASE WHEN count(DISTINCT doc_id) > 1 THEN 0.75::DOUBLE ELSE 0.68::DOUBLE END AS confidence FROM f GROUP BY k")
-def facts(spark, sf):
-    g = fact_rows(spark, sf).groupBy(F.col("k").alias("fact_key")).agg(F.count("*").alias("occurrences"), F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
-    return g.withColumn("confidence", F.when(F.col("documents") > 1, 0.75).otherwise(0.68))
-
-
-@query(f"""WITH {_FACTS}, r AS (SELECT doc_id, idx, k, row_number() OVER (PARTITION BY doc_id ORDER BY idx, k) AS n FROM (SELECT DISTINCT doc_id, idx, k FROM f))
-SELECT doc_id, k AS fact_key, idx, n FROM r WHERE n <= 128""")
-def facts_per_document(spark, sf):
-    r = fact_rows(spark, sf).select("doc_id", "idx", F.col("k").alias("fact_key")).distinct()
-    return r.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("idx", "fact_key")).cast("long")).filter("n <= 128")
-
-
-@query(f"""WITH {_FACTS}, d AS (SELECT DISTINCT doc_id, idx, k FROM f), l AS (SELECT doc_id, idx, k, lag(k) OVER (PARTITION BY doc_id, idx ORDER BY k) AS p FROM d)
-SELECT doc_id, idx, p AS from_key, k AS to_key FROM l WHERE p IS NOT NULL""")
-def sequence_relations(spark, sf):
-    d = fact_rows(spark, sf).select("doc_id", "idx", "k").distinct()
-    lag = d.withColumn("from_key", F.lag("k").over(Window.partitionBy("doc_id", "idx").orderBy("k")))
-    return lag.filter("from_key is not null").select("doc_id", "idx", "from_key", F.col("k").alias("to_key"))
-
-
-_CONCEPTS = f"""{CHUNKS}, c AS (SELECT doc_id, source, idx, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS k FROM chunks WHERE length(text) BETWEEN 2 AND 96 AND NOT starts_with(lower(text), 'http')
- AND regexp_matches(text, '[A-Za-z0-9]'))"""
-
-
-def concept_rows(spark, sf):
-    t = F.col("text")
-    c = chunks(docs(spark, sf)).filter(F.length(t).between(2, 96) & ~F.lower(t).startswith("http") & t.rlike("[A-Za-z0-9]"))
-    return c.select("doc_id", "source", "idx", X.concept_key(t).alias("k"))
-
-
-@query(f"WITH {_CONCEPTS} SELECT k AS concept, count(DISTINCT doc_id) AS documents, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM c GROUP BY k HAVING count(DISTINCT doc_id) > 1")
-def concepts(spark, sf):
-    g = concept_rows(spark, sf).groupBy(F.col("k").alias("concept")).agg(F.countDistinct("doc_id").alias("documents"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
-    return g.filter("documents > 1")
-
-
-@query(f"WITH {_CONCEPTS}, t AS (SELECT source, k, count(*) AS n, min(doc_id) AS d FROM c WHERE idx = 0 GROUP BY source, k) SELECT source, k AS topic, n FROM t QUALIFY row_number() OVER (PARTITION BY source ORDER BY d, k) <= 64")
-def topics(spark, sf):
-    t = concept_rows(spark, sf).filter("idx = 0").groupBy("source", F.col("k").alias("topic")).agg(F.count("*").alias("n"), F.min("doc_id").alias("d"))
-    return t.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("d", "topic"))).filter("r <= 64").select("source", "topic", "n")
-
-
-both(
-    "fact_concept_match",
-    """WITH c(k) AS (VALUES ('the'), ('thand'), ('heation'), ('tion'), ('erand')),
-m AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY length(k) DESC, k) AS r FROM {documents} d JOIN c ON position(k in lower(d.text)) > 0)
-SELECT doc_id, k AS concept FROM m WHERE r = 1""",
-)
-both(
-    "concept_topic_score",
-    """WITH c AS (SELECT p_partkey AS id, p_name AS name FROM {part}), t(topic, a, b) AS (VALUES ('steel large', 'steel', 'large'), ('small brass', 'small', 'brass'), ('blue', 'blue', 'blue')),
-s AS (SELECT id, topic, CASE WHEN position(a in lower(name)) > 0 THEN 1 ELSE 0 END + CASE WHEN position(b in lower(name)) > 0 THEN 1 ELSE 0 END AS score FROM c JOIN t ON 1 = 1)
-SELECT id, topic, CAST(score AS INT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, topic) AS r FROM s) x WHERE r = 1""",
-)
+from papyra.plans.catalogue import F, both, query, table
 
 VERSIONS = ["1.2.3", "v1.10", "v020301", "rel-17", "Release 18", "1.2.3-beta", "2.0", "private", "1.2", "v2.0.0", "rel 16"]
 _VALUES = ", ".join(f"('{v}')" for v in VERSIONS)
@@ -120,13 +47,6 @@ def version_range(spark, sf):
     return version_rows(spark).filter(V.known(n) & ~n.startswith("rel-") & (V.parts(n) >= at(1, 2, 0, 0)) & (V.parts(n) < at(2, 0, 0, 0))).select("v")
 
 
-#: Parts as versioned facts: the type is the scope, size the version.
-both(
-    "supersession",
-    """WITH u AS (SELECT p_partkey AS unit, p_type AS scope, p_size AS version FROM {part}), m AS (SELECT *, max(version) OVER (PARTITION BY scope) AS newest FROM u),
-n AS (SELECT *, sum(CASE WHEN version = newest THEN 1 ELSE 0 END) OVER (PARTITION BY scope) AS tied FROM m)
-SELECT unit, scope, CASE WHEN version < newest THEN 'superseded' WHEN tied > 1 THEN 'conflicted' ELSE 'active' END AS status FROM n""",
-)
 both(
     "temporal_visibility",
     """WITH u AS (SELECT p_partkey AS unit, p_size AS version, CASE p_partkey % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'conflicted' WHEN 2 THEN 'superseded' ELSE 'deleted' END AS status FROM {part})
@@ -142,13 +62,6 @@ both(
 WHEN lower(trim(name)) IN ('code', 'source') THEN 3 WHEN lower(trim(name)) = 'readme' THEN 4 WHEN lower(trim(name)) IN ('design', 'old-design') THEN 5
 WHEN try_cast(name AS INT) BETWEEN 0 AND 100 THEN try_cast(name AS INT) ELSE 8 END AS INT) AS priority FROM (VALUES ('Docs'), ('changelog'), ('17'), ('blog'), ('CODE'), ('readme'), ('101')) AS t(name)""",
 )
-both(
-    "unit_search",
-    """WITH u AS (SELECT p_partkey AS unit, lower(p_name) AS title, lower(p_type) AS canonical, lower(p_brand) AS content FROM {part}), q(term) AS (VALUES ('steel'), ('large'), ('brand')),
-s AS (SELECT unit, title, canonical, content, CASE WHEN position(term in title) > 0 THEN 4 WHEN position(term in canonical) > 0 THEN 3 ELSE 0 END AS hit, CASE WHEN position(term in content) > 0 THEN 1 ELSE 0 END AS extra FROM u JOIN q ON 1 = 1),
-g AS (SELECT unit, sum(hit + extra) AS total, sum(CASE WHEN hit > 0 THEN 1 ELSE 0 END) AS matched FROM s GROUP BY unit)
-SELECT unit, round(CAST(total AS DOUBLE) * matched / 3.0E0, 6) AS score FROM g WHERE matched > 0""",
-)
 both(
     "dirty_documents",
     """WITH prior AS (SELECT o_custkey AS doc, CAST(count(*) AS VARCHAR(20)) || ':' || CAST(max(o_orderkey) AS VARCHAR(20)) AS sig FROM {orders} WHERE o_orderdate < TIMESTAMP '1996-01-01 00:00:00' GROUP BY o_custkey),
@@ -187,32 +100,8 @@ SELECT o.o_custkey, CAST(year(o.o_orderdate) AS BIGINT) AS version, count(*) AS
 )
 
 
-@query(f"""WITH {_FACTS}, u AS (SELECT doc_id, k, min(idx) AS idx, min(s) AS s FROM f GROUP BY doc_id, k),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx, k) AS n FROM u),
-p AS (SELECT doc_id, count(*) AS facts, string_agg('- ' || s || ' [' || CAST(idx AS VARCHAR) || ']', chr(10) ORDER BY n) AS body FROM r WHERE n <= 128 GROUP BY doc_id)
-SELECT doc_id, facts, '# doc-' || CAST(doc_id AS VARCHAR) || chr(10) || chr(10) || body AS page FROM p""")
-def wiki_pages(spark, sf):
-    """A page for each document that states facts: at most 128, in order, each with the chunk it is from."""
-    u = fact_rows(spark, sf).groupBy("doc_id", "k").agg(F.min("idx").alias("idx"), F.min("s").alias("s"))
-    r = u.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("idx", "k"))).filter("n <= 128")
-    line = F.concat(F.lit("- "), "s", F.lit(" ["), F.col("idx").cast("string"), F.lit("]"))
-    p = r.groupBy("doc_id").agg(F.count("*").alias("facts"), F.sort_array(F.collect_list(F.struct("n", line.alias("line")))).alias("l"))
-    return p.select("doc_id", "facts", F.concat(F.lit("# doc-"), F.col("doc_id").cast("string"), F.lit("\n\n"), F.array_join("l.line", "\n")).alias("page"))
-
-
-@query(f"""WITH {_FACTS}, d AS (SELECT DISTINCT doc_id, k FROM f), n AS (SELECT k FROM d GROUP BY k HAVING count(*) > 1)
-SELECT d.doc_id, count(*) AS shared FROM d JOIN n ON d.k = n.k GROUP BY d.doc_id""")
-def wiki_shared_facts(spark, sf):
-    """How many facts of a page other pages state too; pages aren't paired, so a fact that all state costs one row each."""
-    d = fact_rows(spark, sf).select("doc_id", "k").distinct()
-    n = d.groupBy("k").count().filter("count > 1").select("k")
-    return d.join(n, "k").groupBy("doc_id").agg(F.count("*").alias("shared"))
-
-
-
 # --- graphs -------------------------------------------------------------
 both("graph_two_hop", "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey")
-both("related_pages", "SELECT a.o_custkey AS page, count(DISTINCT b.l_partkey) AS shared FROM {orders} a JOIN {lineitem} b ON a.o_orderkey = b.l_orderkey GROUP BY a.o_custkey")
 both(
     "evidence_closure",
     """WITH RECURSIVE up(unit, node, depth) AS (SELECT CAST(p_partkey AS BIGINT), CAST(p_partkey AS BIGINT), 0 FROM part UNION ALL SELECT unit, node // 3, depth + 1 FROM up WHERE node > 0 AND depth < 12)
