@@ -45,16 +45,6 @@ def terms(text: Column) -> Column:
     return F.concat(F.regexp_extract_all(low, F.lit("([a-z0-9_]{2,})"), 1), pairs)
 
 
-def n_terms(text: Column) -> Column:
-    """How many ``terms`` a text has, without making them where it holds no CJK."""
-    return F.regexp_count(F.lower(text), F.lit("[a-z0-9_]{2,}")) + F.when(text.rlike(f"[{CJK}]"), F.size(F.filter(terms(text), lambda t: t.rlike(f"[{CJK}]")))).otherwise(0)
-
-
-def term_count(text: Column, term: str) -> Column:
-    """How often a word of a-z, 0-9 and _ is a term of a text."""
-    return F.when(F.lower(text).contains(term), F.regexp_count(F.lower(text), F.lit(f"(?<![a-z0-9_]){term}(?![a-z0-9_])"))).otherwise(0)
-
-
 def sentences(text: Column) -> Column:
     """Sentences without white space around; a full stop between two digits or two letters ends none."""
     kept = F.regexp_replace(text, r"(?<=\p{Nd})[.](?=\p{Nd})|(?<=\p{L})[.](?=\p{L})", "\u0001")

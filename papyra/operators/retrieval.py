@@ -5,36 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.functions.text import n_terms, term_count, terms
 from papyra.functions.vectors import cosine
 
-__all__ = ["bm25", "fit_window", "mmr", "neighbours", "query_terms", "ranked", "rrf", "terms", "vector_lane"]
-
-K1, B, RRF_K = 1.5, 0.75, 60
-
-
-def query_terms(query: str) -> list[str]:
-    """The distinct ranker terms of a query, in order; a query is one short string, so this is plain Python."""
-    import re
-
-    return list(dict.fromkeys(re.findall(r"[a-z0-9_]{2,}", query.lower())))
-
-
-def bm25(chunks: DataFrame, query: str) -> DataFrame:
-    """(doc_id, idx, score) of chunks that hold a term of the query.
-
-    Chunks are counted for the query's terms alone; corpus counts are one row, sent to every task.
-    """
-    wanted = query_terms(query)
-    tfs = [term_count(F.col("text"), w).alias(f"tf{i}") for i, w in enumerate(wanted)]
-    t = chunks.select("doc_id", "idx", n_terms(F.col("text")).alias("len"), *tfs)
-    stats = t.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted))))
-    score = F.lit(0.0)
-    for i in range(len(wanted)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}").cast("double")
-        score += F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1) * tf / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    held = F.greatest(F.lit(0), *(F.col(f"tf{i}") for i in range(len(wanted)))) if wanted else F.lit(0)
-    return t.filter(held > 0).join(F.broadcast(stats)).select("doc_id", "idx", F.round(score, 6).alias("score"))
+RRF_K = 60
 
 
 def vector_lane(vectors: DataFrame, query: list[float], k: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 
 from papyra.functions.text import meaningful
 from papyra.functions.vectors import dot, norm, unit
+from papyra.operators import lexical as Lex
 from papyra.operators import retrieval as R
 from papyra.plans.catalogue import CHUNKS, F, both, docs, query, table
 from papyra.sources.tables import chunks
@@ -22,8 +23,13 @@ _VEC = """qv AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
 vec AS (SELECT vec_id, round(least(1, greatest(0, list_dot_product(embedding::DOUBLE[], q::DOUBLE[]))), 6) AS score FROM embeddings, qv)"""
 
 
+def index(spark, sf):
+    d = docs(spark, sf)
+    return Lex.index_of(d, chunks(d))
+
+
 def lexical(spark, sf, k):
-    return R.bm25(chunks(docs(spark, sf)), QUERY).orderBy(F.desc("score"), "doc_id", "idx").limit(k)
+    return Lex.bm25(index(spark, sf), QUERY).orderBy(F.desc("score"), "doc_id", "idx").limit(k)
 
 
 def vector(spark, sf, k):
@@ -39,15 +45,13 @@ def bm25_top10(spark, sf):
 
 @query(f"WITH {_BM25} SELECT q AS term, CAST(df AS BIGINT) AS df FROM d")
 def doc_frequency(spark, sf):
-    wanted = R.query_terms(QUERY)
-    t = chunks(docs(spark, sf)).select(F.explode(F.array_distinct(F.filter(R.terms(F.col("text")), lambda x: x.isin(wanted)))).alias("term"))
-    return t.groupBy("term").agg(F.count("*").alias("df"))
+    return Lex.frequencies(index(spark, sf), QUERY)
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9_]{2,})', 1)) AS term FROM documents)
 SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term""")
 def postings(spark, sf):
-    return docs(spark, sf).select("doc_id", F.explode(R.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return index(spark, sf).postings.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
 
 
 @query(f"WITH {CHUNKS} SELECT doc_id, idx FROM chunks WHERE contains(text, '19') ORDER BY doc_id, idx LIMIT 50")
@@ -82,7 +86,7 @@ f AS (SELECT id, round(sum(w / (60 + r)), 9) AS score FROM (SELECT id, r, 1.0::D
 
 def lanes(spark, sf, k=30):
     """The two lanes' best documents, (id, score, rank); a document stands for its best chunk, a vector for the document of its id."""
-    best = R.bm25(chunks(docs(spark, sf)), QUERY).groupBy(F.col("doc_id").alias("id")).agg(F.max(F.struct("score", -F.col("idx"))).alias("b"))
+    best = Lex.bm25(index(spark, sf), QUERY).groupBy(F.col("doc_id").alias("id")).agg(F.max(F.struct("score", -F.col("idx"))).alias("b"))
     lex = best.select("id", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("idx")).orderBy(F.desc("score"), "id").limit(k)
     return R.ranked(lex, "id"), R.ranked(vector(spark, sf, k).withColumnRenamed("vec_id", "id"), "id")
 
@@ -114,7 +118,7 @@ def hybrid_threshold(spark, sf):
     """Hits without a lexical match need a cosine of 0.35."""
     lex, vec = lanes(spark, sf)
     f = R.rrf([(lex, 1.0), (vec, 1.0)], "id")
-    every = R.bm25(chunks(docs(spark, sf)), QUERY).groupBy(F.col("doc_id").alias("id")).agg(F.max("score").alias("lex"))
+    every = Lex.bm25(index(spark, sf), QUERY).groupBy(F.col("doc_id").alias("id")).agg(F.max("score").alias("lex"))
     x = f.join(every, "id", "left").join(vec.select("id", F.col("score").alias("near")), "id", "left")
     return x.filter((F.coalesce("lex", F.lit(0.0)) > 0) | (F.coalesce("near", F.lit(0.0)) >= 0.35)).select("id", "score")
 
