@@ -1,22 +1,105 @@
-"""Traversal of relation graphs."""
+"""Traversal of relation graphs, and what units rest on."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.sources.store import written
 
-def bfs(edges: DataFrame, seeds: DataFrame, hops: int = 2, fan_out: int = 64) -> DataFrame:
-    """(node, hop): nodes reached from (node) seeds over (src, dst, edge_id) in at most ``hops`` steps.
+#: Default and most hops, nodes, edges a node and seeds of a traversal.
+HOPS, NODES, FAN_OUT, SEEDS = (1, 4), (64, 256), (16, 64), (8, 32)
 
-    ``fan_out`` edges per node are followed, in the order of edge_id: that bound is the operator's meaning. Every step is
-    one join on the frontier; seen nodes are left out by an anti join, so nothing grows but the result.
+
+def bounds(hops: int | None = None, nodes: int | None = None, fan_out: int | None = None, seeds: int | None = None) -> dict[str, int]:
+    """What a traversal may take: defaults for what isn't given or not positive, the most for what is more."""
+    given = {"hops": (hops, HOPS), "nodes": (nodes, NODES), "fan_out": (fan_out, FAN_OUT), "seeds": (seeds, SEEDS)}
+    return {k: min(v, most) if v and v > 0 else default for k, (v, (default, most)) in given.items()}
+
+
+def directed(edges: DataFrame, direction: str = "out") -> DataFrame:
+    """Edges (src, dst, edge_id) as they are followed: out, in or both."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "edge_id")
+    return {"out": edges.select("src", "dst", "edge_id"), "in": back, "both": edges.select("src", "dst", "edge_id").unionByName(back)}[direction]
+
+
+def bfs(edges: DataFrame, seeds: DataFrame, hops: int = 2, fan_out: int = 64, direction: str = "out", nodes: int | None = None) -> DataFrame:
+    """(node, hop, parent, edge_id): nodes reached from (node) seeds over (src, dst, edge_id) in at most ``hops`` steps, by the first edge of the fewest steps.
+
+    ``fan_out`` edges of a node are followed, in the order of edge_id, and ``nodes`` nodes are visited, those of earlier
+    hops and smaller edges first: these bounds are the operator's meaning. Every step is one join on the frontier and
+    is written; seen nodes are left out by an anti join, so nothing grows but the result.
     """
-    first = F.row_number().over(Window.partitionBy("src").orderBy("edge_id"))
-    seen = seeds.select("node", F.lit(0).alias("hop")).dropDuplicates(["node"])
+    first = F.row_number().over(Window.partitionBy("src").orderBy("edge_id", "dst"))
+    own = written(directed(edges, direction).withColumn("n", first).filter(F.col("n") <= fan_out).drop("n"), "edges")
+    none = F.lit(None).cast("string")
+    seen = written(seeds.select("node").distinct().select("node", F.lit(0).alias("hop"), none.alias("parent"), none.alias("edge_id")), "hop")
     frontier = seen
     for hop in range(1, hops + 1):
-        out = edges.join(frontier.select(F.col("node").alias("src")), "src").withColumn("n", first).filter(F.col("n") <= fan_out)
-        new = out.select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hop", F.lit(hop))
-        seen, frontier = seen.unionByName(new), new
+        out = own.join(frontier.select(F.col("node").alias("src")), "src").join(seen.select(F.col("node").alias("dst")), "dst", "left_anti")
+        new = out.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("edge_id", "src")).alias("e")).select("node", F.lit(hop).alias("hop"), F.col("e.src").cast("string").alias("parent"), F.col("e.edge_id").cast("string").alias("edge_id"))
+        if nodes is not None:
+            new = new.orderBy("edge_id", "node").limit(max(0, nodes - seen.count()))
+        frontier = written(new, "hop")
+        seen = seen.unionByName(frontier)
+        if frontier.isEmpty():
+            break
     return seen
+
+
+def paths(reached: DataFrame, hops: int) -> DataFrame:
+    """(node, path): the nodes from a seed to each reached node, by parents."""
+    out = reached.filter("hop = 0").select("node", F.array(F.col("node").cast("string")).alias("path"))
+    last = out
+    for hop in range(1, hops + 1):
+        step = reached.filter(F.col("hop") == hop).join(last.select(F.col("node").cast("string").alias("parent"), "path"), "parent")
+        last = step.select("node", F.concat("path", F.array(F.col("node").cast("string"))).alias("path"))
+        out = out.unionByName(last)
+    return out
+
+
+def evidence(derived: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, source): the sources that each unit rests on, its own and those of all units it is made from, directly or not.
+
+    ``derived`` is (id, target), ``sources`` (id, source). Each round carries on only what the last one added; cycles
+    end, as nothing is added twice.
+    """
+    seen = written(sources.select("id", "source").distinct(), "evidence")
+    new = seen
+    while True:
+        up = derived.join(new.select(F.col("id").alias("target"), "source"), "target").select("id", "source").distinct()
+        new = written(up.join(seen, ["id", "source"], "left_anti"), "evidence")
+        if new.isEmpty():
+            return seen
+        seen = seen.unionByName(new)
+
+
+def unsound(derived: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, fault): units made from ones that don't exist, and units of which some origin leads in a circle or into one.
+
+    Units that are made from nothing are taken away, then those made from nothing else, and so on; what is left when a
+    round takes nothing is in a circle or rests on one.
+    """
+    lost = derived.join(ids.select(F.col("id").alias("target")), "target", "left_anti").select("id", F.lit("missing origin").alias("fault")).distinct()
+    left = written(derived.join(ids.select(F.col("id").alias("target")), "target", "left_semi").select("id", "target").distinct(), "origins")
+    n = left.count()
+    while n:
+        rest = left.select("id").distinct().withColumnRenamed("id", "target")
+        left, before = written(left.join(rest, "target", "left_semi"), "origins"), n
+        n = left.count()
+        if n == before:
+            break
+    return lost.unionByName(left.select("id", F.lit("circle").alias("fault")).distinct())
+
+
+def unsupported(derived: DataFrame, ids: DataFrame, sourced: DataFrame) -> DataFrame:
+    """(id): units to be dropped, as they have no source and nothing they are made from is kept; targets that are no units count as kept."""
+    bare = written(ids.select("id").join(sourced.select("id"), "id", "left_anti"), "bare")
+    open_ = written(derived.select("id", "target").join(bare, "id", "left_semi").distinct(), "open")
+    gone = written(bare.join(open_.select("id"), "id", "left_anti"), "dropped")
+    new = gone
+    while not new.isEmpty():
+        open_ = written(open_.join(gone.select(F.col("id").alias("target")), "target", "left_anti"), "open")
+        new = written(bare.join(open_.select("id"), "id", "left_anti").join(gone, "id", "left_anti"), "dropped")
+        gone = gone.unionByName(new)
+    return gone.distinct()

@@ -16,6 +16,7 @@ from papyra.functions import text as X
 from papyra.functions import versions as V
 from papyra.functions.language import identifier, outline, search_terms
 from papyra.sources.ir import STRUCTURAL, TABULAR, section
+from papyra.sources.store import written
 
 #: Most facts and concepts of a document, topics of a base, characters of a summary, headings in it.
 FACTS, CONCEPTS, TOPICS, SUMMARY, HEADINGS = 128, 24, 64, 2400, 24
@@ -167,16 +168,16 @@ def compile_units(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     superseded_by, derived (keys of the units it is made from, with their type) and sources (doc_id). Relations: type
     (related_to, supersedes), subject, object (fact keys), statement, confidence.
     """
-    s = stated(nodes)
-    f = facts(s)
+    nodes = written(nodes, "nodes")
+    f = written(facts(stated(nodes)), "facts")
     scope = versioned(F.col("text"))
     told = f.withColumn("v", scope).withColumn("own", F.coalesce("version", "v.version"))
     scoped = told.select("key", F.concat_ws("|", "v.predicate", "v.attribute").alias("scope"), F.col("own").alias("version"), F.col("v").isNull().alias("plain"))
-    status = supersession(scoped.select("key", F.when(~F.col("plain"), F.col("scope")).alias("scope"), "version"))
-    rows = concept_rows(nodes)
+    status = written(supersession(scoped.select("key", F.when(~F.col("plain"), F.col("scope")).alias("scope"), "version")), "status")
+    rows = written(concept_rows(nodes), "concepts")
     c, t = concepts(rows), topics(nodes)
     keys = [r["key"] for r in c.select("key").collect()]  # bounded by the base's distinct headings
-    named = named_concept(f, keys)
+    named = written(named_concept(f, keys), "named")
     none = F.array().cast("array<string>")
     docs_of = F.array_sort(F.array_distinct(F.transform("sources", lambda x: x["doc_id"].cast("string"))))
     fact_units = f.join(status.select("key", "status", "superseded_by", F.col("version").alias("known")), "key").select(
@@ -276,3 +277,43 @@ def faults(units: DataFrame, relations: DataFrame) -> DataFrame:
     loose = ends.join(units.filter("type = 'fact'").select(F.col("key").alias("end")), "end", "left_anti").select(F.col("end").alias("key"), F.lit("loose relation").alias("fault"))
     own = relations.filter("subject = object").select(F.col("subject").alias("key"), F.lit("relation to itself").alias("fault"))
     return twice.unionByName(bare).unionByName(odd).unionByName(lost).unionByName(loose).unionByName(own).distinct()
+
+
+def merge_units(previous: DataFrame, update: DataFrame, dirty: DataFrame) -> DataFrame:
+    """Units of a base after some of its documents were compiled anew.
+
+    Sources among the (doc_id) ``dirty`` documents go from the previous units, and with them units that nothing supports
+    any more, to a fixed point; summaries of dirty documents go at once. What is left is merged with the update by type
+    and key: the update's title, content and status win, lists are united, and sureness is the mean by sources.
+    Supersession is then told anew over all facts.
+    """
+    from papyra.operators.graph import unsupported
+
+    gone = dirty.select(F.col("doc_id").cast("string").alias("doc"))
+    previous, update = written(previous, "previous"), written(update, "update")
+    docs_ = F.broadcast(gone.agg(F.array_sort(F.collect_set("doc")).alias("dirty_docs")))  # the documents of one update
+    old = previous.join(docs_).withColumn("sources", F.array_except("sources", "dirty_docs"))
+    old = old.filter(~((F.col("type") == "summary") & F.array_contains("dirty_docs", F.regexp_extract("key", "^summary:doc:(.*)$", 1)))).drop("dirty_docs")
+    old = old.withColumn("id", F.concat_ws(":", "type", "key"))
+    ids, derived = old.select("id"), old.select("id", F.explode("derived").alias("target"))
+    whole = previous.select(F.concat_ws(":", "type", "key").alias("target"))
+    derived = derived.join(whole.join(ids.select(F.col("id").alias("target")), "target", "left_anti"), "target", "left_anti")  # summaries dropped at once
+    drop = unsupported(derived, ids, old.filter(F.size("sources") > 0).select("id"))
+    kept = old.join(drop, "id", "left_anti").drop("derived", "id")
+    left = derived.join(drop, "id", "left_anti").join(drop.select(F.col("id").alias("target")), "target", "left_anti")
+    made = left.groupBy(F.col("id").alias("own")).agg(F.array_sort(F.collect_set("target")).alias("derived"))
+    none = F.array().cast("array<string>")
+    kept = kept.join(made, F.concat_ws(":", "type", "key") == F.col("own"), "left").withColumn("derived", F.coalesce("derived", none)).select(*UNIT)
+    new = update.select(*(F.col(c).alias(c if c in ("type", "key") else f"new_{c}") for c in UNIT))
+    m = kept.join(new, ["type", "key"], "full")
+    n, k = F.size(F.coalesce("sources", none)), F.size(F.coalesce("new_sources", none))
+    mean = F.when(n + k == 0, F.col("new_confidence")).otherwise((F.col("confidence") * n + F.col("new_confidence") * k) / (n + k))
+    both = lambda c: F.array_sort(F.array_union(F.coalesce(c, none), F.coalesce(f"new_{c}", none)))
+    wins = lambda c: F.coalesce(F.nullif(F.col(f"new_{c}"), F.lit("")), F.col(c))
+    out = m.select(
+        "type", "key", wins("title").alias("title"), wins("content").alias("content"), both("aliases").alias("aliases"), F.when(F.col("confidence").isNull(), F.col("new_confidence")).when(F.col("new_confidence").isNull(), F.col("confidence")).otherwise(mean).alias("confidence"),
+        F.coalesce("new_status", "status").alias("status"), F.coalesce("new_version", "version").alias("version"), both("derived").alias("derived"), both("sources").alias("sources"))
+    facts_ = out.filter("type = 'fact'").withColumn("v", versioned(F.col("content")))
+    told = supersession(facts_.select("key", F.when(F.col("v").isNotNull(), F.concat_ws("|", "v.predicate", "v.attribute")).alias("scope"), F.coalesce("v.version", "version").alias("version")))
+    told = told.select(F.lit("fact").alias("type"), "key", F.col("status").alias("s"), "superseded_by")
+    return out.join(told, ["type", "key"], "left").withColumn("status", F.coalesce("s", "status")).select(*UNIT)

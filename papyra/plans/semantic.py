@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from papyra.functions import versions as V
-from papyra.operators.graph import bfs
-from papyra.plans.catalogue import F, both, query, table
+from papyra.plans.catalogue import F, both, query
 
 VERSIONS = ["1.2.3", "v1.10", "v020301", "rel-17", "Release 18", "1.2.3-beta", "2.0", "private", "1.2", "v2.0.0", "rel 16"]
 _VALUES = ", ".join(f"('{v}')" for v in VERSIONS)
@@ -74,12 +73,6 @@ both(
     """WITH f AS (SELECT p_name, p_brand, max(p_size) AS v FROM {part} GROUP BY p_name, p_brand), a AS (SELECT p_name AS k, max(v) AS v FROM f WHERE p_brand < 'Brand#3' GROUP BY p_name), b AS (SELECT p_name AS k, max(v) AS v FROM f WHERE p_brand >= 'Brand#2' GROUP BY p_name)
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.v <> b.v THEN 'changed' ELSE 'unchanged' END AS state FROM a FULL JOIN b ON a.k = b.k""",
 )
-both(
-    "incremental_merge",
-    """WITH kept AS (SELECT p_name AS k, p_size AS v, 0.5E0 AS conf, 2 AS sources FROM {part} WHERE p_brand < 'Brand#3'), new AS (SELECT p_name AS k, p_size + 1 AS v, 0.9E0 AS conf, 1 AS sources FROM {part} WHERE p_brand >= 'Brand#3'),
-a AS (SELECT k, max(v) AS v, max(conf) AS conf, sum(sources) AS n FROM kept GROUP BY k), b AS (SELECT k, max(v) AS v, max(conf) AS conf, sum(sources) AS n FROM new GROUP BY k)
-SELECT coalesce(b.k, a.k) AS k, coalesce(b.v, a.v) AS v, round((coalesce(a.conf * a.n, 0.0E0) + coalesce(b.conf * b.n, 0.0E0)) / (coalesce(a.n, 0) + coalesce(b.n, 0)), 6) AS confidence FROM a FULL JOIN b ON a.k = b.k""",
-)
 both(
     "timeline_phases",
     """WITH y AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS y, count(*) AS n FROM {orders} GROUP BY 1), p AS (SELECT y, n, CAST(floor((row_number() OVER (ORDER BY y) - 1) * 4.0E0 / count(*) OVER ()) AS INT) AS phase FROM y),
@@ -102,21 +95,6 @@ SELECT o.o_custkey, CAST(year(o.o_orderdate) AS BIGINT) AS version, count(*) AS
 
 # --- graphs -------------------------------------------------------------
 both("graph_two_hop", "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey")
-both(
-    "evidence_closure",
-    """WITH RECURSIVE up(unit, node, depth) AS (SELECT CAST(p_partkey AS BIGINT), CAST(p_partkey AS BIGINT), 0 FROM part UNION ALL SELECT unit, node // 3, depth + 1 FROM up WHERE node > 0 AND depth < 12)
-SELECT unit, min(node) AS root, CAST(max(depth) AS INTEGER) AS depth FROM up WHERE node > 0 GROUP BY unit""",
-    """WITH RECURSIVE up(unit, node, depth) AS (SELECT CAST(p_partkey AS BIGINT), CAST(p_partkey AS BIGINT), 0 FROM {part} UNION ALL SELECT unit, node div 3, depth + 1 FROM up WHERE node > 0 AND depth < 12)
-SELECT unit, min(node) AS root, CAST(max(depth) AS INTEGER) AS depth FROM up WHERE node > 0 GROUP BY unit""",
-)
-
-
-@query()
-def graph_bfs(spark, sf):
-    """Suppliers and parts as one graph, two steps from the first supplier."""
-    li = table(spark, sf, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("s"), F.concat(F.lit("p"), "l_partkey").alias("p")).distinct()
-    edges = li.select(F.col("s").alias("src"), F.col("p").alias("dst")).union(li.select("p", "s")).withColumn("edge_id", F.concat_ws(">", "src", "dst"))
-    return bfs(edges, spark.createDataFrame([("s1",)], "node string"), hops=2)
 
 
 # --- data dictionaries --------------------------------------------------
