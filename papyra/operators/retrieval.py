@@ -55,21 +55,6 @@ def mmr(rows: list[tuple[int, float, list[float]]], k: int, weight: float = 0.75
     return [rows[i][0] for i in (chosen + rest)[:k]]
 
 
-def fit_window(before: list[str], anchor: str, after: list[str], budget: int) -> str:
-    """An evidence window within a token budget: the anchor, then neighbours nearest first on alternating sides."""
-    cost = lambda s: max(1, -(-len(s) // 4)) if s else 0
-    left = budget - cost(anchor)
-    sides, kept = [list(reversed(before)), list(after)], ([], [])
-    while any(sides):
-        for side, out in zip(sides, kept, strict=True):
-            if side and cost(side[0]) <= left:
-                left -= cost(side[0])
-                out.append(side.pop(0))
-            else:
-                side.clear()
-    return "\n".join([*reversed(kept[0]), ">>> " + anchor[: 4 * budget], *kept[1]])
-
-
 def without_overlap(before: str, after: str, least: int = 24) -> str:
     """``after`` without the beginning that repeats the end of ``before``, if ``least`` characters or more do.
 
@@ -84,24 +69,3 @@ def without_overlap(before: str, after: str, least: int = 24) -> str:
         border[i] = k + (joined[i] == joined[k])
     n = border[-1] if border else 0
     return after[n:] if n >= least else after
-
-
-def crop(text: str, terms_: list[str], room: int, slack: int = 96) -> str:
-    """At most ``room`` characters of an excerpt around the first query term in it, the ends moved to sentence ends up to ``slack`` away."""
-    import re
-
-    if len(text) <= room:
-        return text
-    low = text.lower()
-    spots = [p for t in terms_ if (p := low.find(t)) >= 0]
-    focus = min(spots) if spots else 0
-    start = max(0, min(focus - room // 2, len(text) - room))
-    end = start + room
-    if start:
-        heads = [m.end() for m in re.finditer(r"[.!?。！？\n]\s*", text[start : min(start + slack, focus)])]
-        start += heads[0] if heads else 0
-    if end < len(text):
-        after = max(end - slack, start, focus + 1)
-        tails = [m.end() for m in re.finditer(r"[.!?。！？\n]", text[after:end])]
-        end = after + tails[-1] if tails else end
-    return text[start:end].strip()

@@ -8,9 +8,7 @@ both("doc_filter", r"SELECT doc_id FROM {documents} WHERE lang IN ('en', 'de') A
 both("scope_fail_closed", "SELECT scope, count(doc_id) AS n FROM (VALUES ('all'), ('none'), ('src1')) AS s(scope) LEFT JOIN {documents} d ON scope = 'all' OR (scope <> 'none' AND d.source = scope) GROUP BY scope")
 # a conversation's rows are generations of it; the newest turn is the active one
 both("visible_chunks", "WITH g AS (SELECT conv_id, max(turn) AS active FROM {conversations} GROUP BY conv_id) SELECT c.role, count(*) AS n FROM {conversations} c JOIN g ON c.conv_id = g.conv_id AND c.turn = g.active GROUP BY c.role")
-both("keyset_page", "SELECT o_orderkey, o_orderdate FROM {orders} WHERE o_orderkey < 5000 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 51")
 both("offset_page", "SELECT doc_id, source, count(*) OVER () AS total FROM {documents} ORDER BY doc_id LIMIT 20 OFFSET 40")
-both("pinned_generation_read", "WITH pin AS (SELECT conv_id, min(turn) AS pinned FROM {conversations} WHERE role = 'assistant' GROUP BY conv_id) SELECT c.conv_id, c.turn AS generation, md5(c.text) AS hash FROM {conversations} c JOIN pin ON c.conv_id = pin.conv_id AND c.turn = pin.pinned")
 both("base_stats", "SELECT source, count(*) AS documents, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS chars, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS measured FROM {documents} GROUP BY source")
 both("history_top50", "SELECT event_id, ts FROM {events} ORDER BY ts DESC, event_id DESC LIMIT 50")
 both("history_trim", "SELECT count(*) AS dropped FROM {orders} o LEFT ANTI JOIN (SELECT o_orderkey FROM {orders} ORDER BY o_orderdate DESC, o_orderkey LIMIT 50) k ON o.o_orderkey = k.o_orderkey".replace("LEFT ANTI JOIN", "ANTI JOIN"), "SELECT count(*) AS dropped FROM {orders} o LEFT ANTI JOIN (SELECT o_orderkey FROM {orders} ORDER BY o_orderdate DESC, o_orderkey LIMIT 50) k ON o.o_orderkey = k.o_orderkey")
@@ -18,12 +16,8 @@ both("orphan_anti", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT
 both("semi_documents_with_labels", "SELECT count(DISTINCT doc_id) AS n FROM {documents} d WHERE EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id)")
 both("hash_dedup_plan", "SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) > 1 THEN 'skip' ELSE 'import' END AS plan FROM {documents}")
 both("title_conflicts", "SELECT a.p_partkey FROM {part} a WHERE EXISTS (SELECT 1 FROM {part} b WHERE b.p_name = a.p_name AND b.p_partkey < a.p_partkey)")
-both("rename_available", "SELECT p_partkey, CASE WHEN n = 1 THEN p_name || '.txt' ELSE p_name || '_' || CAST(n - 1 AS VARCHAR(9)) || '.txt' END AS name FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM {part}) x")
 both("union_generations", "SELECT o_orderpriority AS g FROM {orders} UNION SELECT c_mktsegment FROM {customer}")
 both("group_names", "SELECT name, min(position) AS position FROM (SELECT r_name AS name, r_regionkey AS position FROM {region} UNION ALL SELECT c_mktsegment, 100 FROM {customer}) x GROUP BY name")
-# what was indexed (labelled) against what is there now
-both("directory_rescan", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'missing' ELSE 'same' END AS state FROM (SELECT DISTINCT doc_id FROM {labels}) a FULL JOIN (SELECT DISTINCT doc_id FROM {documents}) b ON a.doc_id = b.doc_id")
-both("stale_urls", "SELECT event_id FROM {events} WHERE ts <= (SELECT max(ts) FROM {events}) - INTERVAL 24 HOUR AND event_type = 'view'")
 both("retired_generations", "SELECT o_orderkey FROM {orders} WHERE o_orderdate < (SELECT max(o_orderdate) FROM {orders}) - INTERVAL 30 DAY AND o_orderstatus = 'F'")
 
 # regions, nations, customers and suppliers as a tree
@@ -48,20 +42,11 @@ FROM (VALUES (0, 10, TRUE), (0, 0, TRUE), (200, 900, TRUE), (3, 0, TRUE), (3, 90
 )
 
 both("queue_depth", "SELECT event_type, count(*) AS depth FROM {events} GROUP BY event_type")
-both("op_metrics", "SELECT event_type, user_id % 3 AS state, count(*) AS n, round(coalesce(sum(CASE WHEN value > 0 THEN value ELSE 0.0E0 END), 0.0E0), 3) AS run FROM {events} GROUP BY event_type, user_id % 3")
-both("latest_event_state", "SELECT user_id, event_id, event_type FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM {events}) x WHERE r = 1")
 both("idempotency_dedup", "SELECT event_id FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM {events}) x WHERE before IS NULL OR ts > before + INTERVAL 10 MINUTE")
 both("event_tail", "SELECT event_id, event_type FROM {events} WHERE event_id > 500 ORDER BY event_id LIMIT 100")
-both("priority_aging", "SELECT o_orderkey FROM {orders} ORDER BY CAST(substr(o_orderpriority, 1, 1) AS INT) + (o_orderkey % 1000) DESC, o_orderdate, o_orderkey LIMIT 32")
 both("reindex_fingerprint", "SELECT source, md5(string_agg(CAST(length(md5(text)) AS VARCHAR) || ':' || md5(text), ',' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source", "SELECT source, md5(listagg(concat(length(md5(text)), ':', md5(text)), ',') WITHIN GROUP (ORDER BY doc_id)) AS fingerprint FROM {documents} GROUP BY source")
 
 both("session_turns", "SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM {conversations} WHERE role = 'user'")
-both("auto_followup_plan", "SELECT conv_id, turn, CASE WHEN length(text) < 40 AND before IS NOT NULL THEN before || ' ' || text ELSE text END AS query FROM (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM {conversations} WHERE role = 'user') x")
-both(
-    "auto_gate",
-    """WITH h AS (SELECT event_id, user_id, value / 100.0E0 AS score, max(value / 100.0E0) OVER (PARTITION BY user_id) AS best, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS seat FROM {events} WHERE value IS NOT NULL)
-SELECT event_id, user_id FROM h WHERE score >= 0.12E0 AND score >= 0.6E0 * best AND seat <= 3""",
-)
 both(
     "context_budget",
     "SELECT doc_id FROM (SELECT doc_id, sum((n_chars + 3) / 4.0E0) OVER (ORDER BY doc_id) AS used FROM {documents}) x WHERE used <= 4096",

@@ -73,10 +73,6 @@ def l2_normalize(spark, sf):
 both("vector_model_counts", "SELECT label, count(*) AS n FROM {embeddings} GROUP BY label")
 both("vector_dimensions", "SELECT CAST(max(len(embedding)) AS BIGINT) AS dimensions, count(*) AS n FROM embeddings", "SELECT CAST(max(size(embedding)) AS BIGINT) AS dimensions, count(*) AS n FROM {embeddings}")
 both("vector_stale", "SELECT count(*) AS embedded, CAST(sum(CASE WHEN label <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS stale FROM {embeddings}")
-both(
-    "vector_reuse_by_hash",
-    """SELECT d.doc_id, min(e.doc_id) AS reused_from FROM {documents} d JOIN {documents} e ON md5(d.text) = md5(e.text) AND e.doc_id < d.doc_id GROUP BY d.doc_id""",
-)
 
 _RRF = f"""WITH {_BM25}, {_VEC},
 a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id, idx) AS r FROM (SELECT doc_id, idx, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx) AS best FROM bm) WHERE best = 1 QUALIFY r <= 30),
@@ -129,14 +125,6 @@ def lane_diagnostics(spark, sf):
     return lex.select("id", F.col("rank").alias("lexical_rank")).join(vec.select("id", F.col("rank").alias("vector_rank")), "id", "full_outer")
 
 
-@query()
-def mmr_diverse(spark, sf):
-    """The pool is a fixed number of rows, so the greedy choice runs on the driver."""
-    top = vector(spark, sf, 12)
-    rows = [(r["vec_id"], r["score"], list(r["embedding"])) for r in top.join(table(spark, sf, "embeddings"), "vec_id").orderBy(F.desc("score"), "vec_id").collect()]
-    return spark.createDataFrame([(i, v) for i, v in enumerate(R.mmr(rows, 8), 1)], "rank int, vec_id long")
-
-
 @query(f"""WITH {_BM25}, top AS (SELECT doc_id, idx FROM bm ORDER BY score DESC, doc_id, idx LIMIT 10)
 SELECT c.doc_id, t.idx AS hit_idx, c.idx, c.text FROM top t JOIN chunks c ON c.doc_id = t.doc_id AND c.idx BETWEEN t.idx - 1 AND t.idx + 1""")
 def neighbor_windows(spark, sf):

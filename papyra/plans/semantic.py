@@ -46,15 +46,6 @@ def version_range(spark, sf):
     return version_rows(spark).filter(V.known(n) & ~n.startswith("rel-") & (V.parts(n) >= at(1, 2, 0, 0)) & (V.parts(n) < at(2, 0, 0, 0))).select("v")
 
 
-both(
-    "temporal_visibility",
-    """WITH u AS (SELECT p_partkey AS unit, p_size AS version, CASE p_partkey % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'conflicted' WHEN 2 THEN 'superseded' ELSE 'deleted' END AS status FROM {part})
-SELECT unit, status IN ('active', 'conflicted') AS visible_now, status <> 'deleted' AND version IN (10, 20) AS visible_at, status <> 'deleted' AND version BETWEEN 10 AND 20 AS visible_in_range FROM u""",
-)
-both(
-    "temporal_boost",
-    """SELECT p_partkey AS unit, CAST(CASE WHEN p_size = 0 THEN -0.25E0 WHEN p_size = 50 THEN 6.0E0 ELSE -2.0E0 END AS DOUBLE) AS now, CAST(CASE WHEN p_size IN (10, 20) THEN 8.0E0 WHEN p_size = 0 THEN -0.5E0 ELSE 0.0E0 END AS DOUBLE) AS explicit FROM {part}""",
-)
 both(
     "source_authority",
     """SELECT name, CAST(CASE WHEN lower(trim(name)) IN ('release', 'release_notes', 'release-notes', 'changelog') THEN 1 WHEN lower(trim(name)) IN ('product', 'documentation', 'docs', 'specification', 'spec') THEN 2
@@ -95,74 +86,3 @@ SELECT o.o_custkey, CAST(year(o.o_orderdate) AS BIGINT) AS version, count(*) AS
 
 # --- graphs -------------------------------------------------------------
 both("graph_two_hop", "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey")
-
-
-# --- data dictionaries --------------------------------------------------
-_FIELDS = [
-    (t, f, k)
-    for t, fs in {
-        "orders": "o_orderkey:long o_custkey:long o_orderstatus:string o_totalprice:double o_orderdate:date",
-        "customer": "c_custkey:long c_name:string c_nationkey:int c_acctbal:double",
-        "lineitem": "l_orderkey:long l_partkey:long l_suppkey:long l_shipdate:date",
-        "events": "event_id:long ts:time user_id:long event_type:string session_state:string",
-    }.items()
-    for f, k in (x.split(":") for x in fs.split())
-]
-_DICT = "d(t, f, k) AS (VALUES " + ", ".join(f"('{t}', '{f}', '{k}')" for t, f, k in _FIELDS) + ")"
-#: Concepts and the words that stand for them.
-_TAGS = {"User Identifier": "user|subscriber|imsi|msisdn", "Status": "status|state", "Time": "time|date", "Order": "order", "Session": "session", "Product": "product|offer"}
-_TAG_SQL = "c(name, pattern) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _TAGS.items()) + ")"
-_LIKE = {"s": "f rlike pattern", "d": "regexp_matches(f, pattern)"}
-
-for _name, _text in {
-    "concept_tags": "SELECT t, f, name FROM d JOIN c ON @like",
-    "concept_division": "SELECT t FROM d JOIN c ON @like WHERE name IN ('Status', 'Time') GROUP BY t HAVING count(DISTINCT name) = 2",
-    "concept_index": "SELECT name, count(DISTINCT t) AS tables, count(*) AS fields FROM d JOIN c ON @like GROUP BY name",
-    "candidate_joins": """SELECT a.t AS lt, a.f AS lf, b.t AS rt, b.f AS rf, round(least(0.85E0, CASE WHEN substr(a.f, 3) = substr(b.f, 3) THEN 0.45E0 WHEN position(substr(a.f, 3) in b.f) > 0 OR position(substr(b.f, 3) in a.f) > 0 THEN 0.22E0 ELSE 0.0E0 END
- + CASE WHEN a.k = b.k THEN 0.12E0 ELSE 0.0E0 END + CASE WHEN (a.f LIKE '%key' OR a.f LIKE '%id') AND (b.f LIKE '%key' OR b.f LIKE '%id') THEN 0.08E0 ELSE 0.0E0 END), 6) AS score
- FROM d a JOIN d b ON a.t < b.t WHERE substr(a.f, 3) = substr(b.f, 3)""",
-    "schema_search": """SELECT t, f, CAST(CASE WHEN position('order' in f) > 0 THEN 1 ELSE 0 END + CASE WHEN position('key' in f) > 0 THEN 1 ELSE 0 END + CASE WHEN position('orderkey' in f) > 0 THEN 2 ELSE 0 END AS INT) AS score
- FROM d WHERE position('order' in f) > 0 OR position('key' in f) > 0""",
-    "key_hints": "SELECT t, f, CASE WHEN f LIKE '%id' OR f LIKE '%key' OR f LIKE '%no' OR f LIKE '%number' THEN 0.60E0 END AS join_key, CASE WHEN f LIKE '%time%' OR f LIKE '%date%' OR f LIKE '%created%' THEN 0.50E0 END AS time_key FROM d",
-}.items():
-    _with = f"WITH {_DICT}, {_TAG_SQL} "
-    both(_name, _with + _text.replace("@like", _LIKE["d"]), _with + _text.replace("@like", _LIKE["s"]))
-
-both(
-    "header_score",
-    """WITH h(header) AS (VALUES ('field name|type|meaning'), ('column name|data type|length|enum'), ('name|value'), ('field|primary key|notes')),
-s AS (SELECT header, position('field' in header) > 0 OR position('column name' in header) > 0 AS f, position('type' in header) > 0 AS t, position('meaning' in header) > 0 OR position('notes' in header) > 0 AS m, position('enum' in header) > 0 AS e,
- position('key' in header) > 0 AS p, position('length' in header) > 0 AS l FROM h),
-x AS (SELECT *, round(0.10E0 + CASE WHEN f THEN 0.38E0 ELSE 0.0E0 END + CASE WHEN t THEN 0.22E0 ELSE 0.0E0 END + CASE WHEN m THEN 0.18E0 ELSE 0.0E0 END + CASE WHEN e THEN 0.10E0 ELSE 0.0E0 END + CASE WHEN p THEN 0.07E0 ELSE 0.0E0 END + CASE WHEN l THEN 0.05E0 ELSE 0.0E0 END, 6) AS score FROM s)
-SELECT header, score, f AND (t OR m OR e) AND score >= 0.55E0 AS accepted FROM x""",
-)
-both(
-    "enum_parse",
-    """SELECT split_part(m, ':', 1) AS value, split_part(m, ':', 2) AS label FROM (SELECT unnest(string_split('0:off;1:on;2:unknown', ';')) AS m)""",
-    """SELECT split_part(m, ':', 1) AS value, split_part(m, ':', 2) AS label FROM (SELECT explode(split('0:off;1:on;2:unknown', ';')) AS m)""",
-)
-both(
-    "schema_intent",
-    """SELECT q, CASE WHEN position('join' in lower(q)) > 0 OR position('candidate key' in lower(q)) > 0 THEN 'join_candidate' WHEN position('resolve' in lower(q)) > 0 THEN 'data_requirement' WHEN position('enum' in lower(q)) > 0 THEN 'enum_lookup'
-WHEN position(' fields' in lower(q)) > 0 THEN 'exact_table' WHEN position('what is' in lower(q)) > 0 THEN 'exact_field' WHEN position('field' in lower(q)) > 0 THEN 'semantic_field' ELSE 'table_discovery' END AS intent
-FROM (VALUES ('Which tables JOIN on user'), ('enum of status'), ('orders fields'), ('What is o_custkey'), ('field about time'), ('traffic'), ('resolve revenue')) AS t(q)""",
-)
-_M = {
-    "temporal": ["current", "latest", "newest", "before", "after", "as of", "history", "historical", "version", "when"],
-    "multi_hop": ["how does", "why does", "why do", "why is", "lead to", "leads to", "because", "cause", "affect", "relationship", "connected", "chain"],
-    "comparison": ["compare", "comparison", "difference", "differences", "differ", " versus ", " vs "],
-    "cross_document": ["across documents", "across the documents", "all documents", "different documents", "multiple documents", "each document"],
-    "global": ["overall", "whole knowledge base", "summarize", "summary", "overview", "what are the main"],
-    "local_document": ["this document", "the document", "in this file"],
-}
-_ROUTES = ["What is the latest version?", "Compare rel-16 and rel-17", "summarize all documents", "why does load affect latency", "how many cells are there?", "in this file, which rule"]
-_route = " UNION ALL ".join(
-    f"SELECT q, {i} AS o, '{name}' AS intent, " + " + ".join(f"CASE WHEN position('{m.strip()}' in lower(q)) > 0 THEN 2 ELSE 0 END" for m in marks) + " AS n FROM r" for i, (name, marks) in enumerate(_M.items())
-)
-both(
-    "route_query",
-    f"""WITH r(q) AS (VALUES {", ".join(f"('{q}')" for q in _ROUTES)}), s AS ({_route} UNION ALL SELECT q, 9 AS o, 'fact' AS intent,
- CASE WHEN position('what is' in lower(q)) > 0 OR position('how much' in lower(q)) > 0 OR position('how many' in lower(q)) > 0 OR position('which' in lower(q)) > 0 OR position('where' in lower(q)) > 0 THEN 2 ELSE 0 END + CASE WHEN position('?' in q) > 0 THEN 1 ELSE 0 END AS n FROM r),
-k AS (SELECT q, intent, n, sum(n) OVER (PARTITION BY q) AS total, row_number() OVER (PARTITION BY q ORDER BY n DESC, CASE WHEN intent = 'fact' THEN -1 ELSE o END) AS rank FROM s)
-SELECT q, intent, round(greatest(0.35E0, CASE WHEN total > 0 THEN CAST(n AS DOUBLE) / total ELSE 0.35E0 END), 6) AS confidence FROM k WHERE rank = 1""",
-)

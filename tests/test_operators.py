@@ -47,10 +47,6 @@ def test_mmr_prefers_what_is_new():
     assert R.mmr([], 3) == []
 
 
-def test_fit_window():
-    assert R.fit_window(["a" * 40, "b" * 8], "anchor", ["c" * 8], 7) == "b" * 8 + "\n>>> anchor\n" + "c" * 8
-
-
 def test_html():
     title, text = to_text("<title> T </title><h2>Head</h2><p>a  <b>b</b></p><script>x()</script><ul><li>i<li>j</ul>")
     assert (title, text) == ("T", "## Head\na b\n- i\n- j")
