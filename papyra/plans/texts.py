@@ -14,8 +14,11 @@ _CJK = r"\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}"
 _EST = rf"""CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(ceil(length(regexp_replace(text, '[^{_CJK}]', '', 'g')) / 1.5::DOUBLE
  + (length(text) - length(regexp_replace(text, '[^{_CJK}]', '', 'g'))) / 4.0::DOUBLE) AS BIGINT)) END"""
 _NORM = r"regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
-_SENT = r"""list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '([A-Za-z0-9])\.([A-Za-z0-9])', '\1' || chr(1) || '\2', 'g'),
- '[.!?。！？\n]', chr(2), 'g'), chr(2)), lambda s: replace(trim(s), chr(1), '.')), lambda s: s <> '')"""
+_PROTECTED = "text"
+for _one in (r"(\p{Nd})\.(\p{Nd})", r"(\p{L})\.(\p{L})"):
+    for _ in range(2):  # matches that share a letter are found by a second pass
+        _PROTECTED = rf"regexp_replace({_PROTECTED}, '{_one}', '\1' || chr(1) || '\2', 'g')"
+_SENT = rf"list_filter(list_transform(string_split_regex({_PROTECTED}, '[.!?。！？\n]'), lambda s: replace(trim(s), chr(1), '.')), lambda s: s <> '')"
 
 
 @query(f"SELECT doc_id, CAST({_EST} AS BIGINT) AS tokens FROM documents")
