@@ -54,6 +54,32 @@ def test_odd_and_empty_tables(spark, name):
     assert f(odd(spark).limit(0)).count() == 0
 
 
+def by_text(rows, *names):
+    """Sorted values of a result's rows."""
+    return sorted((tuple(r[n] for n in names) for r in rows), key=repr)
+
+
+def test_odd_rows_have_defined_values(spark):
+    f, d = ops(spark), odd(spark)
+    near = by_text(f["near"](d).collect(), "doc_id", "class_id", "class_rows", "stays")
+    assert near == sorted([(1, 1, 1, True), (2, 2, 1, True), (2, 2, 1, True), (3, 3, 1, True), (4, 4, 2, True), (5, 4, 2, False), (5, 5, 1, True), (6, 6, 1, True), (None, None, 1, True)], key=repr)
+    scores = by_text(f["lm"](d).collect(), "doc_id", "n_tokens", "held_out")
+    assert [x[:2] for x in scores] == sorted([(1, 1), (2, 1), (2, 1), (3, 1), (4, 30_001), (5, 30_001), (5, 6), (6, 6), (None, 6)], key=repr)
+    assert all(h == (zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1) for i, _, h in scores)
+    toxic = f["toxic"](d)
+    assert toxic.columns == d.columns + ["severity", "grade", "toxic"]
+    blank = {round(r.severity, 9) for r in toxic.filter("doc_id in (1, 2, 3)").collect()}
+    assert len(blank) == 1 and all(0 <= r.severity <= 2 and r.grade in (0, 1, 2) for r in toxic.collect())
+    assert {(r.severity, r.grade, r.toxic) for r in toxicity.grade(d, d.limit(0).selectExpr("doc_id", "1 AS toxic")).collect()} == {(0.0, 0, False)}
+    rated = by_text(f["fertility"](d).filter("coalesce(doc_id, 0) < 4 OR doc_id = 6").collect(), "doc_id", "n_words", "base_failed", "kept")
+    assert rated == sorted([(1, 0, True, False), (2, 0, True, False), (2, 0, True, False), (3, 0, True, False), (6, 5, True, False), (None, 5, True, False)], key=repr)
+    mixed = f["mix"](d).collect()
+    assert all(r.taken == 0 and r.first_slot is None for r in mixed if r.size == 0) and {r.source_size for r in mixed if r.doc_id is None} == {5}
+    assert sum(r.taken for r in mixed) == pytest.approx(sum(r.target for r in {r.source_size: r for r in mixed}.values()), abs=12)
+    for name, counts in (("secrets", ("n_assign", "n_access", "n_hex")), ("pii", ("n_email", "n_ip", "n_card", "n_phone"))):
+        assert {tuple(r[c] for c in counts) + (r.spans,) for r in f[name](d).collect()} == {(0,) * len(counts) + ("",)}
+
+
 def docs_of(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
 
