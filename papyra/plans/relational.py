@@ -26,7 +26,6 @@ UNION ALL SELECT 'n' || CAST(n_nationkey AS VARCHAR(9)), 'r' || CAST(n_regionkey
 both("tree_descend", f"WITH RECURSIVE {_TREE}, down(id, depth) AS (SELECT id, 0 FROM tree WHERE id = 'r1' UNION ALL SELECT t.id, d.depth + 1 FROM tree t JOIN down d ON t.parent = d.id WHERE d.depth < 64) SELECT id, CAST(depth AS INT) AS depth FROM down")
 both("tree_ancestors", f"WITH RECURSIVE {_TREE}, up(leaf, id, depth) AS (SELECT id, parent, 1 FROM tree WHERE kind = 0 UNION ALL SELECT u.leaf, t.parent, u.depth + 1 FROM tree t JOIN up u ON t.id = u.id WHERE t.parent IS NOT NULL AND u.depth < 64) SELECT leaf, id, CAST(depth AS INT) AS depth FROM up")
 both("breadcrumb", "SELECT s_suppkey, r_name || '/' || n_name || '/' || s_name AS path FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey")
-both("tree_status", "SELECT n_regionkey, CASE WHEN count(CASE WHEN s_acctbal < -500 THEN 1 END) > 0 THEN 'failed' WHEN count(CASE WHEN s_acctbal < 0 THEN 1 END) > 0 THEN 'pending' ELSE 'ready' END AS status, min(CASE WHEN s_acctbal < -500 THEN s_suppkey END) AS first_failed FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey GROUP BY n_regionkey")
 both("directory_first_sort", f"WITH {_TREE} SELECT id, CAST(row_number() OVER (ORDER BY CASE WHEN kind = 1 THEN 0 ELSE 1 END, name, id) AS INT) AS position FROM tree")
 both("delete_fence", f"WITH RECURSIVE {_TREE}, down(id, depth) AS (SELECT id, 0 FROM tree WHERE id = 'n3' UNION ALL SELECT t.id, d.depth + 1 FROM tree t JOIN down d ON t.parent = d.id WHERE d.depth < 64) SELECT t.id, CASE WHEN d.id IS NULL THEN 'active' ELSE 'deleting' END AS state FROM tree t LEFT JOIN down d ON t.id = d.id")
 

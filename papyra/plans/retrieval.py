@@ -174,20 +174,3 @@ def needle_recall(spark, sf):
     return needles(spark, sf).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("docs"))
 
 
-both(
-    "retrieval_metrics",
-    """WITH h AS (SELECT e.vec_id % 7 AS q, e.vec_id, e.label, row_number() OVER (PARTITION BY e.vec_id % 7 ORDER BY e.vec_id) AS r FROM {embeddings} e),
-m AS (SELECT q, min(CASE WHEN label = 1 THEN r END) AS first, sum(CASE WHEN label = 1 AND r <= 3 THEN 1 ELSE 0 END) AS in3, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS rel FROM h GROUP BY q)
-SELECT round(avg(CASE WHEN first = 1 THEN 1.0E0 ELSE 0.0E0 END), 6) AS hit1, round(avg(CASE WHEN first <= 3 THEN 1.0E0 ELSE 0.0E0 END), 6) AS hit3,
-round(avg(coalesce(1.0E0 / first, 0.0E0)), 6) AS mrr, round(avg(CASE WHEN rel > 0 THEN CAST(in3 AS DOUBLE) / rel ELSE 0.0E0 END), 6) AS recall3 FROM m""",
-)
-both(
-    "eval_summary",
-    """WITH r AS (SELECT event_type AS category, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM {events} WHERE value IS NOT NULL)
-SELECT category, count(*) AS questions, round(avg(value), 6) AS mean, max(CASE WHEN i = greatest(1, CAST(floor(n * 0.95E0) AS BIGINT)) THEN value END) AS p95 FROM r GROUP BY category""",
-)
-both(
-    "arm_compare",
-    """WITH a AS (SELECT event_type AS metric, round(avg(value), 6) AS v FROM {events} WHERE user_id % 2 = 0 GROUP BY event_type), b AS (SELECT event_type AS metric, round(avg(value), 6) AS v FROM {events} WHERE user_id % 2 = 1 GROUP BY event_type)
-SELECT metric, a.v AS base_value, b.v AS arm_value, round(b.v - a.v, 5) AS delta, round(CASE WHEN a.v = 0 THEN 0.0E0 ELSE (b.v - a.v) / a.v END, 5) AS relative FROM a JOIN b USING (metric)""",
-)

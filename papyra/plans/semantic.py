@@ -46,12 +46,6 @@ def version_range(spark, sf):
     return version_rows(spark).filter(V.known(n) & ~n.startswith("rel-") & (V.parts(n) >= at(1, 2, 0, 0)) & (V.parts(n) < at(2, 0, 0, 0))).select("v")
 
 
-both(
-    "source_authority",
-    """SELECT name, CAST(CASE WHEN lower(trim(name)) IN ('release', 'release_notes', 'release-notes', 'changelog') THEN 1 WHEN lower(trim(name)) IN ('product', 'documentation', 'docs', 'specification', 'spec') THEN 2
-WHEN lower(trim(name)) IN ('code', 'source') THEN 3 WHEN lower(trim(name)) = 'readme' THEN 4 WHEN lower(trim(name)) IN ('design', 'old-design') THEN 5
-WHEN try_cast(name AS INT) BETWEEN 0 AND 100 THEN try_cast(name AS INT) ELSE 8 END AS INT) AS priority FROM (VALUES ('Docs'), ('changelog'), ('17'), ('blog'), ('CODE'), ('readme'), ('101')) AS t(name)""",
-)
 both(
     "dirty_documents",
     """WITH prior AS (SELECT o_custkey AS doc, CAST(count(*) AS VARCHAR(20)) || ':' || CAST(max(o_orderkey) AS VARCHAR(20)) AS sig FROM {orders} WHERE o_orderdate < TIMESTAMP '1996-01-01 00:00:00' GROUP BY o_custkey),
@@ -64,12 +58,6 @@ both(
     """WITH f AS (SELECT p_name, p_brand, max(p_size) AS v FROM {part} GROUP BY p_name, p_brand), a AS (SELECT p_name AS k, max(v) AS v FROM f WHERE p_brand < 'Brand#3' GROUP BY p_name), b AS (SELECT p_name AS k, max(v) AS v FROM f WHERE p_brand >= 'Brand#2' GROUP BY p_name)
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.v <> b.v THEN 'changed' ELSE 'unchanged' END AS state FROM a FULL JOIN b ON a.k = b.k""",
 )
-both(
-    "timeline_phases",
-    """WITH y AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS y, count(*) AS n FROM {orders} GROUP BY 1), p AS (SELECT y, n, CAST(floor((row_number() OVER (ORDER BY y) - 1) * 4.0E0 / count(*) OVER ()) AS INT) AS phase FROM y),
-g AS (SELECT phase, min(y) AS first, max(y) AS last, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY phase)
-SELECT phase, first, last, n, lead(first) OVER (ORDER BY phase) AS next FROM g""",
-)
 both(
     "history_sample",
     """WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM {orders}),
@@ -77,11 +65,6 @@ b AS (SELECT *, CAST(floor(i * 4.0E0 / n) AS INT) AS bucket FROM o), r AS (SELEC
 SELECT o_custkey, bucket, o_orderkey FROM r WHERE r = 1""",
 )
 
-both(
-    "history_range",
-    """WITH e AS (SELECT o_custkey, min(o_orderdate) AS since FROM {orders} WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey)
-SELECT o.o_custkey, CAST(year(o.o_orderdate) AS BIGINT) AS version, count(*) AS n FROM {orders} o JOIN e ON o.o_custkey = e.o_custkey AND o.o_orderdate >= e.since GROUP BY 1, 2""",
-)
 
 
 # --- graphs -------------------------------------------------------------

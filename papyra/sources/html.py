@@ -73,3 +73,14 @@ def pages_to_text(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame([to_text(x) for x in html], columns=["title", "text"])
 
     return pages.select("page_id", "url", convert("html").alias("t")).select("page_id", "url", "t.title", "t.text")
+
+
+def strip_tags(html: str) -> str:
+    """What stands outside all signs < and >, however they are nested; a > without a < is left out."""
+    depth, out = 0, []
+    for c in html:
+        depth += c == "<"
+        if not depth and c != ">":
+            out.append(c)
+        depth = max(0, depth - (c == ">"))
+    return "".join(out)

@@ -95,3 +95,35 @@ def pieces(n: DataFrame) -> DataFrame:
     idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
     said = F.trim(F.concat_ws(" ", context(F.col("title"), F.col("path")), F.col("text")))
     return leaf.select("doc_id", idx.cast("long").alias("idx"), "type", "path", "text", said.alias("search_text"))
+
+
+def provenance(links: DataFrame, n: DataFrame) -> DataFrame:
+    """(doc_id, generation, chunk, node_id, score): of the nodes that a chunk is linked with, the most specific, ties to the smaller id. ``links``: doc_id, generation, chunk, node_id; ``n`` has generation, header and type."""
+    from papyra.functions.sources import anchor_score
+
+    j = links.join(n.select("doc_id", "generation", "node_id", "type", "header"), ["doc_id", "generation", "node_id"])
+    best = F.min(F.struct((-anchor_score(F.col("type"), F.col("header"))).alias("less"), "node_id"))
+    return j.groupBy("doc_id", "generation", "chunk").agg(best.alias("b")).select("doc_id", "generation", "chunk", "b.node_id", (-F.col("b.less")).alias("score"))
+
+
+def nodes_of(pieces_: DataFrame, n: DataFrame, most: int = 8) -> DataFrame:
+    """(doc_id, idx, node_id, how): the nodes a piece (doc_id, idx, text, heading) comes from, ``most`` at most, in order.
+
+    Nodes of exactly its text, by a join on the text's hash; where there are none, nodes of its document of which one
+    text holds the other, or that stand under its heading; else the document's first node.
+    """
+    from pyspark.sql import Window
+
+    from papyra.functions.text import normalize
+
+    real = n.filter("type <> 'document'").select("doc_id", "node_id", "ord", normalize(F.col("text")).alias("t"), F.array_join("path", " ").alias("under"))
+    p = pieces_.select("doc_id", "idx", normalize(F.col("text")).alias("target"), F.trim(F.coalesce("heading", F.lit(""))).alias("heading"))
+    same = p.join(real, (p["doc_id"] == real["doc_id"]) & (F.sha2(p["target"], 256) == F.sha2(real["t"], 256))).select(p["doc_id"], "idx", "node_id", "ord", F.lit("text").alias("how"))
+    rest = p.join(same.select("doc_id", "idx").distinct(), ["doc_id", "idx"], "left_anti")
+    near = F.contains("t", "target") | F.contains("target", "t") | ((F.col("heading") != "") & F.contains("under", "heading"))
+    part = rest.join(real, "doc_id").filter((F.col("t") != "") & near).select("doc_id", "idx", "node_id", "ord", F.lit("part").alias("how"))
+    lone = rest.join(part.select("doc_id", "idx").distinct(), ["doc_id", "idx"], "left_anti")
+    first = real.groupBy("doc_id").agg(F.min(F.struct("ord", "node_id")).alias("f"))
+    lone = lone.join(first, "doc_id").select("doc_id", "idx", F.col("f.node_id").alias("node_id"), F.col("f.ord").alias("ord"), F.lit("first").alias("how"))
+    every = same.unionByName(part).unionByName(lone)
+    return every.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "idx").orderBy("ord"))).filter(F.col("n") <= most).select("doc_id", "idx", "node_id", "how")

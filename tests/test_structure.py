@@ -119,3 +119,23 @@ def test_overlap():
     shared = "a stretch that both of the texts hold"
     assert R.without_overlap("left " + shared, shared + " right") == " right"
     assert R.without_overlap("left ab", "ab right") == "ab right" and R.without_overlap("", "x") == "x" and R.without_overlap("x", "") == ""
+
+
+def test_registry_reads_all_kinds(spark, tmp_path):
+    from papyra.sources import registry
+    from papyra.sources.html import strip_tags
+
+    deep = tmp_path / "a" / "b"
+    deep.mkdir(parents=True)
+    (tmp_path / "x.MD").write_bytes(b"\xef\xbb\xbf# T")
+    (tmp_path / "p.html").write_bytes(b"<title>P</title><h1>Head</h1><p>text")
+    (tmp_path / "f.txt").write_bytes(b"%PDF-1.7 ...")
+    (tmp_path / "z.bin").write_bytes(b"\x00")
+    (tmp_path / "bad.docx").write_bytes(b"no zip")
+    (deep / "y.txt").write_bytes(b"deep")
+    got = {r["name"]: (r["kind"], r["title"], r["text"], r["problem"]) for r in registry.documents(spark, "file://" + str(tmp_path)).collect()}
+    assert got["x.MD"] == ("text", "x", "# T", None) and got["p.html"] == ("html", "P", "# Head\ntext", None) and got["y.txt"][2] == "deep"
+    assert got["f.txt"][0] == "pdf" and got["z.bin"][3] == "unsupported: bin" and got["bad.docx"][3].startswith("damaged")
+    assert "y.txt" not in {r["name"] for r in registry.documents(spark, "file://" + str(tmp_path), depth=1).collect()}
+    assert {"txt", "html", "docx", "epub"} <= set(registry.supported())
+    assert strip_tags("a <b <c> d> e > f") == "a  e  f"
