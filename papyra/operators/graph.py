@@ -103,3 +103,40 @@ def unsupported(derived: DataFrame, ids: DataFrame, sourced: DataFrame) -> DataF
         new = written(bare.join(open_.select("id"), "id", "left_anti").join(gone, "id", "left_anti"), "dropped")
         gone = gone.unionByName(new)
     return gone.distinct()
+
+
+def expand(units: DataFrame, relations: DataFrame, keys: list[str], kinds: list[str] | None = None, direction: str = "out", hops: int | None = None, nodes: int | None = None, fan_out: int | None = None, visible=None) -> tuple[DataFrame, DataFrame, bool]:
+    """What is reached from units (by key) over relations (type, subject, object): (node, hop, parent, edge_id), the edges among them, and whether bounds cut it off.
+
+    Keys that don't exist or aren't visible are an error; invisible units are not passed through. ``kinds`` are the types of
+    relations that are followed.
+    """
+    from papyra.functions.questions import Temporal
+    from papyra.operators.context import visible as seen
+
+    b = bounds(hops, nodes, fan_out)
+    live = written(units.filter(seen(Temporal("current")) if visible is None else visible).select("key").distinct(), "visible")
+    found = {r["key"] for r in live.filter(F.col("key").isin(keys)).collect()}
+    if missing := sorted(set(keys) - found):
+        raise KeyError(f"no visible units: {missing[:5]}")
+    r = relations if kinds is None else relations.filter(F.col("type").isin(kinds))
+    edges = r.select(F.col("subject").alias("src"), F.col("object").alias("dst"), F.concat_ws(":", "type", "subject", "object").alias("edge_id"))
+    for end in ("src", "dst"):
+        edges = edges.join(live.withColumnRenamed("key", end), end, "left_semi")
+    edges = written(edges.select("src", "dst", "edge_id"), "edges")
+    start = units.sparkSession.createDataFrame([(k,) for k in sorted(set(keys))], "node string")
+    reached = written(bfs(edges, start, b["hops"], b["fan_out"], direction, b["nodes"]), "reached")
+    ids = reached.select("node")
+    among = edges.join(ids.withColumnRenamed("node", "src"), "src", "left_semi").join(ids.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    more = directed(edges, direction).join(ids.withColumnRenamed("node", "src"), "src", "left_semi").join(ids.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    inner = reached.filter(F.col("hop") < b["hops"]).select(F.col("node").alias("src"))
+    cut = more.join(inner, "src", "left_semi").limit(1).count() > 0
+    return reached, among, cut
+
+
+def explore(units: DataFrame, relations: DataFrame, question: str, seeds: int | None = None, **traversal) -> tuple[DataFrame, DataFrame, bool]:
+    """As ``expand``, from the facts that a question finds."""
+    from papyra.operators.semantic import search_units
+
+    top = search_units(units, question, ("fact",), bounds(seeds=seeds)["seeds"])
+    return expand(units, relations, [r["key"] for r in top.select("key").collect()], **traversal)

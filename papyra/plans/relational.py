@@ -5,17 +5,11 @@ from __future__ import annotations
 from papyra.plans.catalogue import both
 
 both("doc_filter", r"SELECT doc_id FROM {documents} WHERE lang IN ('en', 'de') AND ('doc-' || CAST(doc_id AS STRING)) LIKE '%1%' AND n_chars BETWEEN 200 AND 5000".replace("STRING", "VARCHAR"), r"SELECT doc_id FROM {documents} WHERE lang IN ('en', 'de') AND concat('doc-', doc_id) LIKE '%1%' AND n_chars BETWEEN 200 AND 5000")
-both("scope_fail_closed", "SELECT scope, count(doc_id) AS n FROM (VALUES ('all'), ('none'), ('src1')) AS s(scope) LEFT JOIN {documents} d ON scope = 'all' OR (scope <> 'none' AND d.source = scope) GROUP BY scope")
-# a conversation's rows are generations of it; the newest turn is the active one
-both("visible_chunks", "WITH g AS (SELECT conv_id, max(turn) AS active FROM {conversations} GROUP BY conv_id) SELECT c.role, count(*) AS n FROM {conversations} c JOIN g ON c.conv_id = g.conv_id AND c.turn = g.active GROUP BY c.role")
-both("offset_page", "SELECT doc_id, source, count(*) OVER () AS total FROM {documents} ORDER BY doc_id LIMIT 20 OFFSET 40")
 both("base_stats", "SELECT source, count(*) AS documents, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS chars, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS measured FROM {documents} GROUP BY source")
 both("history_top50", "SELECT event_id, ts FROM {events} ORDER BY ts DESC, event_id DESC LIMIT 50")
 both("history_trim", "SELECT count(*) AS dropped FROM {orders} o LEFT ANTI JOIN (SELECT o_orderkey FROM {orders} ORDER BY o_orderdate DESC, o_orderkey LIMIT 50) k ON o.o_orderkey = k.o_orderkey".replace("LEFT ANTI JOIN", "ANTI JOIN"), "SELECT count(*) AS dropped FROM {orders} o LEFT ANTI JOIN (SELECT o_orderkey FROM {orders} ORDER BY o_orderdate DESC, o_orderkey LIMIT 50) k ON o.o_orderkey = k.o_orderkey")
 both("orphan_anti", "SELECT c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)")
 both("semi_documents_with_labels", "SELECT count(DISTINCT doc_id) AS n FROM {documents} d WHERE EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id)")
-both("hash_dedup_plan", "SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) > 1 THEN 'skip' ELSE 'import' END AS plan FROM {documents}")
-both("title_conflicts", "SELECT a.p_partkey FROM {part} a WHERE EXISTS (SELECT 1 FROM {part} b WHERE b.p_name = a.p_name AND b.p_partkey < a.p_partkey)")
 both("union_generations", "SELECT o_orderpriority AS g FROM {orders} UNION SELECT c_mktsegment FROM {customer}")
 both("group_names", "SELECT name, min(position) AS position FROM (SELECT r_name AS name, r_regionkey AS position FROM {region} UNION ALL SELECT c_mktsegment, 100 FROM {customer}) x GROUP BY name")
 both("retired_generations", "SELECT o_orderkey FROM {orders} WHERE o_orderdate < (SELECT max(o_orderdate) FROM {orders}) - INTERVAL 30 DAY AND o_orderstatus = 'F'")
@@ -25,29 +19,11 @@ _TREE = """tree(id, parent, kind, name) AS (SELECT 'r' || CAST(r_regionkey AS VA
 UNION ALL SELECT 'n' || CAST(n_nationkey AS VARCHAR(9)), 'r' || CAST(n_regionkey AS VARCHAR(9)), 1, n_name FROM {nation} UNION ALL SELECT 's' || CAST(s_suppkey AS VARCHAR(9)), 'n' || CAST(s_nationkey AS VARCHAR(9)), 0, s_name FROM {supplier})"""
 both("tree_descend", f"WITH RECURSIVE {_TREE}, down(id, depth) AS (SELECT id, 0 FROM tree WHERE id = 'r1' UNION ALL SELECT t.id, d.depth + 1 FROM tree t JOIN down d ON t.parent = d.id WHERE d.depth < 64) SELECT id, CAST(depth AS INT) AS depth FROM down")
 both("tree_ancestors", f"WITH RECURSIVE {_TREE}, up(leaf, id, depth) AS (SELECT id, parent, 1 FROM tree WHERE kind = 0 UNION ALL SELECT u.leaf, t.parent, u.depth + 1 FROM tree t JOIN up u ON t.id = u.id WHERE t.parent IS NOT NULL AND u.depth < 64) SELECT leaf, id, CAST(depth AS INT) AS depth FROM up")
-both("breadcrumb", "SELECT s_suppkey, r_name || '/' || n_name || '/' || s_name AS path FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey")
-both("directory_first_sort", f"WITH {_TREE} SELECT id, CAST(row_number() OVER (ORDER BY CASE WHEN kind = 1 THEN 0 ELSE 1 END, name, id) AS INT) AS position FROM tree")
 both("delete_fence", f"WITH RECURSIVE {_TREE}, down(id, depth) AS (SELECT id, 0 FROM tree WHERE id = 'n3' UNION ALL SELECT t.id, d.depth + 1 FROM tree t JOIN down d ON t.parent = d.id WHERE d.depth < 64) SELECT t.id, CASE WHEN d.id IS NULL THEN 'active' ELSE 'deleting' END AS state FROM tree t LEFT JOIN down d ON t.id = d.id")
 
-_CLASS = "CASE WHEN l.toxic = 1 THEN 'INCOMPLETE' WHEN l.quality = 0 THEN 'LOW_QUALITY' ELSE 'GOOD' END"
-both("quality_classify", f"SELECT d.doc_id, {_CLASS} AS status, CASE {_CLASS} WHEN 'GOOD' THEN 1.0E0 WHEN 'LOW_QUALITY' THEN 0.3E0 ELSE 0.0E0 END AS score FROM {{documents}} d LEFT JOIN {{labels}} l ON d.doc_id = l.doc_id")
-both("quality_summary", f"SELECT {_CLASS} AS status, count(*) AS n FROM {{documents}} d LEFT JOIN {{labels}} l ON d.doc_id = l.doc_id GROUP BY 1")
-both("quality_guard_order", f"SELECT doc_id, CAST(row_number() OVER (ORDER BY CASE WHEN status = 'LOW_QUALITY' THEN 1 ELSE 0 END, n_chars DESC, doc_id) AS BIGINT) AS place FROM (SELECT d.doc_id, d.n_chars, {_CLASS} AS status FROM {{documents}} d LEFT JOIN {{labels}} l ON d.doc_id = l.doc_id) x WHERE status <> 'INCOMPLETE'")
-both(
-    "extraction_quality",
-    """SELECT pages, chars, healthy, CASE WHEN pages <= 0 THEN CASE WHEN chars <= 0 THEN 'INCOMPLETE' WHEN NOT healthy THEN 'LOW_QUALITY' ELSE 'GOOD' END WHEN pages >= 100 AND CAST(chars AS DOUBLE) / pages < 40 THEN 'INCOMPLETE'
-WHEN chars <= 0 THEN 'INCOMPLETE' WHEN NOT healthy THEN 'LOW_QUALITY' WHEN CAST(chars AS DOUBLE) / pages < 200 THEN 'WARNING' ELSE 'GOOD' END AS status
-FROM (VALUES (0, 10, TRUE), (0, 0, TRUE), (200, 900, TRUE), (3, 0, TRUE), (3, 90, FALSE), (3, 90, TRUE), (3, 9000, TRUE)) AS t(pages, chars, healthy)""",
-)
-
 both("queue_depth", "SELECT event_type, count(*) AS depth FROM {events} GROUP BY event_type")
 both("idempotency_dedup", "SELECT event_id FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM {events}) x WHERE before IS NULL OR ts > before + INTERVAL 10 MINUTE")
 both("event_tail", "SELECT event_id, event_type FROM {events} WHERE event_id > 500 ORDER BY event_id LIMIT 100")
-both("reindex_fingerprint", "SELECT source, md5(string_agg(CAST(length(md5(text)) AS VARCHAR) || ':' || md5(text), ',' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source", "SELECT source, md5(listagg(concat(length(md5(text)), ':', md5(text)), ',') WITHIN GROUP (ORDER BY doc_id)) AS fingerprint FROM {documents} GROUP BY source")
 
 both("session_turns", "SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM {conversations} WHERE role = 'user'")
-both(
-    "context_budget",
-    "SELECT doc_id FROM (SELECT doc_id, sum((n_chars + 3) / 4.0E0) OVER (ORDER BY doc_id) AS used FROM {documents}) x WHERE used <= 4096",
-)
 both("capabilities", "SELECT d.source, count(*) AS documents, count(l.doc_id) AS labelled, max(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END) AS good FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY d.source")

@@ -64,8 +64,3 @@ both(
 b AS (SELECT *, CAST(floor(i * 4.0E0 / n) AS INT) AS bucket FROM o), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, bucket ORDER BY o_totalprice DESC, o_orderkey) AS r FROM b)
 SELECT o_custkey, bucket, o_orderkey FROM r WHERE r = 1""",
 )
-
-
-
-# --- graphs -------------------------------------------------------------
-both("graph_two_hop", "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey")

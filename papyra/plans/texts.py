@@ -185,9 +185,3 @@ both(
 WHERE earlier IS NULL OR earlier <> h""",
 )
 both("pages_per_host", "SELECT split_part(split_part(url, '://', 2), '/', 1) AS host, count(*) AS pages, CAST(sum(length(html)) AS BIGINT) AS chars FROM {pages} GROUP BY 1")
-both(
-    "anchor_scores",
-    """SELECT node_type, CAST(CASE node_type WHEN 'cell' THEN 100 WHEN 'header_cell' THEN 90 WHEN 'page' THEN 90 WHEN 'slide' THEN 90 WHEN 'sheet' THEN 90
-WHEN 'paragraph' THEN 80 WHEN 'heading' THEN 80 WHEN 'caption' THEN 70 ELSE 20 END AS INT) AS score
-FROM (VALUES ('cell'), ('header_cell'), ('page'), ('slide'), ('sheet'), ('paragraph'), ('heading'), ('caption'), ('list'), ('document')) AS t(node_type)""",
-)

@@ -183,3 +183,15 @@ def test_sessions_remember_what_was_shown(spark):
 def test_dictionary_regions_need_a_header(spark):
     rows = spark.createDataFrame([(1, "S", 1, ["name", "x"]), (1, "S", 2, ["a", "b"])], "doc_id int, sheet string, row int, cells array<string>")
     assert Di.fields(rows).count() == 0
+
+
+def test_expand_keeps_to_bounds_and_visible_units(spark):
+    units = spark.createDataFrame([(k, "deleted" if k == "x" else "active", None) for k in "abcdex"], "key string, status string, version string")
+    relations = spark.createDataFrame([("related_to", "a", "b"), ("related_to", "b", "c"), ("related_to", "a", "x"), ("related_to", "x", "e"), ("supersedes", "a", "d")], "type string, subject string, object string")
+    reached, edges, cut = G.expand(units, relations, ["a"], ["related_to"], hops=1)
+    assert {r["node"] for r in reached.collect()} == {"a", "b"} and edges.count() == 1 and not cut
+    reached, _, cut = G.expand(units, relations, ["a"], hops=4, nodes=2)
+    assert reached.count() == 2 and cut
+    for bad in (["x"], ["zz"]):
+        with pytest.raises(KeyError):
+            G.expand(units, relations, bad)
