@@ -126,15 +126,18 @@ def tables_with(fields_: DataFrame, wanted: list[str]) -> DataFrame:
     return c.groupBy("doc_id", "sheet", "region", "table").agg(F.countDistinct("c").alias("n")).filter(F.col("n") == len(set(wanted))).drop("n")
 
 
-def candidate_joins(left: DataFrame, right: DataFrame) -> DataFrame:
+def candidate_joins(left: DataFrame, right: DataFrame, side: str | None = None) -> DataFrame:
     """(left_id, right_id, score) of fields of different tables that may join: names, concepts, types and key hints add up to ``LEAST`` or more.
 
-    No pair reaches it without an equal name or a shared concept, so pairs come from joins on these.
+    No pair reaches it without an equal name or a shared concept, so pairs come from joins on these. ``side`` is a
+    column of both that says which tables are compared with which; without it, each of one side with each of the other,
+    which is for two tables and not for a library.
     """
-    one = lambda f, p: f.select(F.col("field_id").alias(f"{p}_id"), F.struct("doc_id", "sheet", "region").alias(f"{p}_table"), identifier(F.col("name")).alias(f"{p}_name"), identifier(F.col("type")).alias(f"{p}_type"), F.col("concepts").alias(f"{p}_concepts"), F.col("join_hint").isNotNull().alias(f"{p}_key"))
+    own = F.lit(0) if side is None else F.col(side)
+    one = lambda f, p: f.select(own.alias(f"{p}_side"), F.col("field_id").alias(f"{p}_id"), F.struct("doc_id", "sheet", "region").alias(f"{p}_table"), identifier(F.col("name")).alias(f"{p}_name"), identifier(F.col("type")).alias(f"{p}_type"), F.col("concepts").alias(f"{p}_concepts"), F.col("join_hint").isNotNull().alias(f"{p}_key"))
     a, b = one(left, "left"), one(right, "right")
-    by_name = a.join(b, F.col("left_name") == F.col("right_name"))
-    by_concept = a.withColumn("c", F.explode("left_concepts")).join(b.withColumn("d", F.explode("right_concepts")), F.col("c") == F.col("d")).drop("c", "d")
+    by_name = a.join(b, (F.col("left_side") == F.col("right_side")) & (F.col("left_name") == F.col("right_name")))
+    by_concept = a.withColumn("c", F.explode("left_concepts")).join(b.withColumn("d", F.explode("right_concepts")), (F.col("left_side") == F.col("right_side")) & (F.col("c") == F.col("d"))).drop("c", "d")
     pairs = by_name.unionByName(by_concept).filter(F.col("left_table") != F.col("right_table")).dropDuplicates(["left_id", "right_id"])
     n, m = F.col("left_name"), F.col("right_name")
     shared = F.size(F.array_intersect("left_concepts", "right_concepts"))

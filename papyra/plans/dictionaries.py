@@ -69,16 +69,16 @@ def schema_table_search(spark, sf):
     return Di.search_tables(Di.fields(sheets(spark, sf)), "user state", 100).select("doc_id", "region", F.col("table").alias("table_name"), "score")
 
 
-@query(f"""WITH {_FIELDS}, f AS (SELECT *, doc_id || '/' || region || '/' || name AS id FROM fd WHERE doc_id < 4), e AS (SELECT *, doc_id || '/' || region || '/' || name AS id FROM cs WHERE doc_id < 4),
-sc AS (SELECT a.id AS l, b.id AS r, count(*) AS n FROM e a JOIN e b ON a.c = b.c GROUP BY a.id, b.id),
+@query(f"""WITH {_FIELDS}, f AS (SELECT *, doc_id || '/' || region || '/' || name AS id FROM fd), e AS (SELECT *, doc_id || '/' || region || '/' || name AS id FROM cs),
+sc AS (SELECT a.id AS l, b.id AS r, count(*) AS n FROM e a JOIN e b ON a.c = b.c AND b.doc_id = a.doc_id + 1 GROUP BY a.id, b.id),
 x AS (SELECT a.doc_id || '/' || a.region || '/' || a.name AS l, b.doc_id || '/' || b.region || '/' || b.name AS r, least(0.85, CASE WHEN lower(a.name) = lower(b.name) THEN 0.45 WHEN contains(lower(a.name), lower(b.name)) OR contains(lower(b.name), lower(a.name)) THEN 0.22 ELSE 0 END + 0.28 * coalesce(n, 0)
  + CASE WHEN lower(a.type) = lower(b.type) THEN 0.12 ELSE 0 END + CASE WHEN regexp_matches(lower(a.name), '(id|key|no|number)$') AND regexp_matches(lower(b.name), '(id|key|no|number)$') THEN 0.08 ELSE 0 END) AS score
- FROM f a JOIN f b ON (a.doc_id, a.region) <> (b.doc_id, b.region) LEFT JOIN sc ON sc.l = a.id AND sc.r = b.id WHERE a.doc_id < 2)
+ FROM f a JOIN f b ON b.doc_id = a.doc_id + 1 LEFT JOIN sc ON sc.l = a.id AND sc.r = b.doc_id || '/' || b.region || '/' || b.name)
 SELECT l, r, round(score::DOUBLE, 6) AS score FROM x WHERE score >= 0.45""")
 def candidate_joins(spark, sf):
-    """Fields of the first two documents against those of the first four."""
-    f = Di.fields(sheets(spark, sf)).filter("doc_id < 4").withColumn("field_id", F.concat_ws("/", F.col("doc_id").cast("string"), F.col("region").cast("string"), "name"))
-    return Di.candidate_joins(f.filter("doc_id < 2"), f).select(F.col("left_id").alias("l"), F.col("right_id").alias("r"), "score")
+    """Fields of each document against those of the next."""
+    f = Di.fields(sheets(spark, sf)).withColumn("field_id", F.concat_ws("/", F.col("doc_id").cast("string"), F.col("region").cast("string"), "name"))
+    return Di.candidate_joins(f.withColumn("pair", F.col("doc_id") + 1), f.withColumn("pair", F.col("doc_id")), "pair").select(F.col("left_id").alias("l"), F.col("right_id").alias("r"), "score")
 
 
 @query(f"""WITH {_FIELDS}, r AS (SELECT c, cs.name, cs.tab, round(least(confidence, 1)::DOUBLE, 6) AS confidence, row_number() OVER (PARTITION BY c ORDER BY round(least(confidence, 1)::DOUBLE, 9) DESC, cs.name) AS n FROM cs JOIN fd USING (doc_id, region, tab, name))

@@ -7,27 +7,28 @@ from papyra.operators import library as Li
 from papyra.plans.catalogue import F, docs, query, table
 from papyra.plans.scalars import _STOP
 
-#: Names that parts want, of which those of small numbers are taken.
-_NAMES = "w AS (SELECT p_partkey AS id, p_name || '.txt' AS name FROM part WHERE p_partkey % 3 = 0), t AS (SELECT DISTINCT p_name || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '_' || (p_partkey % 5 + 1) END || '.txt' AS name FROM part WHERE p_partkey < 100)"
+#: Names that a third of the parts want; the others have names already, some of them numbered.
+_NAMES = "w AS (SELECT p_partkey AS id, p_name || '.txt' AS name FROM part WHERE p_partkey % 3 = 0), t AS (SELECT DISTINCT p_name || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '_' || (p_partkey % 5 + 1) END || '.txt' AS name FROM part WHERE p_partkey % 3 <> 0)"
 
 
 @query(f"""WITH {_NAMES}, n AS (SELECT id, name, left(name, length(name) - 4) AS stem, row_number() OVER (PARTITION BY name ORDER BY id) AS n FROM w), c AS (SELECT name, stem, count(*) AS k FROM n GROUP BY name, stem),
-g AS (SELECT name, stem || '_' || i || '.txt' AS final, i FROM (SELECT name, stem, unnest(generate_series(1, k + 5)) AS i FROM c) UNION ALL SELECT name, name, 0 FROM c),
+g AS (SELECT name, stem || '_' || i || '.txt' AS final, i FROM (SELECT name, stem, unnest(generate_series(1, k + 6)) AS i FROM c) UNION ALL SELECT name, name, 0 FROM c),
 f AS (SELECT name, final, row_number() OVER (PARTITION BY name ORDER BY i) AS n FROM g WHERE final NOT IN (SELECT name FROM t)) SELECT id, n.name, final FROM n JOIN f USING (name, n)""")
 def rename_available(spark, sf):
     p = table(spark, sf, "part")
     k = F.col("p_partkey")
-    taken = p.filter(k < 100).select(F.concat("p_name", F.when(k % 2 == 0, "").otherwise(F.concat(F.lit("_"), (k % 5 + 1).cast("string"))), F.lit(".txt")).alias("name"))
+    taken = p.filter(k % 3 != 0).select(F.concat("p_name", F.when(k % 2 == 0, "").otherwise(F.concat(F.lit("_"), (k % 5 + 1).cast("string"))), F.lit(".txt")).alias("name"))
     return Li.free_names(p.filter(k % 3 == 0).select(k.alias("id"), F.concat("p_name", F.lit(".txt")).alias("name")), taken)
 
 
-@query("""WITH f AS (SELECT p_partkey AS id, p_name || '.md' AS name, md5(p_type || p_brand) AS hash FROM part WHERE p_partkey BETWEEN 100 AND 119), e AS (SELECT p_name || '.md' AS name, md5(p_type || p_brand) AS hash FROM part WHERE p_partkey < 20),
+@query("""WITH f AS (SELECT p_partkey AS id, p_name || '.md' AS name, md5(p_type || p_brand || p_size) AS hash FROM part ORDER BY p_partkey DESC LIMIT 20), e AS (SELECT p_name || '.md' AS name, md5(p_type || p_brand || p_size) AS hash FROM part WHERE p_partkey NOT IN (SELECT id FROM f)),
 n AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY id) AS n FROM f) SELECT id, name, CASE WHEN hash IN (SELECT hash FROM e) OR n > 1 THEN 'skip' WHEN name IN (SELECT name FROM e) THEN 'replace' ELSE 'import' END AS action FROM n""")
 def import_plan(spark, sf):
     p = table(spark, sf, "part")
     k = F.col("p_partkey")
-    files = p.select(k.alias("id"), F.concat("p_name", F.lit(".md")).alias("name"), F.md5(F.concat("p_type", "p_brand").cast("binary")).alias("hash"))
-    return Li.import_plan(files.filter("id BETWEEN 100 AND 119"), files.filter("id < 20").withColumnRenamed("id", "doc_id"), "replace").select("id", "name", "action")
+    files = p.select(k.alias("id"), F.concat("p_name", F.lit(".md")).alias("name"), F.md5(F.concat("p_type", "p_brand", F.col("p_size").cast("string")).cast("binary")).alias("hash"))
+    new = files.orderBy(F.desc("id")).limit(Li.IMPORT)  # an import's bound
+    return Li.import_plan(new, files.join(new, "id", "left_anti").withColumnRenamed("id", "doc_id"), "replace").select("id", "name", "action")
 
 
 _FILES = "a AS (SELECT 'dir/' || doc_id AS path, md5(text) AS hash FROM documents WHERE doc_id % 4 <> 0), b AS (SELECT 'dir/' || doc_id AS path, md5(CASE WHEN doc_id % 7 = 0 THEN text || '.' ELSE text END) AS hash FROM documents WHERE doc_id % 5 <> 0)"
@@ -146,14 +147,14 @@ def latest_event_state(spark, sf):
     return Li.pending(e, e.filter("kind = 'purchase'"))
 
 
-@query("""WITH h AS (SELECT conv_id * 100 + turn AS turn, conv_id % 4 AS base, doc, score, left(text, 400) AS text, q, 150 + doc * 20 AS tokens FROM (SELECT c.conv_id, c.turn, i AS doc, c.text, 'theou ' || left(c.text, 30) AS q, ((c.conv_id * 7 + c.turn * 3 + i * 11) % 50) / 50.0::DOUBLE AS score FROM conversations c, range(6) t(i))),
+@query("""WITH h AS (SELECT conv_id * 100 + turn AS turn, conv_id % 4 AS base, doc, score, text, q, 150 + doc * 20 AS tokens FROM (SELECT c.conv_id, c.turn, i AS doc, c.text, c.text AS q, ((c.conv_id * 7 + c.turn * 3 + i * 11) % 50) / 50.0::DOUBLE AS score FROM conversations c, range(6) t(i))),
 b AS (SELECT *, max(score) OVER (PARTITION BY turn) AS best FROM h), f AS (SELECT * FROM b WHERE best >= 0.12 AND score >= 0.6::DOUBLE * best), s AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY turn, base ORDER BY score DESC, doc) <= 3),
 u AS (SELECT *, sum(least(tokens, 180)) OVER (PARTITION BY turn ORDER BY score DESC, doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS used FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY turn ORDER BY score DESC, doc) AS r FROM u WHERE coalesce(used, 0) < 640), z AS (SELECT *, max(score) FILTER (r = 2) OVER (PARTITION BY turn) AS second FROM r)
 SELECT turn, base, doc AS doc_id, score FROM z WHERE best >= 0.24 OR second IS NULL OR best >= second * 1.2::DOUBLE""")
 def auto_gate(spark, sf):
-    """Six hits for each turn of a conversation, whose texts are the turn's and so share its words."""
+    """Six hits for each turn of a conversation, whose texts are the turn's own and so share its words."""
     c = table(spark, sf, "conversations").withColumn("doc_id", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("score", (F.col("conv_id") * 7 + F.col("turn") * 3 + F.col("doc_id") * 11) % 50 / F.lit(50.0))
-    h = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("turn"), (F.col("conv_id") % 4).alias("base"), "doc_id", "score", F.left("text", F.lit(400)).alias("text"), F.concat(F.lit("theou "), F.left("text", F.lit(30))).alias("question"), (150 + F.col("doc_id") * 20).alias("tokens"))
+    h = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("turn"), (F.col("conv_id") % 4).alias("base"), "doc_id", "score", "text", F.col("text").alias("question"), (150 + F.col("doc_id") * 20).alias("tokens"))
     return Li.gate(h)
 
 
@@ -173,15 +174,17 @@ _CLEAN = "array_to_string(list_filter(list_transform(regexp_extract_all({0}, '[A
 _SIGNS = "'" + "|".join(Li.FOLLOW_UP) + "'"
 
 
-@query(f"""WITH c AS (SELECT conv_id, turn, left(text, 12 + (conv_id % 5) * 10) AS t FROM conversations WHERE role = 'user'), h AS (SELECT conv_id, turn, t, lag(t) OVER w AS h1, lag(t, 2) OVER w AS h2 FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+@query(f"""WITH c AS (SELECT p_partkey // 10 AS conv_id, p_partkey % 10 AS turn, CASE WHEN p_size % 3 = 0 THEN 'show this ' || p_name WHEN p_size % 3 = 1 THEN p_type ELSE p_name || ' made by the owner of ' || p_brand || ' for sale' END AS t FROM part), h AS (SELECT conv_id, turn, t, lag(t) OVER w AS h1, lag(t, 2) OVER w AS h2 FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 k AS (SELECT conv_id, turn, t, {_CLEAN.format("t")} AS p, {_CLEAN.format("h1")} AS p1, {_CLEAN.format("h2")} AS p2 FROM h),
 n AS (SELECT *, length(trim(t)) <= 40 AND (regexp_matches(lower(t), {_SIGNS}) OR len(list_distinct(list_filter(string_split(p, ' '), lambda x: x <> ''))) < 2) AS needs FROM k)
 SELECT conv_id, turn, p AS main, CASE WHEN needs AND trim(p || coalesce(' ' || CASE WHEN p1 NOT IN ('', p) THEN p1 END, '') || coalesce(' ' || CASE WHEN p2 NOT IN ('', p) THEN p2 END, '')) <> p THEN p || coalesce(' ' || CASE WHEN p1 NOT IN ('', p) THEN p1 END, '') || coalesce(' ' || CASE WHEN p2 NOT IN ('', p) THEN p2 END, '') END AS enhanced FROM n""")
 def auto_followup_plan(spark, sf):
+    """Questions about parts as the turns of talks of ten: short ones that point, short ones of one word, long ones."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf, "conversations").filter("role = 'user'").withColumn("t", F.expr("left(text, cast(12 + (conv_id % 5) * 10 as int))"))
+    w, z = Window.partitionBy("conv_id").orderBy("turn"), F.col("p_size") % 3
+    t = F.when(z == 0, F.concat(F.lit("show this "), "p_name")).when(z == 1, F.col("p_type")).otherwise(F.concat("p_name", F.lit(" made by the owner of "), "p_brand", F.lit(" for sale")))
+    c = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 10).alias("conv_id"), (F.col("p_partkey") % 10).alias("turn"), t.alias("t"))
     c = c.withColumn("h", F.array_compact(F.array(F.lag("t").over(w), F.lag("t", 2).over(w))))
     return c.select("conv_id", "turn", Li.follow_up(F.col("t"), F.col("h")).alias("q")).select("conv_id", "turn", "q.main", "q.enhanced")
 

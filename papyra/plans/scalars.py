@@ -10,7 +10,8 @@ from papyra.functions import dictionary as D
 from papyra.functions import language as L
 from papyra.functions import quality as Q
 from papyra.functions import text as X
-from papyra.plans.catalogue import F, docs, query, table
+from papyra.plans.catalogue import CHUNKS, F, docs, query, table
+from papyra.sources.tables import chunks
 
 #: Letters of a text written as characters of other kinds, so rules about those have work to do.
 _FROM, _TO = "aeiouqz", "知识库0 7-"
@@ -19,10 +20,10 @@ _HAN = "㐀-䶿一-鿿"
 
 def asked(spark, sf):
     """Turns of conversations as questions, some of their letters in Han and digits: (conv_id, turn, q)."""
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.translate(F.left("text", F.lit(300)), _FROM, _TO).alias("q"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.translate("text", _FROM, _TO).alias("q"))
 
 
-_ASKED = f"asked AS (SELECT conv_id, turn, translate(left(text, 300), '{_FROM}', '{_TO}') AS q FROM conversations)"
+_ASKED = f"asked AS (SELECT conv_id, turn, translate(text, '{_FROM}', '{_TO}') AS q FROM conversations)"
 
 
 def _list(c):
@@ -153,11 +154,11 @@ def score_squash(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(L.squash(F.abs("value")), 6).alias("score"))
 
 
-_CJK_TEXT = "d AS (SELECT doc_id, translate(left(text, 400), 'aeiout', '知识库本 ' || chr(65533)) AS t FROM documents)"
+_CJK_TEXT = "d AS (SELECT doc_id, translate(text, 'aeiout', '知识库本 ' || chr(65533)) AS t FROM documents)"
 
 
 def _mixed(spark, sf):
-    return docs(spark, sf).select("doc_id", F.translate(F.left("text", F.lit(400)), "aeiout", "知识库本 �").alias("t"))
+    return docs(spark, sf).select("doc_id", F.translate("text", "aeiout", "知识库本 �").alias("t"))
 
 
 #: Without look-around: a space folds after each pass of non-overlapping pairs, so three passes fold all.
@@ -186,11 +187,11 @@ def projection_text(spark, sf):
     return _mixed(spark, sf).select("doc_id", L.projection(F.col("t")).alias("said"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(replace(translate(left(text, 600), 'qz', '|' || chr(9)), 'y', ' | '), chr(10))) AS l FROM documents), t AS (SELECT doc_id, regexp_replace(l, '^\s+|\s+$', '', 'g') AS t FROM l),
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(replace(translate(text, 'qz', '|' || chr(9)), 'y', ' | '), chr(10))) AS l FROM documents), t AS (SELECT doc_id, regexp_replace(l, '^\s+|\s+$', '', 'g') AS t FROM l),
 c AS (SELECT doc_id, t, CASE WHEN contains(t, '|') THEN list_filter(list_transform(string_split(t, '|'), lambda x: trim(x)), lambda x: x <> '') WHEN contains(t, chr(9)) THEN list_filter(list_transform(string_split(t, chr(9)), lambda x: trim(x)), lambda x: x <> '') END AS c FROM t)
 SELECT doc_id, count(*) FILTER (len(c) >= 2) AS table_rows, coalesce(sum(len(c)), 0)::BIGINT AS cells, round(avg(length(t)) FILTER (t <> ''), 6) AS line FROM c GROUP BY doc_id""")
 def table_row_split(spark, sf):
-    t = F.replace(F.translate(F.left("text", F.lit(600)), "qz", "|\t"), F.lit("y"), F.lit(" | "))
+    t = F.replace(F.translate("text", "qz", "|\t"), F.lit("y"), F.lit(" | "))
     lines = docs(spark, sf).select("doc_id", F.explode(F.split(t, "\n")).alias("l"))
     c = lines.select("doc_id", L.table_cells(F.col("l")).alias("c"), F.length(F.regexp_replace("l", r"^\s+|\s+$", "")).alias("n"))
     return c.groupBy("doc_id").agg(F.count(F.when(F.size("c") >= 2, 1)).alias("table_rows"), F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.size("c"))), F.lit(0)).cast("long").alias("cells"), F.round(F.avg(F.when(F.col("n") > 0, F.col("n"))), 6).alias("line"))
@@ -328,8 +329,8 @@ def key_hint_names(spark, sf):
     return names.filter(D.join_hint(F.col("name")).isNotNull() | D.time_hint(F.col("name")).isNotNull())
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_replace(text, '[^a-zA-Z ]', ' ', 'g') AS t, lower(trim(regexp_replace(left(text, 40), '\\s+', ' ', 'g'))) AS k FROM documents)
-SELECT doc_id, length(k) BETWEEN 2 AND 96 AND NOT starts_with(k, 'http') AND regexp_matches(k, '[\\p{L}\\p{Nd}]') AND NOT regexp_matches(k, '^v?[0-9]+([.-][0-9a-z]+)*$') AND k NOT IN ('notes', 'steps', 'overview') AS concept FROM t""")
+@query(rf"""WITH {CHUNKS}, t AS (SELECT doc_id, idx, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS k FROM chunks)
+SELECT doc_id, idx, length(k) BETWEEN 2 AND 96 AND NOT starts_with(k, 'http') AND regexp_matches(k, '[\p{{L}}\p{{Nd}}]') AND NOT regexp_matches(k, '^v?[0-9]+([.-][0-9a-z]+)*$') AND k NOT IN ('notes', 'steps', 'overview') AS concept FROM t""")
 def useful_concepts(spark, sf):
-    k = X.concept_key(F.left("text", F.lit(40)))
-    return docs(spark, sf).select("doc_id", X.is_concept(k).alias("concept"))
+    c = chunks(docs(spark, sf))
+    return c.select("doc_id", "idx", X.is_concept(X.concept_key(F.col("text"))).alias("concept"))

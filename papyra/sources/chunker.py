@@ -132,7 +132,7 @@ def refine(pieces: list[Piece], limit: int) -> list[Piece]:
     out, todo = [], list(reversed(pieces))
     while todo:
         text, path = todo.pop()
-        half = _halves(text) if tokens(text) > limit and len(text) >= 40 else None
+        half = _halves(text) if tokens(text) > limit and len(text.encode("utf-8", "surrogatepass")) >= 40 else None
         if half:
             todo += [(half[1], path), (half[0], path)]
         else:
@@ -141,11 +141,15 @@ def refine(pieces: list[Piece], limit: int) -> list[Piece]:
 
 
 def _halves(text: str) -> tuple[str, str] | None:
-    low, high = len(text) // 4, len(text) - len(text) // 4
+    """A text in two at the last of the best separators within a quarter of its bytes around the middle; a UTF-8 separator is found at characters only."""
+    raw = text.encode("utf-8", "surrogatepass")
+    reach = max(1, len(raw) // 4)
+    low, high = max(0, len(raw) // 2 - reach), min(len(raw), len(raw) // 2 + reach)
     for mark in HALVES:
-        at = text.rfind(mark, low, high)
+        at = raw.rfind(mark.encode(), low, high)
         if at >= 0:
-            left, right = text[: at + len(mark)].strip(), text[at + len(mark) :].strip()
+            cut = at + len(mark.encode())
+            left, right = (x.decode("utf-8", "surrogatepass").strip() for x in (raw[:cut], raw[cut:]))
             if left and right:
                 return left, right
     return None
