@@ -85,3 +85,24 @@ def evidence_of(units: DataFrame, chunks: DataFrame, wanted: list[str], per: int
     place = F.row_number().over(Window.partitionBy("version").orderBy(F.desc("confidence"), "key", "doc_id", "chunk")) - 1
     e = by_chunk.unionByName(by_node).withColumn("place", place).filter(F.col("place") < per)
     return e.select("version", "place", "doc_id", "chunk", "text", (1000 - F.col("place")).alias("score"))
+
+
+def differing(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, state) of two tables: added, removed, changed or unchanged. One row a key."""
+    a, b = old.select(key, F.struct(F.col(value).alias("v")).alias("a")), new.select(key, F.struct(F.col(value).alias("v")).alias("b"))
+    state = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a.v").eqNullSafe(F.col("b.v")), "unchanged").otherwise("changed")
+    return a.join(b, key, "full").select(key, state.alias("state"))
+
+
+def sampled(rows: DataFrame, group: str, order: list, best: list, buckets: int) -> DataFrame:
+    """Rows that stand for a group's history: it is cut, in order, into ``buckets`` equal stretches, and the best row of each stays, with its bucket from 0."""
+    w, all_ = Window.partitionBy(group).orderBy(*order), Window.partitionBy(group)
+    r = rows.withColumn("bucket", F.floor((F.row_number().over(w) - 1) * buckets / F.count("*").over(all_)).cast("int"))
+    return r.withColumn("__r", F.row_number().over(Window.partitionBy(group, "bucket").orderBy(*best))).filter("__r = 1").drop("__r")
+
+
+def latest(units: DataFrame, scope: str) -> DataFrame:
+    """(scope, family, version): the newest version of each scope and family of those that can be ordered."""
+    n = V.normalize(F.col("version"))
+    known = units.filter(V.known(n))
+    return known.groupBy(scope, n.startswith("rel-").alias("releases")).agg(F.max_by("version", F.struct(V.parts(n), "version")).alias("version"))

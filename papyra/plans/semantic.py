@@ -1,66 +1,75 @@
-"""Queries of the semantic compiler, versions, graphs and data dictionaries."""
+"""Queries of versions: identities, order, ranges, what changed, what stands for a history."""
 
 from __future__ import annotations
 
+from papyra.functions import questions as Q
 from papyra.functions import versions as V
-from papyra.plans.catalogue import F, both, query
+from papyra.operators import history as H
+from papyra.operators.context import in_span
+from papyra.plans.catalogue import F, query, table
 
-VERSIONS = ["1.2.3", "v1.10", "v020301", "rel-17", "Release 18", "1.2.3-beta", "2.0", "private", "1.2", "v2.0.0", "rel 16"]
-_VALUES = ", ".join(f"('{v}')" for v in VERSIONS)
-_NORMALIZED = f"""v AS (SELECT * FROM (VALUES {_VALUES}) t(v)), x AS (SELECT v, lower(trim(v)) AS l FROM v),
-n AS (SELECT v, CASE WHEN regexp_matches(l, '^(release|rel)[ ._-]*[0-9]+$') THEN 'rel-' || regexp_extract(l, '([0-9]+)$', 1)
- WHEN regexp_matches(l, '^v[0-9]{{6}}$') THEN CAST(CAST(l[2:3] AS INT) AS VARCHAR) || '.' || CAST(CAST(l[4:5] AS INT) AS VARCHAR) || '.' || CAST(CAST(l[6:7] AS INT) AS VARCHAR)
- WHEN regexp_matches(l, '^v?[0-9]+([.][0-9]+)+') THEN ltrim(l, 'v') ELSE l END AS n FROM x),
-p AS (SELECT v, n, starts_with(n, 'rel-') AS rel, regexp_matches(n, '^([0-9]+([.][0-9]+)+|rel-[0-9]+)$') AS known FROM n),
-q AS (SELECT *, CASE WHEN known THEN list_slice(list_concat(list_transform(string_split(replace(n, 'rel-', ''), '.'), lambda s: CAST(s AS BIGINT)), [0::BIGINT, 0, 0, 0]), 1, 4) END AS parts FROM p)"""
+#: Ways to write versions, made of a part's number and size.
+_V = """v AS (SELECT p_partkey AS k, p_type AS scope, CASE p_partkey % 8 WHEN 0 THEN (p_size % 3 + 1) || '.' || p_size || '.' || p_partkey % 4 WHEN 1 THEN 'V' || (p_size % 3 + 1) || '.' || p_size WHEN 2 THEN 'v02' || lpad(p_size::VARCHAR, 2, '0') || '01' WHEN 3 THEN 'rel-' || p_size
+ WHEN 4 THEN 'Release ' || p_size WHEN 5 THEN '1.' || p_size || '-beta' WHEN 6 THEN 'private' ELSE ' 2.' || p_size || '.0' END AS v, p_size AS z FROM part),
+n AS (SELECT *, CASE k % 8 WHEN 0 THEN v WHEN 1 THEN substr(v, 2) WHEN 2 THEN '2.' || z || '.1' WHEN 3 THEN v WHEN 4 THEN 'rel-' || z WHEN 5 THEN v WHEN 6 THEN v ELSE trim(v) END AS n, k % 8 NOT IN (5, 6) AS known, k % 8 IN (3, 4) AS rel FROM v),
+q AS (SELECT *, CASE WHEN known THEN list_slice(list_concat(list_transform(string_split(replace(n, 'rel-', ''), '.'), lambda s: CAST(s AS BIGINT)), [0::BIGINT, 0, 0, 0]), 1, 4) END AS parts FROM n)"""
 
 
-def version_rows(spark):
-    v = spark.createDataFrame([(v,) for v in VERSIONS], "v string")
-    return v.withColumn("n", V.normalize(F.col("v")))
+def version_rows(spark, sf):
+    k, z = F.col("p_partkey"), F.col("p_size")
+    s = lambda c: c.cast("string")
+    major = s(z % 3 + 1)
+    ways = [
+        F.concat_ws(".", major, s(z), s(k % 4)), F.concat(F.lit("V"), major, F.lit("."), s(z)), F.concat(F.lit("v02"), F.lpad(s(z), 2, "0"), F.lit("01")), F.concat(F.lit("rel-"), s(z)),
+        F.concat(F.lit("Release "), s(z)), F.concat(F.lit("1."), s(z), F.lit("-beta")), F.lit("private"), F.concat(F.lit(" 2."), s(z), F.lit(".0")),
+    ]
+    v = F.element_at(F.array(*ways), (k % 8 + 1).cast("int"))
+    return table(spark, sf, "part").select(k.alias("k"), F.col("p_type").alias("scope"), v.alias("v")).withColumn("n", V.normalize(F.col("v")))
 
 
-@query(f"WITH {_NORMALIZED} SELECT v, n AS normalized, known FROM q")
+@query(f"WITH {_V} SELECT k, v, n AS normalized, known FROM q")
 def version_normalize(spark, sf):
-    return version_rows(spark).select("v", F.col("n").alias("normalized"), V.known(F.col("n")).alias("known"))
+    return version_rows(spark, sf).select("k", "v", F.col("n").alias("normalized"), V.known(F.col("n")).alias("known"))
 
 
-@query(f"""WITH {_NORMALIZED} SELECT a.v AS a, b.v AS b, CAST(CASE WHEN a.n = b.n THEN 0 WHEN a.rel = b.rel AND a.known AND b.known THEN
- CASE WHEN a.parts < b.parts THEN -1 WHEN a.parts > b.parts THEN 1 ELSE 0 END END AS INTEGER) AS c FROM q a, q b WHERE a.v < b.v""")
+@query(f"""WITH {_V} SELECT a.k, CAST(CASE WHEN a.n = b.n THEN 0 WHEN a.rel = b.rel AND a.known AND b.known THEN CASE WHEN a.parts < b.parts THEN -1 WHEN a.parts > b.parts THEN 1 ELSE 0 END END AS INTEGER) AS c FROM q a JOIN q b ON b.k = a.k + 7""")
 def version_compare(spark, sf):
-    a = version_rows(spark)
-    b = a.select(F.col("v").alias("w"), F.col("n").alias("m"))
-    return a.join(b, F.col("v") < F.col("w")).select(F.col("v").alias("a"), F.col("w").alias("b"), V.compare(F.col("n"), F.col("m")).alias("c"))
+    """Each version against that of the part seven numbers on, so most pairs are written in different ways."""
+    a = version_rows(spark, sf)
+    b = a.select((F.col("k") - 7).alias("k"), F.col("n").alias("m"))
+    return a.join(b, "k").select("k", V.compare(F.col("n"), F.col("m")).alias("c"))
 
 
-@query(f"WITH {_NORMALIZED} SELECT rel, arg_max(v, struct_pack(p := parts, v := v)) AS latest FROM q WHERE known GROUP BY rel")
+@query(f"WITH {_V} SELECT scope, rel AS releases, arg_max(v, struct_pack(p := parts, v := v)) AS version FROM q WHERE known GROUP BY scope, rel")
 def latest_comparable(spark, sf):
-    q = version_rows(spark).filter(V.known(F.col("n")))
-    return q.groupBy(F.col("n").startswith("rel-").alias("rel")).agg(F.max_by("v", F.struct(V.parts(F.col("n")), "v")).alias("latest"))
+    return H.latest(version_rows(spark, sf).withColumnRenamed("v", "version"), "scope")
 
 
-@query(f"WITH {_NORMALIZED} SELECT v FROM q WHERE known AND NOT rel AND parts[1] = 1 AND parts[2] >= 2")
+@query(f"WITH {_V} SELECT k, v FROM q WHERE known AND NOT rel AND parts[1] * 1000 + parts[2] >= 1020 AND parts[1] * 1000 + parts[2] < 2030")
 def version_range(spark, sf):
-    n = F.col("n")
-    at = lambda *p: F.array(*(F.lit(x).cast("long") for x in p))
-    return version_rows(spark).filter(V.known(n) & ~n.startswith("rel-") & (V.parts(n) >= at(1, 2, 0, 0)) & (V.parts(n) < at(2, 0, 0, 0))).select("v")
-
-
-both(
-    "dirty_documents",
-    """WITH prior AS (SELECT o_custkey AS doc, CAST(count(*) AS VARCHAR(20)) || ':' || CAST(max(o_orderkey) AS VARCHAR(20)) AS sig FROM {orders} WHERE o_orderdate < TIMESTAMP '1996-01-01 00:00:00' GROUP BY o_custkey),
-now AS (SELECT o_custkey AS doc, CAST(count(*) AS VARCHAR(20)) || ':' || CAST(max(o_orderkey) AS VARCHAR(20)) AS sig FROM {orders} WHERE o_orderstatus <> 'F' GROUP BY o_custkey)
-SELECT coalesce(p.doc, n.doc) AS doc, CASE WHEN p.doc IS NULL THEN 'added' WHEN n.doc IS NULL THEN 'deleted' WHEN p.sig <> n.sig THEN 'changed' ELSE 'unchanged' END AS state
-FROM prior p FULL JOIN now n ON p.doc = n.doc""",
-)
-both(
-    "version_diff",
-    """WITH f AS (SELECT p_name, p_brand, max(p_size) AS v FROM {part} GROUP BY p_name, p_brand), a AS (SELECT p_name AS k, max(v) AS v FROM f WHERE p_brand < 'Brand#3' GROUP BY p_name), b AS (SELECT p_name AS k, max(v) AS v FROM f WHERE p_brand >= 'Brand#2' GROUP BY p_name)
-SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.v <> b.v THEN 'changed' ELSE 'unchanged' END AS state FROM a FULL JOIN b ON a.k = b.k""",
-)
-both(
-    "history_sample",
-    """WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM {orders}),
-b AS (SELECT *, CAST(floor(i * 4.0E0 / n) AS INT) AS bucket FROM o), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, bucket ORDER BY o_totalprice DESC, o_orderkey) AS r FROM b)
-SELECT o_custkey, bucket, o_orderkey FROM r WHERE r = 1""",
-)
+    span = Q.Range("version", "1.20", "2.30", end_in=False)
+    return version_rows(spark, sf).filter(in_span(F.col("v"), span)).select("k", "v")
+
+
+@query("""WITH prior AS (SELECT o_custkey AS doc, count(*) || ':' || max(o_orderkey) AS sig FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY o_custkey), now AS (SELECT o_custkey AS doc, count(*) || ':' || max(o_orderkey) AS sig FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey)
+SELECT coalesce(p.doc, n.doc) AS doc, CASE WHEN p.doc IS NULL THEN 'added' WHEN n.doc IS NULL THEN 'removed' WHEN p.sig <> n.sig THEN 'changed' ELSE 'unchanged' END AS state FROM prior p FULL JOIN now n ON p.doc = n.doc""")
+def dirty_documents(spark, sf):
+    """Customers as documents, their orders' number and last one as signature, before a date and now."""
+    o = table(spark, sf, "orders")
+    sig = lambda d: d.groupBy(F.col("o_custkey").alias("doc")).agg(F.concat_ws(":", F.count("*").cast("string"), F.max("o_orderkey").cast("string")).alias("sig"))
+    return H.differing(sig(o.filter("o_orderdate < timestamp'1996-01-01'")), sig(o.filter("o_orderstatus <> 'F'")), "doc", "sig")
+
+
+@query("""WITH f AS (SELECT p_name, p_brand, max(p_size) AS v FROM part GROUP BY p_name, p_brand), a AS (SELECT p_name AS k, max(v) AS v FROM f WHERE p_brand < 'Brand#3' GROUP BY p_name), b AS (SELECT p_name AS k, max(v) AS v FROM f WHERE p_brand >= 'Brand#2' GROUP BY p_name)
+SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.v <> b.v THEN 'changed' ELSE 'unchanged' END AS state FROM a FULL JOIN b ON a.k = b.k""")
+def version_diff(spark, sf):
+    p = table(spark, sf, "part")
+    top = lambda d: d.groupBy(F.col("p_name").alias("k")).agg(F.max("p_size").alias("v"))
+    return H.differing(top(p.filter("p_brand < 'Brand#3'")), top(p.filter("p_brand >= 'Brand#2'")), "k", "v")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+b AS (SELECT *, CAST(floor(i * 4.0::DOUBLE / n) AS INT) AS bucket FROM o), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, bucket ORDER BY o_totalprice DESC, o_orderkey) AS r FROM b) SELECT o_custkey, bucket, o_orderkey FROM r WHERE r = 1""")
+def history_sample(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    return H.sampled(o, "o_custkey", ["o_orderdate", "o_orderkey"], [F.desc("o_totalprice"), "o_orderkey"], 4).select("o_custkey", "bucket", "o_orderkey")
