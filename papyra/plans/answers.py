@@ -7,9 +7,8 @@ from papyra.operators import context as C
 from papyra.operators import evidence as E
 from papyra.operators import retrieval as R
 from papyra.operators import search as Se
-from papyra.operators import semantic as S
 from papyra.plans.catalogue import CHUNKS, F, docs, query, table
-from papyra.plans.compiler import structured
+from papyra.plans.compiler import compiled
 from papyra.plans.retrieval import _BM25, _VEC, QUERY, index, vector
 from papyra.sources.tables import chunks
 
@@ -169,8 +168,7 @@ def temporal_evidence(spark, sf):
 @query("SELECT 'fact' AS intent, true AS within, true AS evidence, true AS orientation UNION ALL SELECT 'global', true, true, true UNION ALL SELECT 'multi_hop', true, true, true")
 def context_package(spark, sf):
     """Three questions of different intent, each compiled under 1000 tokens: does the text keep the budget and hold evidence and orientation?"""
-    n = structured(spark, sf)
-    units, relations = (u.persist() for u in S.compile_units(n))
+    units, relations = compiled(spark, sf)
     lib = library(spark, sf)
     hits = Se.search(lib, QUERY, asked_vector(spark, sf))
     e = Se.with_evidence(lib, hits, QUERY).select("doc_id", F.col("idx").alias("chunk"), "title", F.lit("").alias("heading"), F.col("evidence").alias("text"), "score", F.lit(None).cast("string").alias("version")).persist()
@@ -178,6 +176,5 @@ def context_package(spark, sf):
     for q in ("en texts page", "summarize the en texts", "why does the fr texts page cause it"):
         p = C.compile_context(units, relations, e, q, 1000)
         rows.append((p.intent, p.tokens <= 1000, bool(p.evidence), bool(p.sections.get("orientation") or p.sections.get("concepts"))))
-    for x in (units, relations, e):
-        x.unpersist()
+    e.unpersist()
     return spark.createDataFrame(rows, "intent string, within boolean, evidence boolean, orientation boolean")

@@ -8,6 +8,7 @@ from papyra.functions import text as X
 from papyra.operators import semantic as S
 from papyra.plans.catalogue import F, docs, query, table
 from papyra.sources import ir
+from papyra.sources.store import fingerprint, written
 
 #: Units are looked up by this question.
 QUESTION = "source docs page en"
@@ -20,6 +21,18 @@ def structured(spark, sf):
     return ir.nodes(d.select("doc_id", F.concat_ws(" page ", "source", "lang").alias("title"), body.alias("text"))).withColumn("version", F.lit(None).cast("string"))
 
 
+_COMPILED: dict[tuple[str, str], tuple] = {}
+
+
+def compiled(spark, sf):
+    """Units and relations of the documents: compiled and written once as long as the session lives and the files stay as they are, as a library keeps its generation."""
+    key = (spark.sparkContext.applicationId, fingerprint(docs(spark, sf)))
+    if key not in _COMPILED:
+        _COMPILED.clear()
+        _COMPILED[key] = tuple(written(t, n) for t, n in zip(S.compile_units(structured(spark, sf)), ("units", "relations"), strict=True))
+    return _COMPILED[key]
+
+
 _LINES = r"""np AS (SELECT doc_id, source, lang, list_filter(list_transform(string_split(replace(text, '#', ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents),
 nn AS (SELECT doc_id, source, lang, i + 2 AS ord, p[i] AS text FROM (SELECT *, unnest(generate_series(1, len(p))) AS i FROM np))"""
 
@@ -148,7 +161,7 @@ def supersession(spark, sf):
 @query(f"""WITH {_STATED}, {_TOPICS} SELECT 'fact' AS type, count(*) AS units, sum(CASE WHEN p[1] IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS related FROM fx UNION ALL SELECT 'concept', count(DISTINCT k), 0 FROM ck UNION ALL SELECT 'topic', count(*), 0 FROM tp UNION ALL SELECT 'summary', count(*), 0 FROM documents""")
 def semantic_compile(spark, sf):
     """Units by kind, and relations among facts; the compiler's whole output is the table that search reads."""
-    units, relations = S.compile_units(structured(spark, sf))
+    units, relations = compiled(spark, sf)
     of = relations.filter("type = 'related_to'").agg(F.count("*").alias("n"))
     n = units.groupBy("type").agg(F.count("*").alias("units")).join(F.broadcast(of))
     return n.select("type", "units", F.when(F.col("type") == "fact", F.col("n")).otherwise(0).alias("related"))
@@ -156,7 +169,7 @@ def semantic_compile(spark, sf):
 
 @query("SELECT '' AS key, '' AS fault FROM documents WHERE false")
 def compile_faults(spark, sf):
-    return S.faults(*S.compile_units(structured(spark, sf)))
+    return S.faults(*compiled(spark, sf))
 
 
 #: Parts as units: the name is the title, the kind the key, brand and size the content.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from papyra.operators import graph as G
 from papyra.operators import semantic as S
 from papyra.plans.catalogue import F, docs, query, table
-from papyra.plans.compiler import structured
+from papyra.plans.compiler import _STATED, compiled, structured
 
 
 def supply(spark, sf):
@@ -70,38 +70,30 @@ def fixpoint_drop(spark, sf):
     return G.unsupported(derived, ids, sources.filter("id > 3"))
 
 
-@query("""SELECT type, sum(n)::BIGINT AS units FROM (SELECT 'summary' AS type, count(*) AS n FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT 'summary', count(*) FROM documents WHERE doc_id % 10 = 0
-UNION ALL SELECT 'concept', count(DISTINCT k) FROM (SELECT unnest([lower(source || ' page ' || lang), lower(source), lower(lang || ' texts')]) AS k FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 10 = 0)) GROUP BY type""")
+@query(f"""WITH {_STATED} SELECT 'summary' AS type, count(*) AS units FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 10 = 0 UNION ALL SELECT 'fact', count(DISTINCT k) FROM sp WHERE doc_id % 5 <> 0 OR doc_id % 10 = 0""")
 def incremental_merge(spark, sf):
     """A fifth of the documents is dirty; half of these are compiled anew, the others are gone."""
     n = structured(spark, sf)
     i = F.col("doc_id")
-    before, _ = S.compile_units(n)
+    before, _ = compiled(spark, sf)
     after, _ = S.compile_units(n.filter(i % 10 == 0))
     m = S.merge_units(before, after, docs(spark, sf).filter(i % 5 == 0))
-    return m.filter("type in ('summary', 'concept')").groupBy("type").agg(F.count("*").alias("units"))
+    return m.filter("type in ('summary', 'fact')").groupBy("type").agg(F.count("*").alias("units"))
 
 
-def _compiler():
-    from papyra.plans.compiler import _STATED
-
-    return _STATED
-
-
-@query(f"""WITH RECURSIVE {_compiler()}, e AS (SELECT f.p[1] AS src, f.k AS dst FROM fx f JOIN fx g ON g.k = f.p[1]), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), s AS (SELECT min(src) AS k FROM e),
+@query(f"""WITH RECURSIVE {_STATED}, e AS (SELECT f.p[1] AS src, f.k AS dst FROM fx f JOIN fx g ON g.k = f.p[1]), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), s AS (SELECT min(src) AS k FROM e),
 w(node, hop) AS (SELECT k, 0 FROM s UNION SELECT b.dst, hop + 1 FROM w JOIN b ON b.src = w.node WHERE hop < 3) SELECT node, min(hop) AS hop FROM w GROUP BY node""")
 def graph_expand(spark, sf):
     """Three steps in both directions from the first fact that another follows."""
-    n = structured(spark, sf)
-    facts = S.facts(S.stated(n))
-    units = facts.select("key", F.lit("active").alias("status"), "version")
-    relations = S.sequences(facts).withColumn("type", F.lit("related_to"))
+    units, relations = compiled(spark, sf)
+    units = units.filter("type = 'fact'")
+    relations = relations.filter("type = 'related_to'")
     first = relations.agg(F.min("subject")).first()[0]
     return G.expand(units, relations, [first], ["related_to"], "both", hops=3, nodes=256, fan_out=64)[0].select("node", "hop")
 
 
-@query(f"""WITH {_compiler()}, e AS (SELECT f.p[1] AS a, f.k AS b FROM fx f JOIN fx g ON g.k = f.p[1]) SELECT DISTINCT x.a AS src, y.b AS dst FROM e x JOIN e y ON x.b = y.a WHERE x.a <> y.b""")
+@query(f"""WITH {_STATED}, e AS (SELECT f.p[1] AS a, f.k AS b FROM fx f JOIN fx g ON g.k = f.p[1]) SELECT DISTINCT x.a AS src, y.b AS dst FROM e x JOIN e y ON x.b = y.a WHERE x.a <> y.b""")
 def graph_two_hop(spark, sf):
     """Facts two steps apart in reading order."""
-    r = S.sequences(S.facts(S.stated(structured(spark, sf)))).select("subject", "object")
+    r = compiled(spark, sf)[1].filter("type = 'related_to'").select("subject", "object")
     return r.select(F.col("subject").alias("src"), F.col("object").alias("mid")).join(r.select(F.col("subject").alias("mid"), F.col("object").alias("dst")), "mid").filter("src <> dst").select("src", "dst").distinct()
