@@ -128,7 +128,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     again = F.when(copies > 1, F.coalesce("next_slot", "first_slot"))
     copies = settle(taken.filter(copies > 0).select(F.col("row").alias(row), F.array_compact(F.array("first_slot", again)).alias(slots)), "copies")
-    out = docs.join(sent_if_small(copies, 48), row).withColumn(slots, F.explode(slots))
+    out = docs.join(sent_if_small(copies, 128), row).withColumn(slots, F.explode(slots))
     return out.repartitionByRange(parts_for(docs, 32), slots, row).sortWithinPartitions(slots, row).drop(row, slots)
 
 
