@@ -25,12 +25,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.llm._util import WORD, fresh, join_counted, parts_for, sent_if_small, settle
+from papyra.llm._util import WORD, fresh, join_counted, numbered, parts_for, sent_if_small, settle
 
 
-def row_key(doc_id: Column, text: Column) -> Column:
-    """128 bits that stand for a document's id and text."""
-    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary")))
+def row_key(doc_id: Column, text: Column, row: Column) -> Column:
+    """128 bits that stand for a document's id and text; for a row without an id, for its place in the table."""
+    said = F.concat(doc_id.cast("string"), F.lit(":"), F.coalesce(text, F.lit("")))
+    lone = F.concat_ws(":", F.lit("row"), row["file"].cast("string"), row["at"].cast("string"))
+    return F.unhex(F.md5(F.coalesce(said, lone).cast("binary")))
 
 
 def shortest_runs(words: np.ndarray, least: int) -> set[tuple[int, int]]:
@@ -105,8 +107,8 @@ def doubled(level: DataFrame, h: int) -> DataFrame:
 
 
 def find(docs: DataFrame, min_words: int = 20) -> DataFrame:
-    """(key, keep): the ranges of lines, from 0, that do not repeat earlier ones, for each document that has any that do."""
-    lines = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    """(key, keep) of (doc_id, key, text): the ranges of lines, from 0, that do not repeat earlier ones, for each document that has any that do."""
+    lines = docs.select("doc_id", "key", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     seqs = lines.select(
         "doc_id",
         "key",
@@ -122,7 +124,7 @@ def find(docs: DataFrame, min_words: int = 20) -> DataFrame:
     of_doc = of_doc.join(seqs.select("key", "doc_id", F.size("a").alias("n_lines")), "key")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"key binary, pos array<int>, r array<long>, start array<int>, n array<int>, doc_id {id_type}, n_lines int"
-    # null ids come last; equal ids are told apart by their texts
+    # null ids come last, by their keys; equal ids are told apart by their texts
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("key")]
     kept = ranked(settle(of_doc.mapInPandas(_stretches(min_words), schema), "stretches"), order, "d")
     level = settle(kept.select("d", F.explode(F.arrays_zip("pos", "r")).alias("x")).select("d", "x.pos", "x.r"), "level")
@@ -152,13 +154,15 @@ def dedup(docs: DataFrame, min_words: int = 20, names: tuple[str, str] = ("n_lin
     all other columns stay as they are, and an input column of one of these names is replaced. Order of lines and the
     text of those that stay are kept; a document all of whose lines go has the text ''. Null texts stay null and have
     no lines. Rows with equal doc_id and equal text count as one document: they are treated alike and are no copies of
-    each other. Null ids come after all others. Copies within one document count. A text of any length is one
+    each other. Rows without an id are a document each and come after all others, in an order of their own. Copies within one document count. A text of any length is one
     sequence; an empty table gives an empty table. Lines are told apart by 128 bits.
     """
-    found = settle(find(docs.select("doc_id", "text"), min_words), "kept")
     key, keep = fresh(docs, "key"), fresh(docs, "keep")
+    docs, row = numbered(docs, "linededup-docs")
+    docs = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"), F.col(row))).drop(row)
+    found = settle(find(docs.select("doc_id", F.col(key).alias("key"), "text"), min_words), "kept")
     found = sent_if_small(found, F.size("keep") * 16 + 64).select(F.col("key").alias(key), F.col("keep").alias(keep))
-    both = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(found, key, "left")
+    both = docs.join(found, key, "left")
     lines = F.split("text", "\n")
     rest = F.flatten(F.transform(keep, lambda r: F.slice(lines, r["from"] + 1, r["to"] - r["from"])))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")

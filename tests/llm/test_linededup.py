@@ -62,3 +62,15 @@ def test_odd_documents_have_defined_results(spark):
     own = linededup.dedup(d, names=("a", "b"))
     assert own.columns == d.columns + ["a", "b"] and {r.n_lines for r in own.collect()} == {30.0, 1.0, None, 2.0, 0.0}
     assert linededup.dedup(d.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark, tmp_path):
+    run = "\n".join(f"line {i} of a passage that repeats" for i in range(5))
+    rows = [(None, run), (None, run), (None, "own words\n" + run), (None, None), (4, run)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    for d, left in ((spark.createDataFrame(rows[:4], "doc_id long, text string"), 1), (spark.read.parquet(path), 1)):
+        got = [r.text for r in linededup.dedup(d).collect()]
+        assert sum(run in (t or "") for t in got) == left and got.count(None) == 1 and len(got) == d.count()
+    kept = {r.doc_id for r in linededup.dedup(spark.read.parquet(path)).collect() if r.text == run}
+    assert kept == {4}
