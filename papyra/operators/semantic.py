@@ -22,8 +22,8 @@ from papyra.sources.store import written
 FACTS, CONCEPTS, TOPICS, SUMMARY, HEADINGS = 128, 24, 64, 2400, 24
 #: How sure each kind of unit and relation is.
 FACT, TABLE_FACT, CONCEPT, TOPIC, SUMMARISED, SUPERSEDES = 0.68, 0.75, 0.72, 0.66, 0.70, 0.82
-#: Keys of one automaton; more are looked for in several passes.
-SHARD = 200_000
+#: Keys of one automaton, and facts that meet one at a time.
+SHARD, FACT_BLOCK = 200_000, 50_000
 #: Predicates whose statements can be superseded.
 PREDICATES = "supports uses requires provides 支持 使用 需要 提供".split()
 
@@ -94,35 +94,52 @@ def topic_of(concepts_: DataFrame, topics_: DataFrame) -> DataFrame:
     return out.filter("b.score > 0").select("concept", F.col("b.topic").alias("topic"), F.col("b.score").cast("int").alias("score"))
 
 
-def named_concept(facts_: DataFrame, keys: list[str]) -> DataFrame:
-    """(key, concept): the longest of the keys that a fact's text holds, ties to the smaller; else the first of its headings that is one; facts without either are left out.
+def _longest(keys: list[str], texts: pd.Series) -> list[str | None]:
+    """For each text the longest of the keys that it holds, ties to the smaller."""
+    import ahocorasick
 
-    The keys of an automaton are ``SHARD`` at most; each shard is one pass over the facts.
+    if not keys:
+        return [None] * len(texts)
+    a = ahocorasick.Automaton()
+    for k in keys:
+        a.add_word(k, k)
+    a.make_automaton()
+    return [min((k for _, k in a.iter(t)), key=lambda k: (-len(k), k), default=None) for t in texts]
+
+
+def named_concept(facts_: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, concept): the longest of the (key) ``keys`` that a fact's text holds, ties to the smaller; else the first of its headings that is one; facts without either are left out.
+
+    Up to ``SHARD`` keys are one automaton in every task. More are dealt into shards of about so many, facts into blocks,
+    and each block meets each shard; the longest of the shards' finds counts.
     """
+    f = facts_.select("key", "heading", X.concept_key(F.col("text")).alias("t"))
+    n = keys.count()
+    if n <= SHARD:
+        known = sorted(r["key"] for r in keys.select("key").collect())  # at most SHARD
 
-    def finder(part: list[str]):
         @F.pandas_udf("string")
         def longest(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            import ahocorasick
-
-            a = ahocorasick.Automaton()
-            for k in part:
-                a.add_word(k, k)
-            a.make_automaton()
             for s in texts:
-                yield pd.Series([min((k for _, k in a.iter(t)), key=lambda k: (-len(k), k), default=None) for t in s], dtype=object)
+                yield pd.Series(_longest(known, s), dtype=object)
+
+        found = f.select("key", longest(F.col("t")).alias("concept")).filter("concept is not null")
+    else:
+        shards, blocks = -(-n // SHARD), max(1, -(-facts_.count() // FACT_BLOCK))
+        each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        left = f.select("key", "t", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", each(shards))
+        right = keys.select(F.col("key").alias("name"), F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", each(blocks))
 
-        return longest
+        def meet(own: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+            pairs = zip(own["key"], _longest(sorted(names["name"]), own["t"]), strict=True)
+            return pd.DataFrame([(k, c) for k, c in pairs if c is not None], columns=["key", "concept"], dtype=object)
 
-    f, found = facts_.select("key", "heading", X.concept_key(F.col("text")).alias("t")), []
-    for i in range(0, len(keys), SHARD):
-        f = f.withColumn(f"c{i}", finder(sorted(keys)[i : i + SHARD])(F.col("t")))
-        found.append(F.col(f"c{i}"))
-    known = facts_.sparkSession.createDataFrame([(k,) for k in keys], "head string")
-    best = F.try_element_at(F.array_sort(F.filter(F.array(*found), lambda c: c.isNotNull()), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(1)), F.lit(1)) if found else F.lit(None).cast("string")
-    told = f.select("key", "heading", best.alias("concept"))
-    heads = told.filter("concept is null").select("key", F.posexplode(F.transform(F.split("heading", " / "), X.concept_key)).alias("n", "head")).join(known, "head")
-    return told.filter("concept is not null").select("key", "concept").unionByName(heads.groupBy("key").agg(F.min_by("head", "n").alias("concept")))
+        some = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(meet, "key string, concept string")
+        found = some.groupBy("key").agg(F.min(F.struct((-F.length("concept")).alias("n"), "concept")).alias("b")).select("key", "b.concept")
+    found = written(found, "named")
+    heads = f.join(found, "key", "left_anti").select("key", F.posexplode(F.transform(F.split("heading", " / "), X.concept_key)).alias("n", "head"))
+    heads = heads.join(keys.select(F.col("key").alias("head")), "head").groupBy("key").agg(F.min_by("head", "n").alias("concept"))
+    return found.unionByName(heads)
 
 
 def versioned(text: Column) -> Column:
@@ -176,8 +193,7 @@ def compile_units(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     status = written(supersession(scoped.select("key", F.when(~F.col("plain"), F.col("scope")).alias("scope"), "version")), "status")
     rows = written(concept_rows(nodes), "concepts")
     c, t = concepts(rows), topics(nodes)
-    keys = [r["key"] for r in c.select("key").collect()]  # bounded by the base's distinct headings
-    named = written(named_concept(f, keys), "named")
+    named = written(named_concept(f, c.select("key")), "named")
     none = F.array().cast("array<string>")
     docs_of = F.array_sort(F.array_distinct(F.transform("sources", lambda x: x["doc_id"].cast("string"))))
     fact_units = f.join(status.select("key", "status", "superseded_by", F.col("version").alias("known")), "key").select(
@@ -289,11 +305,12 @@ def merge_units(previous: DataFrame, update: DataFrame, dirty: DataFrame) -> Dat
     """
     from papyra.operators.graph import unsupported
 
-    gone = dirty.select(F.col("doc_id").cast("string").alias("doc"))
     previous, update = written(previous, "previous"), written(update, "update")
-    docs_ = F.broadcast(gone.agg(F.array_sort(F.collect_set("doc")).alias("dirty_docs")))  # the documents of one update
-    old = previous.join(docs_).withColumn("sources", F.array_except("sources", "dirty_docs"))
-    old = old.filter(~((F.col("type") == "summary") & F.array_contains("dirty_docs", F.regexp_extract("key", "^summary:doc:(.*)$", 1)))).drop("dirty_docs")
+    gone, none = dirty.select(F.col("doc_id").cast("string").alias("doc")).distinct(), F.array().cast("array<string>")
+    left_of = previous.select("type", "key", F.explode("sources").alias("doc")).join(gone, "doc", "left_anti").groupBy("type", "key").agg(F.array_sort(F.collect_set("doc")).alias("left"))
+    own = F.when(F.col("type") == "summary", F.regexp_extract("key", "^summary:doc:(.*)$", 1))
+    old = previous.withColumn("doc", own).join(gone, "doc", "left_anti").drop("doc")
+    old = old.join(left_of, ["type", "key"], "left").withColumn("sources", F.coalesce("left", none)).drop("left")
     old = old.withColumn("id", F.concat_ws(":", "type", "key"))
     ids, derived = old.select("id"), old.select("id", F.explode("derived").alias("target"))
     whole = previous.select(F.concat_ws(":", "type", "key").alias("target"))
@@ -302,7 +319,6 @@ def merge_units(previous: DataFrame, update: DataFrame, dirty: DataFrame) -> Dat
     kept = old.join(drop, "id", "left_anti").drop("derived", "id")
     left = derived.join(drop, "id", "left_anti").join(drop.select(F.col("id").alias("target")), "target", "left_anti")
     made = left.groupBy(F.col("id").alias("own")).agg(F.array_sort(F.collect_set("target")).alias("derived"))
-    none = F.array().cast("array<string>")
     kept = kept.join(made, F.concat_ws(":", "type", "key") == F.col("own"), "left").withColumn("derived", F.coalesce("derived", none)).select(*UNIT)
     new = update.select(*(F.col(c).alias(c if c in ("type", "key") else f"new_{c}") for c in UNIT))
     m = kept.join(new, ["type", "key"], "full")

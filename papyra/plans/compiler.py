@@ -125,7 +125,7 @@ _NAMES = ["the", "thand", "heation", "tion", "erand", "that the", "en texts"]
 SELECT k AS fact_key, k2 AS concept FROM m WHERE r = 1 UNION ALL SELECT k, 'en texts' FROM fx WHERE contains(heading, ' / en texts') AND k NOT IN (SELECT k FROM m)""")
 def fact_concept_match(spark, sf):
     f = S.facts(S.stated(structured(spark, sf)))
-    return S.named_concept(f, _NAMES).select(F.col("key").alias("fact_key"), "concept")
+    return S.named_concept(f, spark.createDataFrame([(n,) for n in _NAMES], "key string")).select(F.col("key").alias("fact_key"), "concept")
 
 
 #: Statements about parts with versions: a part's size is the version, its kind what is supported.

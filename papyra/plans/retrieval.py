@@ -163,9 +163,9 @@ def needles(spark, sf):
     inner = lambda t: F.array_join(F.slice(F.split(t, " "), 2, 3), " ")
     keyed = n.withColumn("key", inner(F.col("needle"))).filter("words >= 5")
     spots = w.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(3)), " ")))).alias("key"))
-    found = spots.join(F.broadcast(keyed), "key").filter(F.col("text").contains(F.col("needle"))).select("item_id", "doc_id")
+    found = spots.join(keyed, "key").filter(F.col("text").contains(F.col("needle"))).select("item_id", "doc_id")
     short = n.filter("words < 5")
-    few = docs(spark, sf).join(F.broadcast(short), F.col("text").contains(F.col("needle"))).select("item_id", "doc_id")
+    few = docs(spark, sf).join(short, F.col("text").contains(F.col("needle"))).select("item_id", "doc_id")
     return found.unionByName(few).distinct()
 
 

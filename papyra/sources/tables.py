@@ -46,7 +46,7 @@ def gold(spark: SparkSession, path: str) -> DataFrame:
     n = F.coalesce(F.size("gold_evidence_locators"), F.lit(0))
     abstain = F.coalesce("expected_abstain", F.lit(False))
     twice = q.groupBy("question_id").count().filter("count > 1").select("question_id", F.lit(True).alias("twice"))
-    return q.join(F.broadcast(twice), "question_id", "left").withColumn(
+    return q.join(twice, "question_id", "left").withColumn(
         "problem",
         F.when(F.coalesce("question_id", F.lit("")) == "", "no id").when(F.col("twice"), "repeated id").when(F.coalesce("question", F.lit("")) == "", "no question")
         .when(abstain & (n > 0), "abstains with evidence").when(~abstain & ((n == 0) | F.col("gold_answer").isNull()), "no evidence or answer"),

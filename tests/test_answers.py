@@ -195,3 +195,14 @@ def test_expand_keeps_to_bounds_and_visible_units(spark):
     for bad in (["x"], ["zz"]):
         with pytest.raises(KeyError):
             G.expand(units, relations, bad)
+
+
+def test_concepts_are_named_alike_in_shards(spark, monkeypatch):
+    facts = spark.createDataFrame([(f"k{i}", "zeta / alpha", t) for i, t in enumerate(["the Alpha beta", "beta", "none here", "alphabet soup", "gamma  ray"])], "key string, heading string, text string")
+    keys = spark.createDataFrame([("alpha",), ("beta",), ("alpha beta",), ("gamma ray",), ("bet",)], "key string")
+    want = {"k0": "alpha beta", "k1": "beta", "k2": "alpha", "k3": "alpha", "k4": "gamma ray"}
+    assert {r["key"]: r["concept"] for r in S.named_concept(facts, keys).collect()} == want
+    monkeypatch.setattr(S, "SHARD", 2)
+    monkeypatch.setattr(S, "FACT_BLOCK", 2)
+    assert {r["key"]: r["concept"] for r in S.named_concept(facts, keys).collect()} == want
+    assert S.named_concept(facts, keys.limit(0)).count() == 0
