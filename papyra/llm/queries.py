@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import ann, contamination, fertility, linededup, lm, mixing, neardup, packing, pii, secrets, toxicity
+from papyra.llm import ann, contamination, fertility, linededup, lm, mixing, neardup, negatives, packing, pii, secrets, toxicity
 
 
 def _vocabulary(name: str) -> str:
@@ -61,6 +61,11 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_secret_scan,
             op9_pii,
             op10_pack,
+            op12_hard_negatives,
             op13_decontaminate,
             pipeline,
         )
@@ -136,6 +142,25 @@ FROM o LEFT JOIN slots USING (skey, rank)
 """
 
 
+#: op12 told by all scores of all anchors.
+_NEGATIVES = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256::DOUBLE * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v AS a JOIN v AS b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS nth FROM s WHERE same QUALIFY nth <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.nth ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+         s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same
+  WHERE 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT * FROM n WHERE rank <= 5
+"""
+
 #: op13 told by joining all windows of all documents with the items' windows as strings.
 _TESTS = r"""
 WITH d AS (
@@ -164,4 +189,4 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 
 def oracle_sql() -> dict[str, str]:
     """The other operators learn, iterate or run tokenisers; tests/llm holds them against brute force."""
-    return {"op6_mix_sources": _MIX, "op13_decontaminate": _TESTS}
+    return {"op6_mix_sources": _MIX, "op12_hard_negatives": _NEGATIVES, "op13_decontaminate": _TESTS}
