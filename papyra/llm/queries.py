@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import ann, contamination, fertility, linededup, lm, mixing, neardup, negatives, packing, pii, secrets, toxicity
+from papyra.llm import ann, contamination, fertility, linededup, lm, mixing, neardup, negatives, packing, pii, prefixes, secrets, toxicity
 
 
 def _vocabulary(name: str) -> str:
@@ -61,6 +61,12 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixes.turns(_table(spark, sf_dir, "conversations"))
+    first = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    return prefixes.trie(prefixes.rebuilt(turns, F.col("conv_id") - F.col("conv_id") % 5, first, 8))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(_table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
@@ -90,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_secret_scan,
             op9_pii,
             op10_pack,
+            op11_conversation_trie,
             op12_hard_negatives,
             op13_decontaminate,
             pipeline,
@@ -142,6 +149,43 @@ FROM o LEFT JOIN slots USING (skey, rank)
 """
 
 
+#: op11 told by the paths of all conversations as strings, each node's sums by those of all its ancestors. The inner
+#: reductions are CRC-32, bit by bit.
+_TRIE = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS d
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base, string_split(CAST(conv_id AS VARCHAR), '') AS s FROM t),
+h AS (
+  SELECT conv_id, base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(s, lambda x: CAST(ord(x) AS BIGINT))),
+                         lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)),
+             4294967295::BIGINT) % 9 AS h
+  FROM c),
+r AS (
+  SELECT h.conv_id, t.d, t.role, t.text FROM h JOIN t ON t.conv_id = h.base AND t.d <= h.h
+  UNION ALL SELECT h.conv_id, t.d, t.role, t.text FROM h JOIN t ON t.conv_id = h.conv_id AND t.d > h.h),
+q AS (
+  SELECT conv_id, list(sha256(len(role) || ':' || role || text) ORDER BY d) AS x, list(CAST(strlen(text) AS BIGINT) ORDER BY d) AS b FROM r GROUP BY conv_id
+  UNION ALL SELECT conv_id, [], [] FROM h WHERE conv_id NOT IN (SELECT conv_id FROM r)),
+p AS (
+  SELECT conv_id, d, array_to_string(x[1:d], ',') AS k, array_to_string(x[1:d - 1], ',') AS up, CASE WHEN d > 0 THEN b[d] ELSE 0 END AS bytes, d = len(x) AS ends
+  FROM (SELECT conv_id, x, b, unnest(generate_series(0, len(x))) AS d FROM q)),
+n AS (
+  SELECT k, d, max(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM p GROUP BY k, d),
+kids AS (SELECT up AS k, count(*) AS n FROM n WHERE d > 0 GROUP BY up),
+m AS (SELECT n.*, coalesce(kids.n, 0) AS n_children FROM n LEFT JOIN kids USING (k)),
+sums AS (
+  SELECT array_to_string(string_split(k, ',')[1:i], ',') AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves, sum(saved) AS saved
+  FROM (SELECT k, n_children, saved, unnest(generate_series(0, d)) AS i FROM m) GROUP BY 1)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, CASE WHEN m.d > 0 THEN o.conv_id END AS parent_conv_id, CAST(m.n_convs AS BIGINT) AS n_convs,
+       CAST(m.n_children AS BIGINT) AS n_children, CAST(sums.leaves AS BIGINT) AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN sums USING (k) LEFT JOIN n AS o ON o.k = m.up
+"""
+
 #: op12 told by all scores of all anchors.
 _NEGATIVES = """
 WITH v AS (
@@ -189,4 +233,4 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 
 def oracle_sql() -> dict[str, str]:
     """The other operators learn, iterate or run tokenisers; tests/llm holds them against brute force."""
-    return {"op6_mix_sources": _MIX, "op12_hard_negatives": _NEGATIVES, "op13_decontaminate": _TESTS}
+    return {"op6_mix_sources": _MIX, "op11_conversation_trie": _TRIE, "op12_hard_negatives": _NEGATIVES, "op13_decontaminate": _TESTS}
