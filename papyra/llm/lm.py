@@ -6,9 +6,8 @@ on the counts of a part of the training texts that is held back ("deleted")
 while the estimates are made from the rest. The final model counts all training
 texts.
 
-Nothing is kept in a table that every task needs. Texts are cut into chunks,
-which are written once, so that all that follows is told of the same chunks
-whichever executors are lost; a chunk sends its distinct n-grams, hashed to 64 bits, sorted and packed, to
+Nothing is kept in a table that every task needs. Texts are cut into chunks;
+a chunk sends its distinct n-grams, hashed to 64 bits, sorted and packed, to
 hash buckets; a bucket adds up what all chunks sent and answers each with the
 totals; a second pass meets the answers with the chunk's texts. One frequent
 n-gram is one key per chunk, so no bucket is hot.
@@ -21,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, GroupedData
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._util import WordHashes, mix64, pack, parts_for, plan_bytes, settle, small_batches, squeeze, unpack, unsqueeze
+from papyra.llm._util import WordHashes, mix64, pack, parts_for, plan_bytes, settle, small_batches, squeeze, steady, unpack, unsqueeze
 
 KEPT, DELETED, HELD_OUT = 0, 1, 2
 #: Characters of text in a chunk (a longer document makes a longer chunk).
@@ -36,6 +35,8 @@ CONTEXT_BUCKETS = 48
 #: Cells per factor of e into which likelihoods are put for expectation-maximisation.
 EM_CELLS = 6
 EM_ROUNDS = 60
+#: Setting that takes the place of the number of cores where Spark splits files.
+SPLITS = "spark.sql.files.minPartitionNum"
 
 _END, _START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
 
@@ -72,7 +73,7 @@ class _Tokens:
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, list, list[bytes]]]:
-    """(chunk id, role, ids, texts) of the rows of a partition; a chunk has documents of one role."""
+    """(chunk id, role, ids, texts). The same rows of a partition give the same chunks, whatever the batches are."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
@@ -109,9 +110,8 @@ def _bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
 def _ask(order: int, buckets: int):
     def f(batches):
         hashes = WordHashes()
-        for row in (r for b in batches for r in b.itertuples(index=False)):
-            chunk, role = row.chunk, row.role
-            tok = _Tokens(_texts(row.meta, row.texts)[1], order, hashes)
+        for chunk, role, _, texts in _chunks(batches):
+            tok = _Tokens(texts, order, hashes)
             for j in range(1, order + 1):
                 keys, n = np.unique(tok.grams(j)[0], return_counts=True)
                 cut = _bounds(keys, buckets)
@@ -154,35 +154,33 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
 
 _REQUEST = "j int, bucket int, chunk long, role int, keys binary, n binary"
 _ANSWER = "chunk long, j int, bucket int, train binary, kept binary, v long, n long, v_kept long, n_kept long"
-_CHUNK = "chunk long, role int, meta binary, texts binary"
+_TEXTS = "chunk long, j int, bucket int, train binary, kept binary"
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _CELL = "cell string, tokens long, sums array<double>"
 
 
-def _cut(batches):
-    """A row a chunk: its documents' ids and sizes, and their texts."""
-    for chunk, role, ids, texts in _chunks(batches):
+def _carry(batches):
+    """A chunk's documents in one row; j is 0."""
+    for chunk, _, ids, texts in _chunks(batches):
         meta = np.array([[-1 if d is None else 0, d or 0, len(t)] for d, t in zip(ids, texts, strict=True)], np.int64)
-        yield pd.DataFrame({"chunk": [chunk], "role": [role], "meta": [pack(meta.ravel())], "texts": [squeeze(b"".join(texts))]})
-
-
-def _texts(meta: bytes, texts: bytes) -> tuple[list[int | None], list[bytes]]:
-    """Ids and texts of a chunk's documents."""
-    m = unpack(meta, np.int64).reshape(-1, 3)
-    blob, cut = unsqueeze(texts), np.concatenate([[0], np.cumsum(m[:, 2])])
-    return [None if a < 0 else int(b) for a, b, _ in m], [blob[cut[i] : cut[i + 1]] for i in range(len(m))]
+        yield pd.DataFrame({"chunk": [chunk], "j": 0, "bucket": 0, "train": [pack(meta.ravel())], "kept": [squeeze(b"".join(texts))]})
 
 
 def _open(group: pd.DataFrame, order: int, column: str):
     """A chunk's ids, tokens and for each order the counts at every position."""
-    own = group[group["j"] == 0].iloc[0]
-    ids, texts = _texts(own["train"], own["kept"])
+    docs = group[group["j"] == 0].iloc[0]
+    meta = unpack(docs["train"], np.int64).reshape(-1, 3)
+    blob, cut = unsqueeze(docs["kept"]), np.concatenate([[0], np.cumsum(meta[:, 2])])
+    texts = [blob[cut[i] : cut[i + 1]] for i in range(len(meta))]
+    ids = [None if a < 0 else int(b) for a, b, _ in meta]
     tok = _Tokens(texts, order, WordHashes())
     counts = []
     for j in range(1, order + 1):
         h, at = tok.grams(j)
         _, inv = np.unique(h, return_inverse=True)
         told = np.concatenate([unpack(b, np.uint64) for b in group[group["j"] == j].sort_values("bucket")[column]])
+        if len(told) != (inv.max() + 1 if len(inv) else 0):
+            raise ValueError("a chunk's n-grams differ from those it asked for: its rows changed between two reads")
         c = np.zeros(len(tok.seq))
         c[at] = told[inv]
         counts.append(c)
@@ -266,31 +264,28 @@ def score(docs: DataFrame, order: int = 3) -> DataFrame:
     scored, and counted, each. With nothing to train on, every token has probability 1 (V + 1 = 1 kinds). An
     empty table gives an empty table. Columns other than doc_id and text are ignored, whatever their names.
     """
-    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spark = docs.sparkSession
+    if not spark.conf.get(SPLITS, None):  # else how files are split follows the cores at hand, and chunks must be the same at each read
+        spark.conf.set(SPLITS, str(spark.sparkContext.defaultParallelism))
+    docs = steady(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "lm-docs")
     # shuffles are dealt to as many tasks as there are groups, so that a task's share doesn't grow with the input
     buckets = parts_for(docs, BUCKET_MB)
     # a table that is no scan of files has no known size: there the session's number of shuffle partitions holds
     known = plan_bytes(docs) < 1 << 58
     dealt = lambda df, n, *keys: df.repartition(n, *keys) if known else df
-    chunks = settle(docs.mapInPandas(_cut, _CHUNK), "lm-chunks")
-    asked = chunks.mapInPandas(_ask(order, buckets), _REQUEST)
+    asked = docs.mapInPandas(_ask(order, buckets), _REQUEST)
     answers = settle(dealt(asked, buckets * order, "j", "bucket").groupBy("j", "bucket").applyInPandas(_answer, _ANSWER), "lm-counts")
     n = answers.filter("chunk = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "n", "v_kept", "n_kept"))).first()
-
-    def met(role, column: str) -> GroupedData:
-        """The chunks of a role with the counts they asked for; the texts' row has j = 0."""
-        own = chunks.filter(role).select("chunk", F.lit(0).alias("j"), F.lit(0).alias("bucket"), F.col("meta").alias("train"), F.col("texts").alias("kept"))
-        # the role is in a chunk's name
-        told = answers.filter("chunk >= 0").withColumn("role", F.shiftright("chunk", 24).bitwiseAND(3)).filter(role)
-        none = F.lit(None).cast("binary")
-        told = told.select("chunk", "j", "bucket", *((F.col(c) if c == column else none).alias(c) for c in ("train", "kept")))
-        return dealt(own.unionByName(told), buckets, "chunk").groupBy("chunk")
-
-    cells = met(F.col("role") == DELETED, "kept").applyInPandas(_cells(order, n[3], n[2]), _CELL)
+    told = answers.filter("chunk >= 0").select(*(c.split()[0] for c in _TEXTS.split(", ")))
+    grouped = lambda role: dealt(docs.filter(role).mapInPandas(_carry, _TEXTS).unionByName(told), buckets, "chunk").groupBy("chunk")
+    # deleted chunks by the role in their ids
+    deleted = docs.filter(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0)
+    d_told = told.filter(F.shiftright("chunk", 24).bitwiseAND(3) == DELETED)
+    cells = dealt(deleted.mapInPandas(_carry, _TEXTS).unionByName(d_told), buckets, "chunk").groupBy("chunk").applyInPandas(_cells(order, n[3], n[2]), _CELL)
     # bounded: one row for each cell of the likelihood grid
     rows = cells.groupBy("cell").agg(F.sum("tokens").alias("tokens"), *(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(order + 1))).collect()
     bucket = np.array([int(r["cell"].split(",")[0]) for r in rows], np.int64)
     tokens = np.array([r["tokens"] for r in rows], float)
     sums = np.array([[r[f"s{i}"] for i in range(order + 1)] for r in rows]).reshape(len(rows), order + 1)
     weights = learn_weights(bucket, tokens, sums / np.maximum(tokens, 1)[:, None])
-    return met(F.lit(True), "train").applyInPandas(_score(order, n[1], n[0], weights), _SCORE)
+    return grouped(F.lit(True)).applyInPandas(_score(order, n[1], n[0], weights), _SCORE)
