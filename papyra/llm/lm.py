@@ -32,8 +32,9 @@ CHUNK_CHARS = 6_000_000
 BUCKET_MB = 8
 #: Context frequencies 0, 1, 2-3, 4-7, ...
 CONTEXT_BUCKETS = 48
-#: Cells per factor of e into which likelihoods are put for expectation-maximisation.
-EM_CELLS = 6
+#: Cells per factor of e into which likelihoods are put for expectation-maximisation, by order; they come to the driver,
+#: whole numbers of 15 bits each in one long.
+EM_CELLS = {1: 6, 2: 6, 3: 2}
 EM_ROUNDS = 60
 #: Setting that takes the place of the number of cores where Spark splits files.
 SPLITS = "spark.sql.files.minPartitionNum"
@@ -156,7 +157,7 @@ _REQUEST = "j int, bucket int, chunk long, role int, keys binary, n binary"
 _ANSWER = "chunk long, j int, bucket int, train binary, kept binary, v long, n long, v_kept long, n_kept long"
 _TEXTS = "chunk long, j int, bucket int, train binary, kept binary"
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_CELL = "cell string, tokens long, sums array<double>"
+_CELL = "cell long, tokens long, sums array<double>"
 
 
 def _carry(batches):
@@ -208,12 +209,13 @@ def _cells(order: int, n: int, v: int):
         _, tok, counts = _open(group, order, "kept")
         bucket, p, _ = _estimates(tok, counts, n, v)
         with np.errstate(divide="ignore"):
-            q = np.where(p > 0, np.floor(np.log(p) * EM_CELLS), 1).astype(np.int64)
-        q[0] = bucket
-        kinds, inv, many = np.unique(q, axis=1, return_inverse=True, return_counts=True)
-        inv = inv.ravel()
+            q = np.where(p > 0, np.minimum(1 - np.floor(np.log(p) * EM_CELLS.get(order, 1)), 32767), 0).astype(np.int64)
+        key = bucket
+        for x in q[1:4]:
+            key = (key << 15) | x
+        kinds, inv, many = np.unique(key, return_inverse=True, return_counts=True)
         sums = np.stack([np.bincount(inv, weights=x, minlength=len(many)) for x in p], 1)
-        return pd.DataFrame({"cell": [",".join(map(str, k)) for k in kinds.T], "tokens": many, "sums": list(sums)})
+        return pd.DataFrame({"cell": kinds, "tokens": many, "sums": list(sums)})
 
     return f
 
@@ -282,10 +284,10 @@ def score(docs: DataFrame, order: int = 3) -> DataFrame:
     deleted = docs.filter(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0)
     d_told = told.filter(F.shiftright("chunk", 24).bitwiseAND(3) == DELETED)
     cells = dealt(deleted.mapInPandas(_carry, _TEXTS).unionByName(d_told), buckets, "chunk").groupBy("chunk").applyInPandas(_cells(order, n[3], n[2]), _CELL)
-    # bounded: one row for each cell of the likelihood grid
-    rows = cells.groupBy("cell").agg(F.sum("tokens").alias("tokens"), *(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(order + 1))).collect()
-    bucket = np.array([int(r["cell"].split(",")[0]) for r in rows], np.int64)
-    tokens = np.array([r["tokens"] for r in rows], float)
-    sums = np.array([[r[f"s{i}"] for i in range(order + 1)] for r in rows]).reshape(len(rows), order + 1)
+    # one row for each cell of the grid that has tokens, not for each token
+    rows = cells.groupBy("cell").agg(F.sum("tokens").alias("tokens"), *(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(order + 1))).toArrow()
+    bucket = rows["cell"].to_numpy().astype(np.int64) >> (15 * min(order, 3))
+    tokens = rows["tokens"].to_numpy().astype(float)
+    sums = np.stack([rows[f"s{i}"].to_numpy().astype(float) for i in range(order + 1)], 1)
     weights = learn_weights(bucket, tokens, sums / np.maximum(tokens, 1)[:, None])
     return grouped(F.lit(True)).applyInPandas(_score(order, n[1], n[0], weights), _SCORE)
