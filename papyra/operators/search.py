@@ -14,6 +14,7 @@ from papyra.functions.vectors import cosine
 from papyra.operators import evidence as E
 from papyra.operators import lexical as Lex
 from papyra.operators import retrieval as R
+from papyra.operators import trigrams as T
 
 #: The cosine a hit needs without a lexical match, and what a reranker reads of a text and of the question.
 FLOOR, RERANK_TEXT, RERANK_QUERY = 0.35, 352, 128
@@ -23,12 +24,18 @@ SCOPE = 500
 
 @dataclass
 class Library:
-    """``documents``: doc_id, title, source, updated (may be null), created, status, quality. ``chunks``: doc_id, idx, heading, text. ``vectors``: doc_id, idx, model, embedding, or none."""
+    """``documents``: doc_id, title, source, updated (may be null), created, status, quality. ``chunks``: doc_id, idx, heading, text. ``vectors``: doc_id, idx, model, embedding, or none.
+
+    Words are searched on ``index``, or parts of words on ``grams`` where there are any. ``anchors``: doc_id, idx, pages,
+    slides, sheets, types of the nodes that a chunk comes from; a search by structure needs them.
+    """
 
     documents: DataFrame
     chunks: DataFrame
-    index: Lex.Index
+    index: Lex.Index | None
     vectors: DataFrame | None = None
+    grams: T.Index | None = None
+    anchors: DataFrame | None = None
 
 
 @dataclass
@@ -71,13 +78,15 @@ def allowed(documents: DataFrame, filters: Filters) -> DataFrame:
     return d.select("doc_id")
 
 
-def structure_matches(pages: Column, sheets: Column, types: Column, want_pages: list[int] | None = None, want_sheets: list[str] | None = None, want_types: list[str] | None = None) -> Column:
-    """Whether a chunk's nodes lie on one of the pages, sheets and types asked for; names without regard to case."""
+def structure_matches(pages: Column, sheets: Column, types: Column, want_pages: list[int] | None = None, want_sheets: list[str] | None = None, want_types: list[str] | None = None, slides: Column | None = None, want_slides: list[int] | None = None) -> Column:
+    """Whether a chunk's nodes lie on one of the pages, slides, sheets and types asked for; names without regard to case."""
     low = lambda xs: F.array(*(F.lit(x.strip().lower()) for x in xs))
     names = lambda c: F.transform(c, lambda x: F.lower(F.trim(x)))
     out = F.lit(True)
     if want_pages:
         out &= F.arrays_overlap(pages, F.array(*map(F.lit, want_pages)))
+    if want_slides and slides is not None:
+        out &= F.arrays_overlap(slides, F.array(*map(F.lit, want_slides)))
     if want_sheets:
         out &= F.arrays_overlap(names(sheets), low(want_sheets))
     if want_types:
@@ -85,6 +94,24 @@ def structure_matches(pages: Column, sheets: Column, types: Column, want_pages:
     return F.coalesce(out, F.lit(False))
 
 
+@dataclass
+class Structure:
+    """Pages, slides, sheets and types of nodes, one of each of which a hit must come from; an empty list asks for nothing."""
+
+    pages: list[int] = field(default_factory=list)
+    slides: list[int] = field(default_factory=list)
+    sheets: list[str] = field(default_factory=list)
+    types: list[str] = field(default_factory=list)
+
+
+def structured(hits: DataFrame, anchors: DataFrame | None, want: Structure) -> DataFrame:
+    """Hits whose nodes lie where ``want`` says; a chunk without nodes does nowhere."""
+    if anchors is None:
+        raise ValueError("this library has no anchors to filter by")
+    hit = structure_matches(F.col("pages"), F.col("sheets"), F.col("types"), want.pages, want.sheets, want.types, F.col("slides"), want.slides)
+    return hits.join(anchors.filter(hit).select("doc_id", "idx"), ["doc_id", "idx"], "left_semi")
+
+
 def visible(hits: DataFrame, documents: DataFrame) -> DataFrame:
     """Hits whose document is still there and not being deleted when the search ends."""
     return hits.join(documents.filter(F.col("status") != "deleting").select("doc_id"), "doc_id", "left_semi")
@@ -123,30 +150,27 @@ class Options:
     radius: int = 1
     budget: int = E.BUDGET
     model: str | None = None
+    structure: Structure | None = None
 
 
-def search(lib: Library, question: str, vector: list[float] | None = None, options: Options | None = None) -> DataFrame:
-    """Hits, best first: rank, doc_id, idx, score, relevance (score by the best), and what each stage said: lexical_rank, lexical_score, vector_rank, vector_score, low, rerank_score.
+def recalled(lib: Library, texts: list[str], vector: list[float] | None, mode: str, o: Options, pool: int) -> DataFrame:
+    """Candidates of all lanes and query variants: doc_id, idx, fused, lexical_rank, lexical_score, vector_rank, vector_score.
 
-    Each query variant is searched by words, and the question by its vector if there is one; ranks are fused by
-    weighted reciprocal ranks, then over the variants. In a hybrid search a hit without a lexical match needs a cosine of
-    ``FLOOR``; a threshold, if given, holds for the cosine in its place. Pools are some dozens of rows whatever the
-    library's size, so what follows recall is small.
+    Ranks are fused by weighted reciprocal ranks within a variant, then over the variants; a chunk keeps its best rank
+    and score of each lane.
     """
-    o = options or Options()
-    k, pool = Q.pool(o.top_k)
-    mode = Q.mode(o.mode, lib.vectors is not None and vector is not None)
     ids = allowed(lib.documents, o.filters)
     fused, told = [], None
-    for text in Q.variants(question, o.extras):
+    for text in texts:
         lanes = []
         if mode != "vector":
-            lanes.append((_ranked(Lex.lexical_lane(lib.index, lib.chunks, text, pool, ids), "lexical"), o.weights[0], "lexical"))
+            words = T.lane(lib.grams, text, pool, ids) if lib.grams else Lex.lexical_lane(lib.index, lib.chunks, text, pool, ids)
+            lanes.append((_ranked(words, "lexical"), o.weights[0], "lexical"))
         if mode != "lexical":
             lanes.append((_ranked(vector_hits(lib.vectors, vector, pool, ids, o.model), "vector"), o.weights[1], "vector"))
         parts = [lane.select("doc_id", "idx", (F.lit(w) / (R.RRF_K + F.col(f"{n}_rank"))).alias("s")) for lane, w, n in lanes]
         one = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        fused.append(one.groupBy("doc_id", "idx").agg(F.round(F.sum("s"), 9).alias("score")))
+        fused.append(one.groupBy("doc_id", "idx").agg(F.round(F.sum("s"), 9).alias("fused")))
         if len(lanes) == 2:
             seen = lanes[0][0].join(lanes[1][0], ["doc_id", "idx"], "full")
         else:
@@ -157,52 +181,94 @@ def search(lib: Library, question: str, vector: list[float] | None = None, optio
     if len(fused) == 1:
         hits = fused[0]
     else:
-        ranks = [f.withColumn("r", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id", "idx"))).select("doc_id", "idx", (1.0 / (R.RRF_K + F.col("r"))).alias("s")) for f in fused]
+        ranks = [f.withColumn("r", F.row_number().over(Window.orderBy(F.desc("fused"), "doc_id", "idx"))).select("doc_id", "idx", (1.0 / (R.RRF_K + F.col("r"))).alias("s")) for f in fused]
         every = ranks[0]
         for r in ranks[1:]:
             every = every.unionByName(r)
-        hits = every.groupBy("doc_id", "idx").agg(F.round(F.sum("s"), 9).alias("score"))
+        hits = every.groupBy("doc_id", "idx").agg(F.round(F.sum("s"), 9).alias("fused"))
     best = told.groupBy("doc_id", "idx").agg(F.min("lexical_rank").alias("lexical_rank"), F.max("lexical_score").alias("lexical_score"), F.min("vector_rank").alias("vector_rank"), F.max("vector_score").alias("vector_score"))
-    hits = hits.join(best, ["doc_id", "idx"])
-    near = F.coalesce("vector_score", F.lit(0.0))
-    if o.threshold is not None:
-        hits = hits.filter(near >= o.threshold) if mode != "lexical" else hits
-    elif mode == "vector":
-        hits = hits.filter(near >= FLOOR)
-    elif mode == "hybrid":
-        hits = hits.filter((F.coalesce("lexical_score", F.lit(0.0)) > 0) | (near >= FLOOR))
+    return hits.join(best, ["doc_id", "idx"])
+
+
+def search(lib: Library, question: str, vector: list[float] | None = None, options: Options | None = None) -> DataFrame:
+    """Hits, best first: rank, doc_id, idx, score, relevance, and what each stage said: lexical_rank, lexical_score, vector_rank, vector_score, low, rerank_score, mode, degraded.
+
+    Candidates of documents that are there and whose extraction isn't incomplete are ordered by fused ranks, those of
+    poor extraction last. A reranker, if given, judges as many as are asked for, and only these stay, in its order.
+    ``relevance`` is the reranker's score if it judged, else that of the mode: the cosine, the lexical score, or in a
+    hybrid search the fused score by the best candidate's. A threshold holds for the relevance; without one a vector
+    search needs ``FLOOR``. In a hybrid search a hit without a lexical match needs a cosine of ``FLOOR`` besides. A
+    diverse choice is made among hits of 0.6 of the best relevance or more. ``mode`` is how was searched; where that is
+    less than what was asked for, or a reranker failed, ``degraded`` says so. Pools are some dozens of rows whatever the
+    library's size, so what follows recall is small.
+    """
+    o = options or Options()
+    k, pool = Q.pool(o.top_k)
+    able = lib.vectors is not None and vector is not None
+    mode = Q.mode(o.mode, able) if able else "lexical"
+    degraded = "no vectors" if not able and o.mode in ("hybrid", "vector") else None
+    texts = Q.variants(question, o.extras)
+    if mode == "vector" and not vector_hits(lib.vectors, vector, 1, allowed(lib.documents, o.filters), o.model).head(1):
+        mode, degraded = "lexical", "no vectors of this model"  # another model's space answers nothing
+    hits = recalled(lib, texts, vector, mode, o, pool).withColumn("best", F.max("fused").over(Window.partitionBy(F.lit(1))))
     hits = guarded(visible(hits, lib.documents), lib.documents).withColumn("rerank_score", F.lit(None).cast("double"))
+    hits = hits.withColumn("place", F.row_number().over(Window.orderBy("low", F.desc("fused"), "doc_id", "idx")).cast("double"))
     if o.rerank:
-        hits = reranked(hits, lib.chunks, question, o.rerank, k)
-    if o.diverse and lib.vectors is not None:
-        hits = diverse(hits, lib.vectors, k)
-    order = Window.orderBy("low", F.desc(F.coalesce("rerank_score", "score")), F.desc("score"), "doc_id", "idx")
-    top = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    top = top.withColumn("relevance", F.round(F.col("score") / F.max("score").over(Window.partitionBy(F.lit(1))), 6))
-    return top.select("rank", "doc_id", "idx", "score", "relevance", "lexical_rank", "lexical_score", "vector_rank", "vector_score", "low", "rerank_score")
-
-
-def reranked(hits: DataFrame, chunks: DataFrame, question: str, score: Callable[[str, list[str]], list[float]], k: int) -> DataFrame:
-    """The first ``k`` hits with a reranker's scores; if it fails or returns anything but a score from 0 to 1 for each text, the hits stay as they were."""
-    rows = hits.orderBy("low", F.desc("score"), "doc_id", "idx").limit(k).join(chunks.select("doc_id", "idx", "text"), ["doc_id", "idx"]).toPandas().sort_values(["low", "score", "doc_id", "idx"], ascending=[True, False, True, True])
+        hits, failed = reranked(hits, lib.chunks, question, o.rerank, k)
+        degraded = failed or degraded
+    of_mode = {"vector": F.coalesce("vector_score", F.lit(0.0)), "lexical": F.coalesce("lexical_score", F.lit(0.0)), "hybrid": F.col("fused") / F.col("best")}[mode]
+    hits = hits.withColumn("relevance", F.round(F.coalesce("rerank_score", of_mode), 6))
+    least = o.threshold if o.threshold else FLOOR if mode == "vector" else 0.0
+    if o.diverse and lib.vectors is not None and vector is not None:
+        hits = diverse(hits, lib.vectors, least)
+    hits = hits.filter(F.col("relevance") >= least)
+    if mode == "hybrid":
+        hits = hits.filter((F.coalesce("lexical_score", F.lit(0.0)) > 0) | (F.coalesce("vector_score", F.lit(0.0)) >= FLOOR))
+    if o.structure is not None:
+        hits = structured(hits, lib.anchors, o.structure)
+    score = F.coalesce("rerank_score", F.col("fused") if mode == "hybrid" else of_mode)
+    top = hits.withColumn("rank", F.row_number().over(Window.orderBy("place", "doc_id", "idx"))).filter(F.col("rank") <= k)
+    return top.select(
+        "rank", "doc_id", "idx", score.alias("score"), "relevance", "lexical_rank", "lexical_score", "vector_rank", "vector_score", "low", "rerank_score",
+        F.lit(mode).alias("mode"), F.lit(degraded).cast("string").alias("degraded"))
+
+
+def _again(hits: DataFrame, rows: pd.DataFrame) -> DataFrame:
+    """Rows of a pool as a table like the one they come from; whole numbers that had become floats beside nulls are whole again."""
+    whole = [f.dataType.typeName() in ("byte", "short", "integer", "long") for f in hits.schema]
+    told = [tuple(None if pd.isna(v) else int(v) if w else v for v, w in zip(r, whole, strict=True)) for r in rows[hits.columns].itertuples(index=False)]
+    return hits.sparkSession.createDataFrame(told, hits.schema)
+
+
+def reranked(hits: DataFrame, chunks: DataFrame, question: str, score: Callable[[str, list[str]], list[float]], k: int) -> tuple[DataFrame, str | None]:
+    """The first ``k`` hits by ``place`` in the order of a reranker's scores, and what went wrong: if it fails or returns anything but a score from 0 to 1 for each text, the hits stay as they were. One hit alone isn't asked about."""
+    rows = hits.orderBy("place").limit(k).join(chunks.select("doc_id", "idx", "text"), ["doc_id", "idx"]).toPandas().sort_values("place")
+    if len(rows) < 2:
+        return hits, None
     try:
         got = [float(x) for x in score(Q.clipped(question, RERANK_QUERY), [Q.clipped(t, RERANK_TEXT) for t in rows["text"]])]
-    except Exception:  # a provider may fail in any way; search goes on without it
-        return hits
-    if len(got) != len(rows) or not all(0 <= s <= 1 for s in got):
-        return hits
+    except Exception as e:  # a provider may fail in any way; search goes on without it and says so
+        return hits, f"reranker failed: {type(e).__name__}: {e}"
+    if len(got) != len(rows):
+        return hits, f"reranker gave {len(got)} scores for {len(rows)} texts"
+    if not all(0 <= s <= 1 for s in got):
+        return hits, "reranker gave scores beyond 0 to 1"
     rows["rerank_score"] = got
-    return hits.sparkSession.createDataFrame(rows[hits.columns].astype(object).where(rows[hits.columns].notna(), None), hits.schema)
-
-
-def diverse(hits: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Hits of the pool picked one by one by relevance and distance from those picked; their scores fall in that order."""
-    rows = hits.join(vectors.select("doc_id", "idx", "embedding"), ["doc_id", "idx"], "left").orderBy("low", F.desc("score"), "doc_id", "idx").collect()  # a pool
-    wide = max((len(r["embedding"]) for r in rows if r["embedding"]), default=1)
-    order = R.mmr([(i, r["score"], list(r["embedding"] or [0.0] * wide)) for i, r in enumerate(rows)], k)
-    kept = pd.DataFrame([rows[i].asDict() for i in order], columns=[*hits.columns])
-    kept["rerank_score"] = [1.0 - n / (2 * max(len(order), 1)) for n in range(len(order))]
-    return hits.sparkSession.createDataFrame(kept.astype(object).where(kept.notna(), None), hits.schema)
+    rows = rows.sort_values(["rerank_score", "place"], ascending=[False, True])
+    rows["place"] = [float(n) for n in range(1, len(rows) + 1)]
+    return _again(hits, rows), None
+
+
+def diverse(hits: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    """The hits of the pool that are near enough to the best, ``place`` by relevance and distance from those picked before."""
+    rows = hits.join(vectors.select("doc_id", "idx", "embedding"), ["doc_id", "idx"], "left").toPandas().sort_values("place")  # a pool
+    rows = rows[rows["relevance"] >= max(0.6 * rows["relevance"].max(), least)].reset_index(drop=True) if len(rows) else rows
+    known = [e is not None for e in rows["embedding"]]
+    wide = max((len(e) for e in rows["embedding"] if e is not None), default=1)
+    order = R.mmr([(i, float(r), list(e) if ok else [0.0] * wide) for i, (r, e, ok) in enumerate(zip(rows["relevance"], rows["embedding"], known, strict=True))], len(rows), floor=0.0)
+    rows = rows.iloc[order]
+    rows["place"] = [float(n) for n in range(1, len(rows) + 1)]
+    return _again(hits, rows)
 
 
 def with_evidence(lib: Library, hits: DataFrame, question: str, radius: int = 1, budget: int = E.BUDGET) -> DataFrame:

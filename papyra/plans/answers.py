@@ -48,6 +48,50 @@ def search_hybrid(spark, sf):
     return hits.select("rank", "doc_id", "idx", "score", "lexical_rank", "vector_rank", "low")
 
 
+def anchors(spark, sf):
+    """Chunks lie on pages of 40 and slides of 100, in a sheet named by the language; every fifth is a table."""
+    c = chunks(docs(spark, sf)).join(docs(spark, sf).select("doc_id", "lang"), "doc_id")
+    one = lambda x: F.array(x)
+    i = F.col("idx")
+    return c.select("doc_id", "idx", one(F.floor(i / 40).cast("int") + 1).alias("pages"), one(F.floor(i / 100).cast("int") + 1).alias("slides"), one(F.concat(F.lit("Sheet "), "lang")).alias("sheets"), one(F.when(i % 5 == 0, "table").otherwise("paragraph")).alias("types"))
+
+
+#: Searches of every mode, each without a threshold and with two.
+_LEAST = {"hybrid": (0.5, 0.95), "vector": (0.2, 0.4), "lexical": (0.7, 0.9)}
+_MODE = {"hybrid": "TRUE", "vector": "vr IS NOT NULL", "lexical": "lr IS NOT NULL"}
+_SAID = {"hybrid": "round(score / (SELECT max(score) FROM fu), 6)", "vector": "round(vs, 6)", "lexical": "round(ls, 6)"}
+_BEFORE = {"hybrid": "score", "vector": "round(1.0::DOUBLE / (60 + vr), 9)", "lexical": "round(1.0::DOUBLE / (60 + lr), 9)"}
+_ALL_HITS = _HITS.format("", 30, "", 10).split("ok AS (")[0] + "am AS (SELECT fu.*, q = 'LOW_QUALITY' AS low FROM fu JOIN ab USING (doc_id) WHERE NOT gone AND q <> 'INCOMPLETE')"
+_RANKED = " UNION ALL ".join(
+    f"SELECT * FROM (SELECT '{m}' AS mode, {t} AS threshold, row_number() OVER (ORDER BY low, {_BEFORE[m]} DESC, doc_id, idx) AS rank, doc_id, idx, {_SAID[m]} AS relevance FROM am WHERE {_MODE[m]} AND {_SAID[m]} >= {max(t, 0.35) if m == 'vector' and not t else t}"
+    f" {'AND (coalesce(ls, 0) > 0 OR coalesce(vs, 0) >= 0.35)' if m == 'hybrid' else ''}) WHERE rank <= 10"
+    for m in _LEAST
+    for t in (0.0, *_LEAST[m])
+)
+
+
+@query(f"WITH {_BM25}, {_VEC}, {_LIB}, {_ALL_HITS} SELECT mode, threshold::DOUBLE AS threshold, CAST(rank AS INTEGER) AS rank, doc_id, idx, relevance FROM ({_RANKED})")
+def search_threshold(spark, sf):
+    """Thresholds hold for the relevance of each mode; a vector search without one needs 0.35, a hybrid hit without a word of the question always."""
+    lib, v, out = library(spark, sf), asked_vector(spark, sf), None
+    for m, ts in _LEAST.items():
+        for t in (None, *ts):
+            hits = Se.search(lib, QUERY, v, Se.Options(top_k=10, mode=m, threshold=t))
+            hits = hits.select(F.lit(m).alias("mode"), F.lit(t or 0.0).alias("threshold"), "rank", "doc_id", "idx", "relevance")
+            out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+@query(f"""WITH {_BM25}, {_VEC}, {_LIB}, {_ALL_HITS}, an AS (SELECT am.* FROM am JOIN documents USING (doc_id) WHERE (coalesce(ls, 0) > 0 OR coalesce(vs, 0) >= 0.35) AND idx // 40 IN (0, 1) AND idx // 100 = 0 AND lang IN ('en', 'fr') AND idx % 5 = 0)
+SELECT CAST(row_number() OVER (ORDER BY low, score DESC, doc_id, idx) AS INTEGER) AS rank, doc_id, idx, score FROM an QUALIFY rank <= 10""")
+def search_structure(spark, sf):
+    """Hits on the first two pages and the first slide, in two sheets, that are tables."""
+    lib = library(spark, sf)
+    lib.anchors = anchors(spark, sf)
+    where = Se.Structure([1, 2], [1], ["SHEET en", " sheet fr "], ["Table"])
+    return Se.search(lib, QUERY, asked_vector(spark, sf), Se.Options(top_k=10, structure=where)).select("rank", "doc_id", "idx", "score")
+
+
 _KEPT = " WHERE doc_id IN (SELECT doc_id FROM ab WHERE contains(lower(title), 'e') AND day BETWEEN DATE '2024-01-20' AND DATE '2024-06-30')"
 
 

@@ -8,6 +8,7 @@ from papyra.functions.text import meaningful
 from papyra.functions.vectors import dot, norm, unit
 from papyra.operators import lexical as Lex
 from papyra.operators import retrieval as R
+from papyra.operators import trigrams as T
 from papyra.plans.catalogue import CHUNKS, F, both, docs, query, table
 from papyra.sources.tables import chunks
 
@@ -174,3 +175,37 @@ def needle_recall(spark, sf):
     return needles(spark, sf).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("docs"))
 
 
+
+
+def cut_words(spark, sf):
+    """(question, text): every passage without the first letter of its words; of a third with a number besides, a third the number alone."""
+    b = table(spark, sf, "benchmark")
+    words = F.array_join(F.transform(F.split("text", " "), lambda w: F.substring(w, 2, 1000)), " ")
+    n, kind = (F.col("item_id") % 20).cast("string"), F.col("item_id") % 3
+    return b.select(F.col("item_id").alias("question"), F.when(kind == 0, words).when(kind == 1, F.concat(words, F.lit(" "), n)).otherwise(n).alias("text"))
+
+
+def grams(spark, sf):
+    d = docs(spark, sf)
+    return T.index_of(d, chunks(d))
+
+
+_PARTS = rf"""{CHUNKS}, c AS (SELECT doc_id, idx, lower(text) AS t, greatest(length(text) - 2, 0) AS len FROM chunks), s AS (SELECT count(*)::DOUBLE AS n, avg(len) AS avg FROM c),
+q0 AS (SELECT item_id AS question, array_to_string(list_transform(string_split(text, ' '), lambda w: substr(w, 2)), ' ') AS w, CAST(item_id % 20 AS VARCHAR) AS i FROM benchmark),
+q AS (SELECT question, CASE question % 3 WHEN 0 THEN w WHEN 1 THEN w || ' ' || i ELSE i END AS q FROM q0),
+w AS (SELECT question, unnest(regexp_extract_all(q, '[\p{{L}}\p{{N}}_]+')) AS w FROM q),
+loc AS (SELECT question, list_distinct(list(lower(w))) AS l FROM w WHERE length(w) < 3 AND regexp_matches(w, '\p{{Nd}}') GROUP BY question),
+a AS (SELECT question, lower(w) AS term FROM (SELECT DISTINCT question, w FROM w WHERE length(w) >= 3) QUALIFY row_number() OVER (PARTITION BY question ORDER BY w) <= 64),
+m AS (SELECT term, doc_id, idx, len, t FROM (SELECT DISTINCT term FROM a) JOIN c ON contains(t, term)),
+f AS (SELECT term, doc_id, idx, len, len(list_filter(generate_series(1, length(t) - length(term) + 1), lambda i: substr(t, CAST(i AS BIGINT), length(term)) = term)) AS tf FROM m),
+d AS (SELECT term, count(*)::DOUBLE AS df FROM f GROUP BY term),
+p AS (SELECT question, doc_id, idx, sum(CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) > 0 THEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) ELSE 1e-6::DOUBLE END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg))) AS x
+ FROM (SELECT DISTINCT question, term FROM a) JOIN f USING (term) JOIN d USING (term), s GROUP BY question, doc_id, idx),
+h AS (SELECT question, doc_id, idx, round(x / (x + 1), 6) AS score FROM p UNION ALL SELECT question, doc_id, idx, 0 FROM loc, c WHERE question NOT IN (SELECT question FROM a) AND contains(t, l[1])),
+k AS (SELECT h.* FROM h LEFT JOIN loc USING (question) JOIN c USING (doc_id, idx) WHERE len(list_filter(coalesce(l, []), lambda x: NOT contains(t, x))) = 0)"""
+
+
+@query(f"""WITH {_PARTS} SELECT question, doc_id, idx, score, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, CASE WHEN score = 0 THEN idx END, doc_id, idx) AS INTEGER) AS rank FROM k QUALIFY rank <= 3""")
+def lexical_trigram_lane(spark, sf):
+    """The three best chunks for parts of words of every passage, numbers that must stand in the text, and numbers alone."""
+    return T.search(grams(spark, sf), cut_words(spark, sf), 3)

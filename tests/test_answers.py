@@ -138,11 +138,76 @@ def test_versions_decide_what_is_seen(spark):
 
 
 def test_search_falls_back_when_a_reranker_fails(spark):
-    hits = spark.createDataFrame([(1, 0, 0.5, False, None), (2, 0, 0.4, False, None)], "doc_id long, idx long, score double, low boolean, rerank_score double")
-    chunks = spark.createDataFrame([(1, 0, "a"), (2, 0, "b")], "doc_id long, idx long, text string")
-    assert [r["rerank_score"] for r in Se.reranked(hits, chunks, "q", lambda q, t: [0.1, 0.9], 2).orderBy("doc_id").collect()] == [0.1, 0.9]
-    for broken in (lambda q, t: [2.0, 0.1], lambda q, t: [0.5], lambda q, t: 1 / 0):
-        assert [r["rerank_score"] for r in Se.reranked(hits, chunks, "q", broken, 2).collect()] == [None, None]
+    hits = spark.createDataFrame([(1, 0, 1.0, None), (2, 0, 2.0, None), (3, 0, 3.0, None)], "doc_id long, idx long, place double, rerank_score double")
+    chunks = spark.createDataFrame([(1, 0, "a"), (2, 0, "b"), (3, 0, "c")], "doc_id long, idx long, text string")
+    told, failed = Se.reranked(hits, chunks, "q", lambda q, t: [0.1, 0.9], 2)
+    assert failed is None and [(r.doc_id, r.place, r.rerank_score) for r in told.orderBy("place").collect()] == [(2, 1.0, 0.9), (1, 2.0, 0.1)]
+    for broken, said in ((lambda q, t: [2.0, 0.1], "beyond"), (lambda q, t: [0.5], "1 scores for 2"), (lambda q, t: 1 / 0, "ZeroDivisionError")):
+        same, failed = Se.reranked(hits, chunks, "q", broken, 2)
+        assert said in failed and [r["rerank_score"] for r in same.collect()] == [None] * 3
+
+
+@pytest.fixture(scope="module")
+def small_library(spark):
+    from papyra.operators import lexical as Lex
+    from papyra.operators import trigrams as T
+
+    texts = ["red fox runs", "red red dog", "blue cat sleeps", "a redder bird", "green frog", "red fish"]
+    docs = spark.createDataFrame([(i, f"t{i}", "s", None, 1, "ready", "LOW_QUALITY" if i == 1 else "INCOMPLETE" if i == 5 else "GOOD") for i in range(6)], "doc_id long, title string, source string, updated int, created int, status string, quality string")
+    chunks = spark.createDataFrame([(i, 0, "", t) for i, t in enumerate(texts)], "doc_id long, idx long, heading string, text string")
+    vectors = spark.createDataFrame([(i, 0, "m", v) for i, v in enumerate([[1.0, 0.0], [0.8, 0.6], [0.9, 0.1], [0.0, 1.0], [0.3, 0.9]])], "doc_id long, idx long, model string, embedding array<double>")
+    anchors = spark.createDataFrame([(i, 0, [i], [i % 2], ["Sheet A" if i % 2 else "b"], ["table"]) for i in range(5)], "doc_id long, idx long, pages array<int>, slides array<int>, sheets array<string>, types array<string>")
+    return Se.Library(docs, chunks, Lex.build(chunks), vectors, T.build(chunks), anchors)
+
+
+def ids(hits):
+    return [r.doc_id for r in hits.orderBy("rank").collect()]
+
+
+def test_thresholds_hold_for_the_relevance_of_the_mode(spark, small_library):
+    lib, q, v = small_library, "red fox", [1.0, 0.0]
+    # 0, 1 and 3 hold a term, 2 is near; 4 is no match and far, 5 isn't extracted, 1 comes last
+    assert ids(Se.search(lib, q, v)) == [0, 3, 2, 1] and ids(Se.search(lib, q, v, Se.Options(mode="vector"))) == [0, 2, 1]
+    assert ids(Se.search(lib, q, v, Se.Options(mode="vector", threshold=0.85))) == [0, 2]
+    assert ids(Se.search(lib, q, v, Se.Options(threshold=0.99))) == [0]
+    low = Se.search(lib, q, v, Se.Options(mode="lexical"))
+    scores = {r.doc_id: r.lexical_score for r in low.collect()}
+    assert set(scores) == {0, 1, 3} and all(r.relevance == round(r.lexical_score, 6) and r.score == r.lexical_score for r in low.collect())
+    assert ids(Se.search(lib, q, v, Se.Options(mode="lexical", threshold=max(scores.values())))) == [0]
+    # a reranker's scores are the relevance, and only those it judged stay
+    judged = Se.search(lib, q, v, Se.Options(top_k=3, rerank=lambda q, t: [0.2, 0.9, 0.5], threshold=0.3))
+    assert [(r.doc_id, r.relevance, r.score) for r in judged.orderBy("rank").collect()][0][1:] == (0.9, 0.9) and judged.count() == 2
+
+
+def test_what_search_could_not_do_is_told(spark, small_library):
+    lib, q, v = small_library, "red fox", [1.0, 0.0]
+    said = lambda hits: {(r["mode"], r.degraded) for r in hits.collect()}
+    assert said(Se.search(lib, q, v)) == {("hybrid", None)} and said(Se.search(lib, q, None)) == {("lexical", None)}
+    assert said(Se.search(lib, q, None, Se.Options(mode="hybrid"))) == {("lexical", "no vectors")}
+    assert said(Se.search(lib, q, v, Se.Options(mode="vector", model="other"))) == {("lexical", "no vectors of this model")}
+    assert "TimeoutError" in list(said(Se.search(lib, q, v, Se.Options(rerank=lambda q, t: (_ for _ in ()).throw(TimeoutError())))))[0][1]
+
+
+def test_search_by_structure(spark, small_library):
+    lib, q, v = small_library, "red fox", [1.0, 0.0]
+    find = lambda **w: ids(Se.search(lib, q, v, Se.Options(structure=Se.Structure(**w))))
+    assert find(pages=[0, 3]) == [0, 3] and find(sheets=[" SHEET a"]) == [3, 1] and find(slides=[0], types=["Table"]) == [0, 2] and find(types=["cell"]) == []
+    assert len(find()) == 4
+    with pytest.raises(ValueError):
+        Se.search(Se.Library(lib.documents, lib.chunks, lib.index), q, None, Se.Options(structure=Se.Structure(pages=[1])))
+
+
+def test_parts_of_words_are_found(spark, small_library):
+    from papyra.operators import trigrams as T
+
+    g = small_library.grams
+    one = lambda q: sorted((r.doc_id, r.idx) for r in T.lane(g, q, 10).collect())
+    assert one("EDD") == [(3, 0)] and one("redde irdx") == [(3, 0)] and one("re do") == [] and one("zzz") == []
+    han = spark.createDataFrame([(1, 0, "关于知识库检索的说明 12"), (2, 0, "知识图谱"), (3, 0, "检索 7"), (4, 0, None), (5, 1, "page 7"), (5, 0, "7")], "doc_id long, idx long, text string")
+    h = T.build(han)
+    find = lambda q, **o: [(r.doc_id, r.idx) for r in T.search(h, spark.createDataFrame([(0, q)], "question int, text string"), 5, **o).orderBy("rank").collect()]
+    assert find("识库检索") == [(1, 0)] and find("知识库检索 12") == [(1, 0)] and find("知识库检索 13") == [] and find("知识图谱") == [(2, 0)]
+    assert find("7") == [(3, 0), (5, 0), (5, 1)] and find("7", scope=spark.createDataFrame([(5,)], "doc_id long")) == [(5, 0), (5, 1)] and find("知识") == [] and find("") == []
 
 
 def test_library_states(spark, tmp_path):
