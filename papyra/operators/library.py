@@ -90,6 +90,27 @@ def publish(states: DataFrame, generation: int, now_ms: int) -> DataFrame:
     return states.select("generation", new.alias("state"), F.when(new != F.col("state"), F.lit(now_ms)).otherwise(F.col("changed")).alias("changed"))
 
 
+def publish_all(states: DataFrame, asked: DataFrame, now_ms: int) -> DataFrame:
+    """Generations (base, generation, state, changed) after each base's request (base, generation) was decided, as ``publish`` does for one: a row a generation, with ``outcome`` for the one asked for.
+
+    ``outcome`` is published, not building (another state, or no such generation: that row is added without a state) or
+    overtaken (a later one is active); of two requests of one base the later generation counts.
+    """
+    want = asked.groupBy("base").agg(F.max("generation").alias("want"))
+    newest = states.filter("state = 'active'").groupBy("base").agg(F.max("generation").alias("in_force"))
+    own = want.join(newest, "base", "left").join(states.select("base", F.col("generation").alias("want"), F.col("state").alias("own")), ["base", "want"], "left")
+    outcome = F.when(F.coalesce("own", F.lit("")) != "building", "not building").when(F.col("in_force") > F.col("want"), "overtaken").otherwise("published")
+    own = own.select("base", "want", outcome.alias("outcome"), (F.col("own").isNull()).alias("lost"))
+    wins = (F.col("outcome") == "published") & F.col("want").isNotNull()
+    new = F.when(wins & (F.col("generation") == F.col("want")), "active").when(wins & (F.col("state") == "active"), "retired").otherwise(F.col("state"))
+    met = states.join(own.drop("lost"), "base", "left")
+    changed = F.when(new != F.col("state"), F.lit(now_ms).cast("long")).otherwise(F.col("changed").cast("long"))
+    told = F.when(F.col("generation") == F.col("want"), F.col("outcome"))
+    rows = met.select("base", "generation", new.alias("state"), changed.alias("changed"), told.alias("outcome"))
+    none = own.filter("lost").select("base", F.col("want").cast(states.schema["generation"].dataType).alias("generation"), F.lit(None).cast("string").alias("state"), F.lit(None).cast("long").alias("changed"), "outcome")
+    return rows.unionByName(none)
+
+
 def expired(states: DataFrame, now_ms: int, grace_ms: int = GRACE_MS) -> DataFrame:
     """Generations that may be removed: retired longer than the grace."""
     return states.filter((F.col("state") == "retired") & (F.col("changed") < now_ms - grace_ms))

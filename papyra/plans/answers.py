@@ -7,9 +7,11 @@ from papyra.operators import context as C
 from papyra.operators import evidence as E
 from papyra.operators import retrieval as R
 from papyra.operators import search as Se
+from papyra.operators import snapshots as Sn
 from papyra.plans.catalogue import CHUNKS, F, docs, query, table
 from papyra.plans.compiler import compiled
-from papyra.plans.retrieval import _BM25, _VEC, QUERY, index, vector
+from papyra.plans.retrieval import _BM25, _VEC, QUERY, index, parts, vector
+from papyra.sources.store import fingerprint, shared_dir
 from papyra.sources.tables import chunks
 
 #: Documents are fine, poor or incomplete by their labels; those of every 13th id are being deleted.
@@ -92,6 +94,42 @@ def search_structure(spark, sf):
     return Se.search(lib, QUERY, asked_vector(spark, sf), Se.Options(top_k=10, structure=where)).select("rank", "doc_id", "idx", "score")
 
 
+_PINNED: dict[tuple, str] = {}
+
+
+def published(spark, sf) -> str:
+    """The folder of a library in two snapshots, made once a session: in the first all documents are ready, in the second those of every 13th id are being deleted."""
+    key = (spark.sparkContext.applicationId, fingerprint(docs(spark, sf)))
+    if key not in _PINNED:
+        root, lib = f"{shared_dir(spark)}/papyra-library-{key[1][:16]}-{len(_PINNED)}", library(spark, sf)
+        ready = lib.documents.withColumn("status", F.lit("ready"))
+        first = Sn.publish(spark, root, Sn.tables_of(ready, lib.chunks, lib.vectors, anchors(spark, sf)))
+        Sn.publish(spark, root, {"documents": lib.documents}, first.epoch)
+        _PINNED[key] = root
+    return _PINNED[key]
+
+
+_SNAP = f"""WITH {parts(f"q AS (SELECT 0 AS question, '{QUERY}' AS q)")}, {_VEC}, {_LIB.replace("d.doc_id % 13 = 0 AS gone", "false AS gone")},
+{_HITS.format('', 30, '', 10).replace("score / (score + 1)", "score").replace("FROM bm", "FROM k")}"""
+
+
+@query(f"{_SNAP} SELECT CAST(rank AS INTEGER) AS rank, doc_id, idx, score, 1::BIGINT AS epoch FROM top WHERE doc_id % 13 <> 0")
+def search_snapshot(spark, sf):
+    """Ten hits of the first snapshot, by parts of words and vectors; those of documents deleted since are not returned, and leave a gap."""
+    hits = Sn.search(spark, published(spark, sf), QUERY, asked_vector(spark, sf), Se.Options(top_k=10), epoch=1)
+    return hits.select("rank", "doc_id", "idx", "score", "epoch")
+
+
+@query(f"{_SNAP}, hit AS (SELECT rank, doc_id, idx FROM top WHERE doc_id % 13 <> 0 ORDER BY rank LIMIT 1) SELECT x.doc_id, x.idx, x.text FROM hit JOIN chunks x ON x.doc_id = hit.doc_id AND (x.idx BETWEEN hit.idx + 1 AND hit.idx + 8 OR x.idx BETWEEN hit.idx - 2 AND hit.idx - 1)")
+def read_on(spark, sf):
+    """What follows the best hit, five chunks and then three from the new cursor, and the two before it, in the hit's own snapshot."""
+    root = published(spark, sf)
+    best = Sn.search(spark, root, QUERY, asked_vector(spark, sf), Se.Options(top_k=10), epoch=1).orderBy("rank").first()
+    one, at = Sn.read_on(spark, root, best["cursor"], 5)
+    out = one.unionByName(Sn.read_on(spark, root, at, 3)[0]) if at else one
+    return out.unionByName(Sn.read_on(spark, root, best["cursor"], 2, back=True)[0]).select("doc_id", "idx", "text")
+
+
 _KEPT = " WHERE doc_id IN (SELECT doc_id FROM ab WHERE contains(lower(title), 'e') AND day BETWEEN DATE '2024-01-20' AND DATE '2024-06-30')"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+
 from papyra.functions import questions as Q
 from papyra.operators import library as Li
 from papyra.plans.catalogue import F, docs, query, table
@@ -59,10 +61,31 @@ def path_lookup(spark, sf):
     return Li.by_path(table(spark, sf, "part").select(F.col("p_name").alias("path"), F.lit(0).alias("created"), F.col("p_partkey").alias("doc_id")))
 
 
-@query("""SELECT * FROM (VALUES (1, 'retired', 100), (2, 'retired', 900), (3, 'active', 900), (4, 'building', 50)) AS t(generation, state, changed)""")
+#: Conversations as bases: turns are generations, the last building, the one before active, a few bases in other states.
+_GENERATIONS = """g AS (SELECT conv_id AS base, turn AS generation, length(text) AS changed, max(turn) OVER (PARTITION BY conv_id) - turn AS back, conv_id % 7 AS kind FROM conversations),
+s AS (SELECT base, generation, changed, kind, CASE WHEN kind = 3 AND back = 0 THEN 'active' WHEN kind = 4 AND back = 0 THEN 'failed' WHEN back = 0 THEN 'building' WHEN back = 1 THEN CASE WHEN kind = 3 THEN 'building' ELSE 'active' END ELSE 'retired' END AS state FROM g),
+w AS (SELECT base, max(generation) + CASE WHEN max(kind) = 5 THEN 1 WHEN max(kind) = 3 THEN -1 ELSE 0 END AS want FROM s WHERE kind <> 6 GROUP BY base)"""
+
+
+def generations(spark, sf):
+    """(states, requests) of ``_GENERATIONS``."""
+    back = F.max("turn").over(Window.partitionBy("conv_id")) - F.col("turn")
+    g = table(spark, sf, "conversations").select(F.col("conv_id").alias("base"), F.col("turn").alias("generation"), F.length("text").alias("changed"), back.alias("back"), (F.col("conv_id") % 7).alias("kind"))
+    late, last, before = F.col("kind") == 3, F.col("back") == 0, F.col("back") == 1
+    state = F.when(late & last, "active").when((F.col("kind") == 4) & last, "failed").when(last, "building").when(before & late, "building").when(before, "active").otherwise("retired")
+    states = g.select("base", "generation", state.alias("state"), "changed", "kind")
+    step = F.max("generation") + F.when(F.max("kind") == 5, 1).when(F.max("kind") == 3, -1).otherwise(0)
+    return states.drop("kind"), states.filter("kind <> 6").groupBy("base").agg(step.alias("generation"))
+
+
+@query(f"""WITH {_GENERATIONS}, o AS (SELECT w.base, want, CASE WHEN coalesce(own.state, '') <> 'building' THEN 'not building' WHEN want < (SELECT max(a.generation) FROM s a WHERE a.base = w.base AND a.state = 'active') THEN 'overtaken' ELSE 'published' END AS outcome, own.state IS NULL AS lost
+ FROM w LEFT JOIN s own ON own.base = w.base AND own.generation = want),
+r AS (SELECT s.*, outcome, want, CASE WHEN outcome = 'published' AND generation = want THEN 'active' WHEN outcome = 'published' AND state = 'active' THEN 'retired' ELSE state END AS new FROM s LEFT JOIN o USING (base))
+SELECT base, generation, new AS state, CASE WHEN new <> state THEN 900 ELSE changed END AS changed, CASE WHEN generation = want THEN outcome END AS outcome FROM r UNION ALL SELECT base, want, NULL, NULL, outcome FROM o WHERE lost""")
 def generation_publish(spark, sf):
-    s = spark.createDataFrame([(1, "retired", 100), (2, "active", 200), (3, "building", 300), (4, "building", 50)], "generation int, state string, changed long")
-    return Li.publish(s, Li.next_generation(s.filter("state = 'active'")), 900)
+    """Every base's last generation is asked for: most are published, others overtaken, failed or not there."""
+    states, asked = generations(spark, sf)
+    return Li.publish_all(states, asked, 900)
 
 
 @query("SELECT conv_id, turn, md5(text) AS hash FROM conversations WHERE turn = 1")

@@ -190,9 +190,10 @@ def grams(spark, sf):
     return T.index_of(d, chunks(d))
 
 
-_PARTS = rf"""{CHUNKS}, c AS (SELECT doc_id, idx, lower(text) AS t, greatest(length(text) - 2, 0) AS len FROM chunks), s AS (SELECT count(*)::DOUBLE AS n, avg(len) AS avg FROM c),
-q0 AS (SELECT item_id AS question, array_to_string(list_transform(string_split(text, ' '), lambda w: substr(w, 2)), ' ') AS w, CAST(item_id % 20 AS VARCHAR) AS i FROM benchmark),
-q AS (SELECT question, CASE question % 3 WHEN 0 THEN w WHEN 1 THEN w || ' ' || i ELSE i END AS q FROM q0),
+def parts(asked: str) -> str:
+    """In SQL, what ``trigrams.search`` finds for the questions of a table q (question, q): k (question, doc_id, idx, score)."""
+    return rf"""{CHUNKS}, c AS (SELECT doc_id, idx, lower(text) AS t, greatest(length(text) - 2, 0) AS len FROM chunks), s AS (SELECT count(*)::DOUBLE AS n, avg(len) AS avg FROM c),
+{asked},
 w AS (SELECT question, unnest(regexp_extract_all(q, '[\p{{L}}\p{{N}}_]+')) AS w FROM q),
 loc AS (SELECT question, list_distinct(list(lower(w))) AS l FROM w WHERE length(w) < 3 AND regexp_matches(w, '\p{{Nd}}') GROUP BY question),
 a AS (SELECT question, lower(w) AS term FROM (SELECT DISTINCT question, w FROM w WHERE length(w) >= 3) QUALIFY row_number() OVER (PARTITION BY question ORDER BY w) <= 64),
@@ -205,7 +206,11 @@ h AS (SELECT question, doc_id, idx, round(x / (x + 1), 6) AS score FROM p UNION
 k AS (SELECT h.* FROM h LEFT JOIN loc USING (question) JOIN c USING (doc_id, idx) WHERE len(list_filter(coalesce(l, []), lambda x: NOT contains(t, x))) = 0)"""
 
 
-@query(f"""WITH {_PARTS} SELECT question, doc_id, idx, score, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, CASE WHEN score = 0 THEN idx END, doc_id, idx) AS INTEGER) AS rank FROM k QUALIFY rank <= 3""")
+_CUT = """q0 AS (SELECT item_id AS question, array_to_string(list_transform(string_split(text, ' '), lambda w: substr(w, 2)), ' ') AS w, CAST(item_id % 20 AS VARCHAR) AS i FROM benchmark),
+q AS (SELECT question, CASE question % 3 WHEN 0 THEN w WHEN 1 THEN w || ' ' || i ELSE i END AS q FROM q0)"""
+
+
+@query(f"""WITH {parts(_CUT)} SELECT question, doc_id, idx, score, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, CASE WHEN score = 0 THEN idx END, doc_id, idx) AS INTEGER) AS rank FROM k QUALIFY rank <= 3""")
 def lexical_trigram_lane(spark, sf):
     """The three best chunks for parts of words of every passage, numbers that must stand in the text, and numbers alone."""
     return T.search(grams(spark, sf), cut_words(spark, sf), 3)
