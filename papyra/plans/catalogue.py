@@ -54,7 +54,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from papyra.plans import answers, compiler, dictionaries, graphs, histories, library, pages, relational, retrieval, scalars, semantic, texts  # noqa: F401  they register their queries
+    from papyra.plans import answers, compiler, dictionaries, graphs, histories, library, pages, relational, retrieval, scalars, semantic, structures, texts  # noqa: F401  they register their queries
 
     return dict(QUERIES)
 
