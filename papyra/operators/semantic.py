@@ -94,17 +94,17 @@ def topic_of(concepts_: DataFrame, topics_: DataFrame) -> DataFrame:
     return out.filter("b.score > 0").select("concept", F.col("b.topic").alias("topic"), F.col("b.score").cast("int").alias("score"))
 
 
-def _longest(keys: list[str], texts: pd.Series) -> list[str | None]:
-    """For each text the longest of the keys that it holds, ties to the smaller."""
+def _longest(keys: list[str]):
+    """A function of texts: for each the longest of the keys that it holds, ties to the smaller. The automaton is built once."""
     import ahocorasick
 
     if not keys:
-        return [None] * len(texts)
+        return lambda texts: [None] * len(texts)
     a = ahocorasick.Automaton()
     for k in keys:
         a.add_word(k, k)
     a.make_automaton()
-    return [min((k for _, k in a.iter(t)), key=lambda k: (-len(k), k), default=None) for t in texts]
+    return lambda texts: [min((k for _, k in a.iter(t)), key=lambda k: (-len(k), k), default=None) for t in texts]
 
 
 def named_concept(facts_: DataFrame, keys: DataFrame) -> DataFrame:
@@ -120,8 +120,9 @@ def named_concept(facts_: DataFrame, keys: DataFrame) -> DataFrame:
 
         @F.pandas_udf("string")
         def longest(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            find = _longest(known)
             for s in texts:
-                yield pd.Series(_longest(known, s), dtype=object)
+                yield pd.Series(find(s), dtype=object)
 
         found = f.select("key", longest(F.col("t")).alias("concept")).filter("concept is not null")
     else:
@@ -131,7 +132,7 @@ def named_concept(facts_: DataFrame, keys: DataFrame) -> DataFrame:
         right = keys.select(F.col("key").alias("name"), F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", each(blocks))
 
         def meet(own: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
-            pairs = zip(own["key"], _longest(sorted(names["name"]), own["t"]), strict=True)
+            pairs = zip(own["key"], _longest(sorted(names["name"]))(own["t"]), strict=True)
             return pd.DataFrame([(k, c) for k, c in pairs if c is not None], columns=["key", "concept"], dtype=object)
 
         some = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(meet, "key string, concept string")
