@@ -334,3 +334,16 @@ def merge_units(previous: DataFrame, update: DataFrame, dirty: DataFrame) -> Dat
     told = supersession(facts_.select("key", F.when(F.col("v").isNotNull(), F.concat_ws("|", "v.predicate", "v.attribute")).alias("scope"), F.coalesce("v.version", "version").alias("version")))
     told = told.select(F.lit("fact").alias("type"), "key", F.col("status").alias("s"), "superseded_by")
     return out.join(told, ["type", "key"], "left").withColumn("status", F.coalesce("s", "status")).select(*UNIT)
+
+
+def merge_relations(previous: DataFrame, update: DataFrame, units: DataFrame) -> DataFrame:
+    """Relations of a base after ``merge_units``: those of either side whose both ends are left, the earlier of equal ones; what supersedes what is told by the units."""
+    f = units.filter("type = 'fact'")
+    keys = f.select("key")
+    both = previous.withColumn("side", F.lit(0)).unionByName(update.withColumn("side", F.lit(1))).filter("type <> 'supersedes'")
+    one = both.groupBy("type", "subject", "object").agg(F.min_by(F.struct("statement", "confidence"), "side").alias("r"))
+    kept = one.join(keys.withColumnRenamed("key", "subject"), "subject", "left_semi").join(keys.withColumnRenamed("key", "object"), "object", "left_semi")
+    old = f.filter("superseded_by is not null").select("key", "superseded_by", "content")
+    new = f.select(F.col("key").alias("superseded_by"), F.col("content").alias("new"))
+    told = old.join(new, "superseded_by").select(F.lit("supersedes").alias("type"), F.col("key").alias("subject"), F.col("superseded_by").alias("object"), F.concat_ws(" is superseded by ", "content", "new").alias("statement"), F.lit(SUPERSEDES).alias("confidence"))
+    return kept.select("type", "subject", "object", "r.statement", "r.confidence").unionByName(told)

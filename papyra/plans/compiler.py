@@ -50,9 +50,14 @@ def structure_pieces(spark, sf):
     return p.select("doc_id", "idx", "type", ir.section(F.col("path")).alias("section"), F.sha2("search_text", 256).alias("said"))
 
 
-@query("SELECT doc_id, '' AS node_id, '' AS fault FROM documents WHERE false")
+@query("""SELECT doc_id, fault, 1::BIGINT AS nodes FROM (SELECT doc_id, unnest(CASE doc_id % 5 WHEN 0 THEN ['no document node', 'missing parent'] WHEN 1 THEN ['repeated id'] WHEN 2 THEN ['parent comes later'] ELSE [] END) AS fault FROM documents)""")
 def structure_faults(spark, sf):
-    return ir.faults(structured(spark, sf))
+    """Structured texts are sound; of a copy the documents lose their document node, repeat a node or lie under a later one, by their ids."""
+    n = structured(spark, sf).select("doc_id", "ord", "type", "parent")
+    kind = F.col("doc_id") % 5
+    bad = n.filter((kind != 0) | (F.col("type") != "document")).withColumn("parent", F.when((kind == 2) & (F.col("ord") == 1), 2).otherwise(F.col("parent")))
+    bad = bad.unionByName(n.filter((kind == 1) & (F.col("ord") == 1)))
+    return ir.faults(ir.bound(n)).unionByName(ir.faults(ir.bound(bad))).groupBy("doc_id", "fault").agg(F.count("*").alias("nodes"))
 
 
 @query("SELECT doc_id, '- ' || source || chr(10) || '  - ' || lang || ' texts' AS outline FROM documents")
@@ -158,18 +163,49 @@ def supersession(spark, sf):
     return s.select(F.col("key").alias("unit"), "scope", "status", "superseded_by")
 
 
-@query(f"""WITH {_STATED}, {_TOPICS} SELECT 'fact' AS type, count(*) AS units, sum(CASE WHEN p[1] IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS related FROM fx UNION ALL SELECT 'concept', count(DISTINCT k), 0 FROM ck UNION ALL SELECT 'topic', count(*), 0 FROM tp UNION ALL SELECT 'summary', count(*), 0 FROM documents""")
+#: How units are compared: facts each by what they say, their sources and how sure they are, the other kinds by their number.
+_NUMBERS = """SELECT 'concept' AS type, CAST(count(DISTINCT k) AS VARCHAR) AS key, NULL AS said, NULL AS sources, NULL::DOUBLE AS confidence, NULL AS status FROM ck UNION ALL SELECT 'topic', CAST(count(*) AS VARCHAR), NULL, NULL, NULL, NULL FROM tp"""
+
+
+def shown(units):
+    """Units as rows to be compared with ``_NUMBERS`` and facts in SQL."""
+    null = lambda t: F.lit(None).cast(t)
+    facts = units.filter("type = 'fact'").select("type", "key", F.sha2("content", 256).alias("said"), F.array_join(F.array_sort(F.transform("sources", lambda x: x.cast("long"))).cast("array<string>"), ",").alias("sources"), F.round("confidence", 6).alias("confidence"), "status")
+    rest = units.filter("type in ('concept', 'topic')").groupBy("type").agg(F.count("*").cast("string").alias("key"))
+    return facts.unionByName(rest.select("type", "key", null("string").alias("said"), null("string").alias("sources"), null("double").alias("confidence"), null("string").alias("status")))
+
+
+@query(f"""WITH {_STATED}, {_TOPICS}, so AS (SELECT k, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS docs FROM (SELECT DISTINCT k, doc_id FROM sp) GROUP BY k)
+SELECT 'fact' AS type, k AS key, sha256(text) AS said, docs AS sources, 0.68::DOUBLE AS confidence, 'active' AS status FROM fx JOIN so USING (k) UNION ALL {_NUMBERS}""")
 def semantic_compile(spark, sf):
-    """Units by kind, and relations among facts; the compiler's whole output is the table that search reads."""
-    units, relations = compiled(spark, sf)
-    of = relations.filter("type = 'related_to'").agg(F.count("*").alias("n"))
-    n = units.groupBy("type").agg(F.count("*").alias("units")).join(F.broadcast(of))
-    return n.select("type", "units", F.when(F.col("type") == "fact", F.col("n")).otherwise(0).alias("related"))
+    """What the compiler makes of all documents: every fact, and how many concepts and topics."""
+    return shown(compiled(spark, sf)[0])
+
 
+@query(f"""WITH {_STATED}, e AS (SELECT f.p[1] AS subject, f.k AS object, g.text || ' → ' || f.text AS statement FROM fx f JOIN fx g ON g.k = f.p[1]) SELECT 'related_to' AS type, subject, object, sha256(statement) AS said, 0.68::DOUBLE AS confidence FROM e""")
+def compiled_relations(spark, sf):
+    """Every relation that the compiler makes; without versions nothing is superseded."""
+    r = compiled(spark, sf)[1]
+    return r.select("type", "subject", "object", F.sha2("statement", 256).alias("said"), F.round("confidence", 6).alias("confidence"))
 
-@query("SELECT '' AS key, '' AS fault FROM documents WHERE false")
+
+@query(f"""WITH {_STATED}, k AS (SELECT k, left(k, 1) AS c FROM fx) SELECT k AS key, CASE c WHEN '0' THEN 'no evidence' WHEN '1' THEN 'confidence' WHEN '3' THEN 'relation to itself' WHEN '5' THEN 'lost origin' END AS fault FROM k WHERE c IN ('0', '1', '3', '5')
+UNION ALL SELECT 'fact:' || k, 'repeated unit' FROM k WHERE c = '2' UNION ALL SELECT 'zz' || k, 'loose relation' FROM k WHERE c = '4'""")
 def compile_faults(spark, sf):
-    return S.faults(*compiled(spark, sf))
+    """Compiled units are sound, and in a copy of them in which facts are damaged by the first sign of their keys just those faults are found."""
+    units, relations = compiled(spark, sf)
+    c, none = F.left("key", F.lit(1)), F.array().cast("array<string>")
+    fact = F.col("type") == "fact"
+    bad = units.withColumns(
+        {
+            "sources": F.when(fact & (c == "0"), none).otherwise(F.col("sources")),
+            "confidence": F.when(fact & (c == "1"), 1.5).otherwise(F.col("confidence")),
+            "derived": F.when(fact & (c == "5"), F.array(F.lit("fact:none"))).otherwise(F.col("derived")),
+        }
+    )
+    bad = bad.unionByName(bad.filter(fact & (c == "2")))
+    own = units.filter(fact & c.isin("3", "4")).select(F.lit("related_to").alias("type"), F.col("key").alias("subject"), F.when(c == "3", F.col("key")).otherwise(F.concat(F.lit("zz"), "key")).alias("object"), F.lit("x").alias("statement"), F.lit(0.5).alias("confidence"))
+    return S.faults(units, relations).unionByName(S.faults(bad, relations.unionByName(own)))
 
 
 #: Parts as units: the name is the title, the kind the key, brand and size the content.

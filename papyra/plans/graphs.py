@@ -5,7 +5,7 @@ from __future__ import annotations
 from papyra.operators import graph as G
 from papyra.operators import semantic as S
 from papyra.plans.catalogue import F, docs, query, table
-from papyra.plans.compiler import _STATED, compiled, structured
+from papyra.plans.compiler import _STATED, compiled, structured, shown
 
 
 def supply(spark, sf):
@@ -70,15 +70,20 @@ def fixpoint_drop(spark, sf):
     return G.unsupported(derived, ids, sources.filter("id > 3"))
 
 
-@query(f"""WITH {_STATED} SELECT 'summary' AS type, count(*) AS units FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 10 = 0 UNION ALL SELECT 'fact', count(DISTINCT k) FROM sp WHERE doc_id % 5 <> 0 OR doc_id % 10 = 0""")
+@query(f"""WITH {_STATED}, le AS (SELECT k, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS docs FROM (SELECT DISTINCT k, doc_id FROM sp WHERE doc_id % 5 <> 0 OR doc_id % 10 = 0) GROUP BY k),
+up AS (SELECT k, arg_min(c, (doc_id, ord, j)) AS text FROM sp WHERE doc_id % 10 = 0 GROUP BY k)
+SELECT 'fact' AS type, le.k AS key, sha256(coalesce(up.text, fx.text)) AS said, docs AS sources, 0.68::DOUBLE AS confidence, 'active' AS status FROM le JOIN fx USING (k) LEFT JOIN up USING (k)
+UNION ALL SELECT 'summary', 'summary:doc:' || doc_id, NULL, NULL, NULL, NULL FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 10 = 0""")
 def incremental_merge(spark, sf):
-    """A fifth of the documents is dirty; half of these are compiled anew, the others are gone."""
+    """A fifth of the documents is dirty; half of these are compiled anew, the others are gone: every fact that is left, with its sources, and every summary."""
     n = structured(spark, sf)
     i = F.col("doc_id")
     before, _ = compiled(spark, sf)
     after, _ = S.compile_units(n.filter(i % 10 == 0))
     m = S.merge_units(before, after, docs(spark, sf).filter(i % 5 == 0))
-    return m.filter("type in ('summary', 'fact')").groupBy("type").agg(F.count("*").alias("units"))
+    null = lambda t, c: F.lit(None).cast(t).alias(c)
+    whole = m.filter("type = 'summary'").select("type", "key", null("string", "said"), null("string", "sources"), null("double", "confidence"), null("string", "status"))
+    return shown(m).filter("type = 'fact'").unionByName(whole)
 
 
 @query(f"""WITH RECURSIVE {_STATED}, e AS (SELECT f.p[1] AS src, f.k AS dst FROM fx f JOIN fx g ON g.k = f.p[1]), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), s AS (SELECT min(src) AS k FROM e),
