@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 
 from papyra.functions import questions as Q
+from papyra.operators import leases as Le
 from papyra.operators import library as Li
-from papyra.plans.catalogue import F, docs, query, table
+from papyra.operators import storage as St
+from papyra.plans.catalogue import CHUNKS, F, docs, query, table
 from papyra.plans.scalars import _STOP
+from papyra.sources.tables import chunks
 
 #: Names that a third of the parts want; the others have names already, some of them numbered.
 _NAMES = "w AS (SELECT p_partkey AS id, p_name || '.txt' AS name FROM part WHERE p_partkey % 3 = 0), t AS (SELECT DISTINCT p_name || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '_' || (p_partkey % 5 + 1) END || '.txt' AS name FROM part WHERE p_partkey % 3 <> 0)"
@@ -242,3 +245,56 @@ def temporal_questions(spark, sf):
             yield b[["p_partkey", "intent"]]
 
     return table(spark, sf, "part").select("p_partkey", "p_size").mapInPandas(f, "p_partkey long, intent string")
+
+
+#: Users' events as actions of workers on an operation each, by type and value.
+_ACTION = "CASE event_type WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'submit' ELSE 'retry' END WHEN 'click' THEN 'claim' WHEN 'view' THEN 'heartbeat' WHEN 'purchase' THEN CASE WHEN event_id % 5 = 0 THEN 'complete' ELSE 'claim' END WHEN 'error' THEN CASE WHEN event_id % 7 = 0 THEN 'cancel' WHEN event_id % 3 = 0 THEN 'fail' ELSE 'heartbeat' END END"
+_LEASE_S = 6 * 3600
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS op, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS tm, {_ACTION} AS a, 'w' || (event_id % 2) AS w, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE user_id IS NOT NULL),
+r(op, n, seq, a, w, tm, outcome, state, holder, until, attempt) AS (
+ SELECT op, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::BIGINT, 0 FROM (SELECT DISTINCT op FROM e)
+ UNION ALL SELECT op, n, seq, a, w, tm, o, CASE o WHEN 'ok' THEN CASE a WHEN 'submit' THEN 'queued' WHEN 'retry' THEN 'queued' WHEN 'claim' THEN 'running' WHEN 'heartbeat' THEN s WHEN 'complete' THEN 'succeeded' WHEN 'fail' THEN 'failed' ELSE CASE s WHEN 'queued' THEN 'cancelled' ELSE 'cancelling' END END
+   WHEN 'takeover' THEN 'running' WHEN 'again' THEN 'queued' WHEN 'cancelled' THEN 'cancelled' WHEN 'exhausted' THEN 'failed' ELSE s END,
+  CASE WHEN o = 'takeover' OR o = 'ok' AND a IN ('claim', 'heartbeat') THEN w WHEN o IN ('again', 'cancelled', 'exhausted') OR o = 'ok' AND NOT (a = 'cancel' AND s = 'running') THEN NULL ELSE h END,
+  CASE WHEN o = 'takeover' OR o = 'ok' AND a IN ('claim', 'heartbeat') THEN tm + {_LEASE_S} WHEN o IN ('again', 'cancelled', 'exhausted') OR o = 'ok' AND NOT (a = 'cancel' AND s = 'running') THEN NULL ELSE u END,
+  CASE WHEN a = 'claim' AND o IN ('ok', 'takeover') THEN t + 1 WHEN a IN ('submit', 'retry') AND o = 'ok' THEN 0 ELSE t END
+ FROM (SELECT *, CASE a WHEN 'submit' THEN CASE WHEN s IS NULL THEN 'ok' ELSE 'exists' END
+   WHEN 'claim' THEN CASE WHEN s = 'queued' THEN 'ok' WHEN stale AND s = 'running' AND t < 3 THEN 'takeover' WHEN stale AND s = 'cancelling' THEN 'cancelled' WHEN stale THEN 'exhausted' WHEN live THEN 'busy' ELSE 'refused' END
+   WHEN 'cancel' THEN CASE WHEN s IN ('queued', 'running') THEN 'ok' ELSE 'refused' END WHEN 'retry' THEN CASE WHEN s IN ('failed', 'cancelled') THEN 'ok' ELSE 'refused' END
+   ELSE CASE WHEN NOT (live AND w = h) THEN CASE WHEN live OR stale THEN 'lost' ELSE 'refused' END WHEN a = 'heartbeat' THEN 'ok' WHEN s = 'cancelling' THEN 'cancelled' WHEN a = 'complete' THEN 'ok' WHEN t < 3 THEN 'again' ELSE 'ok' END END AS o
+  FROM (SELECT e.op, e.n, e.seq, e.a, e.w, e.tm, r.state AS s, r.holder AS h, r.until AS u, r.attempt AS t, coalesce(r.state IN ('running', 'cancelling') AND e.tm > r.until, false) AS stale, coalesce(r.state IN ('running', 'cancelling') AND e.tm <= r.until, false) AS live FROM r JOIN e ON e.op = r.op AND e.n = r.n + 1)))
+SELECT op, seq, a AS action, w AS worker, tm AS "at", outcome, state, holder, until, attempt FROM r WHERE n > 0""")
+def operation_leases(spark, sf):
+    """Every action with what came of it: claims, takeovers of ended leases, late reports, retries and cancels."""
+    e = table(spark, sf, "events")
+    log = e.select(F.col("user_id").alias("op"), F.col("event_id").alias("seq"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.expr(_ACTION).alias("action"), F.concat(F.lit("w"), (F.col("event_id") % 2).cast("string")).alias("worker"))
+    return Le.replayed(log, _LEASE_S)
+
+
+#: Documents as stored files: some are lost, some of another content, and customers' files belong to nobody.
+_STORED = """d AS (SELECT doc_id, 'raw/' || source || '/' || doc_id AS path, strlen(coalesce(text, '')) AS bytes, sha256(coalesce(text, '')) AS sha FROM documents)"""
+
+
+@query(f"""WITH {_STORED} SELECT path, CASE WHEN doc_id % 7 = 0 THEN 'missing' ELSE 'damaged' END AS finding, CASE WHEN doc_id % 7 <> 0 AND doc_id % 11 = 0 THEN bytes + 1 ELSE bytes END AS bytes FROM d WHERE doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0
+UNION ALL SELECT 'raw/customer/' || c_custkey, 'orphan', c_custkey FROM customer""")
+def storage_reconcile(spark, sf):
+    """Files against the documents that refer to them, by size and digest."""
+    d = docs(spark, sf)
+    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    refs = d.select("doc_id", F.concat_ws("/", F.lit("raw"), "source", i.cast("string")).alias("path"), F.octet_length(text).cast("long").alias("bytes"), F.sha2(text, 256).alias("sha256"))
+    there = refs.filter(i % 7 != 0).select("path", F.when(i % 11 == 0, F.col("bytes") + 1).otherwise(F.col("bytes")).alias("bytes"), F.when(i % 13 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
+    others = table(spark, sf, "customer").select(F.concat(F.lit("raw/customer/"), F.col("c_custkey").cast("string")).alias("path"), F.col("c_custkey").cast("long").alias("bytes"), F.lit("x").alias("sha256"))
+    return St.reconciled(there.unionByName(others), refs.drop("doc_id"))
+
+
+@query(f"""WITH {CHUNKS}, n AS (SELECT doc_id, count(*) AS counted FROM chunks GROUP BY doc_id) SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE coalesce(counted, 0) + 2 END AS told, coalesce(counted, 0) AS counted FROM documents LEFT JOIN n USING (doc_id)
+WHERE doc_id % 9 = 0 AND doc_id % 5 <> 0 OR doc_id % 5 = 0 AND coalesce(counted, 0) <> 0""")
+def chunk_counts(spark, sf):
+    """Documents that say a wrong number of chunks; after the repair none does."""
+    c, d = chunks(docs(spark, sf)), docs(spark, sf)
+    n = c.groupBy("doc_id").agg(F.count("*").alias("n"))
+    i = F.col("doc_id")
+    told = d.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.when(i % 5 == 0, None).when(i % 9 == 0, F.coalesce("n", F.lit(0)) + 2).otherwise(F.coalesce("n", F.lit(0))).cast("int").alias("chunk_count"))
+    return St.miscounted(told, c).unionByName(St.miscounted(St.recounted(told, c), c))
