@@ -5,19 +5,20 @@ rate is its weight; every arrival falls into a random register, and a register
 keeps the element that arrives there first. Two texts agree in a register with
 the probability Jaccard similarity of their weighted shingles. A text's arrivals
 are made in rounds for all its shingles at once and stop for a shingle when its
-next arrival is later than all registers' first ones. Links are defined by sets of
-shingles, so here each weighs 1, however often it occurs, and texts agree in a
-register with the very similarity that is verified.
+next arrival is later than all registers' first ones. A shingle weighs as often as
+it occurs in the text, and a link is defined and verified by the probability Jaccard
+similarity of the same weights, so texts agree in a register with the very
+similarity that is verified.
 
 Registers are cut into bands; texts that agree in a whole band are candidates.
-Candidates are compared by their exact shingle sets, first with the leader of
+Candidates are compared by their exact weighted shingles, first with the leader of
 each bucket, so a bucket of thousands of near copies costs a comparison each and
 not one per pair. Where buckets connect texts that are still in different
 components, the rest is done in blocks, bounded in texts and bytes. A text of
-which too few shingles are in any other text of its cluster has no partner and
-takes no part. A task takes two blocks, passes over pairs that can't be similar
-enough (by size, and by how many shingles each holds that no other of the cluster
-does), counts what the others share, and yields one link for each two components
+which too small a part of the weight is on shingles of any other text of its cluster
+has no partner and takes no part. A task takes two blocks, passes over pairs that
+can't be similar enough (by that part, and by the weight that both put on the same
+shingles, which is never less than the similarity), and yields one link for each two components
 that it finds linked. So no link between different components is lost, no list of
 pairs is made, and a large group is spread over many tasks.
 
@@ -67,8 +68,29 @@ def prob_minhash(element: np.ndarray, doc: np.ndarray, weight: np.ndarray, docs:
     return kept.reshape(docs, registers)
 
 
-def _sets(texts, hashes: WordHashes, width: int) -> list[np.ndarray]:
-    return [np.unique(shingle_hashes(hashes.of(words(t)), width)) for t in texts]
+#: What rounding may take from a similarity.
+NOISE = 1e-9
+
+
+def prob_jaccard(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray) -> float:
+    """The probability Jaccard similarity of two weighted sets, sum over i of 1 / sum over j of max(a_j / a_i, b_j / b_i); elements are distinct, weights positive."""
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    ca, cb = a[i].astype(np.float64), b[j].astype(np.float64)
+    order = np.argsort(ca / cb)
+    ca, cb = ca[order], cb[order]
+    # elements of a larger ratio of weights count by a, the others by b
+    above = a.sum() - np.cumsum(ca)
+    below = b.sum() - cb.sum() + np.cumsum(cb)
+    return float((ca / (above + ca / cb * below)).sum())
+
+
+def _weighted(texts, hashes: WordHashes, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct shingles of each text, and how often each occurs in it."""
+    return [np.unique(shingle_hashes(hashes.of(words(t)), width), return_counts=True) for t in texts]
+
+
+def _unpacked(shingles: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(shingles, np.uint64), np.frombuffer(counts, np.uint32)
 
 
 def _signatures(width: int, bands: int, rows: int):
@@ -79,13 +101,14 @@ def _signatures(width: int, bands: int, rows: int):
         for big in batches:
             for at in range(0, len(big), 500):
                 b = big.iloc[at : at + 500]
-                sets = _sets(b["text"], hashes, width)
-                n = np.array([len(s) for s in sets])
-                sig = prob_minhash(np.concatenate(sets), np.repeat(np.arange(len(b)), n), np.ones(n.sum()), len(b), bands * rows)
+                sets = _weighted(b["text"], hashes, width)
+                n = np.array([len(s) for s, _ in sets])
+                weights = np.concatenate([w for _, w in sets]).astype(np.float64)
+                sig = prob_minhash(np.concatenate([s for s, _ in sets]), np.repeat(np.arange(len(b)), n), weights, len(b), bands * rows)
                 key = np.zeros((len(b), bands), np.uint64) + salt
                 for i in range(rows):
                     key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig.reshape(len(b), bands, rows)[:, :, i])
-                yield pd.DataFrame({"node": b["node"], "n": n, "bands": list(key.view(np.int64))})[n > 0]
+                yield pd.DataFrame({"node": b["node"], "bands": list(key.view(np.int64))})[n > 0]
 
     return f
 
@@ -94,16 +117,19 @@ def _packed(width: int):
     def f(batches):
         hashes = WordHashes()
         for b in batches:
-            yield pd.DataFrame({"node": b["node"], "shingles": [s.tobytes() for s in _sets(b["text"], hashes, width)]})
+            sets = _weighted(b["text"], hashes, width)
+            yield pd.DataFrame({"node": b["node"], "shingles": [s.tobytes() for s, _ in sets], "counts": [w.astype(np.uint32).tobytes() for _, w in sets]})
 
     return f
 
 
 def _exploded(batches):
+    """Each shingle of a text with its part of the text's weight."""
     for b in batches:
-        sets = [np.frombuffer(x, np.int64) for x in b["shingles"]]
-        n = [len(x) for x in sets]
-        yield pd.DataFrame({"cluster": np.repeat(b["cluster"].to_numpy(), n), "node": np.repeat(b["node"].to_numpy(), n), "shingle": np.concatenate(sets)})
+        sets = [_unpacked(x, c) for x, c in zip(b["shingles"], b["counts"], strict=True)]
+        n = [len(x) for x, _ in sets]
+        mass = np.concatenate([c / c.sum() for _, c in sets])
+        yield pd.DataFrame({"cluster": np.repeat(b["cluster"].to_numpy(), n), "node": np.repeat(b["node"].to_numpy(), n), "shingle": np.concatenate([x for x, _ in sets]).view(np.int64), "mass": mass})
 
 
 def _blocks(least: float):
@@ -120,37 +146,35 @@ def _blocks(least: float):
 
 
 def _across(a: pd.DataFrame, b: pd.DataFrame, least: float) -> pd.DataFrame:
-    sets = [np.frombuffer(s, np.uint64) for s in b["shingles"]]
-    nb, ob, cb, vb = np.array(list(map(len, sets))), b["own"].to_numpy(), b["comp"].to_numpy(), b["node"].to_numpy()
-    key = np.concatenate([np.empty(0, np.uint64), *sets])
+    sets = [_unpacked(x, c) for x, c in zip(b["shingles"], b["counts"], strict=True)]
+    ob, cb, vb = b["own"].to_numpy(), b["comp"].to_numpy(), b["node"].to_numpy()
+    key = np.concatenate([np.empty(0, np.uint64), *(x for x, _ in sets)])
     order = np.argsort(key)
-    key, holder = key[order], np.repeat(np.arange(len(sets)), nb)[order]
+    key, holder = key[order], np.repeat(np.arange(len(sets)), [len(x) for x, _ in sets])[order]
+    mass = np.concatenate([np.empty(0), *(c / c.sum() for _, c in sets)])[order]
     out = {}
-    for raw, oa, ca, va in zip(a["shingles"], a["own"], a["comp"], a["node"], strict=True):
-        x = np.frombuffer(raw, np.uint64)
-        na = len(x)
-        # at most so many shingles are shared, and so many are in either
-        shared = np.minimum(na - oa, nb - ob)
-        open_ = (cb != ca) & (vb > va if a is b else True) & (shared >= least * (oa + ob + np.maximum(na - oa, nb - ob)))
+    for raw, counts, oa, ca, va in zip(a["shingles"], a["counts"], a["own"], a["comp"], a["node"], strict=True):
+        x, c = _unpacked(raw, counts)
+        # both put no more weight on the same shingles than either does on any that others of the cluster have
+        open_ = (cb != ca) & (vb > va if a is b else True) & (np.minimum(1 - oa, 1 - ob) >= least - NOISE)
         if not open_.any():
             continue
         lo, hi = np.searchsorted(key, x, "left"), np.searchsorted(key, x, "right")
         n = hi - lo
         at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        both = np.bincount(holder[at], minlength=len(sets))
-        for i in np.flatnonzero(open_ & (both >= least * (na + nb - both))):
-            out.setdefault((min(ca, cb[i]), max(ca, cb[i])), (va, vb[i]))
+        both = np.bincount(holder[at], weights=np.minimum(np.repeat(c / c.sum(), n), mass[at]), minlength=len(sets))
+        for i in np.flatnonzero(open_ & (both >= least - NOISE)):
+            pair = (min(ca, cb[i]), max(ca, cb[i]))
+            if pair not in out and prob_jaccard(x, c, *sets[i]) >= least - NOISE:
+                out[pair] = (va, vb[i])
     return pd.DataFrame(list(out.values()), columns=["a", "b"], dtype=np.int64)
 
 
 def _linked(least: float):
     def f(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b["sa"], b["sb"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
+            pairs = zip(b["sa"], b["ca"], b["sb"], b["cb"], strict=True)
+            keep = [prob_jaccard(*_unpacked(x, c), *_unpacked(y, d)) >= least - NOISE for x, c, y, d in pairs]
             yield b.loc[keep, ["a", "b"]]
 
     return f
@@ -181,24 +205,21 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes_of(nodes: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(node, comp) for the nodes of (node, text) whose text is similar to another's; equal nodes have equal texts."""
-    sigs = nodes.mapInPandas(_signatures(width, bands, rows), "node long, n long, bands array<long>").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    sigs = nodes.mapInPandas(_signatures(width, bands, rows), "node long, bands array<long>").groupBy("node").agg(F.first("bands").alias("bands"))
     sigs = settle(sigs, "signatures")
-    keyed = sigs.select("node", "n", F.explode("bands").alias("band"))
+    keyed = sigs.select("node", F.explode("bands").alias("band"))
     leads = settle(keyed.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("k")).filter("k > 1"), "leads")
     buckets = settle(join_counted(keyed, leads, ["band"], "k"), "buckets")
     inside = sent_if_small(settle(buckets.select("node").distinct(), "inside"), NODE_BYTES)
-    packed = nodes.join(inside, "node", "left_semi").mapInPandas(_packed(width), "node long, shingles binary")
-    packed = settle(packed.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+    packed = nodes.join(inside, "node", "left_semi").mapInPandas(_packed(width), "node long, shingles binary, counts binary")
+    packed = settle(packed.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts")), "shingles")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        first = pairs.join(packed.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        return settle(first.join(packed.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").mapInPandas(_linked(similarity), "a long, b long"), "links")
+        first = pairs.join(packed.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb")), "b")
+        return settle(first.join(packed.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca")), "a").mapInPandas(_linked(similarity), "a long, b long"), "links")
 
-    # a set with under `similarity` times another's elements can't be as similar to it
-    near = F.least("n", "m") >= F.greatest("n", "m") * similarity
-    sizes = sigs.select(F.col("node").alias("lead"), F.col("n").alias("m"))
     pair = (F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-    tried = settle(buckets.filter("node != lead").select("node", "n", "lead").distinct().join(sizes, "lead").filter(near).select(*pair).distinct(), "pairs")
+    tried = settle(buckets.filter("node != lead").select(*pair).distinct(), "pairs")
     links = verify(tried)
     comps = components(links)
     # nodes that any chain of buckets connects; a link can only be inside such a cluster
@@ -207,15 +228,14 @@ def classes_of(nodes: DataFrame, similarity: float = SIMILARITY, width: int = WI
     now = settle(now, "now")
     open_ = settle(now.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo != hi").select("cluster", "k"), "open")
     x = settle(join_counted(now, open_, ["cluster"], "k").join(packed, "node"), "open-texts")
-    exploded = x.select("cluster", "node", "shingles").mapInPandas(_exploded, "cluster long, node long, shingle long")
-    alone = exploded.groupBy("cluster", "shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1")
-    x = x.join(alone.groupBy("node").agg(F.count("*").alias("own")), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    n = F.length("shingles") / 8
-    x = settle(x.filter(n - F.col("own") >= similarity * n), "partners")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES))
+    exploded = x.select("cluster", "node", "shingles", "counts").mapInPandas(_exploded, "cluster long, node long, shingle long, mass double")
+    alone = exploded.groupBy("cluster", "shingle").agg(F.count("*").alias("k"), F.min("node").alias("node"), F.min("mass").alias("mass")).filter("k = 1")
+    x = x.join(alone.groupBy("node").agg(F.sum("mass").alias("own")), "node", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
+    x = settle(x.filter(1 - F.col("own") >= similarity - NOISE), "partners")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("shingles") + F.length("counts")) / BLOCK_BYTES))
     blocks = settle(x.groupBy("cluster").agg(F.count("*").alias("k"), blocks.alias("parts")), "blocks")
     x = join_counted(x, blocks, ["cluster"], "k")
-    x = x.select("cluster", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node", "comp", "own", "shingles")
+    x = x.select("cluster", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node", "comp", "own", "shingles", "counts")
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     x = x.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
     more = x.groupBy("cluster", "i", "j").applyInPandas(_blocks(similarity), "a long, b long")
@@ -225,8 +245,8 @@ def classes_of(nodes: DataFrame, similarity: float = SIMILARITY, width: int = WI
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, class_id, class_rows, stays.
 
-    Texts are in one class if a chain of texts connects them, each similar to the next: exactly equal, or a Jaccard
-    similarity of their sets of ``width``-word shingles of ``similarity`` or more. Words are runs of anything but ASCII
+    Texts are in one class if a chain of texts connects them, each similar to the next: exactly equal, or a probability
+    Jaccard similarity of ``similarity`` or more of their ``width``-word shingles, each weighed by how often it occurs. Words are runs of anything but ASCII
     white space, compared as they are. A shorter text is one shingle of all its words. Null, empty and blank texts have
     no words and are each a class of their own. class_id is the smallest doc_id of the class (null if it has no id);
     class_rows counts its rows; stays is true for one row of each class, the one with the smallest id, then text hash;

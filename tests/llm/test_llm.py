@@ -84,32 +84,69 @@ def docs_of(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-def test_near_duplicates_equal_brute_force(spark, sf):
-    d = docs_of(spark, sf)
-    rows = {r.doc_id: r.text for r in d.collect()}
+def plain_similarity(x, y):
+    """Probability Jaccard of two counters, as it is defined."""
+    keys = list(x.keys() | y.keys())
+    a, b = np.array([x.get(k, 0) for k in keys], float), np.array([y.get(k, 0) for k in keys], float)
+    return sum(1 / np.maximum(a / x[i], b / y[i]).sum() for i in x.keys() & y.keys())
+
+
+def plain_classes(texts):
+    """The smallest number of each text's class, by comparing all pairs."""
 
     def shingles(t):
         w = t.encode().split()
         k = min(5, len(w))
-        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set()
+        return collections.Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if k else collections.Counter()
 
-    sets, up = {i: shingles(t) for i, t in rows.items()}, {i: i for i in rows}
+    sets, up = [shingles(t) for t in texts], list(range(len(texts)))
 
     def root(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    ids = sorted(rows)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
-                x, y = sorted((root(a), root(b)))
-                up[y] = x
+    for a, x in enumerate(sets):
+        for b in range(a):
+            y = sets[b]
+            if root(a) == root(b):
+                continue
+            # the weight that both put on the same shingles is no less than the similarity
+            if x and y and sum(min(n / x.total(), y[k] / y.total()) for k, n in x.items()) >= 0.8 - 1e-9 and (x == y or plain_similarity(x, y) >= 0.8 - 1e-9):
+                lo, hi = sorted((root(a), root(b)))
+                up[hi] = lo
+    return [root(i) for i in range(len(texts))]
+
+
+def test_near_duplicates_equal_brute_force(spark, sf):
+    d = docs_of(spark, sf)
+    rows = sorted((r.doc_id, r.text) for r in d.collect())
+    want = plain_classes([t for _, t in rows])
     got = neardup.near_duplicates(d).collect()
-    assert {r.doc_id: r.class_id for r in got} == {i: root(i) for i in ids}
-    assert sum(r.stays for r in got) == len({root(i) for i in ids})
+    assert {r.doc_id: r.class_id for r in got} == {i: rows[c][0] for (i, _), c in zip(rows, want, strict=True)}
+    assert sum(r.stays for r in got) == len(set(want))
+
+
+def test_similarity_of_weighted_shingles_is_exact():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        x, y = ({int(k): int(rng.integers(1, 6)) for k in rng.choice(30, rng.integers(1, 25), replace=False)} for _ in range(2))
+        arrays = [np.array(sorted(x)), np.array([x[k] for k in sorted(x)]), np.array(sorted(y)), np.array([y[k] for k in sorted(y)])]
+        assert math.isclose(neardup.prob_jaccard(*arrays), plain_similarity(x, y), abs_tol=1e-12)
+
+
+def test_weights_make_and_break_links(spark):
+    base = [f"a{j}" for j in range(100)]
+    passage = [f"p{j}" for j in range(30)]
+    texts = [
+        " ".join(base + passage),  # 0: the passage once
+        " ".join(base + passage * 2),  # 1: by sets over 0.8 like 0, and by weights a fifth of it is elsewhere
+        " ".join(base + passage * 9),  # 2: by sets like 0 and 1, by weights not
+        " ".join((base + passage) * 3),  # 3: all of it three times, so the weights are those of 0
+    ]
+    want = plain_classes(texts)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(4)] == want and want[3] == 0 and want[2] == 2
 
 
 def test_registers_agree_as_often_as_probability_jaccard():
@@ -126,40 +163,27 @@ def test_registers_agree_as_often_as_probability_jaccard():
 
 
 def test_groups_just_under_the_threshold_lose_no_link(spark):
-    """A large group whose members are mostly too far from each other to be links."""
+    """A large group whose members are mostly too far from each other to be links; some say a stretch twice."""
     rng, base = np.random.default_rng(3), [f"w{i}" for i in range(120)]
     texts = []
-    for i in range(400):
+    for i in range(150):
         w = list(base)
         for j in rng.choice(120, rng.integers(0, 6), replace=False):
             w[j] = f"n{i}x{j}"
-        texts.append(" ".join(w))
+        texts.append(" ".join(w + (w[:20] if i % 3 == 0 else [])))
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
-    up = list(range(400))
-
-    def root(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for a in range(400):
-        for b in range(a):
-            n = len(sets[a] & sets[b])
-            if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
-                x, y = sorted((root(a), root(b)))
-                up[y] = x
-    assert got == {i: root(i) for i in range(400)}
+    assert [got[i] for i in range(150)] == plain_classes(texts)
 
 
-def test_repeated_passages_hide_no_near_copy(spark):
-    """The second of each pair also holds a passage of 200 words again and again: set Jaccard 0.83 however often."""
+def test_repeated_passages_weigh_as_often_as_they_occur(spark):
+    """The second of each pair holds a passage of 200 words again and again: it is another text. Where both hold it as often, they are near copies."""
     rows = []
-    for i in range(20):
+    for i in range(10):
         text = " ".join(f"a{i}x{j}" for j in range(1000))
-        rows += [(2 * i, text), (2 * i + 1, text + " " + " ".join([f"b{i}x{j}" for j in range(200)] * 100))]
+        again = " " + " ".join([f"b{i}x{j}" for j in range(200)] * 100)
+        rows += [(4 * i, text), (4 * i + 1, text + again), (4 * i + 2, text.replace(f"a{i}x500", "other") + again), (4 * i + 3, text.replace(f"a{i}x500", "other"))]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in range(40)}
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 4 + (i % 4 in (1, 2)) for i in range(40)}
 
 
 def test_lm_base_score_and_gain(spark, sf):
