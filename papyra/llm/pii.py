@@ -1,16 +1,21 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field that adds to them.
 
-Nodes of the field are the words of a text that hold a digit or an at sign.
-Neighbouring words share a chain potential. A word and the first one of equal
+Nodes of the field are the words of a text that hold a digit or an at sign; groups
+of digits with one space between are one node, as numbers are written so.
+Neighbouring nodes share a chain potential. A node and the first one of equal
 form (the same digits, or the same letters without case) share a skip potential,
-and so do, by weights of their own, a word and the first one of similar form (the
-same last seven digits, the same local part or the same domain of an address):
-all mentions are two edges apart at most, and an entity that is plain in one
-place carries over to where it is not. Words before a node that announce a kind
-("tel", "server") are features too. Messages pass until they settle. Weights are learned by pseudo-likelihood on a bounded number of texts whose
-labels are the fixed patterns, carried over to words of the same last seven
-digits; loopy message passing gives each word's marginals.
-Words that are surely of a kind and that no fixed pattern found are added.
+and so do, by weights of their own, a node and the first one of similar form (the
+same last seven digits, the same four numbers, the same local part of an address)
+and of the same domain: all mentions are two edges apart at most, and an entity
+that is plain in one place carries over to where it is not. Words before a node
+that announce a kind ("tel", "server") are features too.
+
+Weights are learned by pseudo-likelihood on a bounded number of texts whose labels
+are the fixed patterns. Patterns alone would teach the field nothing but themselves,
+so entities found in a text are mentioned once more in it for the fit, in forms that
+no pattern finds, beside made-up ones of the same forms that stand for nothing.
+Loopy message passing, until messages settle, gives each node's marginals; nodes that
+are surely of a kind and that no fixed pattern found are added.
 """
 
 from __future__ import annotations
@@ -26,10 +31,14 @@ from pyspark.sql import functions as F
 from papyra.llm._util import sample_by_hash, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
-#: About so many texts, those with low hashes, on which the field is fitted.
-FIT_ROWS = 2_000
+#: About so many texts, those with low hashes, and characters of one, on which the field is fitted.
+FIT_ROWS, FIT_CHARS = 2_000, 32_768
+#: Digits from which a run of groups is as long as any number.
+LONGEST = 19
 #: A word's marginal from which it is added.
 SURE = 0.95
+#: What speaks for a label that a fixed pattern has found.
+KNOWN = 30.0
 #: Message passing ends when no message changes by more than STILL, or after ROUNDS.
 ROUNDS, STILL, DAMP = 100, 1e-4, 0.3
 #: Words that announce each kind.
@@ -39,8 +48,8 @@ CUES = (
     frozenset("card visa mastercard credit debit payment pan".split()),
     frozenset("phone tel telephone call fax mobile cell number".split()),
 )
-#: Kinds of edges: neighbours, equal forms, similar forms.
-EDGES = 3
+#: Kinds of edges: neighbours, equal forms, similar forms, domains.
+EDGES = 4
 
 _LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-".decode())
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -49,6 +58,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _NODE = re.compile(r"[^\x20\x09-\x0D]+")
+_GROUP = re.compile(r"[+(]{0,2}[0-9][0-9()./-]*")
 _EDGE = ".,;:!?\"'<>[]{}#*&$|"
 
 
@@ -106,7 +116,7 @@ def features(word: str, before: list[str] = ()) -> np.ndarray:
         "-" in word,
         "(" in word or ")" in word,
         word.isdigit(),
-        word.isdigit() and 16 <= digits <= 19 and luhn(word) if word.isascii() else False,
+        16 <= digits <= 19 and not any(c.isalpha() for c in word) and luhn("".join(c for c in word if "0" <= c <= "9")),
     )
     x[-9:] = signs
     said = {w.strip(_EDGE).lower() for w in before}
@@ -120,9 +130,14 @@ def forms(word: str) -> list[tuple[int, str]]:
     out = [(1, digits if len(digits) >= 6 else low)]
     if len(digits) >= 7:
         out.append((2, "#" + digits[-7:]))
-    if "@" in low[1:-1]:
+    numbers = re.split("[-._ ]", word)
+    if len(numbers) == 4 and all(n.isascii() and n.isdigit() and len(n) < 4 for n in numbers):
+        out.append((2, ".".join(numbers)))
+    if "@" in low[1:]:
         local, domain = low.split("@", 1)
-        out += [(2, local + "@"), (2, "@" + domain)]
+        out.append((2, local + "@"))
+        if domain:
+            out.append((3, "@" + domain.split(".")[0]))
     return out
 
 
@@ -130,24 +145,20 @@ class Graph:
     """Nodes and edges of the fields of several texts."""
 
     def __init__(self) -> None:
-        self.x, self.span, self.doc, self.u, self.v, self.kind, self.numeral = [], [], [], [], [], [], []
+        self.x, self.span, self.doc, self.u, self.v, self.kind = [], [], [], [], [], []
+        self.tail = 0
 
     def add(self, number: int, text: str) -> None:
         first: dict[tuple[int, str], int] = {}
         end, before = -10, -1
-        for m in self.words(text):
-            raw = m[0]
-            w = raw.strip(_EDGE)
-            if not _MARK.search(w):
-                continue
-            s = m.start() + raw.find(w)
+        for start, s, e in self.runs(text):
+            w = text[s:e]
             me = len(self.x)
-            self.x.append(features(w, text[max(0, m.start() - 40) : m.start()].split()[-3:]))
-            self.span.append((s, s + len(w)))
+            self.x.append(features(w, text[max(0, start - 40) : start].split()[-3:]))
+            self.span.append((s, e))
             self.doc.append(number)
-            self.numeral.append("@" not in w and sum("0" <= c <= "9" for c in w) >= 7)
             linked = set()
-            if m.start() - end == 1:
+            if start - end == 1:
                 linked.add(before)
                 self.u.append(before), self.v.append(me), self.kind.append(0)
             for kind, form in forms(w):
@@ -155,7 +166,36 @@ class Graph:
                 if to != me and to not in linked:
                     linked.add(to)
                     self.u.append(to), self.v.append(me), self.kind.append(kind)
-            before, end = me, m.end()
+            before, end = me, e + self.tail
+
+    def runs(self, text: str):
+        """(start of the first word, start, end) of each node: a word without the signs around it, or groups of digits with single spaces between, as many as make no number longer than any."""
+        held: list[tuple[int, int, int]] = []  # start of the word, start and end without signs
+        size = 0
+
+        def done():
+            yield held[0][0], held[0][1], held[-1][2]
+
+        for m in self.words(text):
+            raw = m[0]
+            w = raw.strip(_EDGE)
+            if not _MARK.search(w):
+                continue
+            s = m.start() + raw.find(w)
+            e, digits = s + len(w), sum("0" <= c <= "9" for c in w)
+            group = bool(_GROUP.fullmatch(w))
+            joins = held and group and s == m.start() and m.start() - held[-1][2] == 1 and text[m.start() - 1] == " " and size + digits <= LONGEST and size > 0
+            if not joins and held:
+                yield from done()
+                held = []
+            held.append((m.start(), s, e))
+            size = (size if joins else 0) + digits if group else 0
+            self.tail = m.end() - e
+            if not group:
+                yield from done()
+                held = []
+        if held:
+            yield from done()
 
     @staticmethod
     def words(text: str):
@@ -177,7 +217,7 @@ class Field:
         n = len(KINDS) + 1
         self.w, self.pair = np.zeros((N_FEATURES, n)), np.zeros((EDGES, n, n))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, kind: np.ndarray, steps: int = 300, rate: float = 0.1, penalty: float = 1e-3) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, kind: np.ndarray, steps: int = 600, rate: float = 0.1, penalty: float = 1e-3) -> None:
         """Pseudo-likelihood: each word given its neighbours' labels."""
         n, labels = len(y), len(KINDS) + 1
         one = np.eye(labels)
@@ -197,9 +237,11 @@ class Field:
                 m[1] = 0.99 * m[1] + 0.01 * grad * grad
                 a -= rate * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.99**t)) + 1e-8)
 
-    def marginals(self, x: np.ndarray, u: np.ndarray, v: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Loopy sum-product: all messages at once, damped, until they settle. Exact where edges form no loop."""
+    def marginals(self, x: np.ndarray, u: np.ndarray, v: np.ndarray, kind: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        """Loopy sum-product: all messages at once, damped, until they settle. Exact where edges form no loop. Nodes whose label is ``known`` (else 0) have it."""
         s = x @ self.w
+        if known is not None:
+            s = s + KNOWN * (known[:, None] == np.arange(s.shape[1])) * (known > 0)[:, None]
         a, b = np.concatenate([u, v]), np.concatenate([v, u])
         back = np.concatenate([np.arange(len(u)) + len(u), np.arange(len(u))])
         pot = np.concatenate([self.pair[kind], self.pair[kind].transpose(0, 2, 1)])
@@ -232,27 +274,70 @@ def _labels(g: Graph, base: list[list[tuple[str, int, int]]]) -> np.ndarray:
             if a < e and s < b:
                 y[i] = KINDS.index(kind) + 1
                 break
-    # a mention that no pattern finds, of the same last seven digits as one that is found, is of that one's kind
-    for a, b, kind in zip(g.u, g.v, g.kind, strict=True):
-        if kind and g.numeral[a] and g.numeral[b] and bool(y[a]) != bool(y[b]):
-            y[a] = y[b] = max(y[a], y[b])
     return y
 
 
-def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Field:
-    """A field fitted on about ``fit_rows`` texts that hold a digit or an at sign; copies count once."""
-    marked = docs.filter(F.col("text").rlike("[0-9@]")).select("text")
-    some = sample_by_hash(marked, F.col("text"), fit_rows).groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
-    texts = [r["text"] for r in sorted(some.collect(), key=lambda r: r["h"])]
+def bare(kind: str, said: str, rng) -> str:
+    """An entity in a form that no fixed pattern finds."""
+    n = "".join(c for c in said if "0" <= c <= "9")
+    pick = lambda *xs: xs[int(rng.integers(len(xs)))]
+    if kind == "phone":
+        return pick(n, n[-7:], "0" + n[-9:], f"{n[:-7]} {n[-7:-4]} {n[-4:]}".strip(), f"({n[:-7]}) {n[-7:]}" if n[:-7] else n, f"{n[-7:-4]}-{n[-4:]}")
+    if kind == "card":
+        return pick(".".join(n[i : i + 4] for i in range(0, len(n), 4)), "/".join(n[i : i + 4] for i in range(0, len(n), 4)), n[-12:], n[-8:])
+    if kind == "ip":
+        return pick(said.replace(".", "-"), said.replace(".", "_"))
+    local, domain = said.split("@", 1)
+    return pick(local + "@", f"{local}@{domain.split('.')[0]}", (local + "@").upper())
+
+
+def _other(said: str, rng) -> str:
+    """The same form with other digits and letters."""
+    return "".join(str(rng.integers(10)) if "0" <= c <= "9" else chr(97 + rng.integers(26)) if c.isalpha() else c for c in said)
+
+
+def planted(texts: list[str], seed: int = 0, most: int = 3) -> tuple[list[str], list[list[tuple[str, int, int]]], list[list[tuple[int, int]]]]:
+    """Texts with up to ``most`` of their entities mentioned once more, in bare forms, each beside a made-up one; where these stand: (kind, start, end), and (start, end)."""
+    rng, out, where, decoys = np.random.default_rng(seed), [], [], []
+    for t in texts:
+        found = base_spans(t)
+        picked = [found[i] for i in rng.permutation(len(found))[:most]]
+        own, fake = [], []
+        words = [w for w in t.split(" ")[:200] if w.isalpha()] or ["and"]
+        for kind, s, e in picked:
+            for real in (True, False):
+                mention = bare(kind, t[s:e] if real else _other(t[s:e], rng), rng)
+                t += " " + " ".join(words[int(i)] for i in rng.integers(len(words), size=2)) + " "
+                (own if real else fake).append((kind, len(t), len(t) + len(mention)))
+                t += mention + ("." if rng.random() < 0.3 else "")
+        out.append(t)
+        where.append(own)
+        decoys.append([(s, e) for _, s, e in fake])
+    return out, where, decoys
+
+
+def learn(texts: list[str], seed: int = 0) -> Field:
+    """A field fitted on texts as they are and on the same with planted mentions."""
     field, g = Field(), Graph()
-    for i, t in enumerate(texts):
+    made, where, _ = planted(texts, seed)
+    labels = [base_spans(t) for t in texts]
+    for t, m, own in zip(texts, made, where, strict=True):
+        labels.append(base_spans(m) + own if own else [])
+    for i, t in enumerate([*texts, *(m if own else "" for m, own in zip(made, where, strict=True))]):
         g.add(i, t)
     if g.x:
         x, u, v, kind = _arrays(g)
-        field.fit(x, _labels(g, [base_spans(t) for t in texts]), u, v, kind)
+        field.fit(x, _labels(g, labels), u, v, kind)
     return field
 
 
+def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> Field:
+    """A field fitted on about ``fit_rows`` texts that hold a digit or an at sign and no more than ``fit_chars`` characters; copies count once."""
+    marked = docs.filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= fit_chars)).select("text")
+    some = sample_by_hash(marked, F.col("text"), fit_rows).groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    return learn([r["text"] for r in sorted(some.collect(), key=lambda r: r["h"])])
+
+
 def added_spans(field: Field, texts: list[str], base: list[list[tuple[str, int, int]]], sure: float = SURE) -> list[list[tuple[str, int, int]]]:
     """For each text the spans that the field adds: sure words apart from all base spans, neighbours of a kind as one."""
     g, out = Graph(), [[] for _ in texts]
@@ -260,7 +345,7 @@ def added_spans(field: Field, texts: list[str], base: list[list[tuple[str, int,
         g.add(i, t)
     if not g.x:
         return out
-    p = field.marginals(*_arrays(g))
+    p = field.marginals(*_arrays(g), known=_labels(g, base))
     best = p.argmax(1)
     for i in np.flatnonzero((best > 0) & (p.max(1) >= sure)):
         (s, e), d, kind = g.span[i], g.doc[i], KINDS[best[i] - 1]
