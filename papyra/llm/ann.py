@@ -18,6 +18,7 @@ with very many of either is dealt over several tasks by the number of its blocks
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -105,10 +106,10 @@ class Tree:
         """Put subtrees (node, parents, centroids) under nodes that had no children."""
         for node, parents, cents in grown:
             at = len(self.children)
-            self.centroid = np.concatenate([self.centroid, cents])
             self.children += [np.empty(0, np.int64)] * len(parents)
             for p in np.unique(parents):
                 self.children[node if p < 0 else at + p] = at + np.flatnonzero(parents == p)
+        self.centroid = np.concatenate([self.centroid, *(cents for _, _, cents in grown)])
         self._number()
 
     def place(self, x: np.ndarray) -> np.ndarray:
@@ -140,6 +141,24 @@ class Tree:
             yield self.leaf_of[node]
 
 
+def _places(tree):
+    """For each query and each leaf that holds one of its true neighbours, how many leaves are visited up to it; the walk ends with the last."""
+
+    def f(batches):
+        t = tree()
+        for b in batches:
+            out = []
+            for v, leaves in zip(b["v"], b["leaves"], strict=True):
+                wanted = Counter(int(x) for x in leaves)
+                for n, leaf in enumerate(t.best_bins(_unit(np.asarray(v, np.float64)[None])[0]), 1):
+                    out += [n] * wanted.pop(leaf, 0)
+                    if not wanted:
+                        break
+            yield pd.DataFrame({"place": np.array(out, np.int64)})
+
+    return f
+
+
 def _matrix(column) -> np.ndarray:
     return np.stack(column.to_numpy())
 
@@ -394,9 +413,10 @@ def search(vectors: DataFrame, is_query, k: int = 5, recall: float = RECALL, fit
     visits = 1
     if len(picked):
         qids, q = picked["vec_id"].to_numpy(np.int64), _matrix(picked["v"])
-        truth = _top(index.mapInPandas(_brute(qids, q, k, dtype), "query_id long, vec_id long, score double, leaf long"), k).select("query_id", "leaf").collect()
-        places = {int(i): {leaf: n for n, leaf in enumerate(tree.best_bins(u), 1)} for i, u in zip(qids, _unit(q), strict=True)}
-        needed = np.sort([places[r["query_id"]][r["leaf"]] for r in truth])
+        truth = _top(index.mapInPandas(_brute(qids, q, k, dtype), "query_id long, vec_id long, score double, leaf long"), k)
+        asked = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(qids, q, strict=True)], "query_id long, v array<double>")
+        asked = truth.groupBy("query_id").agg(F.collect_list("leaf").alias("leaves")).join(asked, "query_id").repartition(32)
+        needed = np.sort([r["place"] for r in asked.mapInPandas(_places(shared), "place long").collect()])  # calibrate * k numbers
         visits = int(needed[min(int(np.ceil(recall * len(needed))), len(needed)) - 1]) if len(needed) else 1
     asked = rows.filter("is_query").groupBy("vec_id").agg(F.min_by("v", "h").alias("v"))
     asked = asked.mapInPandas(_shard(shared, shards), f"shard long, vec_id long, v array<{kind}>").repartition("shard").sortWithinPartitions("shard")
