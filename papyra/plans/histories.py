@@ -7,6 +7,7 @@ from papyra.functions import sources as So
 from papyra.operators import evaluation as Ev
 from papyra.operators import history as H
 from papyra.operators import lexical as Lex
+from papyra.operators import ranking as Ra
 from papyra.plans.catalogue import CHUNKS, F, docs, query, table
 from papyra.plans.retrieval import index
 from papyra.sources import ir
@@ -124,6 +125,24 @@ def asked_hits(spark, sf):
     return Lex.bm25_many(index(spark, sf), q, 3)
 
 
+@query(f"""WITH {CHUNKS}, t AS (SELECT doc_id, idx, regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}') AS t FROM chunks), n AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t), q AS (SELECT item_id, unnest(string_split(q, ' ')) AS term FROM ({_ASK}) WHERE q <> ''),
+p AS (SELECT doc_id, idx, len(t) AS len, term, count(*) AS tf FROM (SELECT doc_id, idx, t, unnest(t) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, idx, t, term), d AS (SELECT term, count(*)::DOUBLE AS df FROM p GROUP BY term),
+s AS (SELECT item_id, doc_id, idx, round(sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / a))), 6) AS score FROM p JOIN q USING (term) JOIN d USING (term), n GROUP BY item_id, doc_id, idx),
+l AS (SELECT item_id, doc_id, idx, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, idx) AS lr FROM s QUALIFY lr <= 12),
+v AS (SELECT b.item_id, e.vec_id AS doc_id, 0::BIGINT AS idx, row_number() OVER (PARTITION BY b.item_id ORDER BY round(least(1, greatest(0, list_dot_product(e.embedding::DOUBLE[], o.embedding::DOUBLE[]))), 6) DESC, e.vec_id) AS vr FROM benchmark b JOIN embeddings o ON o.vec_id = b.item_id, embeddings e QUALIFY vr <= 12),
+f AS (SELECT coalesce(l.item_id, v.item_id) AS item_id, coalesce(l.doc_id, v.doc_id) AS doc_id, coalesce(l.idx, v.idx) AS idx, lr, vr, round(coalesce(1.0::DOUBLE / (60 + lr), 0) + coalesce(2.0::DOUBLE / (60 + vr), 0), 9) AS score FROM l FULL JOIN v ON l.item_id = v.item_id AND l.doc_id = v.doc_id AND l.idx = v.idx)
+SELECT item_id AS question, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, idx) AS INTEGER) AS rank, doc_id, idx, score, CAST(lr AS INTEGER) AS lexical_rank, CAST(vr AS INTEGER) AS vector_rank FROM f QUALIFY rank <= 5""")
+def ranked_questions(spark, sf):
+    """Every benchmark passage as a question, asked by its long words and by the vector of its number: five chunks each, all at once."""
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]{2,})"), 1), lambda w: F.length(w) >= 8))
+    e = table(spark, sf, "embeddings")
+    own = e.select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("question"), F.array_join(words, " ").alias("text")).join(own, "question", "left")
+    v = e.select(F.col("vec_id").alias("doc_id"), F.lit(0).cast("long").alias("idx"), "embedding")
+    return Ra.rank(index(spark, sf), v, q, k=5, weights=(1.0, 2.0))
+
+
+
 @query("""WITH h AS (SELECT e.vec_id % 7 AS q, e.vec_id, e.label, row_number() OVER (PARTITION BY e.vec_id % 7 ORDER BY e.vec_id * 31 % 101, vec_id) AS r FROM embeddings e), g AS (SELECT q, vec_id, r FROM h WHERE label = 1),
 m AS (SELECT q, min(CASE WHEN r <= 10 THEN r END) AS first, count(*) FILTER (r <= 3) AS in3, count(*) FILTER (r <= 10) AS seen, count(*) AS n FROM g GROUP BY q)
 SELECT round(avg(coalesce((first = 1)::INT, 0)), 6) AS hit1, round(avg(coalesce((first <= 3)::INT, 0)), 6) AS hit3, round(avg(in3 / n::DOUBLE), 6) AS recall3, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(seen / n::DOUBLE), 6) AS context_recall FROM m""")
