@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from papyra.functions import questions as Q
 from papyra.functions import versions as V
+from papyra.operators import comparing as Cm
 from papyra.operators import history as H
 from papyra.operators.context import in_span
 from papyra.plans.catalogue import F, query, table
@@ -73,3 +74,36 @@ b AS (SELECT *, CAST(floor(i * 4.0::DOUBLE / n) AS INT) AS bucket FROM o), r AS
 def history_sample(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
     return H.sampled(o, "o_custkey", ["o_orderdate", "o_orderkey"], [F.desc("o_totalprice"), "o_orderkey"], 4).select("o_custkey", "bucket", "o_orderkey")
+
+
+#: Passages as units of two states: of seven one is gone, one renamed and shortened, one moved, one changed, one split; as many are new as are gone.
+_STATES = r"""p AS (SELECT item_id AS i, item_id % 7 AS m, text, string_split(text, ' ') AS w FROM benchmark),
+a AS (SELECT 'fact' AS type, 'k' || i AS key, text AS content, [i % 3] AS sources FROM p),
+b AS (SELECT 'fact' AS type, 'k' || i AS key, CASE WHEN m = 3 THEN text || ' indeed' ELSE text END AS content, [CASE WHEN m = 2 THEN 99 ELSE i % 3 END] AS sources FROM p WHERE m IN (2, 3, 5, 6)
+ UNION ALL SELECT 'fact', 'n' || i, array_to_string(w[3:], ' '), [i % 3] FROM p WHERE m = 1 UNION ALL SELECT 'fact', 'k' || i || 'a', array_to_string(w[:len(w) // 2], ' '), [i % 3] FROM p WHERE m = 4
+ UNION ALL SELECT 'fact', 'k' || i || 'b', array_to_string(w[len(w) // 2 + 1:], ' '), [i % 3] FROM p WHERE m = 4 UNION ALL SELECT 'fact', 'add' || i, array_to_string(list_transform(w, lambda x: 'z' || x), ' '), [1] FROM p WHERE m = 0),
+k AS (SELECT type, key, CASE WHEN a.content <> b.content THEN 'changed' WHEN a.sources = b.sources THEN 'same' ELSE 'moved' END AS status, key AS other, NULL::DOUBLE AS share FROM a JOIN b USING (type, key)),
+g AS (SELECT key, list_distinct(regexp_extract_all(lower(content), '[\p{L}\p{Nd}]+')) AS w FROM a WHERE key NOT IN (SELECT key FROM b)), n AS (SELECT key, list_distinct(regexp_extract_all(lower(content), '[\p{L}\p{Nd}]+')) AS w FROM b WHERE key NOT IN (SELECT key FROM a)),
+j AS (SELECT g.key, n.key AS other, round(len(list_intersect(g.w, n.w)) / (len(g.w) + len(n.w) - len(list_intersect(g.w, n.w)))::DOUBLE, 6) AS share FROM g, n),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY share DESC, other) AS x, row_number() OVER (PARTITION BY other ORDER BY share DESC, key) AS y FROM j WHERE share >= 0.6) WHERE x = 1 AND y = 1),
+h AS (SELECT n.key, g.key AS whole, round(len(list_intersect(g.w, n.w)) / len(n.w)::DOUBLE, 6) AS share FROM g, n WHERE len(n.w) > 0 AND g.key NOT IN (SELECT key FROM r) AND n.key NOT IN (SELECT other FROM r)),
+s AS (SELECT *, count(*) OVER (PARTITION BY whole) AS c FROM (SELECT * FROM h WHERE share >= 0.8 QUALIFY row_number() OVER (PARTITION BY key ORDER BY share DESC, whole) = 1)), t AS (SELECT * FROM s WHERE c > 1)"""
+
+
+@query(f"""WITH {_STATES} SELECT * FROM k UNION ALL SELECT 'fact', key, 'renamed', other, share FROM r UNION ALL SELECT 'fact', other, 'renamed', key, share FROM r UNION ALL SELECT DISTINCT 'fact', whole, 'split', NULL, NULL::DOUBLE FROM t
+UNION ALL SELECT 'fact', key, 'part', whole, share FROM t UNION ALL SELECT 'fact', key, 'removed', NULL, NULL FROM g WHERE key NOT IN (SELECT key FROM r) AND key NOT IN (SELECT whole FROM t)
+UNION ALL SELECT 'fact', key, 'added', NULL, NULL FROM n WHERE key NOT IN (SELECT other FROM r) AND key NOT IN (SELECT key FROM t)""")
+def base_comparison(spark, sf):
+    """Two states of a base: what is the same, moved, changed, renamed, split, gone and new."""
+    i, w = F.col("item_id"), F.split("text", " ")
+    m, n = i % 7, F.size(w)
+    p = table(spark, sf, "benchmark")
+    unit = lambda rows, key, content, source: rows.select(F.lit("fact").alias("type"), key.alias("key"), content.alias("content"), F.array(source.cast("long")).alias("sources"))
+    k, own, join = F.concat(F.lit("k"), i.cast("string")), i % 3, lambda x: F.array_join(x, " ")
+    half = F.floor(n / 2).cast("int")
+    before = unit(p, k, F.col("text"), own)
+    after = unit(p.filter(m.isin(2, 3, 5, 6)), k, F.when(m == 3, F.concat("text", F.lit(" indeed"))).otherwise(F.col("text")), F.when(m == 2, 99).otherwise(own))
+    after = after.unionByName(unit(p.filter(m == 1), F.concat(F.lit("n"), i.cast("string")), join(F.slice(w, F.lit(3), n)), own))
+    after = after.unionByName(unit(p.filter(m == 4), F.concat(k, F.lit("a")), join(F.slice(w, F.lit(1), half)), own)).unionByName(unit(p.filter(m == 4), F.concat(k, F.lit("b")), join(F.slice(w, half + 1, n)), own))
+    after = after.unionByName(unit(p.filter(m == 0), F.concat(F.lit("add"), i.cast("string")), join(F.transform(w, lambda x: F.concat(F.lit("z"), x))), F.lit(1)))
+    return Cm.compared(before, after)
