@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.llm._util import WORD, fresh, join_counted, numbered, parts_for, sent_if_small, settle
+from papyra.llm._util import WORD, cut, fresh, join_counted, numbered, parts_for, sent_if_small
 
 
 def row_key(doc_id: Column, text: Column, row: Column) -> Column:
@@ -91,7 +91,7 @@ def _kept(batches):
 def ranked(table: DataFrame, keys: list, name: str) -> DataFrame:
     """A written table, sorted over all tasks; the column ``name`` numbers its rows in that order."""
     n = parts_for(table, 32, least=1)
-    return settle(table.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id()), "ranked")
+    return cut(table.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id()), "ranked")
 
 
 def doubled(level: DataFrame, h: int) -> DataFrame:
@@ -101,9 +101,9 @@ def doubled(level: DataFrame, h: int) -> DataFrame:
     """
     w = Window.partitionBy("d").orderBy("pos")
     pairs = level.select("d", "pos", F.col("r").alias("r1"), F.lead("r", h).over(w).alias("r2"), F.lead("pos", h).over(w).alias("p2"))
-    pairs = settle(pairs.filter(F.col("p2") == F.col("pos") + h).drop("p2"), "pairs")
-    groups = settle(pairs.groupBy("r1", "r2").agg(F.count("*").alias("n")).filter("n > 1"), "groups")
-    return settle(join_counted(pairs, ranked(groups, ["r1", "r2"], "r"), ["r1", "r2"], "n").select("d", "pos", "r"), "level")
+    pairs = cut(pairs.filter(F.col("p2") == F.col("pos") + h).drop("p2"), "pairs")
+    groups = cut(pairs.groupBy("r1", "r2").agg(F.count("*").alias("n")).filter("n > 1"), "groups")
+    return cut(join_counted(pairs, ranked(groups, ["r1", "r2"], "r"), ["r1", "r2"], "n").select("d", "pos", "r"), "level")
 
 
 def find(docs: DataFrame, min_words: int = 20) -> DataFrame:
@@ -116,9 +116,9 @@ def find(docs: DataFrame, min_words: int = 20) -> DataFrame:
         F.transform("lines", lambda x: F.xxhash64(F.lit(1), x)).alias("b"),
         F.transform("lines", lambda x: F.regexp_count(x, F.lit(WORD))).alias("words"),
     )
-    seqs = settle(seqs.dropDuplicates(["key"]), "lines")
+    seqs = cut(seqs.dropDuplicates(["key"]), "lines")
     at = seqs.select("key", F.posexplode(F.arrays_zip("a", "b", "words")).alias("pos", "x")).select("key", "pos", "x.a", "x.b", "x.words")
-    names = settle(at.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1"), "names")
+    names = cut(at.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1"), "names")
     open_ = join_counted(at, ranked(names, ["a", "b"], "r"), ["a", "b"], "n")
     of_doc = open_.groupBy("key").agg(F.collect_list(F.struct("pos", "r", "words")).alias("lines"))
     of_doc = of_doc.join(seqs.select("key", "doc_id", F.size("a").alias("n_lines")), "key")
@@ -126,10 +126,10 @@ def find(docs: DataFrame, min_words: int = 20) -> DataFrame:
     schema = f"key binary, pos array<int>, r array<long>, start array<int>, n array<int>, doc_id {id_type}, n_lines int"
     # null ids come last, by their keys; equal ids are told apart by their texts
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("key")]
-    kept = ranked(settle(of_doc.mapInPandas(_stretches(min_words), schema), "stretches"), order, "d")
-    level = settle(kept.select("d", F.explode(F.arrays_zip("pos", "r")).alias("x")).select("d", "x.pos", "x.r"), "level")
+    kept = ranked(cut(of_doc.mapInPandas(_stretches(min_words), schema), "stretches"), order, "d")
+    level = cut(kept.select("d", F.explode(F.arrays_zip("pos", "r")).alias("x")).select("d", "x.pos", "x.r"), "level")
     runs = kept.select("d", F.explode(F.arrays_zip("start", "n")).alias("x")).select("d", "x.start", "x.n")
-    runs = settle(runs.withColumn("k", F.floor(F.log2("n") + 1e-9).cast("int")), "runs")
+    runs = cut(runs.withColumn("k", F.floor(F.log2("n") + 1e-9).cast("int")), "runs")
     deepest, named = runs.agg(F.max("k")).first()[0], None
     for k in range(0 if deepest is None else deepest + 1):
         if k:
@@ -140,8 +140,8 @@ def find(docs: DataFrame, min_words: int = 20) -> DataFrame:
         named = own if named is None else named.unionByName(own)
     if named is None:
         return docs.sparkSession.createDataFrame([], "key binary, keep array<struct<from:int,to:int>>")
-    named, place = settle(named, "intervals"), F.struct("d", "start")
-    firsts = settle(named.groupBy("n", "r1", "r2").agg(F.min(place).alias("first"), F.count("*").alias("members")).filter("members > 1"), "firsts")
+    named, place = cut(named, "intervals"), F.struct("d", "start")
+    firsts = cut(named.groupBy("n", "r1", "r2").agg(F.min(place).alias("first"), F.count("*").alias("members")).filter("members > 1"), "firsts")
     later = join_counted(named, firsts, ["n", "r1", "r2"], "members").filter(place > F.col("first"))
     gone = later.groupBy("d").agg(F.collect_list("start").alias("start"), F.collect_list("n").alias("n"))
     return gone.join(kept.select("d", "key", "n_lines"), "d").mapInPandas(_kept, "key binary, keep array<struct<from:int,to:int>>")
@@ -160,7 +160,7 @@ def dedup(docs: DataFrame, min_words: int = 20, names: tuple[str, str] = ("n_lin
     key, keep = fresh(docs, "key"), fresh(docs, "keep")
     docs, row = numbered(docs, "linededup-docs")
     docs = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"), F.col(row))).drop(row)
-    found = settle(find(docs.select("doc_id", F.col(key).alias("key"), "text"), min_words), "kept")
+    found = cut(find(docs.select("doc_id", F.col(key).alias("key"), "text"), min_words), "kept")
     found = sent_if_small(found, F.size("keep") * 16 + 64).select(F.col("key").alias(key), F.col("keep").alias(keep))
     both = docs.join(found, key, "left")
     lines = F.split("text", "\n")

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm._util import WordHashes, join_counted, mix64, numbered, sent_if_small, settle, shingle_hashes, small_batches, words, worker_cache
+from papyra.llm._util import WordHashes, cut, join_counted, mix64, numbered, sent_if_small, shingle_hashes, small_batches, words, worker_cache
 
 SIMILARITY = 0.8
 WIDTH = 5
@@ -186,19 +186,19 @@ def components(links: DataFrame) -> DataFrame:
     Each round sends a node to its smallest neighbour's smallest neighbour and contracts the edges, so their number
     falls from round to round.
     """
-    edges = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = None
     while True:
-        low = settle(edges.groupBy("a").agg(F.min(F.least("a", "b")).alias("up")), "low")
+        low = cut(edges.groupBy("a").agg(F.min(F.least("a", "b")).alias("up")), "low")
         step = low.join(low.select(F.col("a").alias("up"), F.col("up").alias("comp")), "up").select(F.col("a").alias("node"), "comp")
-        step = settle(step, "step")
+        step = cut(step, "step")
         if labels is None:
             labels = step
         else:
             moved = step.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-            labels = settle(labels.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
+            labels = cut(labels.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
         left = edges.join(step.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b")
-        edges = settle(left.filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        edges = cut(left.filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
         if edges.isEmpty():
             return labels
 
@@ -206,40 +206,40 @@ def components(links: DataFrame) -> DataFrame:
 def classes_of(nodes: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(node, comp) for the nodes of (node, text) whose text is similar to another's; equal nodes have equal texts."""
     sigs = nodes.mapInPandas(_signatures(width, bands, rows), "node long, bands array<long>").groupBy("node").agg(F.first("bands").alias("bands"))
-    sigs = settle(sigs, "signatures")
+    sigs = cut(sigs, "signatures")
     keyed = sigs.select("node", F.explode("bands").alias("band"))
-    leads = settle(keyed.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("k")).filter("k > 1"), "leads")
-    buckets = settle(join_counted(keyed, leads, ["band"], "k"), "buckets")
-    inside = sent_if_small(settle(buckets.select("node").distinct(), "inside"), NODE_BYTES)
+    leads = cut(keyed.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("k")).filter("k > 1"), "leads")
+    buckets = cut(join_counted(keyed, leads, ["band"], "k"), "buckets")
+    inside = sent_if_small(cut(buckets.select("node").distinct(), "inside"), NODE_BYTES)
     packed = nodes.join(inside, "node", "left_semi").mapInPandas(_packed(width), "node long, shingles binary, counts binary")
-    packed = settle(packed.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts")), "shingles")
+    packed = cut(packed.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts")), "shingles")
 
     def verify(pairs: DataFrame) -> DataFrame:
         first = pairs.join(packed.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb")), "b")
-        return settle(first.join(packed.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca")), "a").mapInPandas(_linked(similarity), "a long, b long"), "links")
+        return cut(first.join(packed.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca")), "a").mapInPandas(_linked(similarity), "a long, b long"), "links")
 
     pair = (F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-    tried = settle(buckets.filter("node != lead").select(*pair).distinct(), "pairs")
+    tried = cut(buckets.filter("node != lead").select(*pair).distinct(), "pairs")
     links = verify(tried)
     comps = components(links)
     # nodes that any chain of buckets connects; a link can only be inside such a cluster
     clusters = components(buckets.filter("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
     now = clusters.withColumnRenamed("comp", "cluster").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    now = settle(now, "now")
-    open_ = settle(now.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo != hi").select("cluster", "k"), "open")
-    x = settle(join_counted(now, open_, ["cluster"], "k").join(packed, "node"), "open-texts")
+    now = cut(now, "now")
+    open_ = cut(now.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo != hi").select("cluster", "k"), "open")
+    x = cut(join_counted(now, open_, ["cluster"], "k").join(packed, "node"), "open-texts")
     exploded = x.select("cluster", "node", "shingles", "counts").mapInPandas(_exploded, "cluster long, node long, shingle long, mass double")
     alone = exploded.groupBy("cluster", "shingle").agg(F.count("*").alias("k"), F.min("node").alias("node"), F.min("mass").alias("mass")).filter("k = 1")
     x = x.join(alone.groupBy("node").agg(F.sum("mass").alias("own")), "node", "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
-    x = settle(x.filter(1 - F.col("own") >= similarity - NOISE), "partners")
+    x = cut(x.filter(1 - F.col("own") >= similarity - NOISE), "partners")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("shingles") + F.length("counts")) / BLOCK_BYTES))
-    blocks = settle(x.groupBy("cluster").agg(F.count("*").alias("k"), blocks.alias("parts")), "blocks")
+    blocks = cut(x.groupBy("cluster").agg(F.count("*").alias("k"), blocks.alias("parts")), "blocks")
     x = join_counted(x, blocks, ["cluster"], "k")
     x = x.select("cluster", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node", "comp", "own", "shingles", "counts")
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     x = x.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
     more = x.groupBy("cluster", "i", "j").applyInPandas(_blocks(similarity), "a long, b long")
-    return components(links.unionByName(settle(more, "links")))
+    return components(links.unionByName(cut(more, "links")))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -260,7 +260,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     """``docs`` (doc_id, text, ...) with one row of each class of near duplicates, columns as they are."""
     docs, row = numbered(docs, "neardup-docs")
     gone = _classes(docs.select("doc_id", "text", F.col(row).alias("row")), similarity).filter("not stays")
-    gone = sent_if_small(settle(gone.select(F.col("row").alias(row)), "gone"), 2 * NODE_BYTES)
+    gone = sent_if_small(cut(gone.select(F.col("row").alias(row)), "gone"), 2 * NODE_BYTES)
     return docs.join(gone, row, "left_anti").drop(row)
 
 
@@ -272,7 +272,7 @@ def _classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH
     """
     node, check = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
     blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows_ = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), node.alias("node"), check.alias("check"), blank.alias("blank"), "row"), "rows")
+    rows_ = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), node.alias("node"), check.alias("check"), blank.alias("blank"), "row"), "rows")
     shared = rows_.groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo != hi").select("node").collect()
 
     def told(a, b):
@@ -280,11 +280,11 @@ def _classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH
 
     rows_ = rows_.withColumn("node", told(F.col("node"), F.col("check"))).drop("check")
     texts = small_batches(docs).select(told(node, check).alias("node"), "text").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    comps = settle(classes_of(texts, similarity, width, bands, rows), "comps")
+    comps = cut(classes_of(texts, similarity, width, bands, rows), "comps")
     at = rows_.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "row")
     lone = at.filter("blank").select("row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_rows"), F.lit(True).alias("stays"))
-    at = settle(at.filter("not blank"), "at")
+    at = cut(at.filter("not blank"), "at")
     groups = at.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"), F.count("*").alias("k"), F.min(order).alias("first"))
-    told_ = join_counted(at, settle(groups, "groups"), ["comp"], "k")
+    told_ = join_counted(at, cut(groups, "groups"), ["comp"], "k")
     return told_.select("row", "doc_id", "class_id", "class_rows", (F.col("row") == F.col("first.row")).alias("stays")).unionByName(lone)
