@@ -86,6 +86,11 @@ def replayed(log: DataFrame, lease_s: int, attempts: int = ATTEMPTS) -> DataFram
     return ordered.mapInPandas(fold, f"op {kind}, seq long, action string, worker string, at long, outcome string, state string, holder string, until long, attempt int")
 
 
+def tail(events: DataFrame, op, after: int = -1, most: int = 100) -> DataFrame:
+    """An operation's events (op, seq, ...) behind a cursor, in order: ``most``, 500 at most; the last one's seq is the next cursor."""
+    return events.filter((F.col("op") == op) & (F.col("seq") > after)).orderBy("seq").limit(min(most, 500) if most > 0 else 100)
+
+
 def admitted(operations: DataFrame, now_s: int, slots: dict[str, int], budget: dict[str, int], looked_at: int = LOOKED_AT) -> DataFrame:
     """(op, place): queued operations that may start now beside those that run, in the order in which they are admitted.
 

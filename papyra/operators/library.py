@@ -74,6 +74,12 @@ def by_path(documents: DataFrame) -> DataFrame:
     return documents.groupBy("path").agg(F.min(F.struct("created", "doc_id")).alias("d")).select("path", "d.doc_id")
 
 
+def indexing(documents: DataFrame, most: int = 200) -> DataFrame:
+    """Documents that are being indexed or wait for it and aren't being deleted, those that waited longest first, ties by id; 200 at most."""
+    open_ = F.col("status").isin("pending", "processing") & (F.coalesce("lifecycle", F.lit("active")) == "active")
+    return documents.filter(open_).orderBy("updated", "doc_id").limit(min(most, 200) if most > 0 else 200)
+
+
 # --- generations --------------------------------------------------------
 def next_generation(generations: DataFrame) -> int:
     return (generations.agg(F.max("generation")).first()[0] or 0) + 1

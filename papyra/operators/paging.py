@@ -29,6 +29,18 @@ def positions(rows: DataFrame, order: list[Column], name: str = "position") -> D
     return running(rows, order, F.lit(1).cast("long"), name)
 
 
+def walk(rows: DataFrame, order: list[str], size: int = 128, upto: tuple | None = None) -> DataFrame:
+    """``rows`` with the page (from 0) in which a walk by keys meets them: ``size`` rows a page, in the order of columns that tell all rows apart.
+
+    The walk ends at the key ``upto``, taken before it began, so rows that come later are in no page.
+    """
+    if upto is not None:
+        end = F.struct(*(F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, upto, strict=True)))
+        rows = rows.filter(F.struct(*order) <= end)
+    at = positions(rows, [F.col(c) for c in order], "__at")
+    return at.withColumn("page", F.floor((F.col("__at") - 1) / size)).drop("__at")
+
+
 def page(rows: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
     """Rows ``offset`` to ``offset + size`` in the order, with ``total`` and ``has_more``; the whole is counted, not sorted."""
     total = rows.count()

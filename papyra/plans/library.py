@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from papyra.functions import questions as Q
 from papyra.operators import leases as Le
 from papyra.operators import library as Li
+from papyra.operators import paging as Pg
 from papyra.operators import storage as St
 from papyra.plans.catalogue import CHUNKS, F, docs, query, table
 from papyra.plans.scalars import _STOP
@@ -298,3 +299,27 @@ def chunk_counts(spark, sf):
     i = F.col("doc_id")
     told = d.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.when(i % 5 == 0, None).when(i % 9 == 0, F.coalesce("n", F.lit(0)) + 2).otherwise(F.coalesce("n", F.lit(0))).cast("int").alias("chunk_count"))
     return St.miscounted(told, c).unionByName(St.miscounted(St.recounted(told, c), c))
+
+
+@query("SELECT event_id AS seq, event_type AS kind FROM events WHERE user_id = 3 AND event_id > 200 ORDER BY event_id LIMIT 100")
+def operation_tail(spark, sf):
+    """What one operation's log has behind a cursor."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("op"), F.col("event_id").alias("seq"), F.col("event_type").alias("kind"))
+    return Le.tail(e, 3, 200).select("seq", "kind")
+
+
+@query("""SELECT doc_id, ['ready', 'pending', 'processing', 'failed'][doc_id % 4 + 1] AS status FROM documents WHERE doc_id % 4 IN (1, 2) AND doc_id % 5 <> 0 ORDER BY n_chars % 100, doc_id LIMIT 200""")
+def indexing_status(spark, sf):
+    """Documents that wait for their index, the first 200."""
+    i = F.col("doc_id")
+    status = F.element_at(F.array(*map(F.lit, ("ready", "pending", "processing", "failed"))), (i % 4 + 1).cast("int"))
+    d = docs(spark, sf).select("doc_id", status.alias("status"), F.when(i % 5 == 0, "deleting").alias("lifecycle"), (F.col("n_chars") % 100).alias("updated"))
+    return Li.indexing(d).select("doc_id", "status")
+
+
+@query("""WITH d AS (SELECT n_chars % 100 AS created, doc_id FROM documents WHERE (n_chars % 100, doc_id) <= (80, 150)), p AS (SELECT *, (row_number() OVER (ORDER BY created, doc_id) - 1) // 16 AS page FROM d)
+SELECT page, count(*) AS documents, min(created) AS first, max(created) AS last, sum(doc_id)::BIGINT AS ids FROM p GROUP BY page""")
+def reindex_walk(spark, sf):
+    """Pages of sixteen documents by creation and id, up to the key at which the walk began."""
+    d = docs(spark, sf).select((F.col("n_chars") % 100).alias("created"), "doc_id")
+    return Pg.walk(d, ["created", "doc_id"], 16, (80, 150)).groupBy("page").agg(F.count("*").alias("documents"), F.min("created").alias("first"), F.max("created").alias("last"), F.sum("doc_id").alias("ids"))

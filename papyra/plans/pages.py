@@ -99,11 +99,12 @@ def anchor_scores(spark, sf):
     return table(spark, sf, "part").select("p_partkey", So.anchor_score(kind, k == 1).alias("score"))
 
 
-@query("""WITH w AS (SELECT label, embedding::DOUBLE[] AS e, vec_id % 5 + 1 AS w FROM embeddings), s AS (SELECT label, sum(e[1] * w) / sum(w) AS a, sum(e[2] * w) / sum(w) AS b FROM w GROUP BY label) SELECT label, round(a / sqrt(a * a + b * b), 6) AS x, round(b / sqrt(a * a + b * b), 6) AS y FROM s""")
+@query("""WITH w AS (SELECT label, vec_id % 5 + 1 AS w, embedding::DOUBLE[] AS e, unnest(generate_series(1, len(embedding))) AS i FROM embeddings), m AS (SELECT label, i, sum(e[i] * w) / sum(w) AS m FROM w GROUP BY label, i), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY label)
+SELECT label, CAST(i - 1 AS INTEGER) AS i, round(m / n, 6) AS x FROM m JOIN n USING (label)""")
 def weighted_mean_vectors(spark, sf):
-    """The mean of each label's vectors in two dimensions, weighted, of length 1."""
+    """The weighted mean of each label's vectors, of length 1, by component."""
     w = F.col("vec_id") % 5 + 1
-    e = table(spark, sf, "embeddings").select("label", w.alias("w"), F.posexplode(F.slice("embedding", 1, 2)).alias("i", "x"))
+    e = table(spark, sf, "embeddings").select("label", w.alias("w"), F.posexplode("embedding").alias("i", "x"))
     m = e.groupBy("label", "i").agg((F.sum(F.col("x").cast("double") * F.col("w")) / F.sum("w")).alias("m"))
     v = m.groupBy("label").agg(unit(F.array_sort(F.collect_list(F.struct("i", "m")))["m"]).alias("v"))
-    return v.select("label", F.round(F.col("v")[0], 6).alias("x"), F.round(F.col("v")[1], 6).alias("y"))
+    return v.select("label", F.posexplode(F.transform("v", lambda x: F.round(x, 6))).alias("i", "x"))
