@@ -38,7 +38,7 @@ ROUNDS = 8
 RECALL = 0.97
 #: Rows in a block of entries and of visits, and blocks of each that meet in one task.
 BLOCK, VISITS, MEET_BLOCKS, MEET_VISITS = 512, 256, 8, 64
-#: Visits a task holds before it sends them off.
+#: Visits a task holds, of any number of queries, before it sends them off.
 HELD = 65_536
 
 
@@ -237,8 +237,10 @@ def _visit(tree, visits: int, sizes: np.ndarray, k: int):
             ids, xs = zip(*held.pop(leaf), strict=True)
             return {"leaf": leaf, "qids": np.array(ids, np.int64).tobytes(), "qrows": np.stack(xs).tobytes()}
 
+        full: list[dict] = []
+        ready = 0
         for b in batches:
-            x, full = _matrix(b["v"]), []
+            x = _matrix(b["v"])
             for i, row, q in zip(b["vec_id"], x, _unit(x), strict=True):
                 seen = found = 0
                 for leaf in t.best_bins(q):
@@ -250,12 +252,14 @@ def _visit(tree, visits: int, sizes: np.ndarray, k: int):
                         count += 1
                         if len(held[leaf]) == VISITS:
                             full.append(out(leaf))
-                            count -= VISITS
-                if count >= HELD:
-                    full += map(out, list(held))
-                    count = 0
-            yield pd.DataFrame(full, columns=["leaf", "qids", "qrows"])
-        yield pd.DataFrame(list(map(out, list(held))), columns=["leaf", "qids", "qrows"])
+                            count, ready = count - VISITS, ready + VISITS
+                    if count + ready >= HELD:  # sent off in the midst of a batch, as a batch may ask for millions of visits
+                        if count >= HELD // 2:
+                            full += map(out, list(held))
+                            count = 0
+                        yield pd.DataFrame(full, columns=["leaf", "qids", "qrows"])
+                        full, ready = [], 0
+        yield pd.DataFrame(full + list(map(out, list(held))), columns=["leaf", "qids", "qrows"])
 
     return f
 

@@ -41,3 +41,19 @@ def test_recall_of_the_real_run(spark):
         s[ids == q] = -2
         hit += len(set(ids[np.lexsort((ids, -s))[:5]]) & set(own.vec_id))
     assert hit >= 0.9 * len(got)
+
+
+def test_a_task_sends_off_visits_in_the_midst_of_a_batch(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(ann, "HELD", 2048)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 8))
+    tree = ann.Tree(8)
+    tree.graft([(0, *ann.fit(ann._unit(x), 32))])
+    asked = pd.DataFrame({"vec_id": np.arange(1000), "v": list(x[:1000])})
+    sent = list(ann._visit(lambda: tree, 20, np.full(tree.leaves, 32), 5)(iter([asked])))
+    visits = [sum(len(q) // 8 for q in b["qids"]) for b in sent]
+    assert sum(visits) == 20 * 1000 and max(visits) <= 2048
+    seen = {(leaf, q) for b in sent for leaf, qids in zip(b["leaf"], b["qids"], strict=True) for q in np.frombuffer(qids, np.int64)}
+    assert len(seen) == 20 * 1000
