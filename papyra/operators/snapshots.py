@@ -156,18 +156,18 @@ def collect(spark: SparkSession, root: str, now_ms: int | None = None, grace_ms:
 
 # --- a library in snapshots ---------------------------------------------
 def tables_of(documents: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, anchors: DataFrame | None = None) -> dict[str, DataFrame]:
-    """What a library's search needs, to be published: the tables, and the index of the chunks' trigrams."""
+    """What a library's search needs, to be published: the tables, and the index of the chunks' words and their trigrams."""
     g, spark = T.build(chunks), chunks.sparkSession
     sizes = spark.createDataFrame([(g.chunks, float(g.average))], "chunks long, average double")
     out = {"documents": documents, "chunks": chunks.repartitionByRange("doc_id", "idx").sortWithinPartitions("doc_id", "idx")}
-    out |= {"grams": g.postings, "gram_counts": g.counts, "texts": g.texts, "sizes": sizes}
+    out |= {"words": g.postings, "grams": g.grams, "gram_counts": g.counts, "texts": g.texts, "sizes": sizes}
     return out | ({"vectors": vectors} if vectors is not None else {}) | ({"anchors": anchors} if anchors is not None else {})
 
 
 def library(spark: SparkSession, snap: Snapshot) -> S.Library:
     """The library as a snapshot has it."""
     size = snap.read(spark, "sizes").first()
-    g = T.Index(snap.read(spark, "grams"), snap.read(spark, "gram_counts"), snap.read(spark, "texts"), size["chunks"], size["average"])
+    g = T.Index(snap.read(spark, "words"), snap.read(spark, "grams"), snap.read(spark, "gram_counts"), snap.read(spark, "texts"), size["chunks"], size["average"])
     some = lambda name: snap.read(spark, name) if name in snap.tables else None
     return S.Library(snap.read(spark, "documents"), snap.read(spark, "chunks"), None, some("vectors"), g, some("anchors"))
 

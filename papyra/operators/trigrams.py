@@ -1,33 +1,45 @@
-"""Search for parts of words on a written index of trigrams.
+"""Search for parts of words on a written index of words and their trigrams.
 
-The index has a row for each trigram of each chunk, clustered by trigram, so a question reads the pages of its own
-trigrams and no others. A chunk is a candidate for a term if it holds all of the term's rarest trigrams; whether it holds
-the term is read from the candidate's text, which is written sorted by document beside the postings. Terms of three
-characters are trigrams themselves, so their postings are the answer and no text is read.
+A term lies within one word, so where it occurs is told by the words that hold it. The index has the postings of whole
+words, in segments that are each sorted by word, and a dictionary that has a row for each trigram of each distinct word. A
+question finds the words that hold its terms by their rarest trigrams in the dictionary, then reads the postings of these
+words and no others. Many questions at once go to all texts instead, in blocks: a task looks up which terms each distinct
+word of its texts holds, once, and keeps a few chunks a question.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from papyra.functions import language as L
-from papyra.operators.lexical import SPREAD
+from papyra.operators.lexical import Best, blocks_of, counted, found_schema, summed, weighed
 from papyra.sources.store import fingerprint, written
 
 #: Fixed values of the term score, and the least weight of a term that most chunks hold.
 K1, B, LEAST = 1.2, 0.75, 1e-6
-#: Trigrams of a term that narrow its candidates, and trigrams up to which a scan is told them one by one.
-RARE, NAMED = 4, 2000
+#: Trigrams of a term that narrow its words, trigrams and words up to which a scan is told them one by one, and terms up to which questions read postings.
+RARE, NAMED, FEW = 4, 2000, 64
+#: Words a task remembers the terms of.
+REMEMBERED = 1 << 19
+#: What parts words: ASCII signs and white space. No term holds any of them, so a term lies within a word whatever else the word holds.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+"
+
+WORD = BETWEEN.replace("[", "[^").replace("+", "{3,}")
 
 
 @dataclass
 class Index:
-    """``postings``: gram, doc_id, idx, tf, len, sorted by gram; ``counts``: gram, chunks; ``texts``: doc_id, idx, text, searched, sorted by document; how many chunks there are and how many trigrams they have on average."""
+    """``postings``: word, doc_id, idx, tf, len (in trigrams), sorted by word within segments; ``grams``: gram, word, the dictionary, sorted by gram; ``counts``: gram, words; ``texts``: doc_id, idx, text, searched, sorted by document; how many chunks there are and how many trigrams they have on average."""
 
     postings: DataFrame
+    grams: DataFrame
     counts: DataFrame
     texts: DataFrame
     chunks: int
@@ -39,19 +51,24 @@ def grams(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), 1)
 
 
+def _size(text: Column) -> Column:
+    """How many trigrams a text has."""
+    return F.greatest(F.length(F.lower(text)) - 2, F.lit(0))
+
+
 def build(chunks: DataFrame) -> Index:
-    """An index of chunks (doc_id, idx, text, and search_text where it differs from the text). Null texts have no trigrams."""
+    """An index of chunks (doc_id, idx, text, and search_text where it differs from the text). Null texts have no trigrams. Texts are dealt out once; postings are counted inside each chunk and sorted inside each task, and only distinct words are shuffled."""
     searched = F.col("search_text") if "search_text" in chunks.columns else F.col("text")
     t = chunks.select("doc_id", "idx", "text", F.coalesce(searched, F.lit("")).alias("searched"))
     texts = written(t.repartitionByRange("doc_id", "idx").sortWithinPartitions("doc_id", "idx"), "texts")
-    each = texts.select("doc_id", "idx", grams(F.col("searched")).alias("g"))
-    sizes = each.agg(F.count("*").alias("n"), F.avg(F.size("g")).alias("a")).first()
-    # dealt by trigram before they are counted: one shuffle, which the counts and the order share
-    dealt = each.select("doc_id", "idx", F.size("g").alias("len"), F.explode("g").alias("gram"), F.pmod(F.xxhash64("doc_id", "idx"), F.lit(SPREAD)).alias("part")).repartition("gram", "part")
-    p = dealt.groupBy("gram", "part", "doc_id", "idx", "len").agg(F.count("*").cast("int").alias("tf")).select("gram", "doc_id", "idx", "tf", "len")
-    postings = written(p.sortWithinPartitions("gram", "doc_id", "idx"), "grams")
-    counts = written(postings.groupBy("gram").agg(F.count("*").alias("chunks")).repartitionByRange("gram").sortWithinPartitions("gram"), "gram-counts")
-    return Index(postings, counts, texts, sizes["n"], sizes["a"] or 0.0)
+    sizes = texts.agg(F.count("*").alias("n"), F.avg(_size(F.col("searched"))).alias("a")).first()
+    words = F.regexp_extract_all(F.lower("searched"), F.lit(WORD), 0)
+    each = texts.select("doc_id", "idx", _size(F.col("searched")).alias("len"), F.explode(counted(words)).alias("t"))
+    postings = written(each.select(F.col("t.term").alias("word"), "doc_id", "idx", "t.tf", "len").sortWithinPartitions("word", "doc_id", "idx"), "words")
+    of = postings.select("word").distinct().select(F.explode(F.array_distinct(grams(F.col("word")))).alias("gram"), "word")
+    dictionary = written(of.sortWithinPartitions("gram", "word"), "grams")
+    counts = written(dictionary.groupBy("gram").agg(F.count("*").alias("words")).repartitionByRange("gram").sortWithinPartitions("gram"), "gram-counts")
+    return Index(postings, dictionary, counts, texts, sizes["n"], sizes["a"] or 0.0)
 
 
 _BUILT: dict[tuple[str, str], Index] = {}
@@ -66,30 +83,114 @@ def index_of(docs: DataFrame, chunks: DataFrame) -> Index:
 
 
 def _wanted(index: Index, terms: DataFrame) -> DataFrame:
-    """(term, gram, needed, most): the ``RARE`` rarest trigrams of each term; a term with a trigram that no chunk has has none."""
+    """(term, gram, needed): the ``RARE`` rarest trigrams of each term; a term with a trigram that no word has has none."""
     of = terms.select("term", F.explode(F.array_distinct(grams(F.col("term")))).alias("gram"))
     of = of.withColumn("all", F.count("*").over(Window.partitionBy("term")))
     known = of.join(index.counts, "gram").withColumn("found", F.count("*").over(Window.partitionBy("term"))).filter("found = all")
-    rarest = Window.partitionBy("term").orderBy("chunks", "gram")
+    rarest = Window.partitionBy("term").orderBy("words", "gram")
     kept = known.withColumn("n", F.row_number().over(rarest)).filter(F.col("n") <= RARE)
     return kept.select("term", "gram", F.least("all", F.lit(RARE)).alias("needed"))
 
 
+def _told(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, bool]:
+    """``df`` where its column is one of the keys, told one by one if they are ``NAMED`` at most, so that only their pages are read."""
+    names = [r[0] for r in keys.select(column).distinct().limit(NAMED + 1).collect()]
+    if len(names) > NAMED:
+        return df, False
+    return df.filter(F.col(column).isin(names) if names else F.lit(False)), True
+
+
 def matches(index: Index, terms: DataFrame) -> DataFrame:
     """(term, doc_id, idx, tf, len): the chunks that hold each of the lower-case terms (term) of three characters or more, and how often."""
     wanted = _wanted(index, terms).persist()
-    names = [r["gram"] for r in wanted.select("gram").distinct().limit(NAMED + 1).collect()]
-    p = index.postings
-    if len(names) <= NAMED:  # told one by one, so that only their pages are read
-        p = p.filter(F.col("gram").isin(names) if names else F.lit(False))
-    # as many rows as questions have terms, by RARE
-    met = p.join(F.broadcast(wanted) if len(names) <= NAMED else wanted, "gram")
-    exact = met.filter(F.length("term") == 3).select("term", "doc_id", "idx", F.col("tf").cast("long").alias("tf"), "len")
-    longer = met.filter(F.length("term") > 3).groupBy("term", "needed", "doc_id", "idx", "len").agg(F.count("*").alias("n")).filter("n = needed")
+    g, few = _told(index.grams, "gram", wanted)
+    met = g.join(F.broadcast(wanted) if few else wanted, "gram").groupBy("term", "needed", "word").agg(F.count("*").alias("n")).filter("n = needed")
     # terms are letters, digits and _, so they stand for themselves in a pattern
-    tf = F.regexp_count(F.lower("searched"), F.concat(F.lit("(?="), F.col("term"), F.lit(")"))).cast("long")
-    checked = longer.join(index.texts.select("doc_id", "idx", "searched"), ["doc_id", "idx"]).withColumn("tf", tf).filter("tf > 0")
-    return exact.unionByName(checked.select("term", "doc_id", "idx", "tf", "len"))
+    times = F.when(F.col("term") == F.col("word"), 1).otherwise(F.regexp_count("word", F.concat(F.lit("(?="), F.col("term"), F.lit(")"))))
+    held = written(met.select("term", "word", times.cast("long").alias("times")).filter("times > 0"), "held")
+    p, few = _told(index.postings, "word", held)
+    each = p.join(F.broadcast(held) if few else held, "word")
+    return each.groupBy("term", "doc_id", "idx", "len").agg(F.sum(F.col("tf") * F.col("times")).alias("tf")).select("term", "doc_id", "idx", "tf", "len")
+
+
+class _Holders:
+    """Which of some terms a word holds, and how often; told once a word, as long as few enough are remembered."""
+
+    def __init__(self, terms: list[str]):
+        self.of, self.sizes, self.known = {t: i for i, t in enumerate(terms)}, sorted({len(t) for t in terms}), {}
+
+    def __call__(self, word: str) -> tuple[tuple[int, int], ...]:
+        got = self.known.get(word)
+        if got is None:
+            times: dict[int, int] = {}
+            for n in self.sizes:
+                for i in range(len(word) - n + 1):
+                    if (t := self.of.get(word[i : i + n])) is not None:
+                        times[t] = times.get(t, 0) + 1
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            got = self.known[word] = tuple(sorted(times.items()))
+        return got
+
+    def batch(self, low: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, times) of a batch of texts in lower case, sorted by row and term."""
+        words = pc.split_pattern_regex(low, BETWEEN)
+        row = np.repeat(np.arange(len(low)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        coded = words.flatten().dictionary_encode()
+        held = [self(w) for w in coded.dictionary.to_pylist()]
+        n = np.array([len(h) for h in held], np.int64)
+        pairs = np.array([p for h in held for p in h], np.int64).reshape(-1, 2)
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        size, start = n[code], (np.cumsum(n) - n)[code]
+        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        key, of = np.unique(np.repeat(row, size) * len(self.of) + pairs[at, 0], return_inverse=True)
+        return key // len(self.of), key % len(self.of), np.bincount(of.ravel(), weights=pairs[at, 1], minlength=len(key))
+
+
+def _of_many(index: Index, own: list, k: int, scope: DataFrame | None, schema: str) -> DataFrame:
+    """(question, doc_id, idx, score): the best chunks for each of a block of questions (question, terms, locators) by two passes over all texts: how many chunks hold each term, then the scores."""
+    names = sorted({t for r in own for t in r["terms"]})
+    shape, average, low = to_arrow_schema(index.texts.sparkSession.createDataFrame([], schema).schema), index.average or 1.0, F.lower("searched").alias("low")
+
+    def count(batches):
+        holders, n = _Holders(names), np.zeros(len(names), np.int64)
+        for b in batches:
+            n += np.bincount(holders.batch(b["low"])[1], minlength=len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(names))), pa.array(n)], names=["term", "n"])
+
+    n = np.zeros(len(names))
+    if names:
+        for r in index.texts.select(low).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+            n[r["term"]] = r["n"]
+    idf = np.log((index.chunks - n + 0.5) / (n + 0.5))
+    weights = weighed(own, "terms", names, np.where(idf > 0, idf, LEAST)) if names else np.zeros((1, len(own)))
+    locators = sorted({x for r in own for x in r["locators"]})
+    asked = [(r["question"], [locators.index(x) for x in r["locators"]], not r["terms"]) for r in own]
+
+    def f(batches):
+        holders, best = _Holders(names), Best(len(asked), k)
+        for b in batches:
+            rows = b.num_rows
+            if names:
+                row, term, tf = holders.batch(b["low"])
+                size = b["len"].to_numpy(zero_copy_only=False)[row] / average
+                raw = summed(row, tf * (K1 + 1) / (tf + K1 * (1 - B + B * size)), weights, term, rows)
+            else:
+                raw = np.zeros((rows, len(asked)))
+            score = np.round(raw / (raw + 1), 6)
+            stands = [pc.fill_null(pc.match_substring(b["text"], x), False).to_numpy(zero_copy_only=False) for x in locators]
+            doc, idx = b["doc_id"].to_pylist(), b["idx"].to_pylist()
+            for q, (_, must, lone) in enumerate(asked):
+                fine = np.ones(rows, bool) if lone else raw[:, q] > 0
+                for x in must:
+                    fine &= stands[x]
+                at = np.flatnonzero(fine)
+                best.add(q, score[at, q], at, doc, idx)
+        yield best.batch([q for q, _, _ in asked], shape)
+
+    texts = index.texts if scope is None else index.texts.join(scope, "doc_id", "left_semi")
+    text = F.lower("text") if locators else F.lit(None).cast("string")
+    return written(texts.select("doc_id", "idx", text.alias("text"), low, _size(F.col("searched")).alias("len")).mapInArrow(f, schema), "scored")
 
 
 def search(index: Index, questions: DataFrame, k: int, scope: DataFrame | None = None) -> DataFrame:
@@ -101,6 +202,15 @@ def search(index: Index, questions: DataFrame, k: int, scope: DataFrame | None =
     order, with score 0. Questions with neither find nothing. How rare a term is counts over the whole index, also
     where ``scope``, (doc_id), bounds what may be found.
     """
+    small = questions.limit(FEW + 1).select(F.explode(L.lexical_terms(F.col("text")))).limit(FEW + 1).count() <= FEW and questions.limit(FEW + 1).count() <= FEW
+    best = Window.partitionBy("question").orderBy(F.desc("score"), F.when(F.col("score") == 0, F.col("idx")), "doc_id", "idx")
+    if not small:
+        out = None
+        q = questions.select("question", F.array_distinct(F.transform(L.lexical_terms(F.col("text")), F.lower)).alias("terms"), F.array_distinct(F.transform(L.locator_terms(F.col("text")), F.lower)).alias("locators"))
+        for own in blocks_of(q.filter((F.size("terms") > 0) | (F.size("locators") > 0)), "terms"):
+            part = _of_many(index, own, k, scope, found_schema(questions, index.texts))
+            out = part if out is None else out.unionByName(part)
+        return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("question", "doc_id", "idx", "score", "rank")
     q = questions.select("question", L.lexical_terms(F.col("text")).alias("terms"), F.array_distinct(F.transform(L.locator_terms(F.col("text")), F.lower)).alias("locators"))
     asked = q.select("question", "locators", F.explode(F.array_distinct(F.transform("terms", F.lower))).alias("term"))
     found = matches(index, asked.select("term").distinct())
@@ -123,7 +233,6 @@ def search(index: Index, questions: DataFrame, k: int, scope: DataFrame | None =
     keys = F.array_union(F.regexp_extract_all(low, F.lit(r"(\p{Nd})"), 1), F.filter(F.regexp_extract_all(low, F.lit("(?s)(?=(..))"), 1), lambda x: x.rlike(r"\p{Nd}")))
     by_first = texts.select("doc_id", "idx", "text", F.explode(keys).alias("key")).join(lone, "key").filter(holds).select("question", "locators", "doc_id", "idx", F.lit(0.0).alias("score"))
     every = plain.unionByName(bound).unionByName(by_first)
-    best = Window.partitionBy("question").orderBy(F.desc("score"), F.when(F.col("score") == 0, F.col("idx")), "doc_id", "idx")
     return every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("question", "doc_id", "idx", "score", "rank")
 
 
