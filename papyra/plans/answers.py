@@ -18,18 +18,23 @@ from papyra.sources.tables import chunks
 _STATE = "CASE WHEN toxic = 1 THEN 'INCOMPLETE' WHEN quality = 0 THEN 'LOW_QUALITY' ELSE 'GOOD' END"
 
 
-def library(spark, sf) -> Se.Library:
+def described(spark, sf):
+    """The library's documents, for what needs neither texts nor an index."""
     d = docs(spark, sf)
     labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
     i = F.col("doc_id")
-    about = d.join(labels, "doc_id", "left").select(
+    return d.join(labels, "doc_id", "left").select(
         "doc_id", F.concat_ws(" ", F.lit("page"), F.col("source"), i.cast("string")).alias("title"), "source", F.when(i % 3 == 0, day(i % 300)).alias("updated"), day(i % 100).alias("created"),
         F.when(i % 13 == 0, "deleting").otherwise("ready").alias("status"), F.expr(_STATE).alias("quality"))
-    c = chunks(d)
+
+
+def library(spark, sf, words: bool = True) -> Se.Library:
+    """The library, with its index of words where these are searched."""
+    c = chunks(docs(spark, sf))
     heads = c.withColumn("heading", F.concat(F.lit("part "), F.floor(F.col("idx") / 4).cast("string")))
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(0).cast("long").alias("idx"), F.lit("m").alias("model"), "embedding")
-    return Se.Library(about, heads.select("doc_id", "idx", "heading", "text"), index(spark, sf), v)
+    return Se.Library(described(spark, sf), heads.select("doc_id", "idx", "heading", "text"), index(spark, sf) if words else None, v)
 
 
 def asked_vector(spark, sf) -> list[float]:
@@ -101,7 +106,7 @@ def published(spark, sf) -> str:
     """The folder of a library in two snapshots, made once a session: in the first all documents are ready, in the second those of every 13th id are being deleted."""
     key = (spark.sparkContext.applicationId, fingerprint(docs(spark, sf)))
     if key not in _PINNED:
-        root, lib = f"{shared_dir(spark)}/papyra-library-{key[1][:16]}-{len(_PINNED)}", library(spark, sf)
+        root, lib = f"{shared_dir(spark)}/papyra-library-{key[1][:16]}-{len(_PINNED)}", library(spark, sf, words=False)
         ready = lib.documents.withColumn("status", F.lit("ready"))
         first = Sn.publish(spark, root, Sn.tables_of(ready, lib.chunks, lib.vectors, anchors(spark, sf)))
         Sn.publish(spark, root, {"documents": lib.documents}, first.epoch)
@@ -146,7 +151,7 @@ def search_filtered(spark, sf):
 def title_filter(spark, sf):
     import datetime
 
-    d = library(spark, sf).documents
+    d = described(spark, sf)
     return Se.allowed(d, Se.Filters(title="1%_")).union(Se.allowed(d, Se.Filters(title=" 1", updated_from=datetime.date(2024, 2, 1)))).distinct()
 
 

@@ -9,7 +9,7 @@ from papyra.functions.vectors import unit
 from papyra.operators import evaluation as Ev
 from papyra.operators import paging as P
 from papyra.operators import search as Se
-from papyra.plans.answers import library
+from papyra.plans.answers import described
 from papyra.plans.catalogue import F, docs, query, table
 
 
@@ -35,13 +35,13 @@ _QUALITY = f"lb AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality
 @query(f"WITH {_QUALITY} SELECT doc_id, row_number() OVER (ORDER BY status = 'LOW_QUALITY', n_chars DESC, doc_id) AS place FROM q WHERE status <> 'INCOMPLETE'")
 def quality_guard_order(spark, sf):
     hits = docs(spark, sf).select("doc_id", "n_chars")
-    g = Se.guarded(hits, library(spark, sf).documents)
+    g = Se.guarded(hits, described(spark, sf))
     return P.positions(g, [F.col("low"), -F.col("n_chars"), F.col("doc_id")], "place").select("doc_id", "place")
 
 
 @query(f"WITH {_QUALITY} SELECT status, count(*) AS documents FROM q GROUP BY status")
 def quality_summary(spark, sf):
-    return Ev.quality_summary(library(spark, sf).documents)
+    return Ev.quality_summary(described(spark, sf))
 
 
 @query("SELECT doc_id, source, (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM documents) > 60 AS has_more FROM documents ORDER BY doc_id LIMIT 20 OFFSET 40")
