@@ -75,3 +75,17 @@ def test_text_files_and_gold(spark, tmp_path):
     assert [(r.name, r.text) for r in text_files(spark, str(tmp_path / "d")).collect()] == [("a.TXT", "hi"), ("b.md", "中文内容")]
     (tmp_path / "g.jsonl").write_text('{"question_id":"1","question":"q","gold_answer":"a","gold_evidence_locators":[{"document":"d","needle":"n"}]}\n{"question_id":"2","question":"q"}\n')
     assert {r.question_id: r.problem for r in gold(spark, str(tmp_path / "g.jsonl")).collect()} == {"1": None, "2": "no evidence or answer"}
+
+
+def test_sharing_tells_unions_without_pairs(spark):
+    from papyra.operators import graph as G
+
+    keys = {1: "abc", 2: "abc", 3: "bx", 4: "cx", 5: "z", 6: "bcy", 7: "y", 8: "ab"}
+    want = {}
+    for d, own in keys.items():
+        others = {e for e, k in keys.items() if e != d and set(k) & set(own)}
+        if others:
+            want[d] = (len(others), min(others))
+    rows = spark.createDataFrame([(d, k) for d, own in keys.items() for k in own * 2], "doc_id long, key string")
+    for heavy in (0, 2, 3, 256):
+        assert {r.doc_id: (r.related, r.nearest) for r in G.sharing(rows, heavy).collect()} == want
