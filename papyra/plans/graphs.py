@@ -5,7 +5,7 @@ from __future__ import annotations
 from papyra.operators import graph as G
 from papyra.operators import semantic as S
 from papyra.plans.catalogue import F, docs, query, table
-from papyra.plans.compiler import _STATED, compiled, structured, shown
+from papyra.plans.compiler import _STATED, compiled, compiled_units, relations, shown, structured
 
 
 def supply(spark, sf):
@@ -78,9 +78,8 @@ def incremental_merge(spark, sf):
     """A fifth of the documents is dirty; half of these are compiled anew, the others are gone: every fact that is left, with its sources, and every summary."""
     n = structured(spark, sf)
     i = F.col("doc_id")
-    before, _ = compiled(spark, sf)
-    after, _ = S.compile_units(n.filter(i % 10 == 0))
-    m = S.merge_units(before, after, docs(spark, sf).filter(i % 5 == 0))
+    after = S.unit_rows(*S.compile_facts(n.filter(i % 10 == 0)))
+    m = S.merge_units(compiled_units(spark, sf), after, docs(spark, sf).filter(i % 5 == 0))
     null = lambda t, c: F.lit(None).cast(t).alias(c)
     whole = m.filter("type = 'summary'").select("type", "key", null("string", "said"), null("string", "sources"), null("double", "confidence"), null("string", "status"))
     return shown(m).filter("type = 'fact'").unionByName(whole)
@@ -90,15 +89,15 @@ def incremental_merge(spark, sf):
 w(node, hop) AS (SELECT k, 0 FROM s UNION SELECT b.dst, hop + 1 FROM w JOIN b ON b.src = w.node WHERE hop < 3) SELECT node, min(hop) AS hop FROM w GROUP BY node""")
 def graph_expand(spark, sf):
     """Three steps in both directions from the first fact that another follows."""
-    units, relations = compiled(spark, sf)
+    units, r = compiled(spark, sf)
     units = units.filter("type = 'fact'")
-    relations = relations.filter("type = 'related_to'")
-    first = relations.agg(F.min("subject")).first()[0]
-    return G.expand(units, relations, [first], ["related_to"], "both", hops=3, nodes=256, fan_out=64)[0].select("node", "hop")
+    r = r.filter("type = 'related_to'")
+    first = r.agg(F.min("subject")).first()[0]
+    return G.expand(units, r, [first], ["related_to"], "both", hops=3, nodes=256, fan_out=64)[0].select("node", "hop")
 
 
 @query(f"""WITH {_STATED}, e AS (SELECT f.p[1] AS a, f.k AS b FROM fx f JOIN fx g ON g.k = f.p[1]) SELECT DISTINCT x.a AS src, y.b AS dst FROM e x JOIN e y ON x.b = y.a WHERE x.a <> y.b""")
 def graph_two_hop(spark, sf):
     """Facts two steps apart in reading order."""
-    r = compiled(spark, sf)[1].filter("type = 'related_to'").select("subject", "object")
+    r = relations(spark, sf).filter("type = 'related_to'").select("subject", "object")
     return r.select(F.col("subject").alias("src"), F.col("object").alias("mid")).join(r.select(F.col("subject").alias("mid"), F.col("object").alias("dst")), "mid").filter("src <> dst").select("src", "dst").distinct()
