@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from papyra.functions.text import CJK, token_estimate
+from papyra.functions.text import CJK, once, token_estimate
 
 #: Words that say nothing about what is asked.
 STOPWORDS = (
@@ -139,8 +139,7 @@ def clean_query(text: Column, most: int = 200) -> Column:
 
 def clip_to_tokens(text: Column, budget: int) -> Column:
     """The beginning of a text, as long by characters as the budget is by tokens."""
-    n = token_estimate(text)
-    return F.when(n <= budget, text).otherwise(F.left(text, F.floor(F.length(text) / n * budget).cast("int")))
+    return once(token_estimate(text), lambda n: F.when(n <= budget, text).otherwise(F.left(text, F.floor(F.length(text) / n * budget).cast("int"))))
 
 
 def fit_to_tokens(text: Column, budget: int) -> Column:

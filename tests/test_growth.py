@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from papyra.functions import language as L
 from papyra.operators import semantic as S
 from papyra.plans import catalogue, compiler
 from papyra.sources import ir
@@ -42,3 +43,8 @@ def test_statements_keep_their_places(spark):
 @pytest.mark.parametrize("name", ["structure_faults"])
 def test_texts_are_parsed_once(spark, sf, name):
     assert "MapIn" not in plan(catalogue.queries()[name](spark, sf))
+
+
+def test_tokens_are_counted_once(spark):
+    d = spark.createDataFrame([("Steel release 12 notes.md",)], "t string")
+    assert plan(d.select(L.clip_to_tokens(F.col("t"), 5).alias("x"))).count("regexp_replace") == 1
