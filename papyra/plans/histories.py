@@ -11,6 +11,7 @@ from papyra.operators import ranking as Ra
 from papyra.plans.catalogue import CHUNKS, F, docs, query, table
 from papyra.plans.retrieval import index
 from papyra.sources import ir
+from papyra.sources.store import written
 
 
 def titled(spark, sf):
@@ -100,8 +101,8 @@ def piece_nodes(spark, sf):
     """Pieces of structured texts, each found in at least one node by its text."""
     from papyra.plans.compiler import structured
 
-    n = structured(spark, sf)
-    p = ir.pieces(n).select("doc_id", "idx", "text", F.lit("").alias("heading"))
+    n = written(structured(spark, sf).withColumn("text", F.when(F.col("type") != "document", F.col("text"))), "nodes")  # a document's own text is that of its nodes
+    p = written(ir.pieces(n).select("doc_id", "idx", "text", F.lit("").alias("heading")), "pieces")
     found = ir.nodes_of(p, n).filter("how = 'text'").select("doc_id", "idx").distinct().groupBy("doc_id").agg(F.count("*").alias("linked"))
     return p.groupBy("doc_id").agg(F.count("*").alias("pieces")).join(found, "doc_id")
 

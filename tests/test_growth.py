@@ -41,7 +41,7 @@ def test_statements_keep_their_places(spark):
     assert [(r["pos"], r["text"]) for r in s] == [(1, "The a.b is 1.5 of it now"), (2, "这个系统必须使用全部数据进行完整的处理"), (3, "x.y is what is said here")]
 
 
-@pytest.mark.parametrize("name", ["structure_faults"])
+@pytest.mark.parametrize("name", ["structure_faults", "piece_nodes"])
 def test_texts_are_parsed_once(spark, sf, name):
     assert "MapIn" not in plan(catalogue.queries()[name](spark, sf))
 
