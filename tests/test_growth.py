@@ -1,5 +1,6 @@
 """Steps that must not be repeated or grow with a batch, as larger tables would show."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +55,14 @@ def test_tokens_are_counted_once(spark):
 def test_titles_are_cut_once(spark):
     d = spark.createDataFrame([("Steel release 12 notes.md",)], "t string")
     assert plan(d.select(So.version_in(F.col("t")).alias("x"))).count("regexp_extract_all") == 1
+
+
+@pytest.mark.parametrize("texts", [True, False])
+def test_nodes_leave_in_bounded_batches(texts):
+    body = ["# a\n\n" + "b" * 1000 + "\n\n## c\n\nd", None, "", "e"] * 50
+    b = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "title": ["t"] * 200, "text": body})
+    out = list(ir.batched(iter([b]), texts, chars=5000, rows=64))
+    assert all(x.num_rows <= 64 + 5 for x in out) and len(out) > 3
+    got = [tuple(r.values()) for x in out for r in x.to_pylist()]
+    want = [(i, "t", *r) if texts else (i, *r[:3]) for i, t in enumerate(body) for r in ir.parse(t)]
+    assert got == want
