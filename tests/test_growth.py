@@ -66,3 +66,8 @@ def test_nodes_leave_in_bounded_batches(texts):
     got = [tuple(r.values()) for x in out for r in x.to_pylist()]
     want = [(i, "t", *r) if texts else (i, *r[:3]) for i, t in enumerate(body) for r in ir.parse(t)]
     assert got == want
+
+
+def test_merge_makes_no_relations(spark, sf, names):
+    catalogue.queries()["incremental_merge"](spark, sf)
+    assert names.count("units") == 1 and not {"nodes", "relations"} & set(names)
