@@ -5,7 +5,7 @@ from __future__ import annotations
 from papyra.operators import graph as G
 from papyra.operators import semantic as S
 from papyra.plans.catalogue import F, docs, query, table
-from papyra.plans.compiler import _STATED, compiled, compiled_units, relations, shown, structured
+from papyra.plans.compiler import _STATED, compiled, compiled_units, relations, structured, told_facts
 
 
 def supply(spark, sf):
@@ -76,13 +76,12 @@ SELECT 'fact' AS type, le.k AS key, sha256(coalesce(up.text, fx.text)) AS said,
 UNION ALL SELECT 'summary', 'summary:doc:' || doc_id, NULL, NULL, NULL, NULL FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 10 = 0""")
 def incremental_merge(spark, sf):
     """A fifth of the documents is dirty; half of these are compiled anew, the others are gone: every fact that is left, with its sources, and every summary."""
-    n = structured(spark, sf)
     i = F.col("doc_id")
-    after = S.unit_rows(*S.compile_facts(n.filter(i % 10 == 0)))
+    after = S.unit_rows(*S.compile_facts(structured(spark, sf, some=i % 10 == 0)))
     m = S.merge_units(compiled_units(spark, sf), after, docs(spark, sf).filter(i % 5 == 0))
-    null = lambda t, c: F.lit(None).cast(t).alias(c)
-    whole = m.filter("type = 'summary'").select("type", "key", null("string", "said"), null("string", "sources"), null("double", "confidence"), null("string", "status"))
-    return shown(m).filter("type = 'fact'").unionByName(whole)
+    fact = lambda c: F.when(F.col("type") == "fact", c)
+    own = told_facts(m.filter(F.col("type").isin("fact", "summary")))  # both in one pass
+    return own.select("type", "key", *(fact(F.col(c)).alias(c) for c in ("said", "sources", "confidence", "status")))
 
 
 @query(f"""WITH RECURSIVE {_STATED}, e AS (SELECT f.p[1] AS src, f.k AS dst FROM fx f JOIN fx g ON g.k = f.p[1]), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), s AS (SELECT min(src) AS k FROM e),

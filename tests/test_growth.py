@@ -71,3 +71,36 @@ def test_nodes_leave_in_bounded_batches(texts):
 def test_merge_makes_no_relations(spark, sf, names):
     catalogue.queries()["incremental_merge"](spark, sf)
     assert names.count("units") == 1 and not {"nodes", "relations"} & set(names)
+
+
+class Seen(Exception):
+    pass
+
+
+def test_update_reads_its_own_documents(spark, sf, monkeypatch):
+    def see(nodes):
+        raise Seen(plan(nodes))
+
+    monkeypatch.setattr(S, "compile_facts", see)
+    with pytest.raises(Seen) as seen:
+        catalogue.queries()["incremental_merge"](spark, sf)
+    assert "% 10" in str(seen.value).split("MapInArrow")[1]
+
+
+def units_of(spark, rows):
+    kinds = "type string, key string, title string, content string, aliases array<string>, confidence double, status string, version string, superseded_by string, derived array<string>, sources array<string>"
+    return spark.createDataFrame([(t, k, k, c, [], 0.5, "active", None, None, d, s) for t, k, c, d, s in rows], kinds)
+
+
+def test_merge_reads_units_once(spark):
+    """Units meet documents only where a summary or a source names one, and facts only where they state a version."""
+    fact = ("Version 1.1 supports the cache", "Version 1.2 supports the cache", "plain words")
+    old = units_of(spark, [("fact", "a", fact[0], [], ["1", "2", None]), ("fact", "b", fact[1], [], ["2"]), ("fact", "c", fact[2], [], ["1"]), ("concept", "x", "", ["fact:a", "fact:c"], []), ("concept", "y", "", ["fact:c"], []),
+                           ("topic", "t", "", ["concept:y", "summary:summary:doc:1"], []), ("summary", "summary:doc:1", "", ["fact:a"], []), ("summary", "summary:doc:2", "", ["fact:a", "fact:c"], [])])
+    m = S.merge_units(old, units_of(spark, [("fact", "d", "new", [], ["3"])]), spark.createDataFrame([(1,)], "doc_id long"))
+    assert {(r.type, r.key): (r.status, r.superseded_by, r.derived, r.sources) for r in m.collect()} == {
+        ("fact", "a"): ("superseded", "b", [], ["2"]), ("fact", "b"): ("active", None, [], ["2"]), ("fact", "d"): ("active", None, [], ["3"]),
+        ("concept", "x"): ("active", None, ["fact:a"], []), ("summary", "summary:doc:2"): ("active", None, ["fact:a"], []),
+    }
+    p = plan(m)
+    assert p.count("parquet") == 2 and "Window" not in p and "Aggregate" not in p
