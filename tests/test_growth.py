@@ -104,3 +104,14 @@ def test_merge_reads_units_once(spark):
     }
     p = plan(m)
     assert p.count("parquet") == 2 and "Window" not in p and "Aggregate" not in p
+
+
+def test_texts_come_in_bounded_batches(spark, monkeypatch):
+    def sizes(batches, texts):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([0]), "ord": pa.array([b.nbytes], pa.int32()), "type": pa.array(["n"]), "parent": pa.array([0], pa.int32())})
+
+    monkeypatch.setattr(ir, "batched", sizes)
+    d = spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), F.lit("t").alias("title"), F.repeat(F.lit("x"), 100_000).alias("text"))
+    seen = [r["ord"] for r in ir.nodes(d, False).collect()]
+    assert sum(seen) > 20_000_000 and max(seen) < ir.TAKEN_BYTES + 200_000
