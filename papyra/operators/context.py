@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from papyra.functions import questions as Q
@@ -121,27 +121,41 @@ def _clip(text: str, n: int) -> str:
     return t if len(t) <= n else t[:n].rstrip() + "…"
 
 
+def adjacent(relations: DataFrame, near: DataFrame, most: int) -> list[Row]:
+    """The first ``most`` relations, by type and ends, that begin or end at one of the (key) ``near``. There may be as many of these as facts, so they are joined, and without the statements."""
+    of, ends = ("type", "subject", "object"), relations.select("type", "subject", "object")
+    at = [ends.join(near.withColumnRenamed("key", c), c, "left_semi").select(*of) for c in of[1:]]
+    first = at[0].unionByName(at[1]).orderBy(*of).limit(2 * most).distinct()  # one of both ends is there twice
+    return relations.join(F.broadcast(first), list(of), "left_semi").orderBy(*of).limit(most).collect()
+
+
 def _lines(units: DataFrame, relations: DataFrame, plan: Q.Plan, question: str, current: str | None) -> dict[str, list[str]]:
     seen = {"visible": visible(plan.temporal), "boost": boost(plan.temporal, current) if plan.temporal.intent != "none" else None}
-    top = S.search_units(units, question, top_k=plan.orientation, **seen).collect()  # 50 rows at most
-    hits = S.search_units(units, question, ("fact",), plan.facts, **seen).collect()
+    pointers = (F.size("derived") + F.size("sources")).alias("pointers")  # a unit may be made from as many as there are facts: they stay where they are
+    top = S.search_units(units, question, top_k=plan.orientation, **seen).select("type", "key", "title", "content", "confidence", pointers).collect()  # 50 rows at most
+    hits = S.search_units(units, question, ("fact",), plan.facts, **seen).select("key", "content").collect()
     once = lambda xs: list(dict.fromkeys(xs))
     facts = [_clip(r["content"], FACT_LINE) for r in hits]
     stated: list[str] = []
     if plan.intent == "multi_hop":
-        near = [r["key"] for r in hits] + [d.removeprefix("fact:") for r in top for d in r["derived"] if d.startswith("fact:")]
+        keys = lambda xs: units.sparkSession.createDataFrame([(x,) for x in xs], "key string")  # noqa: E731  some dozens
+        made = units.filter(F.concat_ws(":", "type", "key").isin([f"{r['type']}:{r['key']}" for r in top])).select(F.explode("derived").alias("id")).filter(F.col("id").startswith("fact:"))
+        near, ends = made.select(F.expr("substring(id, 6)").alias("key")).unionByName(keys(r["key"] for r in hits)), []
         for _ in range(2):
-            step = relations.filter(F.col("subject").isin(near) | F.col("object").isin(near)).orderBy("type", "subject", "object").limit(RELATIONS * 4).collect() if near else []
+            step = adjacent(relations, near, RELATIONS * 4)
             stated += [_clip(r["statement"], FACT_LINE) for r in step]
-            near = once([r[c] for r in step for c in ("subject", "object")])
-        facts += [_clip(r["content"], FACT_LINE) for r in units.filter((F.col("type") == "fact") & (F.col("status") == "active") & F.col("key").isin(near)).orderBy("key").limit(FACTS).collect()] if near else []
+            ends = once([r[c] for r in step for c in ("subject", "object")])
+            if not ends:
+                break
+            near = F.broadcast(keys(ends))
+        facts += [_clip(r["content"], FACT_LINE) for r in units.filter((F.col("type") == "fact") & (F.col("status") == "active") & F.col("key").isin(ends)).orderBy("key").limit(FACTS).select("content").collect()] if ends else []
     about = []
     if plan.temporal.intent != "none":
         about = [f"intent: {plan.temporal.intent}", f"version: {current or ', '.join(plan.temporal.versions) or 'unknown'}"]
     return {
         "orientation": once(f"{r['title']}: {_clip(r['content'], SUMMARY_LINE)}" for r in top if r["type"] in ("summary", "topic")),
         "temporal": about,
-        "concepts": once(f"{r['title']} (confidence {r['confidence']:.2f}, {len(r['derived']) + len(r['sources'])} evidence pointers)" for r in top if r["type"] == "concept"),
+        "concepts": once(f"{r['title']} (confidence {r['confidence']:.2f}, {r['pointers']} evidence pointers)" for r in top if r["type"] == "concept"),
         "relations": once(stated)[:RELATIONS],
         "facts": once(facts)[:FACTS],
     }

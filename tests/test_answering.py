@@ -2,7 +2,9 @@
 
 import pytest
 
+from papyra.functions import questions as Q
 from papyra.operators import answering as A
+from papyra.operators import context as C
 from papyra.operators import search as Se
 from papyra.operators import semantic as S
 from papyra.operators import trigrams as T
@@ -57,6 +59,26 @@ def test_the_text_of_a_package(spark, base):
     assert p.text == EXPECTED, p.text
 
 
+def test_what_units_are_made_from_stays_where_it_is(spark, monkeypatch):
+    """A concept of many facts: relations of all of them are found, the first by type and ends, and no list of them is collected."""
+    kinds = "type string, key string, title string, content string, aliases array<string>, confidence double, status string, version string, superseded_by string, derived array<string>, sources array<string>"
+    many = [f"k{i:03}" for i in range(300)]
+    rows = [("concept", "engine", "engine", "", [], 0.7, "active", None, None, ["fact:" + k for k in many], ["1"]), *(("fact", k, "t", f"said {k}", [], 0.7, "active", None, None, [], ["1"]) for k in [*many, "z1", "z2"])]
+    units = spark.createDataFrame(rows, kinds)
+    pairs = [("k001", "k000"), ("z1", "k002"), ("k002", "z1"), ("k003", "k003"), ("z1", "z2"), ("z2", "z2"), *((k, "k000") for k in many[4:])]
+    relations = spark.createDataFrame([("related_to", a, b, f"{a} to {b}", 0.7) for a, b in pairs], "type string, subject string, object string, statement string, confidence double")
+    near = spark.createDataFrame([(k,) for k in ["k002", "k003", "k003", "zz"]], "key string")
+    assert [r.statement for r in C.adjacent(relations, near, 9)] == ["k002 to z1", "k003 to k003", "z1 to k002"]
+    assert [r.statement for r in C.adjacent(relations, near, 2)] == ["k002 to z1", "k003 to k003"]
+    seen, kind = [], type(units)
+    real = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: seen.append(self.columns) or real(self))
+    lines = C._lines(units, relations, Q.route("why does the engine cause it"), "why does the engine cause it", None)
+    assert seen and not any("derived" in c for c in seen)
+    assert lines["relations"][:3] == ["k001 to k000", "k002 to z1", "k003 to k003"] and lines["concepts"] == ["engine (confidence 0.70, 301 evidence pointers)"]
+    assert lines["facts"] == [f"said k{i:03}" for i in range(12)]
+
+
 EXPECTED = """# Knowledge Context
 Query: what did 1.0 support for ten users
 ## Temporal selection

@@ -1,5 +1,6 @@
 """The indexes of words and of parts of words: counted without shuffles, many questions scored as one by one."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from papyra.operators import lexical as Lex
@@ -48,3 +49,37 @@ def test_many_questions_for_parts_of_words_find_what_each_finds(spark):
     for r in T.search(index, many.limit(len(asked)), 3).orderBy("question", "rank").collect():
         few.setdefault(r.question, []).append((r["rank"], r.doc_id, r.idx, r.score))
     assert few.keys() == {0, 1, 2, 3, 7} and all(got.get(i) == few.get(i % len(asked)) for i in range(T.FEW + 8))
+
+
+@pytest.fixture
+def forms(monkeypatch):
+    """Names of the forms of an index that are written."""
+    seen, real = [], Lex.written
+    monkeypatch.setattr(Lex, "written", lambda df, n: seen.append(n) or real(df, n))
+    return seen
+
+
+def test_one_question_writes_postings_alone(spark, forms):
+    index = Lex.build(chunks(spark))
+    assert Lex.bm25(index, "red fox").count() == 2 and forms == ["postings"] and (index.chunks, index.average) == (7, 15 / 6)
+
+
+def test_many_questions_write_no_postings(spark, forms):
+    index = Lex.build(chunks(spark))
+    assert Lex.bm25_many(index, spark.createDataFrame([(0, "red fox")], "question int, text string"), 9).count() == 2
+    assert "postings" not in forms and (index.chunks, index.average) == (7, 15 / 6)
+    assert index.postings.count() == 12 and forms.count("counted") == 1
+
+
+def test_no_chunks_are_an_index(spark):
+    index = Lex.build(chunks(spark).limit(0))
+    assert Lex.bm25(index, "red").count() == 0 and (index.chunks, index.average) == (0, 0.0)
+
+
+def test_tasks_are_dealt_by_bytes(spark, tmp_path, monkeypatch):
+    """However few partitions a shuffle has, a task sorts the postings of so many bytes of files."""
+    monkeypatch.setattr(Lex, "DEALT", 200)
+    chunks(spark).coalesce(1).write.parquet(str(tmp_path / "c"))
+    c = spark.read.parquet(str(tmp_path / "c"))
+    n = -(-sum(f.stat().st_size for f in (tmp_path / "c").glob("*.parquet")) // 200)
+    assert n > 4 and Lex.dealt(c).rdd.getNumPartitions() == n
