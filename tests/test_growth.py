@@ -115,3 +115,8 @@ def test_texts_come_in_bounded_batches(spark, monkeypatch):
     d = spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), F.lit("t").alias("title"), F.repeat(F.lit("x"), 100_000).alias("text"))
     seen = [r["ord"] for r in ir.nodes(d, False).collect()]
     assert sum(seen) > 20_000_000 and max(seen) < ir.TAKEN_BYTES + 200_000
+
+
+def test_facts_meet_concepts_once_made(spark, sf):
+    """Texts are parsed for the facts alone, not again for those that no concept is found in."""
+    assert "MapIn" not in plan(catalogue.queries()["fact_concept_match"](spark, sf))
