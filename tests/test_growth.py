@@ -120,3 +120,19 @@ def test_texts_come_in_bounded_batches(spark, monkeypatch):
 def test_facts_meet_concepts_once_made(spark, sf):
     """Texts are parsed for the facts alone, not again for those that no concept is found in."""
     assert "MapIn" not in plan(catalogue.queries()["fact_concept_match"](spark, sf))
+
+
+def test_nodes_are_sent_to_no_task(spark, sf):
+    """Nodes take few bytes of files; that must not make Spark collect their ids and send them about."""
+    df = catalogue.queries()["structure_faults"](spark, sf)
+    assert df.collect()
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in p and "Broadcast" not in p
+
+
+def test_each_fault_is_told(spark):
+    rows = [(1, 0, "document", None), (1, 1, "p", 2), (1, 2, "p", 0), (1, 3, "p", 9), (2, 0, "document", None), (2, 1, "p", 0), (2, 1, "p", 0), (3, 1, "p", None)]
+    n = ir.bound(spark.createDataFrame(rows, "doc_id long, ord int, type string, parent int"))
+    own = n.select("doc_id", "node_id", "ord").distinct()
+    got = sorted(((r.doc_id, r.ord or -1, r.fault) for r in ir.faults(n).join(own, ["doc_id", "node_id"], "left").collect()))
+    assert got == [(1, 1, "parent comes later"), (1, 3, "missing parent"), (2, 1, "repeated id"), (3, -1, "no document node")]
