@@ -5,7 +5,7 @@ from __future__ import annotations
 from papyra.operators import graph as G
 from papyra.operators import semantic as S
 from papyra.plans.catalogue import F, docs, query, table
-from papyra.plans.compiler import _STATED, compiled, compiled_units, relations, structured, told_facts
+from papyra.plans.compiler import _EVERY, _STATED, compiled, compiled_units, every_step, structured, told_facts
 
 
 def supply(spark, sf):
@@ -95,8 +95,8 @@ def graph_expand(spark, sf):
     return G.expand(units, r, [first], ["related_to"], "both", hops=3, nodes=256, fan_out=64)[0].select("node", "hop")
 
 
-@query(f"""WITH {_STATED}, e AS (SELECT f.p[1] AS a, f.k AS b FROM fx f JOIN fx g ON g.k = f.p[1]) SELECT DISTINCT x.a AS src, y.b AS dst FROM e x JOIN e y ON x.b = y.a WHERE x.a <> y.b""")
+@query(f"""WITH {_EVERY}, e AS (SELECT f.p[1] AS a, f.k AS b FROM fx f JOIN fx g ON g.k = f.p[1]) SELECT DISTINCT x.a AS src, y.b AS dst FROM e x JOIN e y ON x.b = y.a WHERE x.a <> y.b""")
 def graph_two_hop(spark, sf):
-    """Facts two steps apart in reading order."""
-    r = relations(spark, sf).filter("type = 'related_to'").select("subject", "object")
-    return r.select(F.col("subject").alias("src"), F.col("object").alias("mid")).join(r.select(F.col("subject").alias("mid"), F.col("object").alias("dst")), "mid").filter("src <> dst").select("src", "dst").distinct()
+    """Facts two steps apart in reading order, of all statements. An object has one subject, so no pair comes twice."""
+    r = every_step(spark, sf)
+    return r.select(F.col("subject").alias("src"), F.col("object").alias("mid")).join(r.select(F.col("subject").alias("mid"), F.col("object").alias("dst")), "mid").filter("src <> dst").select("src", "dst")

@@ -1,5 +1,6 @@
 """Steps that must not be repeated or grow with a batch, as larger tables would show."""
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +137,14 @@ def test_each_fault_is_told(spark):
     own = n.select("doc_id", "node_id", "ord").distinct()
     got = sorted(((r.doc_id, r.ord or -1, r.fault) for r in ir.faults(n).join(own, ["doc_id", "node_id"], "left").collect()))
     assert got == [(1, 1, "parent comes later"), (1, 3, "missing parent"), (2, 1, "repeated id"), (3, -1, "no document node")]
+
+
+def test_two_hops_take_every_statement(spark, tmp_path):
+    """Statements of a text count however many there are."""
+    lines = "\n".join(f"The first part is {i}a. The second part is {i}b. The third part is {i}c." for i in range(60))
+    p = str(tmp_path / "documents.parquet")
+    duckdb.sql(f"COPY (SELECT 1::BIGINT AS doc_id, '{lines}' AS text, 'en' AS lang, 'web' AS source, 1::BIGINT AS n_chars) TO '{p}' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{p}'")
+    got = catalogue.queries()["graph_two_hop"](spark, str(tmp_path)).collect()
+    assert len(got) == 60 and {tuple(r) for r in got} == set(con.execute(catalogue.oracle_sql()["graph_two_hop"]).fetchall())
