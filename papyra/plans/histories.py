@@ -144,6 +144,10 @@ def ranked_questions(spark, sf):
 
 
 
+#: As ``_ASK``, with every word.
+_ASK_ALL = "SELECT item_id, array_to_string(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')), ' ') AS q FROM benchmark"
+
+
 @query("""WITH h AS (SELECT e.vec_id % 7 AS q, e.vec_id, e.label, row_number() OVER (PARTITION BY e.vec_id % 7 ORDER BY e.vec_id * 31 % 101, vec_id) AS r FROM embeddings e), g AS (SELECT q, vec_id, r FROM h WHERE label = 1),
 m AS (SELECT q, min(CASE WHEN r <= 10 THEN r END) AS first, count(*) FILTER (r <= 3) AS in3, count(*) FILTER (r <= 10) AS seen, count(*) AS n FROM g GROUP BY q)
 SELECT round(avg(coalesce((first = 1)::INT, 0)), 6) AS hit1, round(avg(coalesce((first <= 3)::INT, 0)), 6) AS hit3, round(avg(in3 / n::DOUBLE), 6) AS recall3, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(seen / n::DOUBLE), 6) AS context_recall FROM m""")
@@ -157,7 +161,7 @@ def retrieval_metrics(spark, sf):
     return m.select(*(F.round(c, 6).alias(c) for c in m.columns))
 
 
-@query(f"""WITH {CHUNKS}, t AS (SELECT doc_id, idx, regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}') AS t FROM chunks), n AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t), q AS (SELECT item_id, unnest(string_split(q, ' ')) AS term FROM ({_ASK}) WHERE q <> ''),
+@query(f"""WITH {CHUNKS}, t AS (SELECT doc_id, idx, regexp_extract_all(lower(text), '[a-z0-9_]{{2,}}') AS t FROM chunks), n AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t), q AS (SELECT item_id, unnest(string_split(q, ' ')) AS term FROM ({_ASK_ALL}) WHERE q <> ''),
 p AS (SELECT doc_id, idx, len(t) AS len, term, count(*) AS tf FROM (SELECT doc_id, idx, t, unnest(t) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, idx, t, term), d AS (SELECT term, count(*)::DOUBLE AS df FROM p GROUP BY term),
 s AS (SELECT item_id, doc_id, idx, round(sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / a))), 6) AS score FROM p JOIN q USING (term) JOIN d USING (term), n GROUP BY item_id, doc_id, idx),
 h AS (SELECT item_id, doc_id, score FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, idx) <= 3),
@@ -167,12 +171,13 @@ o AS (SELECT item_id, max(score) AS top FROM h GROUP BY item_id)
 SELECT b.item_id AS question, round(coalesce(found / wanted::DOUBLE, 0), 6) AS recall, coalesce(found = wanted, false) AS "full", coalesce(top, 0) <= 0 AS abstained, coalesce(top, 0) > 0 AND coalesce(found = wanted, false) AS correct
 FROM benchmark b LEFT JOIN f USING (item_id) LEFT JOIN o USING (item_id)""")
 def gold_run(spark, sf):
-    """A run over all benchmark passages as gold questions: which of the documents that hold a passage its three best chunks come from."""
+    """A run over all benchmark passages as gold questions, each asked by all of its words: which of the documents that hold a passage its three best chunks come from."""
     from papyra.plans.retrieval import needles
 
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("question"), F.col("text").alias("needle"))
     gold = needles(spark, sf).select(F.col("item_id").alias("question"), F.col("doc_id").alias("document")).join(b, "question")
-    hits = asked_hits(spark, sf).join(docs(spark, sf).select("doc_id", "text"), "doc_id")
+    asked = b.select("question", F.col("needle").alias("text"))
+    hits = Lex.bm25_many(index(spark, sf), asked, 3).join(docs(spark, sf).select("doc_id", "text"), "doc_id")
     q = b.select("question", F.lit("needle").alias("category"), F.lit(False).alias("abstains"), F.lit(1.0).alias("ms"))
     r = Ev.answered(hits.select("question", "doc_id", "text", "score"), gold, q)
     return r.select("question", F.round("recall", 6).alias("recall"), "full", "abstained", "correct")

@@ -83,3 +83,18 @@ def test_tasks_are_dealt_by_bytes(spark, tmp_path, monkeypatch):
     c = spark.read.parquet(str(tmp_path / "c"))
     n = -(-sum(f.stat().st_size for f in (tmp_path / "c").glob("*.parquet")) // 200)
     assert n > 4 and Lex.dealt(c).rdd.getNumPartitions() == n
+
+
+def test_a_gold_run_asks_every_word(spark, tmp_path):
+    """A passage of short words alone is asked too."""
+    import duckdb
+
+    from papyra.plans import catalogue
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT i::BIGINT AS doc_id, t AS text, 'en' AS lang, 'web' AS source, 9::BIGINT AS n_chars FROM (VALUES (1, 'a red fox ran off at noon'), (2, 'blue birds sing in the old tree'), (3, 'something altogether different')) v(i, t)")
+    con.execute("CREATE TABLE benchmark AS SELECT i::BIGINT AS item_id, t AS text FROM (VALUES (1, 'red fox ran off at'), (2, 'something altogether')) v(i, t)")
+    for t in ("documents", "benchmark"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    got = sorted(tuple(r) for r in catalogue.queries()["gold_run"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(catalogue.oracle_sql()["gold_run"]).fetchall()) == [(1, 1.0, True, False, True), (2, 1.0, True, False, True)]
