@@ -4,17 +4,18 @@ A term lies within one word, so where it occurs is told by the words that hold i
 words, in segments that are each sorted by word, and a dictionary that has a row for each trigram of each distinct word. A
 question finds the words that hold its terms by their rarest trigrams in the dictionary, then reads the postings of these
 words and no others. Many questions at once go to all texts instead, in blocks: a task looks up which terms each distinct
-word of its texts holds, once, and keeps a few chunks a question.
+word of its texts holds, once, and writes what each chunk holds; scores are added up from that, a few chunks kept a question.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -56,19 +57,36 @@ def _size(text: Column) -> Column:
     return F.greatest(F.length(F.lower(text)) - 2, F.lit(0))
 
 
+class Built(Index):
+    """An index of written texts whose words and dictionary are written when they are first asked for, as many questions at once want the texts alone."""
+
+    def __init__(self, texts: DataFrame, chunks: int, average: float):
+        self.texts, self.chunks, self.average = texts, chunks, average
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        words = F.regexp_extract_all(F.lower("searched"), F.lit(WORD), 0)
+        each = self.texts.select("doc_id", "idx", _size(F.col("searched")).alias("len"), F.explode(counted(words)).alias("t"))
+        return written(each.select(F.col("t.term").alias("word"), "doc_id", "idx", "t.tf", "len").sortWithinPartitions("word", "doc_id", "idx"), "words")
+
+    @cached_property
+    def grams(self) -> DataFrame:
+        of = self.postings.select("word").distinct().select(F.explode(F.array_distinct(grams(F.col("word")))).alias("gram"), "word")
+        return written(of.sortWithinPartitions("gram", "word"), "grams")
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return written(self.grams.groupBy("gram").agg(F.count("*").alias("words")).repartitionByRange("gram").sortWithinPartitions("gram"), "gram-counts")
+
+
 def build(chunks: DataFrame) -> Index:
     """An index of chunks (doc_id, idx, text, and search_text where it differs from the text). Null texts have no trigrams. Texts are dealt out once; postings are counted inside each chunk and sorted inside each task, and only distinct words are shuffled."""
     searched = F.col("search_text") if "search_text" in chunks.columns else F.col("text")
     t = chunks.select("doc_id", "idx", "text", F.coalesce(searched, F.lit("")).alias("searched"))
-    texts = written(t.repartitionByRange("doc_id", "idx").sortWithinPartitions("doc_id", "idx"), "texts")
-    sizes = texts.agg(F.count("*").alias("n"), F.avg(_size(F.col("searched"))).alias("a")).first()
-    words = F.regexp_extract_all(F.lower("searched"), F.lit(WORD), 0)
-    each = texts.select("doc_id", "idx", _size(F.col("searched")).alias("len"), F.explode(counted(words)).alias("t"))
-    postings = written(each.select(F.col("t.term").alias("word"), "doc_id", "idx", "t.tf", "len").sortWithinPartitions("word", "doc_id", "idx"), "words")
-    of = postings.select("word").distinct().select(F.explode(F.array_distinct(grams(F.col("word")))).alias("gram"), "word")
-    dictionary = written(of.sortWithinPartitions("gram", "word"), "grams")
-    counts = written(dictionary.groupBy("gram").agg(F.count("*").alias("words")).repartitionByRange("gram").sortWithinPartitions("gram"), "gram-counts")
-    return Index(postings, dictionary, counts, texts, sizes["n"], sizes["a"] or 0.0)
+    seen = Observation()
+    dealt = t.repartitionByRange("doc_id", "idx").sortWithinPartitions("doc_id", "idx").observe(seen, F.count(F.lit(1)).alias("n"), F.avg(_size(F.col("searched"))).alias("a"))
+    texts = written(dealt, "texts")
+    return Built(texts, seen.get["n"], seen.get["a"] or 0.0)
 
 
 _BUILT: dict[tuple[str, str], Index] = {}
@@ -114,19 +132,23 @@ def matches(index: Index, terms: DataFrame) -> DataFrame:
 
 
 class _Holders:
-    """Which of some terms a word holds, and how often; told once a word, as long as few enough are remembered."""
+    """Which of some terms a word holds, and how often; told once a word by an automaton over all terms, as long as few enough words are remembered."""
 
     def __init__(self, terms: list[str]):
-        self.of, self.sizes, self.known = {t: i for i, t in enumerate(terms)}, sorted({len(t) for t in terms}), {}
+        import ahocorasick
+
+        self.terms, self.known, self.automaton = len(terms), {}, ahocorasick.Automaton()
+        for i, t in enumerate(terms):
+            self.automaton.add_word(t, i)
+        if terms:
+            self.automaton.make_automaton()
 
     def __call__(self, word: str) -> tuple[tuple[int, int], ...]:
         got = self.known.get(word)
         if got is None:
             times: dict[int, int] = {}
-            for n in self.sizes:
-                for i in range(len(word) - n + 1):
-                    if (t := self.of.get(word[i : i + n])) is not None:
-                        times[t] = times.get(t, 0) + 1
+            for _, i in self.automaton.iter(word):
+                times[i] = times.get(i, 0) + 1
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             got = self.known[word] = tuple(sorted(times.items()))
@@ -143,42 +165,66 @@ class _Holders:
         code = coded.indices.to_numpy(zero_copy_only=False)
         size, start = n[code], (np.cumsum(n) - n)[code]
         at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        key, of = np.unique(np.repeat(row, size) * len(self.of) + pairs[at, 0], return_inverse=True)
-        return key // len(self.of), key % len(self.of), np.bincount(of.ravel(), weights=pairs[at, 1], minlength=len(key))
+        key, of = np.unique(np.repeat(row, size) * self.terms + pairs[at, 0], return_inverse=True)
+        return key // self.terms, key % self.terms, np.bincount(of.ravel(), weights=pairs[at, 1], minlength=len(key))
 
 
-def _of_many(index: Index, own: list, k: int, scope: DataFrame | None, schema: str) -> DataFrame:
-    """(question, doc_id, idx, score): the best chunks for each of a block of questions (question, terms, locators) by two passes over all texts: how many chunks hold each term, then the scores."""
-    names = sorted({t for r in own for t in r["terms"]})
-    shape, average, low = to_arrow_schema(index.texts.sparkSession.createDataFrame([], schema).schema), index.average or 1.0, F.lower("searched").alias("low")
+def _list(row: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
+    """An array of numbers for each of so many rows, of values sorted by row."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)), pa.int32()), pa.array(values.astype(np.int32)))
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of arrays of numbers."""
+    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)
+
 
-    def count(batches):
-        holders, n = _Holders(names), np.zeros(len(names), np.int64)
+def _holding(index: Index, names: list[str], locators: list[str]) -> DataFrame:
+    """(doc_id, idx, len, term, tf, stands), written: which of the terms each chunk holds as part of its words, how often, and which locators stand in its text, by their numbers; chunks without any are left out. All that is asked of the texts."""
+    kind = lambda c: index.texts.schema[c].dataType.simpleString()
+    none = np.zeros(0, np.int64)
+
+    def f(batches):
+        holders = _Holders(names)
         for b in batches:
-            n += np.bincount(holders.batch(b["low"])[1], minlength=len(names))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(names))), pa.array(n)], names=["term", "n"])
+            rows = b.num_rows
+            row, term, tf = holders.batch(b["low"]) if names else (none, none, none)
+            found = [np.flatnonzero(pc.fill_null(pc.match_substring(b["text"], x), False).to_numpy(zero_copy_only=False)) for x in locators]
+            at, which = np.concatenate([none, *found]), np.repeat(np.arange(len(found)), [len(x) for x in found])
+            order = np.argsort(at, kind="stable")
+            any_ = np.zeros(rows, bool)
+            any_[row] = any_[at] = True
+            columns = {c: b[c] for c in ("doc_id", "idx", "len")} | {"term": _list(row, term, rows), "tf": _list(row, tf, rows), "stands": _list(at[order], which[order], rows)}
+            yield pa.RecordBatch.from_pydict(columns).filter(pa.array(any_))
+
+    text = F.lower("text") if locators else F.lit(None).cast("string")
+    own = index.texts.select("doc_id", "idx", text.alias("text"), F.lower("searched").alias("low"), _size(F.col("searched")).alias("len"))
+    return written(own.mapInArrow(f, f"doc_id {kind('doc_id')}, idx {kind('idx')}, len int, term array<int>, tf array<int>, stands array<int>"), "holding")
 
+
+def _of_many(index: Index, own: list, k: int, scope: DataFrame | None, schema: str) -> DataFrame:
+    """(question, doc_id, idx, score): the best chunks for each of a block of questions (question, terms, locators) by one pass over all texts; how many chunks hold each term, and the scores, are told by what it writes."""
+    names, locators = sorted({t for r in own for t in r["terms"]}), sorted({x for r in own for x in r["locators"]})
+    shape, average = to_arrow_schema(index.texts.sparkSession.createDataFrame([], schema).schema), index.average or 1.0
+    held = _holding(index, names, locators)
     n = np.zeros(len(names))
-    if names:
-        for r in index.texts.select(low).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-            n[r["term"]] = r["n"]
+    for r in held.select(F.explode("term").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect():  # a block's terms
+        n[r["term"]] = r["n"]
     idf = np.log((index.chunks - n + 0.5) / (n + 0.5))
     weights = weighed(own, "terms", names, np.where(idf > 0, idf, LEAST)) if names else np.zeros((1, len(own)))
-    locators = sorted({x for r in own for x in r["locators"]})
-    asked = [(r["question"], [locators.index(x) for x in r["locators"]], not r["terms"]) for r in own]
+    place = {x: i for i, x in enumerate(locators)}
+    asked = [(r["question"], [place[x] for x in r["locators"]], not r["terms"]) for r in own]
 
     def f(batches):
-        holders, best = _Holders(names), Best(len(asked), k)
+        best = Best(len(asked), k)
         for b in batches:
-            rows = b.num_rows
-            if names:
-                row, term, tf = holders.batch(b["low"])
-                size = b["len"].to_numpy(zero_copy_only=False)[row] / average
-                raw = summed(row, tf * (K1 + 1) / (tf + K1 * (1 - B + B * size)), weights, term, rows)
-            else:
-                raw = np.zeros((rows, len(asked)))
+            rows, (row, term), tf = b.num_rows, _flat(b["term"]), _flat(b["tf"])[1]
+            size = b["len"].to_numpy(zero_copy_only=False)[row] / average
+            raw = summed(row, tf * (K1 + 1) / (tf + K1 * (1 - B + B * size)), weights, term, rows)
             score = np.round(raw / (raw + 1), 6)
-            stands = [pc.fill_null(pc.match_substring(b["text"], x), False).to_numpy(zero_copy_only=False) for x in locators]
+            at, which = _flat(b["stands"])
+            stands = np.zeros((len(locators), rows), bool)
+            stands[which, at] = True
             doc, idx = b["doc_id"].to_pylist(), b["idx"].to_pylist()
             for q, (_, must, lone) in enumerate(asked):
                 fine = np.ones(rows, bool) if lone else raw[:, q] > 0
@@ -188,9 +234,7 @@ def _of_many(index: Index, own: list, k: int, scope: DataFrame | None, schema: s
                 best.add(q, score[at, q], at, doc, idx)
         yield best.batch([q for q, _, _ in asked], shape)
 
-    texts = index.texts if scope is None else index.texts.join(scope, "doc_id", "left_semi")
-    text = F.lower("text") if locators else F.lit(None).cast("string")
-    return written(texts.select("doc_id", "idx", text.alias("text"), low, _size(F.col("searched")).alias("len")).mapInArrow(f, schema), "scored")
+    return written((held if scope is None else held.join(scope, "doc_id", "left_semi")).mapInArrow(f, schema), "scored")
 
 
 def search(index: Index, questions: DataFrame, k: int, scope: DataFrame | None = None) -> DataFrame:

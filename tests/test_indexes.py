@@ -1,5 +1,6 @@
 """The indexes of words and of parts of words: counted without shuffles, many questions scored as one by one."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,28 @@ def test_a_gold_run_asks_every_word(spark, tmp_path):
         con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
     got = sorted(tuple(r) for r in catalogue.queries()["gold_run"](spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(catalogue.oracle_sql()["gold_run"]).fetchall()) == [(1, 1.0, True, False, True), (2, 1.0, True, False, True)]
+
+
+def test_many_questions_for_parts_of_words_read_texts_once(spark, monkeypatch):
+    """They write no words and no dictionary, and texts are cut into words by one pass."""
+    seen, real = [], T.written
+    monkeypatch.setattr(T, "written", lambda df, n: seen.append(n) or real(df, n))
+    index = T.build(chunks(spark))
+    assert (index.chunks, index.average) == (7, 58 / 7)
+    q = spark.createDataFrame([(i, "edd 7" if i % 2 else "reen") for i in range(T.FEW + 8)], "question int, text string")
+    assert {(r.question % 2, r.doc_id, r.idx) for r in T.search(index, q, 3).collect()} == {(0, 3, 0), (1, 2, 0)}
+    assert seen == ["texts", "holding", "scored"]
+    assert index.counts.count() and seen[3:] == ["words", "grams", "gram-counts"]
+
+
+def test_terms_add_to_the_questions_that_ask_them(monkeypatch):
+    rng = np.random.default_rng(1)
+    weights = rng.random((9, 5)) * (rng.random((9, 5)) < 0.4)
+    chunk = np.sort(rng.integers(0, 30, 200))
+    term, part = rng.integers(0, 9, 200), rng.random(200)
+    want = np.zeros((31, 5))
+    np.add.at(want, chunk, weights[term] * part[:, None])
+    for added in (32, 32 * 40, 32 << 20):
+        monkeypatch.setattr(Lex, "ADDED", added)
+        assert np.allclose(Lex.summed(chunk, part, weights, term, 31), want, atol=1e-12)
+    assert not Lex.summed(chunk[:0], part[:0], weights, term[:0], 31).any()
